@@ -3,36 +3,38 @@ encoder that runs batch-wise in the Python workers."""
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, functions as F
 
 HASH_DIM = 64
 BATCH_TEXTS = 64
 HASH_ENCODER_NAME = "hashing-md5-64"
 
 
-def words(text: Column) -> Column:
-    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-
-
-def hash_buckets(text: Column, dim: int = HASH_DIM) -> Column:
-    """The bucket of every word: the first 16 bits of its md5, modulo ``dim``."""
-    return F.transform(
-        words(text),
-        lambda w: (F.conv(F.substring(F.md5(w), 1, 4), 16, 10).cast("int") % dim),
-    )
-
-
-def _unit_counts(buckets: pa.Array, dim: int) -> pa.Array:
-    """Counts per bucket of every row at once, each row scaled to length one."""
-    n = len(buckets)
-    ends = np.diff(buckets.offsets.to_numpy())
-    flat = buckets.flatten().to_numpy(zero_copy_only=False)
-    cell = np.repeat(np.arange(n), ends) * dim + flat
+def bucket_of(word: str, dim: int = HASH_DIM) -> int:
+    """The bucket of a word: the first 16 bits of its md5, modulo ``dim``."""
+    return int(hashlib.md5(word.encode()).hexdigest()[:4], 16) % dim
+
+
+def unit_counts(texts: pa.Array, dim: int = HASH_DIM) -> pa.Array:
+    """Word counts per bucket of every text, each row scaled to length one (all
+    zero without words). A batch is handled as a whole; of its words only the
+    different ones are hashed."""
+    n = len(texts)
+    lower = pc.utf8_lower(pc.fill_null(texts, ""))
+    split = pc.split_pattern_regex(lower, r"[^\p{L}\p{N}]+")
+    row = np.repeat(np.arange(n), np.diff(split.offsets.to_numpy()))
+    coded = split.flatten().dictionary_encode()
+    vocabulary = coded.dictionary.to_pylist()
+    bucket = np.array([bucket_of(w, dim) if w else -1 for w in vocabulary], dtype=np.int64)
+    at = bucket[coded.indices.to_numpy()] if vocabulary else np.zeros(0, np.int64)
+    cell = (row * dim + at)[at >= 0]
     counts = np.bincount(cell, minlength=n * dim).reshape(n, dim).astype(np.float64)
     norm = np.sqrt((counts * counts).sum(axis=1, keepdims=True))
     unit = np.divide(counts, norm, out=np.zeros_like(counts), where=norm > 0)
@@ -44,19 +46,17 @@ def _unit_counts(buckets: pa.Array, dim: int) -> pa.Array:
 def with_hash_embedding(
     df: DataFrame, text_col: str, out: str = "embedding", dim: int = HASH_DIM
 ) -> DataFrame:
-    """Word counts per bucket, scaled to length one (all zero without words).
+    """Vectors of the deterministic hashing encoder.
 
-    Words and buckets are native; an Arrow function counts a whole batch in one
-    go. It is declared non-deterministic so that no filter makes it run twice.
+    The function is declared non-deterministic so that no filter on its result
+    makes it run twice.
     """
 
     @F.arrow_udf("array<double>")
-    def unit_counts(buckets: pa.Array) -> pa.Array:
-        return _unit_counts(buckets, dim)
+    def embed(texts: pa.Array) -> pa.Array:
+        return unit_counts(texts, dim)
 
-    text = F.coalesce(text_col, F.lit(""))
-    counted = unit_counts.asNondeterministic()
-    return df.withColumn(out, counted(hash_buckets(text, dim)))
+    return df.withColumn(out, embed.asNondeterministic()(F.col(text_col)))
 
 
 def with_encoder(

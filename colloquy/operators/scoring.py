@@ -18,6 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from colloquy.functions import graphs
+from colloquy.functions.arrays import once
 from colloquy.operators.workflows import END, START
 
 
@@ -27,22 +28,19 @@ def lis_length(values: Column) -> Column:
     ``tails[i]`` is the smallest last value of such a run of length i + 1; each
     value replaces the first tail not below it.
     """
-    empty = F.array().cast("array<int>")
-    return F.size(
-        F.aggregate(
-            values,
-            empty,
-            lambda tails, x: F.concat(
-                F.filter(tails, lambda t: t < x),
+
+    def put(tails: Column, x: Column) -> Column:
+        below = F.filter(tails, lambda t: t < x)
+        return once(
+            below,
+            lambda head: F.concat(
+                head,
                 F.array(x),
-                F.slice(
-                    tails,
-                    F.size(F.filter(tails, lambda t: t < x)) + 2,
-                    F.greatest(F.size(tails), F.lit(1)),
-                ),
+                F.slice(tails, F.size(head) + 2, F.greatest(F.size(tails), F.lit(1))),
             ),
         )
-    )
+
+    return F.size(F.aggregate(values, F.array().cast("array<int>"), put))
 
 
 def with_status(df: DataFrame) -> DataFrame:
@@ -98,41 +96,52 @@ def chain_score(df: DataFrame, order: str = "listed", matched: str = "matched")
 
 def _places(nodes: Column, edges: Column) -> Column:
     """Edges between real nodes as places (1-based) in the node list."""
-    numbers = F.transform(nodes, lambda n: n["no"])
-    pairs = F.transform(
-        edges,
-        lambda e: F.struct(
-            F.array_position(numbers, e["src"]).cast("int").alias("a"),
-            F.array_position(numbers, e["dst"]).cast("int").alias("b"),
+    pairs = once(
+        F.transform(nodes, lambda n: n["no"]),
+        lambda numbers: F.transform(
+            edges,
+            lambda e: F.struct(
+                F.array_position(numbers, e["src"]).cast("int").alias("a"),
+                F.array_position(numbers, e["dst"]).cast("int").alias("b"),
+            ),
         ),
     )
     return F.array_distinct(F.filter(pairs, lambda p: (p["a"] > 0) & (p["b"] > 0)))
 
 
-def _named_edges(nodes: Column, edges: Column, name_of: Callable[[Column], Column]) -> Column:
-    """Edges as ``a>b`` with gold places or sentinels as ends; edges with an
-    unmatched or unknown end drop out."""
-    numbers = F.transform(nodes, lambda n: n["no"])
+def _named_edges(nodes: Column, edges: Column, names: Column) -> Column:
+    """Edges as ``a>b`` between sentinels and ``names``, which gives each node's
+    name by its place; edges with an unmatched or unknown end drop out."""
 
-    def end(x: Column) -> Column:
-        place = F.array_position(numbers, x)
-        return (
-            F.when(x.isin(START, END), x)
-            .when(place > 0, name_of(place.cast("int")))
-            .otherwise(F.lit("0"))
+    def named(numbers: Column, known: Column) -> Column:
+        def end(x: Column) -> Column:
+            place = F.array_position(numbers, x)
+            return (
+                F.when(x.isin(START, END), x)
+                .when(place > 0, F.get(known, (place - 1).cast("int")))
+                .otherwise(F.lit("0"))
+            )
+
+        ends = F.transform(
+            edges, lambda e: F.struct(end(e["src"]).alias("a"), end(e["dst"]).alias("b"))
         )
+        kept = F.filter(ends, lambda e: (e["a"] != "0") & (e["b"] != "0"))
+        return F.transform(kept, lambda e: F.concat_ws(">", e["a"], e["b"]))
 
-    named = F.transform(edges, lambda e: F.struct(end(e["src"]).alias("a"), end(e["dst"]).alias("b")))
-    kept = F.filter(named, lambda e: (e["a"] != "0") & (e["b"] != "0"))
-    return F.array_distinct(F.transform(kept, lambda e: F.concat_ws(">", e["a"], e["b"])))
+    return F.array_distinct(
+        once(
+            F.transform(nodes, lambda n: n["no"]),
+            lambda numbers: once(names, lambda known: named(numbers, known)),
+        )
+    )
 
 
 def edge_overlap(df: DataFrame, matched: str = "matched") -> DataFrame:
     """Precision and recall of the edges, START and END edges included."""
-    gold = _named_edges(F.col("gold_nodes"), F.col("gold_edges"), lambda p: p.cast("string"))
-    pred = _named_edges(
-        F.col("pred_nodes"), F.col("pred_edges"), lambda p: F.col(matched)[p - 1].cast("string")
-    )
+    own_places = F.transform("gold_nodes", lambda n, i: (i + 1).cast("string"))
+    gold_places = F.transform(matched, lambda g: g.cast("string"))
+    gold = _named_edges(F.col("gold_nodes"), F.col("gold_edges"), own_places)
+    pred = _named_edges(F.col("pred_nodes"), F.col("pred_edges"), gold_places)
     both = F.size(F.array_intersect(gold, pred))
     return _scored(
         df.withColumn("n_shared_edges", both),
@@ -144,17 +153,25 @@ def edge_overlap(df: DataFrame, matched: str = "matched") -> DataFrame:
 
 def _conflicts(matched: str) -> Column:
     """Pairs of matched gold places with an edge on one side only."""
-    gold = _places(F.col("gold_nodes"), F.col("gold_edges"))
-    m = F.col(matched)
-    pred = F.transform(
-        _places(F.col("pred_nodes"), F.col("pred_edges")),
-        lambda e: F.struct(m[e["a"] - 1].alias("a"), m[e["b"] - 1].alias("b")),
-    )
-    pred = F.filter(pred, lambda e: (e["a"] > 0) & (e["b"] > 0))
-    gold = F.filter(
-        gold, lambda e: F.array_contains(m, e["a"]) & F.array_contains(m, e["b"])
-    )
-    return F.array_union(F.array_except(gold, pred), F.array_except(pred, gold))
+
+    def one_sided(m: Column) -> Column:
+        pred = F.transform(
+            _places(F.col("pred_nodes"), F.col("pred_edges")),
+            lambda e: F.struct(m[e["a"] - 1].alias("a"), m[e["b"] - 1].alias("b")),
+        )
+        pred = F.filter(pred, lambda e: (e["a"] > 0) & (e["b"] > 0))
+        gold = F.filter(
+            _places(F.col("gold_nodes"), F.col("gold_edges")),
+            lambda e: F.array_contains(m, e["a"]) & F.array_contains(m, e["b"]),
+        )
+        return once(
+            F.struct(gold.alias("g"), pred.alias("p")),
+            lambda s: F.array_union(
+                F.array_except(s["g"], s["p"]), F.array_except(s["p"], s["g"])
+            ),
+        )
+
+    return once(F.col(matched), one_sided)
 
 
 def graph_score(
@@ -187,19 +204,23 @@ def graph_score(
 
 def _longest_consistent(matched: Column, gold_edges: Column) -> Column:
     @F.pandas_udf("int")
-    def longest(matched: pd.Series, edges: pd.Series) -> pd.Series:
+    def longest(n: pd.Series, matched: pd.Series, edges: pd.Series) -> pd.Series:
         return pd.Series(
             [
                 graphs.longest_consistent(
                     [int(g) for g in m if g > 0], [(e["a"], e["b"]) for e in es]
                 )
-                for m, es in zip(matched, edges)
+                if size
+                else 0
+                for size, m, es in zip(n, matched, edges)
             ],
             dtype="Int32",
         )
 
-    # Not to be copied into every expression that uses the result.
-    return longest.asNondeterministic()(matched, gold_edges)
+    # Used twice, ``matched`` stays a column of its own below the function; put
+    # into the call as a whole, its nested lambdas would keep Spark from planning
+    # the call. The result is not to be copied into every expression using it.
+    return longest.asNondeterministic()(F.size(matched), matched, gold_edges)
 
 
 def match_by_similarity(

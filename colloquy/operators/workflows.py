@@ -11,6 +11,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from colloquy.functions.arrays import once
+
 # The text form and its sentinels.
 NODE_PATTERN = r"(?m)^[ \t]*(\d+)[ \t]*:[ \t]*(\S.*)$"
 EDGE_PATTERN = r"\((START|\d+),\s*(END|\d+)\)"
@@ -101,33 +103,27 @@ def explode_edges(df: DataFrame, keys: Sequence[str], nodes: str, edges: str) ->
 
 
 def _occurrences(nodes: Column) -> Column:
-    """Per node ``<occurrence>:<label>``: the n-th node with that label."""
-    by_label = F.array_sort(
-        F.transform(
-            nodes,
-            lambda n, i: F.struct(
-                F.lower(n["label"]).alias("label"), (i + 1).alias("pos")
-            ),
-        )
-    )
-    # Bound as a one-element array, the sorted labels are made once per row.
-    keyed = F.flatten(
-        F.transform(
-            F.array(F.struct(by_label.alias("s"), F.transform(by_label, lambda x: x["label"]).alias("l"))),
-            lambda b: F.transform(
-                b["s"],
-                lambda x, i: F.struct(
-                    x["pos"].alias("pos"),
-                    F.concat_ws(
-                        ":",
-                        (i + 2 - F.array_position(b["l"], x["label"])).cast("string"),
-                        x["label"],
-                    ).alias("key"),
-                ),
-            ),
-        )
+    """Per node ``<occurrence>:<label>``: the n-th node with that label, found as
+    its distance from the first such node in label order."""
+
+    def entry(n: Column, i: Column) -> Column:
+        return F.struct(F.lower(n["label"]).alias("label"), (i + 1).alias("pos"))
+
+    def keys(entries: Column, labels: Column) -> Column:
+        def key(n: Column, i: Column) -> Column:
+            label = F.lower(n["label"])
+            nth = F.array_position(entries, entry(n, i)) - F.array_position(labels, label) + 1
+            return F.concat_ws(":", nth.cast("string"), label)
+
+        return F.transform(nodes, key)
+
+    return once(
+        F.array_sort(F.transform(nodes, entry)),
+        lambda entries: once(
+            F.transform(entries, lambda e: e["label"]),
+            lambda labels: keys(entries, labels),
+        ),
     )
-    return F.transform(F.array_sort(keyed), lambda x: x["key"])
 
 
 def match_by_label(
@@ -138,17 +134,15 @@ def match_by_label(
     Nodes match one to one by label (letter case aside) and occurrence: the n-th
     ``mix`` of one side is the n-th ``mix`` of the other.
     """
-    return (
-        df.withColumn("_g", _occurrences(F.col(f"{gold}_nodes")))
-        .withColumn("_p", _occurrences(F.col(f"{pred}_nodes")))
-        .withColumn(
-            out,
-            F.transform(
-                "_p", lambda key: F.array_position(F.col("_g"), key).cast("int")
-            ),
-        )
-        .drop("_g", "_p")
+    gold_keys = _occurrences(F.col(f"{gold}_nodes"))
+    pred_keys = _occurrences(F.col(f"{pred}_nodes"))
+    places = once(
+        gold_keys,
+        lambda g: F.transform(
+            pred_keys, lambda key: F.array_position(g, key).cast("int")
+        ),
     )
+    return df.withColumn(out, places)
 
 
 def explode_matches(df: DataFrame, keys: Sequence[str], matched: str = "matched") -> DataFrame:

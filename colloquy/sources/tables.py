@@ -27,10 +27,11 @@ def _read(spark: SparkSession, path: str, schema: T.StructType, what: str) -> Da
 
 
 def write_predictions(predictions: DataFrame, path: str) -> None:
-    """Append runs; rows of one run are spread over files by position, so a run
-    with most of the rows does not go through one task."""
+    """Append runs, one folder each. The rebalance brings the rows of a run
+    together, for few files, but splits a run that is large."""
     (
         predictions.select(*schemas.PREDICTIONS.fieldNames())
+        .hint("rebalance", *PREDICTION_PARTITIONS)
         .write.mode("append")
         .partitionBy(*PREDICTION_PARTITIONS)
         .parquet(path)
@@ -50,6 +51,7 @@ def export_predictions(predictions: DataFrame, gold_items: DataFrame, path: str)
     (
         predictions.join(item, ["task", "idx"])
         .select(*PREDICTION_PARTITIONS, "query", "workflow")
+        .hint("rebalance", *PREDICTION_PARTITIONS)
         .write.mode("append")
         .partitionBy(*PREDICTION_PARTITIONS)
         .json(path)
