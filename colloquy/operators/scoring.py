@@ -83,15 +83,38 @@ def _scored(df: DataFrame, hits: Column, n_pred: Column, n_gold: Column) -> Data
 def chain_score(df: DataFrame, order: str = "listed", matched: str = "matched") -> DataFrame:
     """Node score of ``with_status`` rows. ``order="any"`` allows every order the
     gold edges allow; a gold graph with a cycle is then a ``runtime`` skip."""
+    sizes = F.size("pred_nodes"), F.size("gold_nodes")
     if order == "listed":
         hits = lis_length(F.filter(matched, lambda g: g > 0))
-    elif order == "any":
-        hits = _longest_consistent(
-            F.col(matched), _places(F.col("gold_nodes"), F.col("gold_edges"))
-        )
-    else:
+        return _scored(df, hits, *sizes)
+    if order != "any":
         raise ValueError(f"unknown order {order!r}")
-    return _scored(df, hits, F.size("pred_nodes"), F.size("gold_nodes"))
+
+    @F.pandas_udf("int")
+    def longest(
+        n: pd.Series, matched: pd.Series, m: pd.Series, edges: pd.Series
+    ) -> pd.Series:
+        return pd.Series(
+            [
+                graphs.longest_consistent(
+                    [int(g) for g in places if g > 0], [(e["a"], e["b"]) for e in es]
+                )
+                if size
+                else 0
+                for size, places, es in zip(n, matched, edges)
+            ],
+            dtype="Int32",
+        )
+
+    # Given along with their sizes, the arrays are used twice and so stay columns
+    # of their own below the function; put into the call as whole expressions,
+    # their nested lambdas would keep Spark from planning the call. The result is
+    # not to be copied into every expression using it, hence non-deterministic.
+    rows = df.withColumn("_edges", _places(F.col("gold_nodes"), F.col("gold_edges")))
+    hits = longest.asNondeterministic()(
+        F.size(matched), F.col(matched), F.size("_edges"), F.col("_edges")
+    )
+    return _scored(rows, hits, *sizes).drop("_edges")
 
 
 def _places(nodes: Column, edges: Column) -> Column:
@@ -202,27 +225,6 @@ def graph_score(
     return _scored(rows, hits, F.size("pred_nodes"), F.size("gold_nodes")).drop("_conflicts", "_n")
 
 
-def _longest_consistent(matched: Column, gold_edges: Column) -> Column:
-    @F.pandas_udf("int")
-    def longest(n: pd.Series, matched: pd.Series, edges: pd.Series) -> pd.Series:
-        return pd.Series(
-            [
-                graphs.longest_consistent(
-                    [int(g) for g in m if g > 0], [(e["a"], e["b"]) for e in es]
-                )
-                if size
-                else 0
-                for size, m, es in zip(n, matched, edges)
-            ],
-            dtype="Int32",
-        )
-
-    # Used twice, ``matched`` stays a column of its own below the function; put
-    # into the call as a whole, its nested lambdas would keep Spark from planning
-    # the call. The result is not to be copied into every expression using it.
-    return longest.asNondeterministic()(F.size(matched), matched, gold_edges)
-
-
 def match_by_similarity(
     df: DataFrame,
     load_encoder: Callable[[], Callable[[list[str]], np.ndarray]],
