@@ -205,7 +205,7 @@ def fit_budget_with_tokenizer(
     )
 
     @F.pandas_udf("long")
-    def first_fit(rows: Iterator[tuple]) -> Iterator[pd.Series]:
+    def first_fit(rows: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
         count = load_tokenizer()
 
         def fit(n, sys, body, total, near) -> int:

@@ -71,9 +71,14 @@ def with_graph(df: DataFrame, text_col: str, prefix: str) -> DataFrame:
     )
 
 
+# The outer forms of explode: for the inner one the optimizer adds a test of the
+# array's size and pushes it below, which computes the array twice.
+
+
 def explode_nodes(df: DataFrame, keys: Sequence[str], nodes: str) -> DataFrame:
     """One row per node with its 1-based place in the list."""
-    return df.select(*keys, F.posexplode(nodes).alias("pos", "n")).select(
+    rows = df.select(*keys, F.posexplode_outer(nodes).alias("pos", "n"))
+    return rows.filter(F.col("pos").isNotNull()).select(
         *keys,
         (F.col("pos") + 1).alias("pos"),
         F.col("n.no").cast("long").alias("no"),
@@ -86,19 +91,17 @@ def explode_edges(df: DataFrame, keys: Sequence[str], nodes: str, edges: str) ->
     known = F.concat(
         F.transform(F.col(nodes), lambda n: n["no"]), F.array(F.lit(START), F.lit(END))
     )
-    return (
-        df.select(*keys, known.alias("_known"), F.posexplode(edges).alias("pos", "e"))
-        .select(
-            *keys,
-            (F.col("pos") + 1).alias("pos"),
-            F.col("e.src").alias("src"),
-            F.col("e.dst").alias("dst"),
-            (F.col("e.src") == F.col("e.dst")).alias("is_self_loop"),
-            (
-                F.array_contains("_known", F.col("e.src"))
-                & F.array_contains("_known", F.col("e.dst"))
-            ).alias("ends_known"),
-        )
+    rows = df.select(*keys, known.alias("_known"), F.posexplode_outer(edges).alias("pos", "e"))
+    return rows.filter(F.col("pos").isNotNull()).select(
+        *keys,
+        (F.col("pos") + 1).alias("pos"),
+        F.col("e.src").alias("src"),
+        F.col("e.dst").alias("dst"),
+        (F.col("e.src") == F.col("e.dst")).alias("is_self_loop"),
+        (
+            F.array_contains("_known", F.col("e.src"))
+            & F.array_contains("_known", F.col("e.dst"))
+        ).alias("ends_known"),
     )
 
 
@@ -147,7 +150,7 @@ def match_by_label(
 
 def explode_matches(df: DataFrame, keys: Sequence[str], matched: str = "matched") -> DataFrame:
     return (
-        df.select(*keys, F.posexplode(matched).alias("pos", "gold_pos"))
+        df.select(*keys, F.posexplode_outer(matched).alias("pos", "gold_pos"))
         .filter(F.col("gold_pos") > 0)
         .select(*keys, (F.col("pos") + 1).alias("pred_pos"), "gold_pos")
     )

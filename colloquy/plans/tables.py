@@ -231,32 +231,21 @@ def workflow_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     skip = o % 3 == 0
     way = o % 10
     edges = _edges(n, skip)
+    pred_labels = (
+        F.when(way == 2, F.concat(F.slice(labels, 2, n), F.slice(labels, 1, 1)))
+        .when(way == 3, F.slice(labels, 1, n - 1))
+        .when(way == 5, F.concat(F.array(F.lit("replaced step")), F.slice(labels, 2, n)))
+        .when(way == 6, F.reverse(labels))
+        .when(way == 7, F.concat(labels, F.slice(labels, n, 1)))
+        .otherwise(labels)
+    )
+    n_pred = n + F.when(way == 3, -1).when(way == 7, 1).otherwise(0)
+    gone = F.when(way == 4, "(1,2)").otherwise("none")
+    pred_edges = F.array_remove(_edges(n_pred, skip), gone)
     pred = (
         F.when(way == 0, "")
         .when(way == 1, "sorry, I cannot help with that.")
-        .when(
-            way == 2,
-            _workflow_text(
-                F.concat(F.slice(labels, 2, n), F.slice(labels, 1, 1)), edges
-            ),
-        )
-        .when(
-            way == 3,
-            _workflow_text(F.slice(labels, 1, n - 1), _edges(n - 1, skip)),
-        )
-        .when(way == 4, _workflow_text(labels, F.array_remove(edges, "(1,2)")))
-        .when(
-            way == 5,
-            _workflow_text(
-                F.concat(F.array(F.lit("replaced step")), F.slice(labels, 2, n)), edges
-            ),
-        )
-        .when(way == 6, _workflow_text(F.reverse(labels), edges))
-        .when(
-            way == 7,
-            _workflow_text(F.concat(labels, F.slice(labels, n, 1)), _edges(n + 1, skip)),
-        )
-        .otherwise(_workflow_text(labels, edges))
+        .otherwise(_workflow_text(pred_labels, pred_edges))
     )
     model = one_of(MODELS, o)
     scenario = one_of(SCENARIO_IDS, F.expr("o div 3"))
