@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from colloquy.operators import scoring, workflows
 
+Match = Callable[[DataFrame], DataFrame]
+
 EVAL_TYPES = ("node", "graph")
 RUN_KEYS = ("model", "scenario", "task")
 
@@ -81,37 +83,33 @@ def pair_gold_pred(
     )
 
 
-def prepare(pairs: DataFrame) -> DataFrame:
-    """Parsed, aligned and classified pairs, ready for a score."""
+def prepare(pairs: DataFrame, match: Match = workflows.match_by_label) -> DataFrame:
+    """Parsed, aligned and classified pairs, ready for a score. ``match`` adds the
+    ``matched`` column: by label, or a ``match_by_similarity`` with its encoder."""
     parsed = workflows.with_graph(
         workflows.with_graph(pairs, "gold_workflow", "gold"), "pred_workflow", "pred"
     )
-    return scoring.with_status(workflows.match_by_label(parsed))
-
-
-def score(prepared: DataFrame, eval_type: str) -> DataFrame:
-    if eval_type == "node":
-        scored = scoring.chain_score(prepared)
-    elif eval_type == "graph":
-        scored = scoring.graph_score(prepared)
-    else:
-        raise ValueError(f"unknown eval_type {eval_type!r}")
-    return scored.withColumn("eval_type", F.lit(eval_type))
+    return scoring.with_status(match(parsed))
 
 
 def evaluate(
-    pairs: DataFrame, keys: Sequence[str], eval_types: Sequence[str] = EVAL_TYPES
+    pairs: DataFrame,
+    keys: Sequence[str],
+    eval_types: Sequence[str] = EVAL_TYPES,
+    *,
+    match: Match = workflows.match_by_label,
+    order: str = "listed",
 ) -> DataFrame:
-    """Scores of every pair, one row per eval type; both come from one pass."""
-    prepared = prepare(pairs)
+    """Scores of every pair, one row per eval type; all come from one pass.
+    ``node`` is the chain score in the given ``order``, ``graph`` the graph score."""
     for t in eval_types:
         if t not in EVAL_TYPES:
             raise ValueError(f"unknown eval_type {t!r}")
     cols = ["status", "precision", "recall", "f1_score"]
-    out = prepared
+    out = prepare(pairs, match)
     for t in eval_types:
-        out = score(out, t).drop("eval_type")
-        out = out.withColumn(f"_{t}", F.struct(*cols)).drop(*cols[1:]).withColumn(
+        scored = scoring.chain_score(out, order) if t == "node" else scoring.graph_score(out)
+        out = scored.withColumn(f"_{t}", F.struct(*cols)).drop(*cols[1:]).withColumn(
             "status",
             F.when(F.col("status") == "runtime", "evaluated").otherwise(F.col("status")),
         )

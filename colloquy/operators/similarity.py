@@ -25,6 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from colloquy.session import materialize
 
@@ -33,6 +34,7 @@ EPSILON = 1e-9
 BROADCAST_BYTES = 64 << 20
 BLOCK_ROWS = 8_192
 PIVOTS = 256
+_PROBE_ROWS = 4_096
 _SLICE_CELLS = 1 << 22  # scores held at once inside a task
 _SCORE_SLACK = 1e-9  # above the rounding of a matrix product
 _BOUND_SLACK = 1e-6  # above the rounding of arc cosines
@@ -185,13 +187,21 @@ def topk_cosine(
 
 
 def _small_table(df: DataFrame, vector: str, max_bytes: int) -> pa.Table | None:
-    """``df`` on the driver if its vectors take at most ``max_bytes``."""
-    head = df.select(F.size(vector).alias("d")).first()
-    if head is None:
-        return df.limit(0).toArrow()
-    rows = max(1, max_bytes // (8 * max(1, head["d"])))
-    table = df.limit(rows + 1).toArrow()
-    return table if table.num_rows <= rows else None
+    """``df`` on the driver if its vectors take at most ``max_bytes``.
+
+    The first rows are taken from as few partitions as hold them, which settles
+    small tables in one job; a larger one is counted before it is fetched.
+    """
+    head = df.take(_PROBE_ROWS + 1)
+    dim = max((len(r[vector]) for r in head), default=1)
+    most = max_bytes // (8 * max(1, dim))
+    if len(head) <= _PROBE_ROWS:
+        if len(head) > most:
+            return None
+        schema = to_arrow_schema(df.schema)
+        columns = [pa.array([r[f.name] for r in head], f.type) for f in schema]
+        return pa.Table.from_arrays(columns, schema=schema)
+    return df.toArrow() if df.count() <= most else None
 
 
 def _result_schema(q: DataFrame, c: DataFrame) -> T.StructType:

@@ -530,6 +530,26 @@ def node_match(spark, sf_dir):
     )
 
 
+def _load_label_encoder():
+    """The hashing encoder for lists of labels."""
+    import pyarrow as pa
+
+    def encode(labels: list[str]):
+        return embedding.unit_counts(pa.array(labels)).to_pylist()
+
+    return encode
+
+
+def node_match_similarity(spark, sf_dir):
+    def match(df: DataFrame) -> DataFrame:
+        return scoring.match_by_similarity(df, _load_label_encoder, threshold=0.6)
+
+    prepared = evaluation.prepare(G.workflow_pairs(spark, sf_dir), match)
+    return workflows.explode_matches(prepared, WF).select(
+        *WF, long("pred_pos"), long("gold_pos")
+    )
+
+
 def _score_columns(df: DataFrame) -> DataFrame:
     return df.select(*WF, "status", r6("precision"), r6("recall"), r6("f1_score"))
 
@@ -640,7 +660,7 @@ QUERIES: dict[str, Query] = {
         plain_text, token_estimate, budget_fit, budget_messages, budget_outcomes,
         budget_stats, sft_dataset, masked_examples, mask_report, pad_examples,
         predict_nn_copy, predict_fail_isolated, skip_counts,
-        workflow_nodes, workflow_edges, node_match, chain_score,
+        workflow_nodes, workflow_edges, node_match, node_match_similarity, chain_score,
         chain_score_any_order, edge_overlap, graph_score, eval_status,
         eval_aggregate, validate_inputs, pair_gold_pred, scenario_name,
         eval_matrix, eval_matrix_pivot,

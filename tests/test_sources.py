@@ -135,3 +135,16 @@ def test_matrix_has_pending_cells(spark):
     assert {r["status"] for r in matrix.collect()} == {"pending", "done"}
     wide = {r["model"]: r for r in scenarios.pivot_matrix(matrix).collect()}
     assert wide["a"]["rag"] == 0.5 and wide["a"]["i0"] is None
+
+
+def test_eval_results_and_file_fingerprints(spark, tmp_path):
+    import hashlib
+
+    rows = [("a", "rag", "t", "node", 0.5), ("a", "i0", "t", "node", 0.25)]
+    df = spark.createDataFrame(rows, "model string, scenario string, task string, eval_type string, f1_score double")
+    S.append_results(df, str(tmp_path / "r"))
+    S.append_results(df, str(tmp_path / "r"))
+    assert spark.read.parquet(str(tmp_path / "r")).count() == 4
+    put(tmp_path / "f" / "train.json", "x" * 3_000_000)
+    got = S.file_fingerprints(spark, str(tmp_path / "f")).first()["sha256"]
+    assert got == hashlib.sha256(b"x" * 3_000_000).hexdigest()

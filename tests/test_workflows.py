@@ -124,6 +124,19 @@ def test_unknown_types_fail_up_front(spark):
         S.chain_score(E.prepare(df), "some")
 
 
+def test_evaluate_takes_a_matcher(spark):
+    def load():
+        return lambda labels: np.eye(3)[[("a", "b", "c").index(x) for x in labels]]
+
+    def match(df):
+        return S.match_by_similarity(df, load, threshold=0.9)
+
+    texts = (CHAIN, CHAIN), (CHAIN, "Node:\n1: b\n2: a\nEdge: (1,2)")
+    got = E.evaluate(pairs(spark, *texts), ["idx"], match=match, order="any").collect()
+    want = E.evaluate(pairs(spark, *texts), ["idx"], order="any").collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and len(got) == 4
+
+
 def test_min_cover_and_budget():
     rng = random.Random(1)
     for _ in range(200):
