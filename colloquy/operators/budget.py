@@ -17,7 +17,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from colloquy.functions import text as X
-from colloquy.operators.conversations import hand_down, normalize_roles, with_running
+from colloquy.operators.conversations import (
+    block_of,
+    hand_down,
+    normalize_roles,
+    with_running,
+)
 
 DEFAULT_MAX_TOKENS = 2048
 CHARS_PER_TOKEN = 4
@@ -33,10 +38,9 @@ def _measured(turns: DataFrame, keys: Sequence[str]) -> DataFrame:
         keys,
         "_chars",
     )
-    has_system = F.col("first_role") == X.SYSTEM_ROLE
     return (
-        run.withColumn("_sys", F.when(has_system, 1).otherwise(0))
-        .withColumn("_sys_chars", F.when(has_system, F.col("first_measure")).otherwise(0))
+        run.withColumn("_sys", F.when(F.col("has_system"), 1).otherwise(0))
+        .withColumn("_sys_chars", F.when(F.col("has_system"), F.col("first_measure")).otherwise(0))
         .withColumn("_body", F.col("n_turns") - F.col("_sys"))
         .withColumn("_pos", F.col("rank") - F.col("_sys") + 1)
         .withColumn("pair", F.when((F.col("_pos") > 0) & (F.col("_pos") % 2 == 0), F.floor(F.col("_pos") / 2)))
@@ -54,8 +58,8 @@ def fit_budget(
     *,
     items: DataFrame | None = None,
 ) -> DataFrame:
-    """One row per conversation: ``tag``, ``n_dropped`` demo pairs and the
-    estimated tokens before and after. ``items`` (keys of all items) adds those
+    """One row per conversation: ``tag``, ``n_dropped`` demo pairs, the estimated
+    tokens before and after, and ``cut_turn``, the last turn dropped. ``items`` (keys of all items) adds those
     without a turn, which count as ``full``."""
     m = _measured(turns, keys)
     is_demo_end = (
@@ -71,6 +75,10 @@ def fit_budget(
         F.max("total").alias("_total"),
         F.min(fit_pair).alias("_k"),
         F.min_by("left", fit_pair).alias("_left"),
+        F.max("has_system").alias("has_system"),
+        F.min("turn").alias("first_turn"),
+        F.max("turn").alias("last_turn"),
+        F.min_by("turn", fit_pair).alias("_cut"),
     )
     before = X.estimate_tokens(F.col("_total") - 1)
     full = before <= max_tokens
@@ -90,6 +98,10 @@ def fit_budget(
         F.when(full, before)
         .when(~malformed & F.col("_k").isNotNull(), X.estimate_tokens(F.col("_left")))
         .alias("tokens_after"),
+        "has_system",
+        "first_turn",
+        "last_turn",
+        F.when(~full & ~malformed, F.col("_cut")).alias("cut_turn"),
     )
     if items is None:
         return out
@@ -100,6 +112,10 @@ def fit_budget(
         F.coalesce("n_dropped", F.lit(0)).alias("n_dropped"),
         F.coalesce("tokens_before", F.lit(1)).alias("tokens_before"),
         F.when(F.col("tag").isNull(), F.lit(1)).otherwise(F.col("tokens_after")).alias("tokens_after"),
+        "has_system",
+        "first_turn",
+        "last_turn",
+        "cut_turn",
     )
 
 
@@ -108,18 +124,27 @@ def is_kept(tag: Column) -> Column:
 
 
 def kept_turns(turns: DataFrame, keys: Sequence[str], fitted: DataFrame) -> DataFrame:
-    """The turns each fitted conversation keeps, at their new positions."""
-    kept = fitted.filter(is_kept(F.col("tag"))).select(*keys, "tag", "n_dropped")
-    sized = normalize_roles(turns).withColumn("_one", F.lit(1))
-    run = hand_down(with_running(sized, keys, "_one"), kept, keys)
-    first_is_system = F.col("first_role") == X.SYSTEM_ROLE
-    sys = F.when(first_is_system, 1).otherwise(0)
-    gone = F.col("n_dropped") * 2
-    is_system_turn = first_is_system & (F.col("rank") == 0)
-    return run.filter(is_system_turn | (F.col("rank") >= sys + gone)).select(
+    """The turns each fitted conversation keeps, at their new positions.
+
+    The fit says from which turn on a conversation is kept, so only the blocks
+    of turns from there, and the one of the system turn, are looked at.
+    """
+    kept = fitted.filter(is_kept(F.col("tag"))).select(
+        *keys, "tag", "n_dropped", "has_system", "first_turn", "last_turn", "cut_turn"
+    )
+    start = F.coalesce(F.col("cut_turn"), F.col("first_turn"))
+    blocks = F.array_union(
+        F.array(block_of(F.col("first_turn"))),
+        F.sequence(block_of(start), block_of(F.col("last_turn"))),
+    )
+    own = hand_down(normalize_roles(turns), kept.filter("last_turn IS NOT NULL"), keys, blocks)
+    place = F.col("turn") - F.col("first_turn")
+    is_system_turn = F.col("has_system") & (place == 0)
+    after_cut = F.col("cut_turn").isNull() | (F.col("turn") > F.col("cut_turn"))
+    return own.filter(is_system_turn | after_cut).select(
         *keys,
         "tag",
-        F.when(is_system_turn, F.lit(0).cast("long")).otherwise(F.col("rank") - gone).alias("turn"),
+        F.when(is_system_turn, place).otherwise(place - F.col("n_dropped") * 2).alias("turn"),
         "role",
         "content",
     )

@@ -1,5 +1,7 @@
 """Conversations as a long table of turns: keys, ``turn``, ``role``, ``content``.
 
+``turn`` is the position in the conversation, from 0.
+
 Keeping one row per turn means that no step has to hold a whole conversation:
 what a conversation-level step needs is aggregated (with map-side partials) and
 handed back to the turns through blocks of bounded size, so one conversation
@@ -35,7 +37,7 @@ def select_field(turns: DataFrame, keys: Sequence[str], *, prefer: str) -> DataF
     """Turns tagged with the ``field`` they stood in: those of ``prefer`` where an
     item has any, else those of its other field."""
     seen = turns.groupBy(*keys).agg(
-        F.max(F.col("field") == prefer).alias("_has_preferred")
+        F.max(F.col("field") == prefer).alias("_has_preferred"), *turn_span()
     )
     tagged = hand_down(turns, seen, keys)
     return tagged.filter((F.col("field") == prefer) == F.col("_has_preferred")).drop(
@@ -71,49 +73,49 @@ def limit_per_task(gold: DataFrame, limit: int | None) -> DataFrame:
     return gold.filter(F.col("idx") < limit) if limit else gold
 
 
-def _blocked(turns: DataFrame, block_turns: int) -> DataFrame:
-    return turns.withColumn(_BLOCK, F.floor(F.col("turn") / block_turns))
+def block_of(turn: Column) -> Column:
+    return F.floor(turn / BLOCK_TURNS)
+
+
+def turn_span() -> list[Column]:
+    """Aggregates that give ``hand_down`` the turns of a conversation."""
+    return [F.min("turn").alias("_lo"), F.max("turn").alias("_hi")]
 
 
 def hand_down(
-    turns: DataFrame,
-    info: DataFrame,
-    keys: Sequence[str],
-    *,
-    how: str = "inner",
-    block_turns: int = BLOCK_TURNS,
+    turns: DataFrame, info: DataFrame, keys: Sequence[str], blocks: Column | None = None
 ) -> DataFrame:
-    """Attach one row of ``info`` per conversation to all its turns.
+    """Attach one row of ``info`` per conversation to its turns.
 
-    The join runs on (keys, block), so the turns of one conversation do not
-    have to meet in one task.
+    ``info`` is repeated once per block of turns, all between its ``turn_span()``
+    or those in ``blocks``, and joined on (keys, block): the turns of one
+    conversation do not have to meet in one task.
     """
-    blocked = _blocked(turns, block_turns)
-    blocks = blocked.select(*keys, _BLOCK).distinct()
-    return blocked.join(
-        blocks.join(info, list(keys), how), [*keys, _BLOCK]
-    ).drop(_BLOCK)
-
-
-def with_running(
-    turns: DataFrame,
-    keys: Sequence[str],
-    measure: str,
-    *,
-    block_turns: int = BLOCK_TURNS,
-) -> DataFrame:
+    span = F.sequence(block_of(F.col("_lo")), block_of(F.col("_hi")))
+    spread = info.withColumn(_BLOCK, F.explode(span if blocks is None else blocks))
+    return (
+        turns.withColumn(_BLOCK, block_of(F.col("turn")))
+        .join(spread, [*keys, _BLOCK])
+        .drop(_BLOCK, "_lo", "_hi")
+    )
+
+
+def with_running(turns: DataFrame, keys: Sequence[str], measure: str) -> DataFrame:
     """Add to each turn its 0-based ``rank`` in the conversation and the sum of
     ``measure`` over the turns before it (``before``), with the conversation's
-    ``n_turns``, ``total``, first role and first measure.
+    ``n_turns``, ``total``, and whether its first turn is a system turn
+    (``has_system``) of which measure (``first_measure``).
 
     Two levels: sums per block first, then offsets over the blocks, then a
     window inside each block.
     """
-    blocked = _blocked(turns, block_turns)
+    blocked = turns.withColumn(_BLOCK, block_of(F.col("turn")))
+    # Fixed-width values only, so that these are hash aggregates.
     sums = blocked.groupBy(*keys, _BLOCK).agg(
         F.count("*").alias("_n"),
         F.sum(measure).alias("_sum"),
-        F.min_by(F.struct("role", F.col(measure).alias("m")), "turn").alias("_first"),
+        F.min_by(F.coalesce(F.col("role") == X.SYSTEM_ROLE, F.lit(False)), "turn").alias("_sys"),
+        F.min_by(measure, "turn").alias("_first"),
     )
     over_keys = Window.partitionBy(*keys).orderBy(_BLOCK)
     earlier = over_keys.rowsBetween(Window.unboundedPreceding, -1)
@@ -125,7 +127,8 @@ def with_running(
         F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_before0"),
         F.sum("_n").over(whole).alias("n_turns"),
         F.sum("_sum").over(whole).alias("total"),
-        F.first("_first").over(whole).alias("_first"),
+        F.first("_sys").over(whole).alias("has_system"),
+        F.first("_first").over(whole).alias("first_measure"),
     )
     inside = (
         Window.partitionBy(*keys, _BLOCK)
@@ -139,9 +142,7 @@ def with_running(
             "before",
             F.col("_before0") + F.coalesce(F.sum(measure).over(inside), F.lit(0)),
         )
-        .withColumn("first_role", F.col("_first.role"))
-        .withColumn("first_measure", F.col("_first.m"))
-        .drop(_BLOCK, "_rank0", "_before0", "_first")
+        .drop(_BLOCK, "_rank0", "_before0")
     )
 
 

@@ -27,20 +27,22 @@ def validate_inputs(
     its task, found by count: a prediction without a gold partner is ``extra``.
     """
     n_gold = gold.groupBy("task").agg(F.count("*").alias("n_gold"))
-    marked = pred.join(
+    # The texts themselves stay out of the join.
+    checked = pred.select(*run_keys, *keys, F.col("workflow").isNull().alias("_no_text"))
+    marked = checked.join(
         gold.select("task", *keys).withColumn("_has_gold", F.lit(1)),
         ["task", *keys],
         "left",
     )
     runs = marked.groupBy(*run_keys).agg(
         F.count("*").alias("n_pred"),
-        F.count_if(F.col("workflow").isNull()).alias("null_workflow"),
+        F.count_if("_no_text").alias("null_workflow"),
         F.count_if(F.col("_has_gold").isNull()).alias("extra_pred"),
     )
-    checked = runs.join(n_gold, "task", "left").withColumn(
+    counted = runs.join(n_gold, "task", "left").withColumn(
         "n_gold", F.coalesce("n_gold", F.lit(0))
     )
-    return checked.select(
+    return counted.select(
         *run_keys,
         "n_gold",
         "n_pred",

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from colloquy.functions import text as X
-from colloquy.operators.conversations import hand_down
+from colloquy.operators.conversations import hand_down, turn_span
 
 
 def few_shot_blocks(
@@ -75,7 +75,7 @@ def inject_block(
     """All turns of each conversation with one more system turn in front of the
     first user turn; a conversation without a user turn stays as it is."""
     at = F.min(F.when(X.is_user(F.col("role")), F.col("turn")))
-    first_user = turns.groupBy(*keys).agg(at.alias("_at"))
+    first_user = turns.groupBy(*keys).agg(at.alias("_at"), *turn_span())
     moved = hand_down(turns, first_user, keys).select(
         *keys,
         F.when(F.col("turn") >= F.col("_at"), F.col("turn") + 1)

@@ -23,7 +23,7 @@ from colloquy.operators import (
     workflows,
 )
 from colloquy.plans import tables as G
-from colloquy.session import scratch_dir
+from colloquy.session import materialize, scratch_dir
 from colloquy.sources import json_items, tables as S
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -422,7 +422,10 @@ def budget_stats(spark, sf_dir):
 
 
 def sft_dataset(spark, sf_dir):
-    turns = C.select_field(G.field_turns(spark, sf_dir), CONV, prefer="messages")
+    # The set is used three times below: written once, then read.
+    turns = materialize(
+        C.select_field(G.field_turns(spark, sf_dir), CONV, prefer="messages"), "turns"
+    )
     return budget.sft_dataset(turns, CONV, BUDGET).select(
         "conv_id",
         "tag",
@@ -591,7 +594,7 @@ def eval_aggregate(spark, sf_dir):
 
 def _gold_and_pred(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     """Predictions with some null texts and some positions gold does not have."""
-    pairs = G.workflow_pairs(spark, sf_dir)
+    pairs = materialize(G.workflow_pairs(spark, sf_dir), "pairs")
     gold = pairs.select("task", "idx", F.col("gold_workflow").alias("workflow"))
     order = F.expr("idx div 1048576")
     pred = pairs.select(

@@ -110,9 +110,7 @@ def random_conversations(n, seed=7):
 
 @pytest.mark.parametrize("block", [2, C.BLOCK_TURNS])
 def test_budget_fit_equals_the_rule(spark, monkeypatch, block):
-    monkeypatch.setattr(C.with_running, "__kwdefaults__", {"block_turns": block})
-    monkeypatch.setattr(
-        C.hand_down, "__kwdefaults__", {"how": "inner", "block_turns": block})
+    monkeypatch.setattr(C, "BLOCK_TURNS", block)
     conversations = random_conversations(150)
     turns = table(spark, *conversations)
     fitted = budget.fit_budget(turns, ["conv_id"], 90)
