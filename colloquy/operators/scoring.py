@@ -241,9 +241,17 @@ def match_by_similarity(
     def align(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         encode = load_encoder()
         for pred_labels, gold_labels in batches:
+            # Each different label of the batch is encoded once.
+            known = list(dict.fromkeys(x for s in (pred_labels, gold_labels) for row in s for x in row))
+            unit = graphs.unit_vectors(encode, known)
+            place = {x: i for i, x in enumerate(known)}
             yield pd.Series(
                 [
-                    graphs.align(encode, list(p), list(g), threshold)
+                    graphs.align(
+                        unit[[place[x] for x in p]] @ unit[[place[x] for x in g]].T, threshold
+                    )
+                    if len(p) and len(g)
+                    else [0] * len(p)
                     for p, g in zip(pred_labels, gold_labels)
                 ]
             )
