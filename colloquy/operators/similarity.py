@@ -1,6 +1,7 @@
 """Exact top-k cosine join of a query table with a corpus table.
 
-``score = dot / (|m| * |q| + 1e-9)`` in double precision, best first, equal
+``score = dot / (|m| * |q| + 1e-9)`` in double precision, rounded to 12 digits so
+that the last bits of a sum do not order scores that are equal; best first, equal
 scores by record id. Every physical form gives the same rows:
 
 * ``broadcast_corpus``: a corpus under the size bound goes to every task; the
@@ -31,6 +32,7 @@ from colloquy.session import materialize
 
 DEFAULT_TOP_K = 2
 EPSILON = 1e-9
+SCORE_DIGITS = 12
 BROADCAST_BYTES = 64 << 20
 BLOCK_ROWS = 8_192
 PIVOTS = 256
@@ -96,7 +98,7 @@ def best_in_block(q, q_norm, m, m_norm, m_order, k, banned=None):
         dot = np.zeros(len(qi))
         for j in range(m.shape[1]):
             dot += q[qi, j] * m[mi, j]
-        score = dot / (m_norm[mi] * q_norm[qi] + EPSILON)
+        score = np.round(dot / (m_norm[mi] * q_norm[qi] + EPSILON), SCORE_DIGITS)
         order = np.lexsort((m_order[mi], -score, qi))
         qi, mi, score = qi[order], mi[order], score[order]
         first = np.searchsorted(qi, qi, side="left")

@@ -67,17 +67,18 @@ _HITS = (
 src AS (SELECT 'q' || conv_id AS key, "user" AS text FROM parts
         UNION ALL SELECT 'r' || id, text FROM corpus),
 {_EMBED},
-vec AS (SELECT key, dim, n / norm AS x FROM counts JOIN norms USING (key)),
-dots AS (
-  SELECT q.key AS qk, r.key AS rk, sum(q.x * r.x) AS dot
-  FROM vec q JOIN vec r ON q.dim = r.dim AND q.key[1] = 'q' AND r.key[1] = 'r'
-  GROUP BY ALL),
+vec AS (
+  SELECT k.key, list(coalesce(c.n / m.norm, 0.0) ORDER BY d.dim) AS v
+  FROM src k CROSS JOIN range(64) d(dim)
+  LEFT JOIN counts c ON c.key = k.key AND c.dim = d.dim
+  LEFT JOIN norms m ON m.key = k.key GROUP BY k.key),
+sized AS (SELECT *, sqrt(list_dot_product(v, v)) AS norm FROM vec),
 pairs AS (
   SELECT h.conv_id, c.id AS record_id,
-    coalesce(round(d.dot / (1 + 1e-9), 9), 0) AS score
+    round(list_dot_product(q.v, r.v) / (r.norm * q.norm + 1e-9), 12) AS score
   FROM headers h JOIN corpus c
     ON c.id <> coalesce(h.source, 'unknown') || '::' || coalesce(h.id, CAST(h.conv_id AS VARCHAR))
-  LEFT JOIN dots d ON d.qk = 'q' || h.conv_id AND d.rk = 'r' || c.id),
+  JOIN sized q ON q.key = 'q' || h.conv_id JOIN sized r ON r.key = 'r' || c.id),
 hits AS (
   SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY score DESC, record_id) AS rank
   FROM pairs QUALIFY rank <= 2)"""
@@ -441,7 +442,7 @@ def _topk(exclude: str = "TRUE") -> str:
 n AS (SELECT *, sqrt(list_dot_product(v, v)) AS norm FROM e),
 s AS (
   SELECT q.vec_id, m.vec_id AS record_id,
-    list_dot_product(q.v, m.v) / (m.norm * q.norm + 1e-9) AS score
+    round(list_dot_product(q.v, m.v) / (m.norm * q.norm + 1e-9), 12) AS score
   FROM n q, n m WHERE {exclude}),
 r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, record_id) AS rank FROM s)
 SELECT vec_id, rank, record_id, round(score, 6) AS score FROM r WHERE rank <= 5"""
