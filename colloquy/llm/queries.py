@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from colloquy.llm import licenses, multi_index, packing, quality_cascade, rank_queue_bpe, token_counts, url_templates
+from colloquy.llm import (
+    jaccard_join, licenses, multi_index, packing, quality_cascade, rank_queue_bpe, token_counts, url_templates,
+)
 
 QUERIES = {
     "op1_quality_rules": quality_cascade.op1_quality_rules,
     "op2_embedding_near_dedup": multi_index.op2_embedding_near_dedup,
+    "op4_ngram_jaccard": jaccard_join.op4_ngram_jaccard,
     "op5_license_scan": licenses.op5_license_scan,
     "op6_best_fit_packing": packing.op6_best_fit_packing,
     "op7_byte_bpe": rank_queue_bpe.op7_byte_bpe,
@@ -17,4 +20,5 @@ QUERIES = {
 ORACLES = {
     "op1_quality_rules": quality_cascade.ORACLE,
     "op2_embedding_near_dedup": multi_index.ORACLE,
+    "op4_ngram_jaccard": jaccard_join.ORACLE,
 }
