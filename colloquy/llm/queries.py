@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from colloquy.llm import (
-    jaccard_join, licenses, multi_index, packing, quality_cascade, rank_queue_bpe, token_counts, url_templates,
+    jaccard_join, licenses, multi_index, packing, quality_cascade, rank_queue_bpe, suffix_dedup, token_counts,
+    url_templates,
 )
 
 QUERIES = {
@@ -15,6 +16,7 @@ QUERIES = {
     "op7_byte_bpe": rank_queue_bpe.op7_byte_bpe,
     "op8_token_counts": token_counts.op8_token_counts,
     "op9_url_filters": url_templates.op9_url_filters,
+    "op10_suffix_dedup": suffix_dedup.op10_suffix_dedup,
 }
 
 ORACLES = {
