@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from colloquy.llm import (
     jaccard_join, licenses, multi_index, packing, quality_cascade, rank_queue_bpe, suffix_dedup, token_counts,
-    url_templates,
+    toxicity, url_templates,
 )
 
 QUERIES = {
     "op1_quality_rules": quality_cascade.op1_quality_rules,
     "op2_embedding_near_dedup": multi_index.op2_embedding_near_dedup,
+    "op3_toxicity": toxicity.op3_toxicity,
     "op4_ngram_jaccard": jaccard_join.op4_ngram_jaccard,
     "op5_license_scan": licenses.op5_license_scan,
     "op6_best_fit_packing": packing.op6_best_fit_packing,

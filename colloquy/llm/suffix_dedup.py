@@ -343,10 +343,12 @@ def spans(ranges: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def dedup_passages(df: DataFrame, id_column: str = "doc_id", text_column: str = "text",
-                   length: int = LENGTH, part_runs: int = PART_RUNS, with_text: bool = False) -> DataFrame:
-    """Per row: id, n_bytes, n_removed, n_spans, kept_sha256; the kept bytes if asked for."""
-    given = df.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text"))
-    ranges = covered_ranges(given, length, part_runs)
+                   length: int = LENGTH, part_runs: int = PART_RUNS, with_text: bool = False,
+                   carry: tuple[str, ...] = ()) -> DataFrame:
+    """Per row: id, n_bytes, n_removed, n_spans, kept_sha256; the kept text if asked for
+    (without what is left of characters that were cut), and the columns of ``carry``."""
+    given = df.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text"), *carry)
+    ranges = covered_ranges(given.select("id", "text"), length, part_runs)
     per_text = materialize(
         ranges.groupBy("doc").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges")), "ranges"
     ).withColumnRenamed("doc", "id")
@@ -366,12 +368,13 @@ def dedup_passages(df: DataFrame, id_column: str = "doc_id", text_column: str =
             out["kept"].append(kept)
         kept = out.pop("kept")
         out |= {id_column: batch.column("id"), "kept_sha256": [hashlib.sha256(x).hexdigest() for x in kept]}
-        return out | ({"kept": kept} if with_text else {})
+        out |= {c: batch.column(c) for c in carry}
+        return out | ({"kept": [x.decode("utf-8", "ignore") for x in kept]} if with_text else {})
 
     return texts.map_slices(
         given.join(per_text, "id", "left"), "text", make,
         f"`{id_column}` bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
-        + ", kept binary" * with_text,
+        + "".join(f", `{c}` {df.schema[c].dataType.simpleString()}" for c in carry) + ", kept string" * with_text,
     )
 
 
