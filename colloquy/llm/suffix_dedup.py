@@ -40,8 +40,8 @@ GRAM = 32
 #: Runs a block holds, about.
 BLOCK_RUNS = 500_000
 #: Open runs of one anchor that are sorted together, at most.
-PART_RUNS = 6_000
-#: Bytes whose suffixes are sorted at a time, about; keys of three names fit 63 bits.
+PART_RUNS = 20_000
+#: Bytes whose suffixes are sorted at a time, about (and the largest part).
 SORT_BYTES = 1_000_000
 #: Starts of a text that are cut into runs at a time.
 PIECE = 1 << 22
@@ -191,7 +191,9 @@ def suffix_array(s: np.ndarray) -> np.ndarray:
     ones = np.arange(1, n + (n % 3 == 1), 3)
     twos = np.arange(2, n, 3)
     places = np.concatenate([ones, twos])
-    keys = (t[places] * base + t[places + 1]) * base + np.append(t, 0)[places + 2]
+    # Pairs are named first: keys of two names fit 63 bits at every size.
+    pair = np.unique(t[:-1] * base + t[1:], return_inverse=True)[1]
+    keys = pair[places] * base + np.append(t, 0)[places + 2]
     names = np.unique(keys, return_inverse=True)[1] + 1
     if names.max() == len(names):
         order = np.argsort(names)
@@ -206,7 +208,7 @@ def suffix_array(s: np.ndarray) -> np.ndarray:
     rest = rest[np.argsort(key_one(rest), kind="stable")]
     in_one = sampled[sampled % 3 == 1]
     in_two = sampled[sampled % 3 == 2]
-    key_two = lambda i: (t[i] * base + t[i + 1]) * (n + 3) + rank[i + 2]
+    key_two = lambda i: pair[i] * (n + 3) + rank[i + 2]
     at = (
         np.arange(len(rest)) + np.searchsorted(key_one(in_one), key_one(rest))
         + np.searchsorted(key_two(in_two), key_two(rest))
