@@ -14,8 +14,8 @@ one entry. The product is then taken in two steps:
    discarded before the rest is verified.
 
 A pair left out by step 2 is connected already, so components are exact. Equal sets are
-one row of the matrix. Shingles are 64-bit hashes; a collision can only matter for pairs
-at the very threshold. Columns that are frequent in a bounded sample of sets are dealt by
+one row of the matrix. Shingles are hashes (64 bits for the matrix, 48 where pairs are verified); a collision can
+only matter for pairs at the very threshold. Columns that are frequent in a bounded sample of sets are dealt by
 set instead of by column, so that none is one task's load.
 
 Null texts and texts without words have an empty set and link with nothing; repeated rows
@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 
 from colloquy.llm import texts
 from colloquy.llm.components import components
+from colloquy.llm.texts import bloom_join
 from colloquy.llm.shingles import shingle_set
 from colloquy.session import materialize
 
@@ -158,6 +159,18 @@ def incidence(df: DataFrame, frequent: np.ndarray, blocks: int, n: int, num: int
     return packed.groupBy("block").applyInArrow(shared, "col bigint, cls bigint, size int")
 
 
+def short_members(s: np.ndarray) -> bytes:
+    """The upper 48 bits of sorted hashes; sets of millions still collide in none or few."""
+    return s.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 2:].tobytes()
+
+
+def members_of(data) -> np.ndarray:
+    short = np.frombuffer(data, np.uint8).reshape(-1, 6)
+    whole = np.zeros((len(short), 8), np.uint8)
+    whole[:, 2:] = short
+    return whole.view("<u8").ravel()
+
+
 def compatible(a: str, b: str, num: int, den: int):
     """Whether sets of these sizes can be similar enough."""
     return (F.least(a, b) * den >= F.greatest(a, b) * num)
@@ -174,13 +187,14 @@ def verified(pairs: DataFrame, df: DataFrame, classes: DataFrame, n: int, num: i
     def sets(batch: pa.RecordBatch) -> dict:
         return {
             "cls": batch.column("cls"),
-            "members": [shingle_set(x, n).tobytes() for x in texts.utf8(batch, text_column)],
+            "members": [short_members(shingle_set(x, n)) for x in texts.utf8(batch, text_column)],
         }
 
     whole = df.select(F.col(id_column).cast("long").alias("rep"), text_column).join(
         ids.where("n_shingles > 0"), "rep"
     )
-    found = materialize(texts.map_slices(whole.select("cls", text_column), text_column, sets, "cls bigint, members binary"), "sets")
+    with bloom_join(df.sparkSession):
+        found = materialize(texts.map_slices(whole.select("cls", text_column), text_column, sets, "cls bigint, members binary"), "sets")
     both = (
         pairs.join(found.select(F.col("cls").alias("b"), F.col("members").alias("members_b")), "b")
         .join(found.select(F.col("cls").alias("a"), F.col("members").alias("members_a")), "a")
@@ -190,7 +204,7 @@ def verified(pairs: DataFrame, df: DataFrame, classes: DataFrame, n: int, num: i
         for batch in batches:
             keep = []
             for x, y in zip(batch.column("members_a"), batch.column("members_b")):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                x, y = members_of(x.as_buffer()), members_of(y.as_buffer())
                 if len(x) > len(y):
                     x, y = y, x
                 at = np.minimum(np.searchsorted(y, x), len(y) - 1)

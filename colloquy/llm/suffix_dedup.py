@@ -323,7 +323,8 @@ def covered_ranges(df: DataFrame, length: int = LENGTH, part_runs: int = PART_RU
     segments = df.join(wanted.where(F.size("wanted") > 0), "id").mapInArrow(
         cut, "anchor bigint, part bigint, doc bigint, lo bigint, bytes binary"
     )
-    found = materialize(sort_open(segments, length), "sorted")
+    with texts.bloom_join(df.sparkSession):
+        found = materialize(sort_open(segments, length), "sorted")
     # Groups sorted in parts: one row per string and part is left to compare.
     left = found.where("hi IS NULL")
     least = left.groupBy("string").agg(F.min(F.struct("doc", "lo")).alias("least"))

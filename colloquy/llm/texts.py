@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 #: Text bytes a Python task works on at a time (a longer text is a slice of its own).
 SLICE_BYTES = 2 << 20
@@ -65,5 +65,14 @@ def documents(spark, sf_dir: str, *columns: str) -> DataFrame:
     )
 
 
-def text_bytes(column: str = "text"):
-    return F.coalesce(F.octet_length(column), F.lit(0)).cast("long")
+@contextmanager
+def bloom_join(spark):
+    """Joins in here may filter their larger side by a Bloom filter of the smaller one
+    before it is shuffled, whatever its size; Spark bounds the filter's bits."""
+    name = "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "0")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
