@@ -11,6 +11,7 @@ from __future__ import annotations
 import hashlib
 import os
 import re
+import struct
 from collections.abc import Callable
 
 #: Pieces kept per worker; beyond it the dictionary starts anew.
@@ -18,40 +19,54 @@ KEPT_PIECES = 1 << 20
 #: Longer pieces are encoded each time they come, so that memory stays bounded.
 LONGEST_KEPT = 200
 
-_uncut = re.compile(r"(?:\A|\s) | (?:\s|\Z)")
+# A space beside white space; the pattern starts with a plain space, which is quick to find.
+_uncut = re.compile(r" (?:(?<=\s )|\s)")
 _cut = re.compile(r"(?<=\S)(?= \S)")
 
 
-def pieces(text: str) -> list[str]:
-    """The text in pieces that can be encoded one by one."""
-    if _uncut.search(text):
-        return _cut.split(text)
-    first, *rest = text.split(" ")
-    return [first, *[" " + x for x in rest]] if rest else [first]
+_SIGNS = frozenset(".,;:!?")
+
+
+def word_and_sign(piece: str) -> tuple[str, ...]:
+    """A word with one sign after it in two, else the piece."""
+    if piece[-1:] in _SIGNS and (piece[1:-1] if piece[:1] == " " else piece[:-1]).isalpha():
+        return piece[:-1], piece[-1]
+    return (piece,)
+
+
+class Kept(dict):
+    """Encodings by piece; one that is missing is encoded when it is asked for."""
+
+    def __init__(self, encode: Callable[[str], bytes], before: str):
+        self.encode, self.before = encode, before
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.encode(self.before + piece)
+        if len(piece) <= LONGEST_KEPT:
+            if len(self) >= KEPT_PIECES:
+                self.clear()
+            self[piece] = ids
+        return ids
 
 
 class PieceCache:
-    """``encode`` gets different pieces and returns for each its ids as
-    little-endian unsigned 32-bit bytes."""
+    """``encode`` gives the ids of one piece as little-endian unsigned 32-bit bytes."""
 
-    def __init__(self, encode: Callable[[list[str]], list[bytes]]):
-        self.encode = encode
-        self.kept: dict[str, bytes] = {"": b""}
+    def __init__(self, encode: Callable[[str], bytes]):
+        self.plain = Kept(encode, "")
+        #: Pieces that start with a space, without it.
+        self.spaced = Kept(encode, " ")
 
     def ids(self, texts: list[str]) -> list[bytes]:
-        cut = [pieces(t) for t in texts]
-        kept = self.kept
-        new = list(set().union(*cut).difference(kept))
-        if len(kept) + len(new) > KEPT_PIECES:
-            kept.clear()
-            new = list(set().union(*cut))
-        kept.update(zip(new, self.encode(new)))
-        out = [b"".join([kept[p] for p in c]) for c in cut]
-        for p in new:
-            if len(p) > LONGEST_KEPT:
-                del kept[p]
-        kept[""] = b""
-        return out
+        return [self._ids(t) for t in texts]
+
+    def _ids(self, text: str) -> bytes:
+        if not text:
+            return b""
+        if text[0] == " " or text[-1] == " " or _uncut.search(text):
+            return b"".join(map(self.plain.__getitem__, _cut.split(text)))
+        first, *rest = text.split(" ")
+        return self.plain[first] + b"".join(map(self.spaced.__getitem__, rest))
 
 
 _caches: dict[str, PieceCache] = {}
@@ -61,19 +76,20 @@ def tokenizer_cache(path: str) -> PieceCache:
     """Pieces by a tokenizers file, special strings as its default; one per worker."""
     if path not in _caches:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        import numpy as np
         from tokenizers import Tokenizer
 
         tok = Tokenizer.from_file(path)
         tok.no_truncation()
         tok.no_padding()
 
-        def encode(new: list[str]) -> list[bytes]:
-            return [
-                np.array(e.ids, "<u4").tobytes()
-                for e in tok.encode_batch_fast(new, add_special_tokens=False)
-            ]
+        pack = struct.pack
+
+        def library(piece: str) -> bytes:
+            ids = tok.encode_batch_fast([piece], add_special_tokens=False)[0].ids
+            return pack(f"<{len(ids)}I", *ids)
 
+        words = Kept(library, "")
+        encode = lambda piece: b"".join([words[t] for t in word_and_sign(piece)])
         _caches[path] = PieceCache(encode)
     return _caches[path]
 

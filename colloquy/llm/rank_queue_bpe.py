@@ -1,8 +1,9 @@
 """Operator 7: byte-level BPE by a rank queue over hierarchical bitmaps.
 
 Each pre-token is a linked list of byte positions. Every merge rank that occurs has
-a bucket of the positions whose pair has that rank; bitmaps in three levels of 64-bit
-words tell which buckets hold anything, and find-first-set gives the next rank. A
+a bucket of the positions whose pair has that rank; 64-bit words tell
+which buckets hold anything and a summary which words do, and find-first-set on the two
+levels gives the next rank. A
 merge changes at most two neighbouring pairs; entries of pairs that are gone are
 skipped when they come up. The work for a pre-token of n bytes is O(n) queue steps,
 however long it is.
@@ -15,6 +16,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import struct
 from functools import lru_cache
 
 import numpy as np
@@ -23,95 +25,97 @@ import regex
 from pyspark.sql import DataFrame
 
 from colloquy.llm import texts
-from colloquy.llm.chunks import PieceCache
-
-
-class RankQueue:
-    """Positions by rank; ``pop`` gives those of the lowest rank, left to right."""
-
-    def __init__(self):
-        self.buckets: dict[int, list[int]] = {}
-        self.words: dict[int, int] = {}
-        self.blocks: dict[int, int] = {}
-        self.top = 0
-
-    def push(self, rank: int, at: int) -> None:
-        bucket = self.buckets.get(rank)
-        if bucket is not None:
-            bucket.append(at)
-            return
-        self.buckets[rank] = [at]
-        word, block = rank >> 6, rank >> 12
-        self.words[word] = self.words.get(word, 0) | 1 << (rank & 63)
-        self.blocks[block] = self.blocks.get(block, 0) | 1 << (word & 63)
-        self.top |= 1 << block
-
-    def pop(self) -> tuple[int, list[int]] | None:
-        if not self.top:
-            return None
-        block = (self.top & -self.top).bit_length() - 1
-        bits = self.blocks[block]
-        word = block << 6 | (bits & -bits).bit_length() - 1
-        bits = self.words[word]
-        rank = word << 6 | (bits & -bits).bit_length() - 1
-        if bits := bits & (bits - 1):
-            self.words[word] = bits
-        else:
-            del self.words[word]
-            if bits := self.blocks[block] & ~(1 << (word & 63)):
-                self.blocks[block] = bits
-            else:
-                del self.blocks[block]
-                self.top &= ~(1 << block)
-        return rank, self.buckets.pop(rank)
+from colloquy.llm.chunks import Kept, PieceCache
 
+#: Ranks of joined ids kept per worker.
+KEPT_PAIRS = 1 << 18
 
-def encode_pretoken(data: bytes, ranks: dict[bytes, int], pairs: dict[tuple[int, int], int]) -> list[int]:
-    """Ids of one pre-token. ``pairs`` remembers the rank of two joined ids (-1: none)."""
+_BIT = [1 << i for i in range(64)]
+_SIGNS = frozenset(".,;:!?")
+
+
+def encode_pretoken(data: bytes, ranks: dict[bytes, int], single: list[int],
+                    pairs: dict[tuple[int, int], int]) -> list[int]:
+    """Ids of one pre-token. ``single``: id by byte; ``pairs`` remembers the rank of two
+    joined ids (-1: none)."""
     whole = ranks.get(data)
     if whole is not None:
         return [whole]
     n = len(data)
-    ids = [ranks[data[i : i + 1]] for i in range(n)]
-    after = list(range(1, n + 1))
-    before = list(range(-1, n - 1))
-    ends = after.copy()
-    queue = RankQueue()
-
-    def rank_at(i: int, j: int) -> int:
-        key = (ids[i], ids[j])
-        r = pairs.get(key)
-        if r is None:
-            r = ranks.get(data[i : ends[j]], -1)
-            if len(pairs) < 1 << 18:
-                pairs[key] = r
-        return r
-
-    for i in range(n - 1):
-        r = rank_at(i, i + 1)
-        if r >= 0:
-            queue.push(r, i)
-    while (found := queue.pop()) is not None:
-        rank, positions = found
-        positions.sort()
+    ids = [single[b] for b in data]
+    if n < 3:
+        return ids
+    after, before, ends = list(range(1, n + 1)), list(range(-1, n - 1)), list(range(1, n + 1))
+    # Buckets of positions by rank; a bitmap word per 64 ranks; a summary bit per word.
+    buckets: dict[int, list[int]] = {}
+    words: dict[int, int] = {}
+    summary = 0
+    get = pairs.get
+    pair_rank = [get(k) for k in zip(ids, ids[1:])]
+    todo = list(enumerate(pair_rank))
+    pair_rank.append(-1)
+    while True:
+        for i, r in todo:
+            if r is None:
+                j = after[i]
+                r = ranks.get(data[i : ends[j]], -1)
+                if len(pairs) < KEPT_PAIRS:
+                    pairs[ids[i], ids[j]] = r
+            pair_rank[i] = r
+            if r < 0:
+                continue
+            if r in buckets:
+                buckets[r].append(i)
+            else:
+                buckets[r] = [i]
+                word = r >> 6
+                if word in words:
+                    words[word] |= _BIT[r & 63]
+                else:
+                    words[word] = _BIT[r & 63]
+                    summary |= 1 << word
+        if not summary:
+            return [x for x in ids if x >= 0]
+        word = (summary & -summary).bit_length() - 1
+        bits = words[word]
+        rank = word << 6 | (bits & -bits).bit_length() - 1
+        bits &= bits - 1
+        if bits:
+            words[word] = bits
+        else:
+            del words[word]
+            summary ^= 1 << word
+        positions = buckets.pop(rank)
+        if len(positions) > 1:
+            positions.sort()
+        changed = []
         for i in positions:
-            j = after[i] if ids[i] >= 0 else n
             # Stale: merged away, at the end, or another pair by now.
-            if j >= n or rank_at(i, j) != rank:
+            if ids[i] < 0 or pair_rank[i] != rank:
                 continue
+            j = after[i]
             ids[i], ends[i] = rank, ends[j]
-            ids[j] = -1
+            ids[j] = pair_rank[j] = -1
             k = after[i] = after[j]
+            pair_rank[i] = -1
             if k < n:
                 before[k] = i
-                r = rank_at(i, k)
-                if r >= 0:
-                    queue.push(r, i)
-            if (h := before[i]) >= 0:
-                r = rank_at(h, i)
-                if r >= 0:
-                    queue.push(r, h)
-    return [x for x in ids if x >= 0]
+                changed.append(i)
+            h = before[i]
+            if h >= 0:
+                pair_rank[h] = -1
+                changed.append(h)
+        todo = [(i, get((ids[i], ids[after[i]]))) for i in changed]
+
+
+def split_piece(piece: str, split: regex.Pattern) -> list[str]:
+    """The piece's pre-tokens; a word with or without a sign after it needs no search."""
+    word = piece[1:] if piece[:1] == " " else piece
+    if word.isalpha():
+        return [piece]
+    if word[-1:] in _SIGNS and word[:-1].isalpha():
+        return [piece[:-1], piece[-1]]
+    return [m[0] for m in split.finditer(piece)]
 
 
 @lru_cache(maxsize=4)
@@ -119,17 +123,17 @@ def coder(path: str, pattern: str) -> tuple[PieceCache, np.ndarray, np.ndarray]:
     """Per worker: the piece cache, and every id's bytes as (offsets, bytes)."""
     with open(path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in (x.split() for x in f if x.strip())}
-    split = regex.compile(pattern)
+    # White space as tiktoken's \\s has it: U+001C to U+001F are none.
+    split = regex.compile(pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}"))
     pairs: dict[tuple[int, int], int] = {}
+    single = [ranks[bytes([b])] for b in range(256)]
 
-    def encode(new: list[str]) -> list[bytes]:
-        return [
-            np.array(
-                [i for m in split.finditer(p) for i in encode_pretoken(m[0].encode(), ranks, pairs)], "<u4"
-            ).tobytes()
-            for p in new
-        ]
+    def pretoken(t: str) -> bytes:
+        ids = encode_pretoken(t.encode(), ranks, single, pairs)
+        return struct.pack(f"<{len(ids)}I", *ids)
 
+    known = Kept(pretoken, "")
+    encode = lambda piece: b"".join([known[t] for t in split_piece(piece, split)])
     by_id = [b""] * (max(ranks.values()) + 1)
     for token, i in ranks.items():
         by_id[i] = token
