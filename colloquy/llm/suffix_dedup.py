@@ -15,9 +15,10 @@ equals), so equal strings always meet. Consecutive starts with one anchor are a
 
 Very large groups are sorted in parts, and the earliest strings of the parts are then
 compared by their bytes. Work on text is per run or per slice, so a hot passage is at most
-one row per slice of text and anchor. Null texts count as empty; repeated rows of one id
-are ordered by place only and count as one text each; an empty table gives no rows; extra
-columns are ignored.
+one row per slice of text and anchor. Null texts count as empty. Rows that repeat an id
+with the same text are one document; rows without an id, or with one that stands for
+different texts, are kept whole and compared with nothing. An empty table gives no rows;
+extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -345,13 +346,25 @@ def spans(ranges: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     return begin[first], end[np.append(first[1:], len(begin)) - 1]
 
 
+def _compared(given: DataFrame) -> DataFrame:
+    """One row per id that stands for one text."""
+    given = given.where("id IS NOT NULL")
+    kinds = given.groupBy("id").agg(F.count("*").alias("n"), F.count_distinct(F.xxhash64("text")).alias("kinds"))
+    repeated = materialize(kinds.where("n > 1"), "repeated-ids")
+    if repeated.isEmpty():
+        return given
+    # Only repeated rows are brought together; texts are unbounded, so one is taken, not all.
+    once = given.join(repeated.where("kinds = 1"), "id").groupBy("id").agg(F.first("text").alias("text"))
+    return given.join(repeated.select("id"), "id", "left_anti").union(once)
+
+
 def dedup_passages(df: DataFrame, id_column: str = "doc_id", text_column: str = "text",
                    length: int = LENGTH, part_runs: int = PART_RUNS, with_text: bool = False,
                    carry: tuple[str, ...] = ()) -> DataFrame:
     """Per row: id, n_bytes, n_removed, n_spans, kept_sha256; the kept text if asked for
     (without what is left of characters that were cut), and the columns of ``carry``."""
     given = df.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text"), *carry)
-    ranges = covered_ranges(given.select("id", "text"), length, part_runs)
+    ranges = covered_ranges(_compared(given.select("id", "text")), length, part_runs)
     per_text = materialize(
         ranges.groupBy("doc").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges")), "ranges"
     ).withColumnRenamed("doc", "id")

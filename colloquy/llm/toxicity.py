@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from colloquy.llm import texts
 
 #: Bounds of the training sample.
-TRAIN_TEXTS = 5_000
+TRAIN_TEXTS = 4_000
 TRAIN_BYTES = 16_000
 
 WINDOW = 32
@@ -89,8 +89,14 @@ class Network:
     def inputs(self, words: list[bytes]) -> np.ndarray:
         chars, starts = char_rows(words)
         sizes = np.diff(np.append(starts, len(chars)))[:, None]
-        mean = np.add.reduceat(self.p["chars"][chars], starts, axis=0) / sizes
-        return np.concatenate([self.p["words"][word_rows(words)], mean], 1).astype(np.float32)
+        out = np.empty((len(words), 2 * EMBEDDING), np.float32)
+        out[:, :EMBEDDING] = self.p["words"][word_rows(words)]
+        for i in range(0, len(words), 20_000):
+            j = min(len(words), i + 20_000)
+            end = starts[j] if j < len(words) else len(chars)
+            out[i:j, EMBEDDING:] = np.add.reduceat(self.p["chars"][chars[starts[i] : end]], starts[i:j] - starts[i], axis=0)
+        out[:, EMBEDDING:] /= sizes
+        return out
 
     def project(self, inputs: np.ndarray) -> dict[str, np.ndarray]:
         """Gate inputs per word and direction."""
@@ -204,14 +210,14 @@ class Network:
         return g, float(np.mean(np.logaddexp(0, logits) - label * logits))
 
 
-def _log_odds(rows: np.ndarray, owner: np.ndarray, label: np.ndarray, size: int) -> np.ndarray:
+def _log_odds(rows_of_text: list[np.ndarray], label: np.ndarray, size: int) -> np.ndarray:
     """Per row of an embedding: smoothed log odds of the texts that have it."""
-    seen = np.unique(rows * len(label) + owner)
-    row, text = seen // len(label), seen % len(label)
-    bad = np.bincount(row, label[text], size)
-    good = np.bincount(row, 1 - label[text], size)
-    n_bad, n_good = label.sum(), (1 - label).sum()
-    return np.log((bad + 1) / (n_bad + 2)) - np.log((good + 1 * n_good / n_bad) / (n_good + 2 * n_good / n_bad))
+    seen = np.zeros((2, size))
+    for rows, kind in zip(rows_of_text, label):
+        seen[int(kind), rows] += 1  # a row counts once for a text
+    n_good, n_bad = (label == 0).sum(), (label == 1).sum()
+    ratio = n_good / n_bad
+    return np.log((seen[1] + 1) / (n_bad + 2)) - np.log((seen[0] + ratio) / (n_good + 2 * ratio))
 
 
 def train(docs: list[str], labels: list[int], seed: int = 0, rounds: int = 4) -> Network | None:
@@ -221,27 +227,25 @@ def train(docs: list[str], labels: list[int], seed: int = 0, rounds: int = 4) ->
         return None
     net, r = Network(seed), np.random.default_rng(seed)
     number: dict[bytes, int] = {b"": 0}
-    of_doc = [np.array([number.setdefault(w, len(number)) for w in words_of(d)], np.int64) for d in docs]
+    of_doc = [np.array([number.setdefault(w, len(number)) for w in words_of(d)], np.int32) for d in docs]
     vocabulary = list(number)
     vocabulary[0] = b" "  # stands for no word; its inputs are set to zero
     chars, starts = char_rows(vocabulary)
     sizes = np.diff(np.append(starts, len(chars)))
     rows = word_rows(vocabulary)
     # The first dimension of either embedding starts as log odds.
-    owner = np.repeat(np.arange(len(docs)), [len(x) for x in of_doc])
-    flat = np.concatenate(of_doc) if len(owner) else np.empty(0, np.int64)
-    pairs = np.unique(flat * len(docs) + owner)
-    word, text = pairs // len(docs), pairs % len(docs)
-    by_word = _log_odds(rows[word], text, label, WORD_ROWS)
-    long = np.repeat(np.arange(len(word)), sizes[word])
-    inner = np.arange(len(long)) - np.repeat(np.cumsum(sizes[word]) - sizes[word], sizes[word])
-    by_char = _log_odds(chars[starts[word[long]] + inner], text[long], label, CHAR_ROWS)
+    own = [np.unique(x) for x in of_doc]
+    by_word = _log_odds([rows[x] for x in own], label, WORD_ROWS)
+    by_char = _log_odds(
+        [np.concatenate([chars[i:j] for i, j in zip(starts[x], starts[x] + sizes[x])] or [chars[:0]]) for x in own],
+        label, CHAR_ROWS,
+    )
     net.p["words"][:, 0] = np.clip(by_word, -2, 4) / 2
     net.p["chars"][:, 0] = np.clip(by_char, -2, 4) / 2
 
     spans, of_span = [], []
     for k, x in enumerate(of_doc):
-        padded = np.concatenate([x, np.zeros(WINDOW, np.int64)])
+        padded = np.concatenate([x, np.zeros(WINDOW, np.int32)])
         for s in windows_of(len(x)):
             spans.append(padded[s : s + WINDOW])
             of_span.append(k)
