@@ -19,49 +19,70 @@ def validate_inputs(
     pred: DataFrame,
     keys: Sequence[str] = ("idx",),
     run_keys: Sequence[str] = RUN_KEYS,
+    expected: DataFrame | None = None,
 ) -> DataFrame:
-    """One row per run with its counts and a ``status``: ``ok``,
-    ``missing_workflow``, ``count_mismatch`` or ``missing_gold``.
+    """One row per run with its counts and a ``status``: ``ok``, ``missing_gold``,
+    ``missing_run``, ``missing_workflow``, ``count_mismatch`` or ``duplicates``.
 
-    ``gold`` is keyed by (task, keys). Every run is held against all the gold of
-    its task, found by count: a prediction without a gold partner is ``extra``.
+    ``gold`` is keyed by (task, keys). Every run is held against all the gold of its
+    task, by distinct positions: a prediction without a gold partner is ``extra``, a
+    position given twice, in gold or predictions, a duplicate. ``expected`` (run_keys)
+    names runs that must be there; one without any prediction is a ``missing_run``.
     """
-    n_gold = gold.groupBy("task").agg(F.count("*").alias("n_gold"))
-    # The texts themselves stay out of the join.
-    checked = pred.select(*run_keys, *keys, F.col("workflow").isNull().alias("_no_text"))
-    marked = checked.join(
-        gold.select("task", *keys).withColumn("_has_gold", F.lit(1)),
-        ["task", *keys],
-        "left",
+    places = gold.groupBy("task", *keys).agg(F.count("*").alias("_times"))
+    per_task = places.groupBy("task").agg(
+        F.count("*").alias("n_gold"), F.sum(F.col("_times") - 1).alias("duplicate_gold")
     )
+    # The texts themselves stay out of the join, and each position comes once.
+    given = pred.groupBy(*run_keys, *keys).agg(
+        F.count("*").alias("_n"), F.count_if(F.col("workflow").isNull()).alias("_null")
+    )
+    marked = given.join(
+        places.select("task", *keys, F.lit(1).alias("_has_gold")), ["task", *keys], "left"
+    )
+    found = F.count_if(F.col("_has_gold").isNotNull())
     runs = marked.groupBy(*run_keys).agg(
-        F.count("*").alias("n_pred"),
-        F.count_if("_no_text").alias("null_workflow"),
+        F.sum("_n").alias("n_pred"),
+        F.sum("_null").alias("null_workflow"),
+        found.alias("_found"),
         F.count_if(F.col("_has_gold").isNull()).alias("extra_pred"),
+        F.sum(F.col("_n") - 1).alias("duplicate_pred"),
     )
-    counted = runs.join(n_gold, "task", "left").withColumn(
-        "n_gold", F.coalesce("n_gold", F.lit(0))
+    if expected is not None:
+        runs = runs.join(expected.select(*run_keys).distinct(), list(run_keys), "full")
+    counts = ("n_gold", "n_pred", "null_workflow", "_found", "extra_pred", "duplicate_gold", "duplicate_pred")
+    counted = runs.join(per_task, "task", "left").fillna(0, counts).withColumn(
+        "missing_pred", F.col("n_gold") - F.col("_found")
     )
     return counted.select(
         *run_keys,
         "n_gold",
         "n_pred",
-        (F.col("n_gold") - (F.col("n_pred") - F.col("extra_pred"))).alias("missing_pred"),
+        "missing_pred",
         "extra_pred",
+        "duplicate_gold",
+        "duplicate_pred",
         "null_workflow",
         F.when(F.col("n_gold") == 0, "missing_gold")
+        .when(F.col("n_pred") == 0, "missing_run")
         .when(F.col("null_workflow") > 0, "missing_workflow")
-        .when(F.col("n_gold") != F.col("n_pred"), "count_mismatch")
+        .when((F.col("missing_pred") > 0) | (F.col("extra_pred") > 0), "count_mismatch")
+        .when((F.col("duplicate_gold") > 0) | (F.col("duplicate_pred") > 0), "duplicates")
         .otherwise("ok")
         .alias("status"),
     )
 
 
 def require_valid(report: DataFrame) -> DataFrame:
-    """The report itself, or an error naming the first runs that fail it."""
-    bad = report.filter(F.col("status") != "ok").limit(5).collect()
-    if bad:
-        raise ValueError("invalid evaluation input: " + "; ".join(str(r.asDict()) for r in bad))
+    """The report itself, or an error with the number of runs that fail it and the
+    first of them by run."""
+    bad = report.filter(F.col("status") != "ok")
+    n = bad.count()
+    if n:
+        first = bad.orderBy(*report.columns).limit(5).collect()
+        raise ValueError(
+            f"invalid evaluation input, {n} runs: " + "; ".join(str(r.asDict()) for r in first)
+        )
     return report
 
 
@@ -101,16 +122,18 @@ def evaluate(
     *,
     match: Match = workflows.match_by_label,
     order: str = "listed",
+    max_steps: int | None = None,
 ) -> DataFrame:
     """Scores of every pair, one row per eval type; all come from one pass.
-    ``node`` is the chain score in the given ``order``, ``graph`` the graph score."""
+    ``node`` is the chain score in the given ``order``, ``graph`` the graph score,
+    exact unless ``max_steps`` bounds its search."""
     for t in eval_types:
         if t not in EVAL_TYPES:
             raise ValueError(f"unknown eval_type {t!r}")
     cols = ["status", "precision", "recall", "f1_score"]
     out = prepare(pairs, match)
     for t in eval_types:
-        scored = scoring.chain_score(out, order) if t == "node" else scoring.graph_score(out)
+        scored = scoring.chain_score(out, order) if t == "node" else scoring.graph_score(out, max_steps=max_steps)
         out = scored.withColumn(f"_{t}", F.struct(*cols)).drop(*cols[1:]).withColumn(
             "status",
             F.when(F.col("status") == "runtime", "evaluated").otherwise(F.col("status")),

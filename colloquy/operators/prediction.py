@@ -25,7 +25,8 @@ def batch_predict(
     ``load_generator()`` runs once per Python worker and gives
     ``generate(messages, model, finetuned) -> text``. A prompt whose generation
     raises, or gives no text, gets the workflow ``""`` and its error; the others
-    go on. Write the result before using it twice: a second pass generates anew.
+    go on. The call is not repeated within a plan, also not under a filter; write the
+    result before using it twice: a second pass generates anew.
     """
 
     @F.pandas_udf("workflow string, error string")
@@ -47,7 +48,7 @@ def batch_predict(
                 [one(m) for m in batch], columns=["workflow", "error"], dtype=object
             )
 
-    return prompts.select(*keys, predict("messages").alias("_p")).select(
+    return prompts.select(*keys, predict.asNondeterministic()("messages").alias("_p")).select(
         *keys, "_p.workflow", "_p.error"
     )
 

@@ -6,12 +6,12 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-# Scenario id, retrieval, fine-tuned checkpoint, few-shot flag, text.
+# Scenario id, retrieval, fine-tuned checkpoint, few-shot flag. The text is ours.
 SCENARIOS = (
-    ("i0", False, False, False, "Baseline — system prompt + tarefa, sem RAG, sem SFT"),
-    ("rag", True, False, False, "Few-shot via RAG sobre o conjunto de treino"),
-    ("sft", False, True, False, "Modelo ajustado no treino; inferência sem RAG"),
-    ("sft_rag", True, True, False, "Modelo ajustado + recuperação no treino"),
+    ("i0", False, False, False, "plain prompt, nothing retrieved, model as published"),
+    ("rag", True, False, False, "nearest training records in the prompt"),
+    ("sft", False, True, False, "fine-tuned model, nothing retrieved"),
+    ("sft_rag", True, True, False, "fine-tuned model and nearest training records"),
 )
 SCENARIO_IDS = tuple(s[0] for s in SCENARIOS)
 # The test tasks.

@@ -198,14 +198,15 @@ def _conflicts(matched: str) -> Column:
 
 
 def graph_score(
-    df: DataFrame, matched: str = "matched", max_steps: int | None = graphs.MAX_STEPS
+    df: DataFrame, matched: str = "matched", max_steps: int | None = None
 ) -> DataFrame:
     """Graph score of ``with_status`` rows.
 
     Matched nodes joined by a one-sided edge cannot both stay, so the answer is
     the matched count less the fewest nodes that meet every such pair. Only rows
-    with such pairs go to the solver. Finding the fewest is NP-hard: a search
-    beyond ``max_steps`` (None: no bound) counts as a ``runtime`` skip.
+    with such pairs go to the solver. The answer is exact. Finding the fewest is
+    NP-hard; a caller may bound the search by ``max_steps``, and a search beyond it
+    counts as a ``runtime`` skip.
     """
     rows = df.withColumn("_conflicts", _conflicts(matched)).withColumn(
         "_n", F.size(F.filter(matched, lambda g: g > 0))

@@ -15,7 +15,7 @@ from colloquy.functions.arrays import once
 
 # The text form and its sentinels.
 NODE_PATTERN = r"(?m)^[ \t]*(\d+)[ \t]*:[ \t]*(\S.*)$"
-EDGE_PATTERN = r"\((START|\d+),\s*(END|\d+)\)"
+EDGE_PATTERN = r"\(\s*(START|\d+)\s*,\s*(END|\d+)\s*\)"
 START, END = "START", "END"
 
 

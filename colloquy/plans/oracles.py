@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from colloquy.functions import text as X
 from colloquy.operators.scenarios import SCENARIO_IDS, TASKS
-from colloquy.plans.tables import MODELS, SHARD_ITEMS, STAMP, WORKFLOW_NODES
+from colloquy.plans.tables import MODELS, SHARD_ITEMS, STAMP
 
 BUDGET = 500
 SFT_LENGTH = 1_500
@@ -212,14 +212,14 @@ lines AS (
       l_partkey, l_suppkey, l_quantity, l_extendedprice) - 1 AS r
   FROM lineitem JOIN part ON p_partkey = l_partkey),
 grouped AS (
-  SELECT o, r // {WORKFLOW_NODES} AS chunk, list(label ORDER BY r) AS labels,
+  SELECT o, list(label ORDER BY r) AS labels,
     CAST(count(*) AS BIGINT) AS n
   FROM lines GROUP BY ALL),
 edged AS (
   SELECT *, {_edges('n')} AS e0, {_edges('(n - 1)')} AS e_less, {_edges('(n + 1)')} AS e_more
   FROM grouped),
 pairs AS (
-  SELECT o, {pick(TASKS, 'o')} AS task, o * 1048576 + chunk AS idx,
+  SELECT o, {pick(TASKS, 'o')} AS task, o * 1048576 AS idx,
     {pick(MODELS, 'o')} AS model,
     CASE WHEN o % 3 = 2 THEN 'i0'
          WHEN o % 3 = 1 AND (o // 3) % 4 = 3 THEN 'sft'
@@ -228,7 +228,7 @@ pairs AS (
     {_text('labels', 'e0')} AS gold_workflow,
     CASE o % 10
       WHEN 0 THEN ''
-      WHEN 1 THEN 'sorry, I cannot help with that.'
+      WHEN 1 THEN 'There is nothing to plan here, so no steps follow.'
       WHEN 2 THEN {_text('list_concat(labels[2:], labels[1:1])', 'e0')}
       WHEN 3 THEN {_text('labels[1:n - 1]', 'e_less')}
       WHEN 4 THEN {_text('labels', "list_filter(e0, lambda x: x <> '(1,2)')")}
@@ -253,7 +253,7 @@ def _nodes_of(side: str) -> str:
 
 
 def _edges_of(side: str) -> str:
-    edge = r"\((START|\d+),\s*(END|\d+)\)"
+    edge = r"\(\s*(START|\d+)\s*,\s*(END|\d+)\s*\)"
     text = f"{side}_workflow"
     return f"""
 {side}_e AS (
@@ -420,13 +420,14 @@ runs AS (
 
 
 def _fingerprint(table: str, columns: list[str], name: str) -> str:
-    marked = " || chr(31) || ".join(f"coalesce('v' || {c}, 'n')" for c in columns)
-    slices = " || ".join(
-        f"lpad(lower(to_hex(coalesce(bit_xor(CAST('0x' || substr(d, {1 + 15 * i}, 15) AS BIGINT)), 0))), 15, '0')"
-        for i in range(4)
+    marked = " || ".join(f"coalesce(length(CAST({c} AS VARCHAR)) || ':' || {c}, 'n')" for c in columns)
+    slice_of = "CAST('0x' || substr(d, {}, 8) AS BIGINT)"
+    slices = " || ',' || ".join(
+        f"CAST(coalesce({f}({slice_of.format(1 + 8 * i)}), 0) AS VARCHAR)"
+        for i in range(8) for f in ("bit_xor", "sum")
     )
     return f"""{name} AS (
-  SELECT {slices} AS fingerprint, count(*) AS n_rows
+  SELECT sha256({slices}) AS fingerprint, count(*) AS n_rows
   FROM (SELECT sha256({marked}) AS d FROM {table}))"""
 
 
@@ -504,8 +505,8 @@ FROM documents WHERE doc_id % 3 = 0 AND doc_id % 6 <> 0""",
 per AS (
   SELECT model, scenario, stamp, task, count(*) FILTER (pred_workflow = '') AS bad
   FROM pairs GROUP BY ALL)
-SELECT model, stamp, '2026-07-10T03:00:00+00:00' AS started_at,
-  '2026-07-10T04:00:00+00:00' AS finished_at,
+SELECT model, stamp, '2025-03-14T09:26:53+00:00' AS started_at,
+  '2025-03-14T10:41:00+00:00' AS finished_at,
   scenario IN ('sft', 'sft_rag') AS finetuned, scenario IN ('rag', 'sft_rag') AS rag,
   CAST(NULL AS BIGINT) AS "limit",
   string_agg(task, ',' ORDER BY task) AS tasks,
@@ -634,17 +635,28 @@ FROM pred_e e LEFT JOIN known USING (task, idx)""",
 SELECT model, task, eval_type, {', '.join(f"max(f1_score) FILTER (scenario = '{s}') AS {s}" for s in SCENARIO_IDS)}
 FROM matrix GROUP BY ALL""",
     "validate_inputs": f"""WITH {_INPUTS},
-ng AS (SELECT task, count(*) AS n_gold FROM gold GROUP BY task),
+ng AS (SELECT task, count(DISTINCT idx) AS n_gold, count(*) - count(DISTINCT idx) AS duplicate_gold FROM gold GROUP BY task),
+given AS (
+  SELECT model, scenario, task, idx, pred_workflow AS w FROM pred
+  UNION ALL SELECT 'model-full', 'i0', CASE WHEN task = 'os' THEN 'untold' ELSE task END, idx, gold_workflow FROM gold
+  UNION ALL SELECT 'model-twice', 'i0', task, idx, gold_workflow FROM gold
+  UNION ALL SELECT 'model-twice', 'i0', task, idx, gold_workflow FROM gold WHERE (idx // 1048576) % 97 = 0),
 r AS (
-  SELECT model, scenario, p.task, count(*) AS n_pred,
-    count(*) FILTER (pred_workflow IS NULL) AS null_workflow,
-    count(*) FILTER (g.idx IS NULL) AS extra_pred
-  FROM pred p LEFT JOIN gold g ON g.task = p.task AND g.idx = p.idx GROUP BY ALL)
-SELECT model, scenario, task, n_gold, n_pred, n_gold - (n_pred - extra_pred) AS missing_pred,
-  extra_pred, null_workflow,
-  CASE WHEN null_workflow > 0 THEN 'missing_workflow' WHEN n_gold <> n_pred THEN 'count_mismatch'
-    ELSE 'ok' END AS status
-FROM r JOIN ng USING (task)""",
+  SELECT model, scenario, p.task, count(*) AS n_pred, count(*) FILTER (w IS NULL) AS null_workflow,
+    count(DISTINCT p.idx) FILTER (g.idx IS NOT NULL) AS found,
+    count(DISTINCT p.idx) FILTER (g.idx IS NULL) AS extra_pred,
+    count(*) - count(DISTINCT p.idx) AS duplicate_pred
+  FROM given p LEFT JOIN gold g ON g.task = p.task AND g.idx = p.idx GROUP BY ALL
+  UNION ALL SELECT 'model-none', 'i0', task, 0, 0, 0, 0, 0 FROM ng),
+c AS (
+  SELECT r.*, coalesce(n_gold, 0) AS n_gold, coalesce(duplicate_gold, 0) AS duplicate_gold,
+    coalesce(n_gold, 0) - found AS missing_pred
+  FROM r LEFT JOIN ng USING (task))
+SELECT model, scenario, task, n_gold, n_pred, missing_pred, extra_pred, duplicate_gold, duplicate_pred, null_workflow,
+  CASE WHEN n_gold = 0 THEN 'missing_gold' WHEN n_pred = 0 THEN 'missing_run'
+    WHEN null_workflow > 0 THEN 'missing_workflow' WHEN missing_pred > 0 OR extra_pred > 0 THEN 'count_mismatch'
+    WHEN duplicate_gold > 0 OR duplicate_pred > 0 THEN 'duplicates' ELSE 'ok' END AS status
+FROM c""",
     "pair_gold_pred": f"""WITH {_INPUTS}
 SELECT model, scenario, task, idx, md5(gold_workflow) AS gold_md5, md5(pred_workflow) AS pred_md5
 FROM gold JOIN pred USING (task, idx)""",

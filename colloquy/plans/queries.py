@@ -222,7 +222,7 @@ def sft_reload(spark, sf_dir):
 def run_metadata(spark, sf_dir):
     path = scratch_dir(spark, "runs")
     rows = runs.run_metadata(
-        G.predictions(spark, sf_dir), "2026-07-10T03:00:00+00:00", "2026-07-10T04:00:00+00:00"
+        G.predictions(spark, sf_dir), "2025-03-14T09:26:53+00:00", "2025-03-14T10:41:00+00:00"
     )
     S.append_runs(rows, path)
     skipped = F.map_values("skipped_errors")
@@ -608,7 +608,19 @@ def _gold_and_pred(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
 
 
 def validate_inputs(spark, sf_dir):
-    return evaluation.validate_inputs(*_gold_and_pred(spark, sf_dir))
+    """Besides the given runs: one that is complete, but for a task without gold; one
+    that repeats positions; and one that is expected but absent."""
+    gold, pred = _gold_and_pred(spark, sf_dir)
+    full = gold.select(
+        F.lit("model-full").alias("model"), F.lit("i0").alias("scenario"),
+        F.when(F.col("task") == "os", "untold").otherwise(F.col("task")).alias("task"), "idx", "workflow",
+    )
+    twice = gold.select(F.lit("model-twice").alias("model"), F.lit("i0").alias("scenario"), "task", "idx", "workflow")
+    again = twice.where("idx div 1048576 % 97 = 0")
+    absent = gold.select(F.lit("model-none").alias("model"), F.lit("i0").alias("scenario"), "task").distinct()
+    return evaluation.validate_inputs(
+        gold, pred.unionByName(full).unionByName(twice).unionByName(again), expected=absent
+    )
 
 
 def pair_gold_pred(spark, sf_dir):

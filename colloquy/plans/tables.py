@@ -14,10 +14,9 @@ from colloquy.session import scratch_dir
 
 MODELS = ("model-a", "model-b", "model-c")
 # Nodes per workflow; longer orders become several workflows.
-WORKFLOW_NODES = 16
 SHARD_ITEMS = 256
 WORKFLOW_KEYS = ["task", "idx"]
-STAMP = "20260710_030000"
+STAMP = "20250314_092653"
 
 
 def read(spark: SparkSession, sf_dir: str, table: str, *columns: str) -> DataFrame:
@@ -154,8 +153,7 @@ def gold_files(spark: SparkSession, sf_dir: str) -> str:
 
 
 def workflow_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(order, chunk, no, label): the lines of an order in ship order, numbered,
-    cut every ``WORKFLOW_NODES`` lines.
+    """(order, no, label): the lines of an order in ship order, numbered.
 
     Lines are counted per ship day first and numbered inside a day, so an order
     with very many lines is not sorted in one task.
@@ -183,8 +181,7 @@ def workflow_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = read(spark, sf_dir, "part", "p_partkey", "p_name")
     return numbered.join(names, F.col("l_partkey") == F.col("p_partkey")).select(
         F.col("l_orderkey").alias("o"),
-        F.expr(f"r div {WORKFLOW_NODES}").alias("chunk"),
-        (F.col("r") % WORKFLOW_NODES + 1).alias("no"),
+        (F.col("r") + 1).alias("no"),
         F.col("p_name").alias("label"),
     )
 
@@ -221,7 +218,7 @@ def _workflow_text(labels: Column, edges: Column) -> Column:
 
 def workflow_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Gold workflows and a prediction for each, one of ten ways off by order."""
-    grouped = workflow_nodes(spark, sf_dir).groupBy("o", "chunk").agg(
+    grouped = workflow_nodes(spark, sf_dir).groupBy("o").agg(
         F.transform(
             F.array_sort(F.collect_list(F.struct("no", "label"))), lambda x: x["label"]
         ).alias("labels")
@@ -244,14 +241,14 @@ def workflow_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     pred_edges = F.array_remove(_edges(n_pred, skip), gone)
     pred = (
         F.when(way == 0, "")
-        .when(way == 1, "sorry, I cannot help with that.")
+        .when(way == 1, "There is nothing to plan here, so no steps follow.")
         .otherwise(_workflow_text(pred_labels, pred_edges))
     )
     model = one_of(MODELS, o)
     scenario = one_of(SCENARIO_IDS, F.expr("o div 3"))
     return grouped.select(
         one_of(TASKS, o).alias("task"),
-        (o * 1_048_576 + F.col("chunk")).alias("idx"),
+        (o * 1_048_576).alias("idx"),
         model.alias("model"),
         F.when(model == "model-c", "i0")
         .when((model == "model-b") & (scenario == "sft_rag"), "sft")

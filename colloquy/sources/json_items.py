@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from colloquy.schemas import ITEM
+from colloquy.session import materialize
 
 GOLD_NAME = "graph_eval.json"
 
@@ -36,10 +37,11 @@ def read_train(spark: SparkSession, path: str, schema: T.StructType = ITEM) -> D
     parsed = _array_files(spark, path).select(
         "file", _checked_array(F.col("value"), F.col("file"), schema).alias("items")
     )
-    rows = parsed.select("file", F.posexplode("items").alias("pos", "item"))
+    # Parsed once: items and offsets both come from the written rows.
+    rows = materialize(parsed.select("file", F.posexplode("items").alias("pos", "item")), "items")
     # One row per file, so the running offset is over a short list.
     earlier = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = parsed.select("file", F.size("items").alias("n")).select(
+    offsets = rows.groupBy("file").agg((F.max("pos") + 1).alias("n")).select(
         "file", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("offset")
     )
     return rows.join(offsets, "file").select(
@@ -76,11 +78,13 @@ def read_gold(spark: SparkSession, root: str, schema: T.StructType = ITEM) -> Da
         "file",
         _checked_array(F.col("value"), F.col("file"), schema).alias("items"),
     )
-    rows = parsed.select("task", "file", F.posexplode("items").alias("pos", "item"))
+    rows = materialize(
+        parsed.select("task", "file", F.posexplode("items").alias("pos", "item")), "gold-items"
+    )
     earlier = (
         Window.partitionBy("task").orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
     )
-    offsets = parsed.select("task", "file", F.size("items").alias("n")).select(
+    offsets = rows.groupBy("task", "file").agg((F.max("pos") + 1).alias("n")).select(
         "file", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("offset")
     )
     return rows.join(offsets, "file").select(
@@ -94,10 +98,8 @@ def list_tasks(spark: SparkSession, root: str) -> DataFrame:
 
 def task_counts(spark: SparkSession, root: str) -> DataFrame:
     """Items per task; 0 for an empty file or one that holds no list."""
-    is_list = F.startswith(F.regexp_replace("value", r"\A\s+", ""), F.lit("["))
-    size = F.size(F.from_json("value", T.ArrayType(ITEM)))
     return (
         _gold_files(spark, root)
         .groupBy("task")
-        .agg(F.sum(F.when(is_list, F.greatest(size, F.lit(0))).otherwise(0)).alias("n_items"))
+        .agg(F.sum(F.coalesce(F.json_array_length("value"), F.lit(0))).alias("n_items"))
     )

@@ -195,3 +195,46 @@ def test_validation_and_pairing(spark):
     with pytest.raises(ValueError):
         E.pair_gold_pred(gold, pred, on_mismatch="strict")
     assert E.pair_gold_pred(gold, pred.filter("scenario = 'i0' and task = 't'"), on_mismatch="strict").count() == 3
+
+
+def test_cover_is_exact_and_not_recursive():
+    import itertools
+    import random
+
+    r = random.Random(3)
+    for _ in range(40):
+        n = r.randint(2, 9)
+        pairs = [p for p in itertools.combinations(range(n), 2) if r.random() < 0.6]
+        best = min(k for k in range(n + 1) for c in itertools.combinations(range(n), k)
+                   if all(a in c or b in c for a, b in pairs))
+        assert graphs.min_cover(pairs) == best
+    long = [(i, i + 1) for i in range(5000)] + [(i, i + 2) for i in range(0, 4000, 2)]
+    assert graphs.min_cover(long) is not None
+    assert graphs.min_cover(list(itertools.combinations(range(40), 2)), 10) == 39
+
+
+def test_edges_with_blanks(spark):
+    df = spark.createDataFrame([("Edge: (START, 1) (1 ,2) ( 2,END)",)], "t string")
+    got = df.select(W.parse_edges(F.col("t")).alias("e")).first()["e"]
+    assert [(x["src"], x["dst"]) for x in got] == [("START", "1"), ("1", "2"), ("2", "END")]
+
+
+def test_validation_sees_duplicates_and_absent_runs(spark):
+    gold = spark.createDataFrame([("t", 0, "g"), ("t", 1, "g")], "task string, idx int, workflow string")
+    rows = [("m", "twice", "t", 0, "w"), ("m", "twice", "t", 0, "w"), ("m", "good", "t", 0, "w"), ("m", "good", "t", 1, "w"),
+            ("m", "again", "t", 0, "w"), ("m", "again", "t", 1, "w"), ("m", "again", "t", 1, "w")]
+    pred = spark.createDataFrame(rows, "model string, scenario string, task string, idx int, workflow string")
+    absent = spark.createDataFrame([("m", "none", "t")], "model string, scenario string, task string")
+    report = {r["scenario"]: r for r in E.validate_inputs(gold, pred, expected=absent).collect()}
+    assert {k: r["status"] for k, r in report.items()} == {
+        "twice": "count_mismatch", "good": "ok", "again": "duplicates", "none": "missing_run"}
+    assert report["twice"]["missing_pred"] == 1 and report["none"]["missing_pred"] == 2
+
+
+def test_generator_runs_once_under_a_filter(spark):
+    from colloquy.operators import prediction
+
+    prompts = spark.createDataFrame([(1, [{"role": "user", "content": "q"}])], "idx int, messages array<struct<role:string,content:string>>")
+    out = prediction.batch_predict(prompts, ["idx"], lambda: (lambda m, model, tuned: "a"), model="m", finetuned=False)
+    plan = out.filter("error IS NOT NULL")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
