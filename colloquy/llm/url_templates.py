@@ -17,6 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from colloquy.session import materialize
+
 #: Segments a template tells apart; deeper ones are its tail.
 DEPTH = 4
 #: Children of a node beyond which its segment becomes a wildcard.
@@ -70,6 +72,8 @@ def template_tree(shapes: DataFrame) -> DataFrame:
             (F.col("fan") > FAN_OUT) & ~segment.contains("{n}"), F.lit("/{any}")
         ).otherwise(F.concat(F.lit("/"), segment))
         tree = tree.join(fan, ["host", "prefix"]).withColumn("prefix", F.concat("prefix", step)).drop("fan")
+        # A level reads the one above twice; written, the plan doesn't double with each.
+        tree = materialize(tree, "templates")
     return tree.withColumnRenamed("prefix", "template")
 
 
@@ -112,12 +116,14 @@ def judge(pages: DataFrame, labels: DataFrame, id_column: str = "page_id", url_c
         "document", F.when(number != "", number.cast("long"))
     )
     one = labels.groupBy("document").agg(F.max(F.col("bad").cast("int")).alias("bad"))
-    shapes = (
+    shapes = materialize(
         shaped.join(one, "document", "left").groupBy("host", "shape")
-        .agg(F.count("bad").alias("n_labels"), F.coalesce(F.sum("bad"), F.lit(0)).alias("n_bad"))
+        .agg(F.count("bad").alias("n_labels"), F.coalesce(F.sum("bad"), F.lit(0)).alias("n_bad")), "shapes",
     )
     tree = template_tree(shapes)
-    known = tree.select("host", "shape", "template").join(judged_templates(tree), ["host", "template"])
+    known = materialize(
+        tree.select("host", "shape", "template").join(judged_templates(tree), ["host", "template"]), "judged"
+    )
     rules_by_text = {text: verdict for verdict, text in rules}
     by_rule = F.create_map(*[F.lit(x) for item in rules_by_text.items() for x in item])
     return (
