@@ -6,7 +6,7 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from colloquy.operators import scoring, workflows
+from colloquy.operators import runs, scoring, workflows
 
 Match = Callable[[DataFrame], DataFrame]
 
@@ -146,6 +146,22 @@ def evaluate(
     )
 
 
+def evaluate_latest(
+    gold: DataFrame,
+    predictions: DataFrame,
+    keys: Sequence[str] = ("idx",),
+    *,
+    on_mismatch: str = "strict",
+    **options,
+) -> DataFrame:
+    """Mean scores of the newest stored run of each model, scenario and task, with its
+    stamp. ``options`` are those of ``evaluate``."""
+    newest = runs.latest_predictions(predictions)
+    pairs = pair_gold_pred(gold, newest, keys, on_mismatch=on_mismatch)
+    run = (*RUN_KEYS, "stamp")
+    return aggregate(evaluate(pairs, run, **options), (*run, "eval_type"))
+
+
 def aggregate(
     scores: DataFrame, keys: Sequence[str] = (*RUN_KEYS, "eval_type")
 ) -> DataFrame:

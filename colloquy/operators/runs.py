@@ -7,7 +7,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 # Fixed value: the file-name form of a stamped prediction.
-PREDICTION_NAME = r"^graph_eval_(i0|rag|sft|sft_rag)_(\d{8}_\d{6})\.json$"
+STAMPED = r"graph_eval_(i0|rag|sft|sft_rag)_(\d{8}_\d{6})\.json"
+PREDICTION_NAME = rf"^{STAMPED}$"
+# <model>/<task>/<file>; the file may be a folder of parts, and the folders may be
+# named as a partitioned write does.
+PREDICTION_PATH = rf"(?:^|/)(?:model=)?([^/]+)/(?:task=)?([^/]+)/(?:file=)?{STAMPED}(?:/[^/]+)*$"
 
 
 def file_name(path: Column) -> Column:
@@ -27,6 +31,15 @@ def stamp_of(name: Column) -> Column:
     return _group(name, 2)
 
 
+def run_of_path(path: Column) -> list[Column]:
+    """Model, task, scenario and stamp of a stamped prediction's path, else nulls."""
+    names = ("model", "task", "scenario", "stamp")
+    return [
+        F.nullif(F.regexp_extract(path, PREDICTION_PATH, i + 1), F.lit("")).alias(n)
+        for i, n in enumerate(names)
+    ]
+
+
 def run_stamp(at: Column) -> Column:
     """Compact UTC stamp of a time (with the session's zone set to UTC)."""
     return F.date_format(at, "yyyyMMdd_HHmmss")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from colloquy.functions import text as X
 from colloquy.operators.scenarios import SCENARIO_IDS, TASKS
-from colloquy.plans.tables import MODELS, SHARD_ITEMS, STAMP
+from colloquy.plans.tables import MODELS, NEW_STAMP, OLD_STAMP, SHARD_ITEMS, STAMP
 
 BUDGET = 500
 SFT_LENGTH = 1_500
@@ -405,6 +405,12 @@ pred AS (
     CASE WHEN o % 97 <> 0 THEN pred_workflow END AS pred_workflow
   FROM pairs)"""
 
+# The pairs of the newest stored runs: where model-b has a later run, its even orders.
+_LATEST_PAIRS = _PAIRS.replace("\npairs AS (", "\nall_pairs AS (") + """,
+pairs AS (
+  SELECT * FROM all_pairs QUALIFY model <> 'model-b' OR o % 2 = 0
+    OR NOT bool_or(o % 2 = 0) OVER (PARTITION BY model, scenario, task))"""
+
 # --- runs and fingerprints --------------------------------------------------
 
 _RUNS = f"""
@@ -473,6 +479,19 @@ FROM documents GROUP BY 1 UNION ALL SELECT 'nothing', 0""",
     "predictions_roundtrip": f"""WITH {_PAIRS}
 SELECT model, scenario, task, stamp, idx, md5(pred_workflow) AS workflow_md5,
   CASE WHEN pred_workflow = '' THEN 'RuntimeError: empty answer' END AS error FROM pairs""",
+    "scan_prediction_files": f"""WITH {_PAIRS}
+SELECT model, scenario, task, stamp,
+  row_number() OVER (PARTITION BY model, scenario, task, stamp ORDER BY idx) - 1 AS idx,
+  CAST(idx AS VARCHAR) AS query_id, md5(pred_workflow) AS workflow_md5 FROM pairs""",
+    "latest_predictions": f"""WITH {_PAIRS}, stored AS (
+  SELECT model, scenario, task, stamp, idx, pred_workflow AS w FROM pairs
+  UNION ALL SELECT model, scenario, task, '{OLD_STAMP}', idx, 'old ' || pred_workflow FROM pairs WHERE task <> 'os'
+  UNION ALL SELECT model, scenario, task, '{NEW_STAMP}', idx, pred_workflow FROM pairs
+    WHERE model = 'model-b' AND o % 2 = 0)
+SELECT model, scenario, task, stamp, idx, md5(w) AS workflow_md5 FROM stored
+QUALIFY stamp = max(stamp) OVER (PARTITION BY model, scenario, task)""",
+    "eval_results_roundtrip": f"""WITH RECURSIVE {_RESULTS} SELECT *, '{STAMP}' AS stamp FROM results""",
+    "eval_latest": f"WITH RECURSIVE {_MATRIX.replace(_PAIRS, _LATEST_PAIRS)} SELECT * FROM matrix",
     "scenario_from_path": f"""WITH {_RUNS}
 SELECT event_id, path, CASE WHEN stamp IS NOT NULL THEN scenario END AS scenario, stamp FROM runs""",
     "latest_run": f"""WITH {_RUNS}

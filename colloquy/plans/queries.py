@@ -85,6 +85,26 @@ def predictions_roundtrip(spark, sf_dir):
     )
 
 
+def scan_prediction_files(spark, sf_dir):
+    found = json_items.read_prediction_files(spark, G.prediction_files(spark, sf_dir))
+    return found.select(
+        "model", "scenario", "task", "stamp", "idx",
+        F.col("query")["id"].alias("query_id"), F.md5("workflow").alias("workflow_md5"),
+    )
+
+
+def _stored_predictions(spark, sf_dir) -> DataFrame:
+    path = scratch_dir(spark, "predictions")
+    S.write_predictions(G.stored_predictions(spark, sf_dir), path)
+    return S.read_predictions(spark, path)
+
+
+def latest_predictions(spark, sf_dir):
+    return runs.latest_predictions(_stored_predictions(spark, sf_dir)).select(
+        "model", "scenario", "task", "stamp", "idx", F.md5("workflow").alias("workflow_md5")
+    )
+
+
 def scenario_from_path(spark, sf_dir):
     name = runs.file_name(F.col("path"))
     return G.runs(spark, sf_dir).select(
@@ -655,6 +675,27 @@ def eval_matrix(spark, sf_dir):
     return _metrics(_matrix(spark, sf_dir))
 
 
+def eval_results_roundtrip(spark, sf_dir):
+    """Results of the runs, after worse ones of an earlier run."""
+    path = scratch_dir(spark, "results")
+    now = materialize(_results(spark, sf_dir).withColumn("stamp", F.lit(G.STAMP)), "results-now")
+    before = now.withColumn("stamp", F.lit(G.OLD_STAMP)).withColumn("precision", F.lit(0.0))
+    S.append_results(now, path)
+    S.append_results(before, path)
+    return _metrics(S.read_results(spark, path))
+
+
+def eval_latest(spark, sf_dir):
+    """Stored predictions to the matrix: newest runs, scores, stored results, cells."""
+    gold = G.workflow_pairs(spark, sf_dir).select("task", "idx", F.col("gold_workflow").alias("workflow"))
+    path = scratch_dir(spark, "results")
+    # An order is predicted by one model only, so no run covers the gold of its task.
+    found = evaluation.evaluate_latest(gold, _stored_predictions(spark, sf_dir), on_mismatch="report")
+    S.append_results(found, path)
+    cells = scenarios.matrix_cells(G.models(spark), scenarios.TASKS, evaluation.EVAL_TYPES)
+    return _metrics(scenarios.evaluation_matrix(cells, S.read_results(spark, path)))
+
+
 def eval_matrix_pivot(spark, sf_dir):
     wide = scenarios.pivot_matrix(_matrix(spark, sf_dir))
     return wide.select(
@@ -666,6 +707,7 @@ QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         scan_train, scan_gold_tasks, task_counts, predictions_roundtrip,
+        scan_prediction_files, latest_predictions,
         scenario_from_path, latest_run, index_roundtrip, corpus_fingerprint,
         index_staleness, sft_sink, sft_reload, run_metadata,
         conv_assemble, role_normalize, example_text, rag_corpus, rag_corpus_legacy,
@@ -678,7 +720,7 @@ QUERIES: dict[str, Query] = {
         workflow_nodes, workflow_edges, node_match, node_match_similarity, chain_score,
         chain_score_any_order, edge_overlap, graph_score, eval_status,
         eval_aggregate, validate_inputs, pair_gold_pred, scenario_name,
-        eval_matrix, eval_matrix_pivot,
+        eval_matrix, eval_matrix_pivot, eval_results_roundtrip, eval_latest,
     )
 } | {
     "last_user": _part("user"),

@@ -13,7 +13,7 @@ from colloquy.operators.scenarios import SCENARIO_IDS, TASKS
 from colloquy.session import scratch_dir
 
 MODELS = ("model-a", "model-b", "model-c")
-# Nodes per workflow; longer orders become several workflows.
+# Items per JSON array file.
 SHARD_ITEMS = 256
 WORKFLOW_KEYS = ["task", "idx"]
 STAMP = "20250314_092653"
@@ -270,6 +270,52 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: A run before and one after the given ones.
+OLD_STAMP, NEW_STAMP = "20240102_030405", "20260102_030405"
+
+
+def stored_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The predictions, an earlier run of all but one task with other texts, and for
+    model-b a later one of half the orders."""
+    given = predictions(spark, sf_dir)
+    old = given.where("task <> 'os'").select(
+        "model", "scenario", "task", F.lit(OLD_STAMP).alias("stamp"), "idx",
+        F.concat(F.lit("old "), "workflow").alias("workflow"), F.lit(None).cast("string").alias("error"),
+    )
+    new = given.where("model = 'model-b' AND idx div 1048576 % 2 = 0").withColumn("stamp", F.lit(NEW_STAMP))
+    return given.unionByName(old).unionByName(new)
+
+
+def prediction_files(spark: SparkSession, sf_dir: str) -> str:
+    """The predictions as JSON arrays of {query, workflow}, one folder of files per
+    model, task, scenario and stamp."""
+    path = scratch_dir(spark, "prediction-files")
+    folders = ["model", "task", "file", "shard"]
+    part = Window.partitionBy(*folders)
+    place = F.row_number().over(part.orderBy("idx"))
+    query = F.struct(F.col("idx").cast("string").alias("id"), F.col("task").alias("source"))
+    name = F.concat(F.lit("graph_eval_"), F.concat_ws("_", "scenario", "stamp"), F.lit(".json"))
+    shard = F.lpad(F.expr(f"idx div 1048576 div {16 * SHARD_ITEMS}").cast("string"), 12, "0")
+    (
+        predictions(spark, sf_dir)
+        .withColumn("file", name)
+        .withColumn("shard", shard)
+        .select(
+            *folders, "idx",
+            F.concat(
+                F.when(place == 1, "[").otherwise(","),
+                F.to_json(F.struct(query.alias("query"), "workflow")),
+                F.when(place == F.count("*").over(part), "]").otherwise(""),
+            ).alias("value"),
+        )
+        .sortWithinPartitions(*folders, "idx")
+        .drop("idx")
+        .write.partitionBy(*folders)
+        .text(path)
+    )
+    return path
+
+
 def models(spark: SparkSession) -> DataFrame:
     """The model dimension: the last model is only run in the plain scenario."""
     return spark.createDataFrame(

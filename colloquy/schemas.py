@@ -50,6 +50,15 @@ RUNS = T.StructType(
     ]
 )
 
+RESULTS = T.StructType(
+    [T.StructField(c, T.StringType()) for c in ("model", "scenario", "task", "eval_type", "stamp")]
+    + [T.StructField(c, T.DoubleType()) for c in ("precision", "recall", "f1_score")]
+    + [
+        T.StructField(c, T.LongType())
+        for c in ("n_total", "n_evaluated", "n_skipped_unparseable", "n_skipped_runtime")
+    ]
+)
+
 INDEX_META = T.StructType(
     [
         T.StructField("embedding_model", T.StringType()),

@@ -9,7 +9,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
-from colloquy.schemas import ITEM
+from colloquy.operators import runs
+from colloquy.schemas import ITEM, PREDICTION_ITEM
 from colloquy.session import materialize
 
 GOLD_NAME = "graph_eval.json"
@@ -92,6 +93,31 @@ def read_gold(spark: SparkSession, root: str, schema: T.StructType = ITEM) -> Da
     )
 
 
+def read_prediction_files(spark: SparkSession, root: str) -> DataFrame:
+    """Predictions under ``<root>/<model>/<task>/graph_eval_<scenario>_<stamp>.json``:
+    model, scenario, task, stamp, ``idx`` (the position in the run), ``query`` (the gold
+    item) and ``workflow``. Such a file is an array of ``{query, workflow}``, or a folder
+    of such files, in name order. Files of other names are left alone."""
+    run = ["model", "task", "scenario", "stamp"]
+    parsed = (
+        _array_files(spark, root)
+        .select("*", *runs.run_of_path(F.col("file")))
+        .filter(F.col("stamp").isNotNull())
+        .select(*run, "file", _checked_array(F.col("value"), F.col("file"), PREDICTION_ITEM).alias("items"))
+    )
+    rows = materialize(
+        parsed.select(*run, "file", F.posexplode("items").alias("pos", "item")), "prediction-items"
+    )
+    earlier = Window.partitionBy(*run).orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = rows.groupBy(*run, "file").agg((F.max("pos") + 1).alias("n")).select(
+        "file", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("offset")
+    )
+    return rows.join(offsets, "file").select(
+        "model", "scenario", "task", "stamp",
+        (F.col("offset") + F.col("pos")).cast("long").alias("idx"), "item.query", "item.workflow",
+    )
+
+
 def list_tasks(spark: SparkSession, root: str) -> DataFrame:
     return _gold_files(spark, root).select("task").distinct()
 

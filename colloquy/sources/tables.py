@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 
 from colloquy import schemas
 from colloquy.operators.embedding import HASH_ENCODER_NAME
+from colloquy.operators.runs import latest_runs
 
 PREDICTION_PARTITIONS = ["model", "scenario", "task", "stamp"]
 CHUNK_FIELDS = ["query"]
@@ -75,9 +76,17 @@ def read_runs(spark: SparkSession, path: str) -> DataFrame:
 
 
 def append_results(results: DataFrame, path: str) -> None:
+    """Metrics per run and eval type, columns of ``schemas.RESULTS``; ``stamp`` is the run's."""
     results.write.mode("append").partitionBy("model", "scenario").parquet(path)
 
 
+def read_results(spark: SparkSession, path: str) -> DataFrame:
+    """The metrics of the newest run of each model, scenario, task and eval type."""
+    stored = _read(spark, path, schemas.RESULTS, "results")
+    newest = latest_runs(stored, ("model", "scenario", "task", "eval_type"))
+    return newest.select(*schemas.RESULTS.fieldNames())
+
+
 # --- fingerprints and the retrieval index -----------------------------------
 
 
@@ -123,7 +132,7 @@ def write_index(
     seed: int = 42,
     top_k: int = 2,
 ) -> None:
-    """Records with their vectors in id order, and one row of metadata."""
+    """Records with their vectors, each file in id order, and one row of metadata."""
     spark = records.sparkSession
     norm = F.sqrt(
         F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
@@ -131,7 +140,7 @@ def write_index(
     (
         records.withColumn("embedding", F.col("embedding").cast("array<float>"))
         .withColumn("norm", norm)
-        .orderBy("id", "index")
+        .sortWithinPartitions("id", "index")
         .write.mode("overwrite")
         .parquet(f"{path}/records")
     )

@@ -40,6 +40,25 @@ def test_gold_layout(spark, tmp_path):
     assert [(r["task"], r["idx"]) for r in got] == [("lumos", 0), ("wikihow", 0), ("wikihow", 1), ("wikihow", 2)]
 
 
+def test_prediction_files(spark, tmp_path):
+    def run(*names):
+        return [{"query": {"id": n, "conversations": CHAT}, "workflow": f"w{n}"} for n in names]
+
+    put(tmp_path / "model-x" / "os" / "graph_eval_rag_20250102_030405.json", run("a", "b"))
+    put(tmp_path / "model-x" / "os" / "graph_eval_sft_rag_20250102_030406.json", run())
+    put(tmp_path / "model-x" / "os" / "graph_eval_rag.json", run("old"))
+    put(tmp_path / "model-y" / "lumos" / "graph_eval_i0_20250102_030405.json", run("c"))
+    got = J.read_prediction_files(spark, str(tmp_path)).orderBy("model", "idx").collect()
+    assert [(r.model, r.task, r.scenario, r.stamp, r.idx, r.query.id, r.workflow) for r in got] == [
+        ("model-x", "os", "rag", "20250102_030405", 0, "a", "wa"),
+        ("model-x", "os", "rag", "20250102_030405", 1, "b", "wb"),
+        ("model-y", "lumos", "i0", "20250102_030405", 0, "c", "wc"),
+    ]
+    put(tmp_path / "model-y" / "lumos" / "graph_eval_i0_20250102_030407.json", {"no": "list"})
+    with pytest.raises(Exception, match="not a JSON list"):
+        J.read_prediction_files(spark, str(tmp_path)).count()
+
+
 def test_scenario_from_file_names(spark):
     names = {
         "p/graph_eval_sft_20260710_030000.json": "sft",
