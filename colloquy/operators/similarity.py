@@ -296,9 +296,9 @@ def _map_corpus(c, held: pa.Table, k, has_exclude, q) -> DataFrame:
             qi, s, ids = best
             yield _rows(q_ids, qi, ranks_within(qi), ids, np.arange(len(ids)), s)
 
-    # Few, long tasks: each gives out k rows per query.
-    tasks = 4 * c.sparkSession.sparkContext.defaultParallelism
-    local = c.coalesce(tasks).mapInArrow(scan, _result_schema(q, c))
+    # The corpus keeps its partitions: a coalesce would draw its scan and embedding into
+    # few tasks. Each task gives out k rows per query.
+    local = c.mapInArrow(scan, _result_schema(q, c))
     w = Window.partitionBy("qid").orderBy(F.desc("score"), "id")
     return local.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
