@@ -7,12 +7,16 @@ kept. They are cut into blocks of columns; a task sorts its block and drops colu
 one entry. The product is then taken in two steps:
 
 1. star: every entry meets the smallest set of its column; sizes that cannot reach t are
-   discarded, the rest verified on whole sets. That is linear in the entries and ties
-   large groups of near copies together.
+   discarded, the rest verified on whole sets, for each set one such pair first, and
+   others where that leaves them apart. That is linear in the entries and ties large
+   groups of near copies together.
 2. rest: overlap counts are accumulated over all columns for pairs whose sets are still
    in different components, and pairs below the bound that their sizes give are
    discarded before the rest is verified.
 
+Both steps know how many shingles of a set come from a column on. The first column that two
+similar sets share leaves enough on both sides to reach t, so other columns make no pair.
+
 A pair left out by step 2 is connected already, so components are exact. Equal sets are
 one row of the matrix. Shingles are hashes (64 bits for the matrix, 48 where pairs are verified); a collision can
 only matter for pairs at the very threshold. Columns that are frequent in a bounded sample of sets are dealt by
@@ -87,12 +91,16 @@ def frequent_columns(df: DataFrame, classes: DataFrame, n: int, id_column: str,
 
 def incidence(df: DataFrame, frequent: np.ndarray, blocks: int, n: int, num: int, den: int,
               text_column: str) -> DataFrame:
-    """(col, cls, size) of the prefix entries, columns with one entry dropped."""
+    """(col, cls, size, ahead) of the prefix entries, columns with one entry dropped.
+
+    ``ahead``: at least as many as the set's shingles from this column on, itself included
+    (places are kept in 256 steps of the prefix, rounded down).
+    """
     rank = np.argsort(frequent)
     ordered = frequent[rank]
 
     def entries(batch: pa.RecordBatch) -> dict | None:
-        block, col, doc, classes, sizes = [], [], [], [], []
+        block, col, doc, step, classes, sizes = [], [], [], [], [], []
         seen = set()
         for data in texts.utf8(batch, text_column):
             s = shingle_set(data, n)
@@ -113,20 +121,22 @@ def incidence(df: DataFrame, frequent: np.ndarray, blocks: int, n: int, num: int
             block.append(np.where(common, -1 - cls % blocks, (t % np.uint64(blocks)).astype(np.int64)))
             col.append(np.where(common, place.astype(np.uint64), t >> np.uint64(32)).astype(np.uint32))
             doc.append(np.full(p, len(classes), np.int32))
+            step.append((np.arange(p) * 256 // p).astype(np.uint8))
             classes.append(cls)
             sizes.append(len(s))
         if not classes:
             return None
-        block, col, doc = map(np.concatenate, (block, col, doc))
+        block, col, doc, step = map(np.concatenate, (block, col, doc, step))
         order = np.lexsort((doc, block))
-        block, col, doc = block[order], col[order], doc[order]
+        block, col, doc, step = block[order], col[order], doc[order], step[order]
         cls, size = np.array(classes, np.int64), np.array(sizes, np.int32)
         starts = np.flatnonzero(np.diff(block, prepend=block[0] - 1))
-        out: dict[str, list] = {k: [] for k in ("block", "cols", "cls", "sizes", "counts")}
+        out: dict[str, list] = {k: [] for k in ("block", "cols", "steps", "cls", "sizes", "counts")}
         for lo, hi in zip(starts, [*starts[1:], len(block)]):
             mine, counts = np.unique(doc[lo:hi], return_counts=True)
             out["block"].append(int(block[lo]))
             out["cols"].append(col[lo:hi].tobytes())
+            out["steps"].append(step[lo:hi].tobytes())
             out["cls"].append(cls[mine].tobytes())
             out["sizes"].append(size[mine].tobytes())
             out["counts"].append(counts.astype(np.int32).tobytes())
@@ -134,29 +144,31 @@ def incidence(df: DataFrame, frequent: np.ndarray, blocks: int, n: int, num: int
 
     packed = texts.map_slices(
         df.select(text_column), text_column, entries,
-        "block bigint, cols binary, cls binary, sizes binary, counts binary",
+        "block bigint, cols binary, steps binary, cls binary, sizes binary, counts binary",
     )
 
     def shared(table: pa.Table) -> pa.Table:
         block = table.column("block")[0].as_py()
         join = lambda c, kind: np.frombuffer(b"".join(table.column(c).to_pylist()), kind)
-        cols, counts = join("cols", np.uint32), join("counts", np.int32)
+        cols, step, counts = join("cols", np.uint32), join("steps", np.uint8), join("counts", np.int32)
         cls, size = np.repeat(join("cls", np.int64), counts), np.repeat(join("sizes", np.int32), counts)
         order = np.lexsort((cls, cols))
-        cols, cls, size = cols[order], cls[order], size[order]
+        cols, cls, size, step = cols[order], cls[order], size[order].astype(np.int64), step[order].astype(np.int64)
         new_col = np.diff(cols.astype(np.int64), prepend=-1) != 0
         keep = new_col | (np.diff(cls, prepend=cls[0] - 1 if cls[0] > -(1 << 63) else 0) != 0)
-        cols, cls, size = cols[keep], cls[keep], size[keep]
+        cols, cls, size, step = cols[keep], cls[keep], size[keep], step[keep]
         if block >= 0:
             _, at, n_entries = np.unique(cols, return_inverse=True, return_counts=True)
             many = n_entries[at] > 1
-            cols, cls, size = cols[many], cls[many], size[many]
+            cols, cls, size, step = cols[many], cls[many], size[many], step[many]
             col = block * (1 << 32) + cols.astype(np.int64)
         else:
             col = -1 - cols.astype(np.int64)
-        return pa.table({"col": pa.array(col, pa.int64()), "cls": pa.array(cls, pa.int64()), "size": pa.array(size, pa.int32())})
+        ahead = size + (-step * _prefix(size, num, den)) // 256
+        return pa.table({"col": pa.array(col, pa.int64()), "cls": pa.array(cls, pa.int64()),
+                         "size": pa.array(size, pa.int64()), "ahead": pa.array(ahead, pa.int64())})
 
-    return packed.groupBy("block").applyInArrow(shared, "col bigint, cls bigint, size int")
+    return packed.groupBy("block").applyInArrow(shared, "col bigint, cls bigint, size bigint, ahead bigint")
 
 
 def short_members(s: np.ndarray) -> bytes:
@@ -176,29 +188,87 @@ def compatible(a: str, b: str, num: int, den: int):
     return (F.least(a, b) * den >= F.greatest(a, b) * num)
 
 
-def verified(pairs: DataFrame, df: DataFrame, classes: DataFrame, n: int, num: int, den: int,
-             id_column: str, text_column: str) -> DataFrame:
-    """Those of ``pairs`` (a, b) whose whole sets are similar enough."""
+def reachable(ahead, size_a: str, size_b: str, num: int, den: int):
+    """Whether an overlap of ``ahead`` makes sets of these sizes similar enough."""
+    return ahead * (num + den) >= (F.col(size_a) + F.col(size_b)) * num
+
+
+def signature(s: np.ndarray) -> bytes:
+    """Parities of how many members fall on each of about ``len(s)`` places (a power of two).
+
+    Two of them differ in at most as many places as the sets differ in members."""
+    places = max(64, 1 << (len(s) - 1).bit_length())
+    odd = np.bincount((s & np.uint64(places - 1)).astype(np.int64), minlength=places) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+def differing(x: np.ndarray, y: np.ndarray) -> int:
+    """Places in which two signatures differ; the longer one is folded."""
+    if len(x) > len(y):
+        x, y = y, x
+    return int(np.bitwise_count(np.bitwise_xor.reduce(y.reshape(-1, len(x)), axis=0) ^ x).sum())
+
+
+def set_table(pairs: DataFrame, df: DataFrame, classes: DataFrame, n: int, id_column: str, text_column: str,
+              known: DataFrame | None = None) -> DataFrame:
+    """(cls, size, bits, members) of the sets in ``pairs``; those in ``known`` come from there."""
     needed = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct()
+    if known is not None:
+        needed = needed.join(known.select("cls"), "cls", "left_anti")
     ids = materialize(
         needed.join(classes, "cls").select(F.col("id").alias("rep"), "cls", "n_shingles"), "needed"
     )
 
     def sets(batch: pa.RecordBatch) -> dict:
+        found = [shingle_set(x, n) for x in texts.utf8(batch, text_column)]
+        # A repeated id may stand for other texts as well.
+        own = [
+            (c, s) for c, s in zip(batch.column("cls").to_pylist(), found)
+            if xxhash.xxh3_64_intdigest(s.tobytes()) == c % (1 << 64)
+        ]
         return {
-            "cls": batch.column("cls"),
-            "members": [short_members(shingle_set(x, n)) for x in texts.utf8(batch, text_column)],
+            "cls": [c for c, _ in own], "size": [len(s) for _, s in own],
+            "bits": [signature(s) for _, s in own], "members": [short_members(s) for _, s in own],
         }
 
     whole = df.select(F.col(id_column).cast("long").alias("rep"), text_column).join(
         ids.where("n_shingles > 0"), "rep"
     )
     with bloom_join(df.sparkSession):
-        found = materialize(texts.map_slices(whole.select("cls", text_column), text_column, sets, "cls bigint, members binary"), "sets")
-    both = (
-        pairs.join(found.select(F.col("cls").alias("b"), F.col("members").alias("members_b")), "b")
-        .join(found.select(F.col("cls").alias("a"), F.col("members").alias("members_a")), "a")
-    )
+        made = materialize(texts.map_slices(
+            whole.select("cls", text_column), text_column, sets, "cls bigint, size bigint, bits binary, members binary"
+        ), "sets")
+    return made if known is None else known.union(made)
+
+
+def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Those of ``pairs`` (a, b) whose whole sets are similar enough.
+
+    Signatures come first: they bound the overlap from above and are a fiftieth of the
+    sets, so sets are sent only for pairs that can be similar.
+    """
+
+    def with_sets(these: DataFrame, *columns: str) -> DataFrame:
+        for x in ("b", "a"):
+            these = these.join(
+                sets.select(F.col("cls").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in columns]), x
+            )
+        return these
+
+    def chosen(batch: pa.RecordBatch, keep: list) -> pa.RecordBatch:
+        mask = pa.array(keep, pa.bool_())
+        return pa.RecordBatch.from_arrays(
+            [batch.column("a").filter(mask), batch.column("b").filter(mask)], names=["a", "b"]
+        )
+
+    def possible(batches):
+        for batch in batches:
+            keep = []
+            sizes = zip(batch.column("size_a").to_pylist(), batch.column("size_b").to_pylist())
+            for both, x, y in zip(sizes, batch.column("bits_a"), batch.column("bits_b")):
+                d = differing(np.frombuffer(x.as_buffer(), np.uint8), np.frombuffer(y.as_buffer(), np.uint8))
+                keep.append((sum(both) - d) // 2 * (num + den) >= num * sum(both))
+            yield chosen(batch, keep)
 
     def similar(batches):
         for batch in batches:
@@ -210,18 +280,15 @@ def verified(pairs: DataFrame, df: DataFrame, classes: DataFrame, n: int, num: i
                 at = np.minimum(np.searchsorted(y, x), len(y) - 1)
                 inter = int((y[at] == x).sum())
                 keep.append(den * inter >= num * (len(x) + len(y) - inter))
-            mask = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("a").filter(mask), batch.column("b").filter(mask)], names=["a", "b"]
-            )
+            yield chosen(batch, keep)
 
-    return both.select("a", "b", "members_a", "members_b").mapInArrow(similar, "a bigint, b bigint")
+    close = materialize(with_sets(pairs, "size", "bits").mapInArrow(possible, "a bigint, b bigint"), "close")
+    return materialize(with_sets(close, "members").mapInArrow(similar, "a bigint, b bigint"), "similar")
 
 
 def similar_components(df: DataFrame, n: int = 5, num: int = 75, den: int = 100,
                        id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """One row per document: id, n_shingles, component_id."""
-    args = (n, num, den, id_column, text_column)
     profiles = materialize(set_profiles(df, n, id_column, text_column), "profiles")
     classes = materialize(
         profiles.where("cls IS NOT NULL").groupBy("cls").agg(F.min("id").alias("id"), F.max("n_shingles").alias("n_shingles")),
@@ -232,12 +299,24 @@ def similar_components(df: DataFrame, n: int = 5, num: int = 75, den: int = 100,
     frequent = frequent_columns(df, classes, n, id_column, text_column)
     inc = materialize(incidence(df, frequent, blocks, n, num, den, text_column), "incidence")
 
-    hubs = inc.groupBy("col").agg(F.min(F.struct("cls", "size")).alias("hub"))
+    hubs = inc.groupBy("col").agg(F.min(F.struct("cls", "size", "ahead")).alias("hub"))
     star = materialize(
         inc.join(hubs, "col").where("cls <> hub.cls").where(compatible("size", "hub.size", num, den))
+        .where(reachable(F.least("ahead", "hub.ahead"), "size", "hub.size", num, den))
         .select(F.col("hub.cls").alias("a"), F.col("cls").alias("b")).distinct(), "star",
     )
-    links = materialize(verified(star, df, classes, *args), "links")
+    source = (df, classes, n, id_column, text_column)
+    sets = set_table(star, *source)
+    # One hub of each set first; its others only where that leaves them apart.
+    first = materialize(star.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "first")
+    links = verified(first, sets, num, den)
+    known = components(links)
+    of = lambda x: known.select(F.col("id").alias(x), F.col("component").alias(f"component_{x}"))
+    others = (
+        star.join(first, ["a", "b"], "left_anti").join(of("a"), "a", "left").join(of("b"), "b", "left")
+        .where(F.coalesce("component_a", "a") != F.coalesce("component_b", "b")).select("a", "b")
+    )
+    links = links.union(verified(others, sets, num, den))
     known = components(links)
 
     labelled = inc.join(known.withColumnRenamed("id", "cls"), "cls", "left").withColumn(
@@ -246,18 +325,22 @@ def similar_components(df: DataFrame, n: int = 5, num: int = 75, den: int = 100,
     mixed = labelled.groupBy("col").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
     open_entries = materialize(labelled.join(mixed.select("col"), "col", "left_semi"), "open")
     side = lambda x: open_entries.select(
-        "col", F.col("cls").alias(x), F.col("size").alias(f"size_{x}"), F.col("component").alias(f"component_{x}"))
-    # |A n B| <= shared prefix entries + what either leaves out of its prefix.
-    left_out = lambda c: F.ceil(F.col(c) * num / den) - 1
+        "col", F.col("cls").alias(x), F.col("size").alias(f"size_{x}"), F.col("ahead").alias(f"ahead_{x}"),
+        F.col("component").alias(f"component_{x}"))
+    # The shared columns that leave enough are the first ones; what two sets share is
+    # these, and at most what comes after the last of them.
     rest = (
         side("a").join(side("b"), "col").where("a < b AND component_a <> component_b")
         .where(compatible("size_a", "size_b", num, den))
-        .groupBy("a", "b").agg(F.count("*").alias("shared"), F.first("size_a").alias("size_a"), F.first("size_b").alias("size_b"))
-        .where((F.col("shared") + F.greatest(left_out("size_a"), left_out("size_b"))) * (num + den)
-               >= (F.col("size_a") + F.col("size_b")) * num)
+        .where(reachable(F.least("ahead_a", "ahead_b"), "size_a", "size_b", num, den))
+        .groupBy("a", "b").agg(
+            F.count("*").alias("shared"), F.min(F.least("ahead_a", "ahead_b")).alias("ahead"),
+            F.first("size_a").alias("size_a"), F.first("size_b").alias("size_b"))
+        .where(reachable(F.col("shared") - 1 + F.col("ahead"), "size_a", "size_b", num, den))
         .select("a", "b").join(star, ["a", "b"], "left_anti")
     )
-    more = materialize(verified(materialize(rest, "rest"), df, classes, *args), "links")
+    rest = materialize(rest, "rest")
+    more = verified(rest, set_table(rest, *source, known=sets), num, den)
 
     # Components over sets, named by the smallest document of any of their sets.
     whole = components(links.union(more)).withColumnRenamed("id", "cls")

@@ -367,3 +367,15 @@ def test_pipeline_stages(spark, docs, tmp_path):
                     assert len(r.text.encode()) <= want[r.doc_id][0] - want[r.doc_id][1]
     last = corpus_pipeline.STAGES[-1][1](spark, kept, str(tmp_path))
     assert {r.doc_id for r in last.collect()} == {r.doc_id for r in kept.collect()}
+
+
+def test_signatures_bound_the_difference():
+    rng = np.random.default_rng(5)
+    for _ in range(200):
+        both = rng.integers(0, 1 << 63, rng.integers(0, 400), dtype=np.uint64)
+        x, y = (np.unique(np.concatenate([both, rng.integers(0, 1 << 63, rng.integers(1, 300), dtype=np.uint64)]))
+                for _ in range(2))
+        bits = [np.frombuffer(jaccard_join.signature(s), np.uint8) for s in (x, y)]
+        d = jaccard_join.differing(*bits)
+        assert d <= len(np.setxor1d(x, y)) and d == jaccard_join.differing(*bits[::-1])
+        assert jaccard_join.differing(bits[0], bits[0]) == 0
