@@ -151,10 +151,17 @@ def kept_turns(turns: DataFrame, keys: Sequence[str], fitted: DataFrame) -> Data
 
 
 def sft_dataset(
-    turns: DataFrame, keys: Sequence[str], max_tokens: int = DEFAULT_MAX_TOKENS
+    turns: DataFrame,
+    keys: Sequence[str],
+    max_tokens: int = DEFAULT_MAX_TOKENS,
+    *,
+    fitted: DataFrame | None = None,
 ) -> DataFrame:
-    """Fitted conversations as ``messages`` arrays, each bounded by the budget."""
-    kept = kept_turns(turns, keys, fit_budget(turns, keys, max_tokens))
+    """Fitted conversations as ``messages`` arrays, each bounded by the budget.
+    ``fitted``: a fit made before, by a tokenizer for instance."""
+    if fitted is None:
+        fitted = fit_budget(turns, keys, max_tokens)
+    kept = kept_turns(turns, keys, fitted)
     return gather_messages(kept, keys)
 
 
@@ -204,17 +211,18 @@ def fit_budget_with_tokenizer(
     keys: Sequence[str],
     max_tokens: int,
     load_tokenizer: Callable[[], Callable[[str], int]],
-    *,
-    max_chars_per_token: int,
 ) -> DataFrame:
-    """``fit_budget`` with a real tokenizer: ``load_tokenizer()`` gives, once per
-    Python worker, a function from text to token count.
-
-    ``max_chars_per_token`` is the longest text one token stands for. A suffix
-    with more characters than that times the budget cannot fit, so only turns
-    inside that bound are gathered and tokenised; the rest is decided by length.
+    """``fit_budget`` with a real tokenizer, in the same columns: ``load_tokenizer()``
+    gives, once per Python worker and once here, a function from text to token count.
+
+    If that function has an attribute ``max_chars_per_token``, the longest text one
+    token of its vocabulary stands for, a suffix with more characters than that times
+    the budget cannot fit: only turns inside that bound are gathered and tokenised, and
+    ``tokens_before`` is null where the whole is beyond it. Without the attribute,
+    conversations are gathered and tokenised in full.
     """
-    most = max_tokens * max_chars_per_token
+    longest = getattr(load_tokenizer(), "max_chars_per_token", None)
+    most = float("inf") if longest is None else max_tokens * longest
     m = _measured(turns, keys)
     # ``left`` of the turn before: what remains if the cut falls right before it.
     start_left = F.col("left") + F.col("_chars")
@@ -224,36 +232,41 @@ def fit_budget_with_tokenizer(
         F.max("_body").alias("_body"),
         F.max("_sys").alias("_sys"),
         F.max("total").alias("_total"),
+        F.max("has_system").alias("has_system"),
+        F.min("turn").alias("first_turn"),
+        F.max("turn").alias("last_turn"),
         F.array_sort(
             F.collect_list(F.when(near, F.struct("rank", X.plain_line(F.col("role"), F.col("content")).alias("line"))))
         ).alias("_near"),
     )
 
-    @F.pandas_udf("long")
-    def first_fit(rows: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+    @F.pandas_udf("k long, before long, after long")
+    def first_fit(rows: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
         count = load_tokenizer()
 
-        def fit(n, sys, body, total, near) -> int:
+        def fit(n, sys, body, total, near) -> tuple[int, int | None, int | None]:
             lines = {r["rank"]: r["line"] for r in near}
-            if total - 1 <= most and count("\n".join(lines[i] for i in range(n))) <= max_tokens:
-                return 0
+            before = count("\n".join(lines[i] for i in range(n))) if total - 1 <= most else None
+            if before is not None and before <= max_tokens:
+                return 0, before, before
             if body < 2 or body % 2:
-                return -2
+                return -2, before, None
             for k in range(1, (body - 2) // 2 + 1):
                 ranks = list(range(sys)) + list(range(sys + 2 * k, n))
                 if all(r in lines for r in (ranks[0], *ranks[sys:sys + 1])):
-                    if count("\n".join(lines[r] for r in ranks)) <= max_tokens:
-                        return k
-            return -1
+                    after = count("\n".join(lines[r] for r in ranks))
+                    if after <= max_tokens:
+                        return k, before, after
+            return -1, before, None
 
-        for n, sys, body, total, near_lines in rows:
-            yield pd.Series(
-                [fit(*r) for r in zip(n, sys, body, total, near_lines)], dtype="int64"
-            )
+        for batch in rows:
+            yield pd.DataFrame(
+                [fit(*r) for r in zip(*batch)], columns=["k", "before", "after"]
+            ).astype("Int64")
 
-    k = F.col("_k")
+    k = F.col("_fit.k")
     return per.withColumn(
-        "_k", first_fit("n_turns", "_sys", "_body", "_total", "_near")
+        "_fit", first_fit.asNondeterministic()("n_turns", "_sys", "_body", "_total", "_near")
     ).select(
         *keys,
         "n_turns",
@@ -263,4 +276,10 @@ def fit_budget_with_tokenizer(
         .otherwise("dropped")
         .alias("tag"),
         F.greatest(k, F.lit(0)).alias("n_dropped"),
+        F.col("_fit.before").alias("tokens_before"),
+        F.col("_fit.after").alias("tokens_after"),
+        "has_system",
+        "first_turn",
+        "last_turn",
+        F.when(k > 0, F.col("first_turn") + F.col("_sys") + 2 * k - 1).alias("cut_turn"),
     )

@@ -7,6 +7,7 @@ from colloquy.operators.scenarios import SCENARIO_IDS, TASKS
 from colloquy.plans.tables import MODELS, NEW_STAMP, OLD_STAMP, SHARD_ITEMS, STAMP
 
 BUDGET = 500
+WORD_BUDGET = 300
 SFT_LENGTH = 1_500
 
 
@@ -109,10 +110,12 @@ FROM t GROUP BY conv_id"""
 
 # --- budget -----------------------------------------------------------------
 
-_FIT = f"""
+def _fit(size: str, tokens, budget: int) -> str:
+    """``size`` of a turn, ``tokens`` of a sum of sizes."""
+    return f"""
 sized AS (
   SELECT conv_id, turn, role, text,
-    length(role) + length(text) + 3 AS c,
+    {size} AS c,
     row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS r
   FROM conversations),
 conv AS (
@@ -121,17 +124,16 @@ conv AS (
   FROM sized GROUP BY conv_id),
 cand AS (
   SELECT conv_id, k,
-    greatest(1, (CASE WHEN s = 1 THEN cs[1] ELSE 0 END
-      + list_sum(cs[s + 2 * k + 1:]) - 1) // 4) AS tokens
+    {tokens('CASE WHEN s = 1 THEN cs[1] ELSE 0 END + list_sum(cs[s + 2 * k + 1:])')} AS tokens
   FROM (SELECT *, unnest(range(1, CAST((n - s) // 2 AS BIGINT))) AS k FROM conv
         WHERE (n - s) % 2 = 0)),
 first_fit AS (
   SELECT conv_id, min(k) AS k, arg_min(tokens, k) AS tokens
-  FROM cand WHERE tokens <= {BUDGET} GROUP BY conv_id),
+  FROM cand WHERE tokens <= {budget} GROUP BY conv_id),
 fit AS (
   SELECT conv_id, n, s,
-    greatest(1, (total - 1) // 4) AS before, f.k, f.tokens,
-    CASE WHEN greatest(1, (total - 1) // 4) <= {BUDGET} THEN 'full'
+    {tokens('total')} AS before, f.k, f.tokens,
+    CASE WHEN {tokens('total')} <= {budget} THEN 'full'
          WHEN n - s < 2 OR (n - s) % 2 <> 0 THEN 'malformed'
          WHEN f.k IS NOT NULL THEN 'drop_' || f.k || '_demo'
          ELSE 'dropped' END AS tag
@@ -144,6 +146,9 @@ kept AS (
   FROM sized JOIN fitted USING (conv_id)
   WHERE tag NOT IN ('dropped', 'malformed') AND ((s = 1 AND r = 0) OR r >= s + 2 * gone))"""
 
+_FIT = _fit("length(role) + length(text) + 3", lambda x: f"greatest(1, ({x} - 1) // 4)", BUDGET)
+_FIT_WORDS = _fit(r"len(regexp_extract_all(role || ': ' || text, '[^\x20\x09-\x0D]+'))", str, WORD_BUDGET)
+
 _EXAMPLES = rf"""{_FIT},
 rendered AS (
   SELECT conv_id,
@@ -604,6 +609,11 @@ FROM fitted""",
     "sft_dataset": f"""WITH {_FIT.replace('FROM conversations', '''FROM (SELECT conv_id, turn, text,
   CASE WHEN role IN ('user', 'human') THEN 'user' WHEN role IN ('assistant', 'gpt') THEN 'assistant'
   ELSE role END AS role FROM conversations)''')}
+SELECT conv_id, tag, count(*) AS n_messages,
+  string_agg(role || ': ' || text, E'\\n' ORDER BY turn) AS text FROM kept GROUP BY ALL""",
+    "sft_dataset_tokenizer": f"""WITH {_FIT_WORDS.replace('FROM conversations', '''FROM (SELECT conv_id, turn, text,
+  CASE WHEN role IN ('user', 'human') THEN 'user' WHEN role IN ('assistant', 'gpt') THEN 'assistant'
+  ELSE role END AS role FROM conversations)''')}
 SELECT conv_id, tag, count(*) AS n_messages,
   string_agg(role || ': ' || text, E'\\n' ORDER BY turn) AS text FROM kept GROUP BY ALL""",
     "masked_examples": f"""WITH {_EXAMPLES}

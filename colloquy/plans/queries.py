@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -29,6 +30,7 @@ from colloquy.sources import json_items, tables as S
 Query = Callable[[SparkSession, str], DataFrame]
 
 BUDGET = 500
+WORD_BUDGET = 300
 SFT_LENGTH = 1_500
 TOP_K = 2
 CONV = ["conv_id"]
@@ -454,6 +456,27 @@ def sft_dataset(spark, sf_dir):
     )
 
 
+def _word_tokenizer():
+    """A tokenizer SQL can restate: words between ASCII blanks."""
+    word = re.compile(r"[^ \t-\r]+")
+    return lambda text: len(word.findall(text))
+
+
+def sft_dataset_tokenizer(spark, sf_dir):
+    turns = materialize(
+        C.select_field(G.field_turns(spark, sf_dir), CONV, prefer="messages"), "turns"
+    )
+    fitted = materialize(
+        budget.fit_budget_with_tokenizer(turns, CONV, WORD_BUDGET, _word_tokenizer), "fitted"
+    )
+    return budget.sft_dataset(turns, CONV, fitted=fitted).select(
+        "conv_id",
+        "tag",
+        F.size("messages").cast("long").alias("n_messages"),
+        X.plain_text(F.col("messages")).alias("text"),
+    )
+
+
 def _examples(spark, sf_dir) -> DataFrame:
     dataset = budget.sft_dataset(G.turns(spark, sf_dir), CONV, BUDGET)
     return training.masked_examples(dataset, CONV, SFT_LENGTH)
@@ -715,7 +738,7 @@ QUERIES: dict[str, Query] = {
         hash_embed, topk_cosine, topk_exclude, topk_scan_corpus, topk_blocked,
         fewshot_block, prompt_base, prompt_rag, prompt_joined, prompt_inject,
         plain_text, token_estimate, budget_fit, budget_messages, budget_outcomes,
-        budget_stats, sft_dataset, masked_examples, mask_report, pad_examples,
+        budget_stats, sft_dataset, sft_dataset_tokenizer, masked_examples, mask_report, pad_examples,
         predict_nn_copy, predict_fail_isolated, skip_counts,
         workflow_nodes, workflow_edges, node_match, node_match_similarity, chain_score,
         chain_score_any_order, edge_overlap, graph_score, eval_status,

@@ -172,7 +172,7 @@ def test_budget_with_tokenizer(spark):
         for c in random_conversations(80, seed=5)
     ]
     got = budget.fit_budget_with_tokenizer(
-        table(spark, *conversations), ["conv_id"], 40, load, max_chars_per_token=12)
+        table(spark, *conversations), ["conv_id"], 40, load)
     tags = {r["conv_id"]: r["tag"] for r in got.collect()}
     assert tags == {c: rule(m, 40) for c, m in enumerate(conversations)}
 
