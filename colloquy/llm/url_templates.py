@@ -1,10 +1,11 @@
 """Operator 9: URL filters by a path-template tree.
 
 Given rules (host, path prefix) come first; the longest that fits decides. Other pages
-are judged by templates: per host, path segments that are numbers become wildcards, and
-so do positions where a node has very many different children. Branches that differ in
-one literal segment and whose share of bad labels does not differ statistically are
-merged. A template is rejected when its smoothed share of bad labels is half or more.
+are judged by templates: per host, runs of digits become wildcards. Then, from the last
+segment to the first, templates that differ in that segment alone are siblings; those
+whose share of bad labels does not differ statistically from all siblings' become one
+template with ``{any}`` there. Neither depth nor number of children is bounded. A
+template is rejected when its smoothed share of bad labels is half or more.
 
 Everything is DataFrame functions. Pages are combined to (host, shape of path) counts
 before anything is shuffled, so a hot host is one row per shape and task. A url that is
@@ -14,19 +15,15 @@ are judged alike; an empty table gives no rows; extra columns are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from colloquy.session import materialize
 
-#: Segments a template tells apart; deeper ones are its tail.
-DEPTH = 4
-#: Children of a node beyond which its segment becomes a wildcard.
-FAN_OUT = 32
 #: Weight, in labels, of the overall share that every template starts from.
 PRIOR_WEIGHT = 10.0
 REJECT_FROM = 0.5
-#: Standard errors by which a branch must differ from its siblings to stand alone.
+#: Standard errors by which a template must differ from its siblings to stand alone.
 DIFFERENT = 3.0
 
 RULES = [
@@ -56,52 +53,55 @@ def fitting_rule(host: Column, path: Column, rules=RULES) -> Column:
 
 
 def path_shape(path: Column) -> Column:
-    """The path's segments with runs of digits as wildcards, the first ``DEPTH`` apart."""
+    """The path's segments with runs of digits as wildcards."""
     segments = F.filter(F.split(path, "/"), lambda s: s != "")
-    shaped = F.transform(segments, lambda s: F.regexp_replace(s, "[0-9]+", "{n}"))
-    return F.when(F.size(shaped) > DEPTH, F.concat(F.slice(shaped, 1, DEPTH), F.array(F.lit("**")))).otherwise(shaped)
+    return F.transform(segments, lambda s: F.regexp_replace(s, "[0-9]+", "{n}"))
+
+
+def open_levels(shapes: DataFrame) -> list[int]:
+    """Positions at which shapes of one host and length differ, deepest first. Siblings
+    have one length, so no other position has any."""
+    segments = shapes.select("host", F.size("shape").alias("length"), F.posexplode("shape").alias("level", "segment"))
+    differ = segments.groupBy("host", "length", "level").agg(F.min("segment").alias("a"), F.max("segment").alias("b"))
+    return sorted((r.level for r in differ.where("a <> b").select("level").distinct().collect()), reverse=True)
 
 
 def template_tree(shapes: DataFrame) -> DataFrame:
     """(host, shape, n_labels, n_bad) with the template each shape belongs to."""
-    tree = shapes.withColumn("prefix", F.lit(""))
-    for level in range(DEPTH + 1):
-        segment = F.get("shape", F.lit(level))
-        fan = tree.groupBy("host", "prefix").agg(F.count_distinct(segment).alias("fan"))
-        step = F.when(segment.isNull(), "").when(
-            (F.col("fan") > FAN_OUT) & ~segment.contains("{n}"), F.lit("/{any}")
-        ).otherwise(F.concat(F.lit("/"), segment))
-        tree = tree.join(fan, ["host", "prefix"]).withColumn("prefix", F.concat("prefix", step)).drop("fan")
-        # A level reads the one above twice; written, the plan doesn't double with each.
+    tree = shapes.withColumn("template", F.col("shape"))
+    for level in open_levels(shapes):
+        family = F.transform("template", lambda s, i: F.when(i == level, F.lit("{any}")).otherwise(s))
+        nodes = tree.where(F.size("template") > level).groupBy("host", "template").agg(
+            F.sum("n_labels").alias("n"), F.sum("n_bad").alias("bad")
+        ).withColumn("family", family)
+        families = nodes.groupBy("host", "family").agg(
+            F.sum("n").alias("all_n"), F.sum("bad").alias("all_bad"), F.count("*").alias("members")
+        )
+        share = (F.col("all_bad") + 1) / (F.col("all_n") + 2)
+        n = F.when(F.col("n") > 0, F.col("n"))
+        alike = (F.col("n") == 0) | (
+            F.abs(F.col("bad") / n - share) <= DIFFERENT * F.sqrt(share * (1 - share) / n)
+        )
+        merged = nodes.join(families, ["host", "family"]).where((F.col("members") > 1) & alike)
+        tree = tree.join(merged.select("host", "template", "family"), ["host", "template"], "left").select(
+            "host", "shape", "n_labels", "n_bad", F.coalesce("family", "template").alias("template")
+        )
+        # A level reads the one above more than once; written, the plan doesn't grow with each.
         tree = materialize(tree, "templates")
-    return tree.withColumnRenamed("prefix", "template")
+    steps = F.transform("template", lambda s: F.concat(F.lit("/"), s))
+    return tree.withColumn("template", F.array_join(steps, ""))
 
 
 def judged_templates(tree: DataFrame) -> DataFrame:
-    """(host, template, branch, purity): purity is the smoothed share of bad labels."""
+    """(host, template, purity): purity is the smoothed share of bad labels."""
     nodes = tree.groupBy("host", "template").agg(F.sum("n_labels").alias("n"), F.sum("n_bad").alias("bad"))
-    # Siblings: the same path but for the first segment.
-    family = F.regexp_replace("template", r"^/[^/]*", "/{branch}")
     everywhere = nodes.agg(
         ((F.sum("bad") + 1) / (F.sum("n") + 2)).alias("prior")
     ).select(F.coalesce("prior", F.lit(0.5)).alias("prior"))
-    siblings = Window.partitionBy("host", "family")
-    nodes = nodes.withColumn("family", family).withColumn("all_n", F.sum("n").over(siblings)).withColumn(
-        "all_bad", F.sum("bad").over(siblings)
-    )
-    share = (F.col("all_bad") + 1) / (F.col("all_n") + 2)
-    alike = (F.col("n") == 0) | (
-        F.abs(F.col("bad") / F.when(F.col("n") > 0, F.col("n")) - share)
-        <= DIFFERENT * F.sqrt(share * (1 - share) / F.when(F.col("n") > 0, F.col("n")))
-    )
-    nodes = nodes.withColumn("branch", F.when(alike, F.col("family")).otherwise(F.col("template")))
-    merged = Window.partitionBy("host", "branch")
     # One row of prior: a count over all labels.
-    return (
-        nodes.withColumn("n", F.sum("n").over(merged)).withColumn("bad", F.sum("bad").over(merged))
-        .join(F.broadcast(everywhere))
-        .select("host", "template", "branch",
-                ((F.col("bad") + PRIOR_WEIGHT * F.col("prior")) / (F.col("n") + PRIOR_WEIGHT)).alias("purity"))
+    return nodes.join(F.broadcast(everywhere)).select(
+        "host", "template",
+        ((F.col("bad") + PRIOR_WEIGHT * F.col("prior")) / (F.col("n") + PRIOR_WEIGHT)).alias("purity"),
     )
 
 

@@ -311,6 +311,33 @@ def test_url_filters(spark):
     assert url_templates.judge(df.limit(0), labels.limit(0)).count() == 0
 
 
+def url_verdicts(spark, groups):
+    """``groups``: (url without its number, labels as text: b bad, g good, - none)."""
+    pages = [(i, f"{url}{i}", mark) for i, (url, mark) in enumerate((u, m) for u, marks in groups for m in marks)]
+    df = spark.createDataFrame([p[:2] for p in pages], "page_id bigint, url string")
+    labels = spark.createDataFrame([(i, m == "b") for i, _, m in pages if m != "-"], "document bigint, bad boolean")
+    rows = url_templates.judge(df, labels).collect()
+    return {(f"http://{r.host}" + r.path.rstrip("0123456789")): r for r in rows}
+
+
+def word(i):
+    return "s" + "".join(chr(97 + int(x)) for x in str(i))
+
+
+def test_url_filters_keep_a_bad_section_of_many(spark):
+    for sections in (31, 60):
+        got = url_verdicts(spark, [("http://w.net/spam/", "b" * 30)] + [(f"http://w.net/{word(i)}/", "g" * 5) for i in range(sections)])
+        assert got.pop("http://w.net/spam/").verdict == "block"
+        assert len(got) == sections and all((r.verdict, r.template) == ("allow", "/{any}/{n}") for r in got.values())
+
+
+def test_url_filters_tell_deep_branches_apart(spark):
+    for depth in (4, 5, 9):
+        top = "http://w.net/" + "/".join(["top"] * depth)
+        got = url_verdicts(spark, [(f"{top}/spam/x/", "b" * 30), (f"{top}/ok/x/", "g" * 90)])
+        assert (got[f"{top}/spam/x/"].verdict, got[f"{top}/ok/x/"].verdict) == ("block", "allow")
+
+
 def brute_passages(rows):
     seen, out = set(), {}
     for i, t in sorted(rows):
