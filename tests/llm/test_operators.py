@@ -220,6 +220,71 @@ def test_licences(docs):
     assert licenses.scan(far, known, first)[0] == []
 
 
+APACHE_HEADER = """
+# Licensed under the Apache License, Version 2.0 (the "License");
+# you may not use this file except in compliance with the License.
+# You may obtain a copy of the License at
+#
+#     http://www.apache.org/licenses/LICENSE-2.0
+#
+# Unless required by applicable law or agreed to in writing, software
+# distributed under the License is distributed on an "AS IS" BASIS,
+"""
+ASF_HEADER = """/*
+ * Licensed to the Apache Software Foundation (ASF) under one or more
+ * contributor license agreements.  See the NOTICE file distributed with
+ * this work for additional information regarding copyright ownership.
+ * The ASF licenses this file to You under the Apache License, Version 2.0
+ * (the "License"); you may not use this file except in compliance with
+ * the License.  You may obtain a copy of the License at
+ */"""
+MIT_TEXT = """MIT License
+
+Copyright (c) 2020 Somebody Else
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+"""
+GPL_HEADER = """ * This program is free software: you can redistribute it and/or modify
+ * it under the terms of the GNU General Public License as published by
+ * the Free Software Foundation, either version 3 of the License, or
+ * (at your option) any later version.
+ *
+ * This program is distributed in the hope that it will be useful,
+ * but WITHOUT ANY WARRANTY; without even the implied warranty of
+ * MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+"""
+
+
+def test_licences_wrapped_over_lines(spark):
+    mit = MIT_TEXT.replace("MIT License\n", "The MIT License (MIT)\n").replace("\n", "\r\n")
+    rows = [APACHE_HEADER, ASF_HEADER, MIT_TEXT, mit, GPL_HEADER, MIT_TEXT.replace("MIT License\n", ""),
+            "Copyright 2001 X.\nAll rights reserved.\nMore", "-" * 70 + " Licensed under CC BY 4.0", "no dot\nReleased under\nthe MIT License\nno dot",
+            "Released under\n\nthe MIT License", "Released under. The MIT License", GPL_HEADER + MIT_TEXT]
+    got = by_id(licenses.scan_documents(spark.createDataFrame(list(enumerate(rows)), "doc_id bigint, text string")))
+    want = ["Apache-2.0", "Apache-2.0", "MIT", "MIT", "GPL-3.0-or-later", "MIT", "All-Rights-Reserved", "CC-BY-4.0", "MIT", "", "", "GPL-3.0-or-later,MIT"]
+    assert [got[i].licences for i in range(len(rows))] == want
+    assert [got[i].n_matches for i in (0, 1, 2, 4, 11)] == [1, 1, 1, 1, 2]
+    assert [got[i].first_sentence for i in (0, 2, 6, 8)] == [0, 0, 1, 1]
+    known = licenses.known_sentences()
+    first = frozenset(s.split()[0] for s in known)
+    for text in (APACHE_HEADER, MIT_TEXT, GPL_HEADER):
+        marks = [name for *_, name in licenses.marked(text, known, first, licenses.beginnings(known))]
+        assert len(marks) == {APACHE_HEADER: 3, MIT_TEXT: 4, GPL_HEADER: 2}[text]
+
+
 def test_packing(docs, nothing):
     tok = Tokenizer.from_file(BPE)
     rows = packing.pack_documents(docs, BPE, capacity=64).collect()
