@@ -3,9 +3,10 @@
 Vectors are scaled to length one and split in two halves, each half with a codebook of
 its own (k-means on a bounded sample). The pairs of codewords are the cells of the
 product grid, and every vector is indexed in its cell. A vector visits cells in the
-multi-sequence order, by growing sum of its half distances, as many as a calibration
-against brute force on the sample says are needed for the target recall; what it meets
-there is verified by cosine in double precision.
+multi-sequence order, by growing sum of its half distances, as many as a calibration says
+are needed for the target recall: sampled queries are compared with all vectors, and if
+that gives too few pairs to tell the recall, also with made-up partners at the threshold.
+What a vector meets in its cells is verified by cosine in double precision.
 
 Equal vectors are one class with a count, so copies are never paired. Cells are cut
 into chunks, and visitors go to each chunk, so a hot cell is many tasks. Null, zero and
@@ -16,6 +17,7 @@ empty table gives no rows; extra columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import logging
 
 import numpy as np
 import pyarrow as pa
@@ -26,10 +28,14 @@ from colloquy.llm.components import components
 from colloquy.llm import texts
 from colloquy.session import materialize
 
-#: Vectors the codebooks are fitted and the traversal is calibrated on, at most.
+_log = logging.getLogger(__name__)
+
+#: Vectors the codebooks are fitted on and queries are drawn from, at most.
 SAMPLE_ROWS = 12_000
-#: Queries of that sample which are compared with all of it.
+#: Queries of that sample which are compared with all vectors.
 CALIBRATION_QUERIES = 2_000
+#: Cells of a calibration's order; a pair that needs more makes every cell visited.
+MOST_CELLS = 64
 TARGET_RECALL = 0.999
 #: Cells always visited, if there are as many.
 LEAST_CELLS = 4
@@ -105,40 +111,107 @@ def nearest_cells(x: np.ndarray, books: tuple[np.ndarray, np.ndarray], most: int
     )
 
 
-def cells_needed(x: np.ndarray, books, threshold: float, recall: float) -> tuple[int, float]:
-    """Cells to visit for ``recall`` of the sample's brute-force pairs, and the recall then."""
-    k = len(books[0]) * len(books[1])
-    queries = np.arange(len(x))[:: max(1, len(x) // CALIBRATION_QUERIES)]
-    most = min(k, 64)
-    order = nearest_cells(x, books, most)
-    ranks = []
-    for lo in range(0, len(queries), 256):
-        q = queries[lo : lo + 256]
-        at, other = np.nonzero(x[q] @ x.T >= threshold)
-        mine = q[at]
-        keep = mine != other
+def pair_ranks(queries: np.ndarray, x: np.ndarray, same, books, threshold: float, order=None) -> np.ndarray:
+    """For the pairs of a query and a row of ``x`` at the threshold or above, the cells to
+    visit before they meet, less one. ``same(q, r)`` tells which are a vector and itself."""
+    most = min(len(books[0]) * len(books[1]), MOST_CELLS)
+    order = nearest_cells(queries, books, most) if order is None else order
+    ranks = [np.array([], int)]
+    for lo in range(0, len(x), 1024):
+        mine, other = np.nonzero(queries @ x[lo : lo + 1024].T >= threshold)
+        keep = ~same(mine, lo + other)
         mine, other = mine[keep], other[keep]
-        there = [np.where(m.any(1), m.argmax(1), most) for m in (
-            order[mine] == order[other][:, :1], order[other] == order[mine][:, :1])]
-        ranks.append(np.minimum(*there))
-    found = np.sort(np.concatenate(ranks)) if ranks else np.array([], int)
-    if not len(found):
-        return min(k, max(LEAST_CELLS, 8)), 1.0
-    need = int(found[min(len(found) - 1, int(np.ceil(recall * len(found))) - 1)]) + 1
+        if len(mine):
+            rows, at = np.unique(other, return_inverse=True)
+            near = nearest_cells(x[lo + rows], books, most)
+            ranks += [meeting_ranks(order[mine[i : i + 65_536]], near[at[i : i + 65_536]]) for i in range(0, len(mine), 65_536)]
+    return np.concatenate(ranks)
+
+
+def meeting_ranks(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Per pair of cell orders: the place where one first has the other's own cell."""
+    there = [np.where(m.any(1), m.argmax(1), m.shape[1]) for m in (a == b[:, :1], b == a[:, :1])]
+    return np.minimum(*there)
+
+
+def drawn_queries(x: np.ndarray) -> np.ndarray:
+    return np.arange(len(x))[:: max(1, -(-len(x) // CALIBRATION_QUERIES))]
+
+
+def made_up_ranks(queries: np.ndarray, books, threshold: float) -> np.ndarray:
+    """As ``pair_ranks``, of queries and partners in random directions at the threshold."""
+    if queries.shape[1] < 2 or not -1 < threshold < 1:
+        return np.array([], int)
+    most = min(len(books[0]) * len(books[1]), MOST_CELLS)
+    away = np.random.default_rng(0).standard_normal(queries.shape)
+    away -= (away * queries).sum(1)[:, None] * queries
+    away /= np.linalg.norm(away, axis=1)[:, None]
+    partners = threshold * queries + (1 - threshold * threshold) ** 0.5 * away
+    return meeting_ranks(nearest_cells(queries, books, most), nearest_cells(partners, books, most))
+
+
+def cells_for(counts: np.ndarray, k: int, recall: float) -> tuple[int, float]:
+    """Cells of ``k`` to visit for ``recall`` of the pairs, of which ``counts`` has how many
+    meet at each rank, and the recall then."""
+    upto = np.cumsum(counts)
+    if not len(upto) or not upto[-1]:
+        return min(k, LEAST_CELLS), float("nan")
+    most = min(k, MOST_CELLS)
+    need = int(np.searchsorted(upto, np.ceil(recall * upto[-1]))) + 1
     need = min(k, max(LEAST_CELLS, need if need <= most else k))
-    return need, float((found < need).mean())
+    return need, 1.0 if need == k else float(upto[min(need, len(upto)) - 1] / upto[-1])
+
+
+def cells_needed(x: np.ndarray, books, threshold: float, recall: float) -> tuple[int, float]:
+    """Cells to visit for ``recall`` of the pairs of drawn queries with rows of ``x``, and
+    the recall then."""
+    drawn = drawn_queries(x)
+    ranks = pair_ranks(x[drawn], x, lambda q, r: drawn[q] == r, books, threshold)
+    return cells_for(np.bincount(ranks), len(books[0]) * len(books[1]), recall)
+
+
+def calibrated_cells(distinct: DataFrame, ids: np.ndarray, x: np.ndarray, books, threshold: float,
+                     recall: float) -> tuple[int, float, int]:
+    """Cells to visit, the recall then, and the number of pairs it was measured on: those of
+    drawn queries with all vectors of ``distinct``."""
+    k = len(books[0]) * len(books[1])
+    drawn = drawn_queries(x)
+    queries, names = x[drawn], ids[drawn]
+    order = nearest_cells(queries, books, min(k, MOST_CELLS))
+
+    def compare(batches):
+        for batch in batches:
+            own = batch.column("id").to_numpy(zero_copy_only=False)
+            v = np.array([np.frombuffer(u) for u in batch.column("unit").to_pylist()])
+            ranks = pair_ranks(queries, v, lambda q, r: names[q] == own[r], books, threshold, order)
+            at, n = np.unique(ranks, return_counts=True)
+            yield pa.RecordBatch.from_pydict({"rank": pa.array(at, pa.int32()), "n": pa.array(n, pa.int64())})
+
+    rows = distinct.select("id", "unit").mapInArrow(compare, "rank int, n bigint").groupBy("rank").agg(F.sum("n").alias("n")).collect()
+    counts = np.zeros(MOST_CELLS + 1, np.int64)
+    for r in rows:
+        counts[r.rank] = r.n
+    visits, reached = cells_for(counts, k, recall)
+    pairs = int(counts.sum())
+    # A recall is told by some pairs beyond it.
+    if pairs * (1 - recall) < 1:
+        visits = max(visits, cells_for(np.bincount(made_up_ranks(queries, books, threshold)), k, recall)[0])
+        reached = 1.0 if visits == k else float(counts[:visits].sum() / pairs) if pairs else reached
+    return visits, reached, pairs
 
 
 def near_pairs(distinct: DataFrame, dim: int, threshold: float) -> DataFrame:
     """(a, b) ids of linked vectors of one length; ``distinct`` has id and unit."""
     spark = distinct.sparkSession
     total = distinct.count()
-    sample = [np.frombuffer(r.unit) for r in distinct.orderBy(F.xxhash64("id"), "id").limit(SAMPLE_ROWS).select("unit").collect()]
-    x = np.array(sample)
+    sample = distinct.orderBy(F.xxhash64("id"), "id").limit(SAMPLE_ROWS).select("id", "unit").collect()
+    x = np.array([np.frombuffer(r.unit) for r in sample])
     k = int(min(LARGEST_CODEBOOK, max(1, (total / 64) ** 0.5), len(x)))
     h = dim // 2
     books = (kmeans(x[:, :h], k) if h else np.zeros((1, 0)), kmeans(x[:, h:], k))
-    visits, _ = cells_needed(x, books, threshold, TARGET_RECALL)
+    ids = np.array([r.id for r in sample], np.int64)
+    visits, reached, measured = calibrated_cells(distinct, ids, x, books, threshold, TARGET_RECALL)
+    _log.info("%d of %d cells visited: recall %.5f on %d pairs", visits, len(books[0]) * len(books[1]), reached, measured)
 
     def cells(batches):
         for batch in batches:

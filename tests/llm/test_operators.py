@@ -8,6 +8,7 @@ import struct
 import zlib
 
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pytest
 import tiktoken
@@ -119,6 +120,21 @@ def test_calibration_reaches_recall():
     assert np.allclose(np.take_along_axis(d.reshape(len(x), -1), near, 1), np.sort(d.reshape(len(x), -1), 1)[:, :5])
 
 
+def test_few_pairs_just_above_the_threshold_are_linked(spark):
+    r = np.random.default_rng(3)
+    x = r.standard_normal((30_000, 24))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    away = r.standard_normal((500, 24))
+    away -= (away * x[:500]).sum(1)[:, None] * x[:500]
+    away /= np.linalg.norm(away, axis=1)[:, None]
+    x = np.concatenate([x, 0.951 * x[:500] + (1 - 0.951 ** 2) ** 0.5 * away])
+    df = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(len(x)), "embedding": list(x)}))
+    got = by_id(multi_index.near_duplicates(df), "vec_id")
+    pairs = {i for i in range(500) if got[i].n_links}
+    assert len(pairs) >= 498 and all(got[30_000 + i].component_id == i for i in pairs)
+    assert sum(g.n_links for g in got.values()) == 2 * len(pairs)
+
+
 def test_gradients():
     net = toxicity.Network(1)
     net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
