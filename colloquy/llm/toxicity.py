@@ -7,7 +7,8 @@ states pools them, and a logistic output scores the window. A text's score is th
 worst window, and all windows of the whole text are scored.
 
 The network is fitted on the driver on a bounded sample of labelled texts: at most
-``TRAIN_TEXTS`` of at most ``TRAIN_BYTES`` bytes, drawn by a hash of the id. Labels sit on
+``TRAIN_TEXTS`` of at most ``TRAIN_BYTES`` bytes, drawn for each label by a hash of the
+id; the output's bias is corrected for the shares drawn. Labels sit on
 texts, so the windows to learn from are chosen by the state of the network: the worst of
 each toxic text, the worst and another of each clean one. Scoring needs no shuffle.
 
@@ -25,6 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from colloquy.llm import texts
+from colloquy.session import materialize
 
 #: Bounds of the training sample.
 TRAIN_TEXTS = 4_000
@@ -351,18 +353,25 @@ def held_out(id_column: str) -> Column:
 
 def fit(df: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text",
         label_column: str = "toxic") -> Network | None:
-    """A network from labelled rows that are not held out."""
-    drawn = (
-        labels.select(id_column, label_column).dropna().where(~held_out(id_column))
-        .groupBy(id_column).agg(F.max(label_column).alias("label"))
-        .orderBy(F.xxhash64(id_column), id_column).limit(TRAIN_TEXTS)
+    """A network from labelled rows that are not held out: half of the texts of either
+    label, more of one if the other has fewer; the output's bias is set for their shares."""
+    given = labels.select(id_column, label_column).dropna().where(~held_out(id_column)).groupBy(id_column).agg(
+        (F.max(F.col(label_column).cast("int")) > 0).cast("int").alias("label")
     )
+    fitting = df.select(id_column, text_column).where(F.octet_length(text_column) <= TRAIN_BYTES)
+    candidates = materialize(fitting.select(id_column).distinct().join(given, id_column), "toxic-labels")
+    there = {r.label: r.n for r in candidates.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    most = {k: max(TRAIN_TEXTS // 2, TRAIN_TEXTS - there.get(1 - k, 0)) for k in (0, 1)}
+    drawn = [candidates.where(F.col("label") == k).orderBy(F.xxhash64(id_column), id_column).limit(n) for k, n in most.items()]
     rows = (
-        df.select(id_column, text_column).where(F.octet_length(text_column) <= TRAIN_BYTES)
-        .join(F.broadcast(drawn), id_column).orderBy(F.xxhash64(id_column), id_column, text_column)
+        fitting.join(F.broadcast(drawn[0].union(drawn[1])), id_column)
+        .orderBy(F.xxhash64(id_column), id_column, text_column)
         .limit(TRAIN_TEXTS).select(text_column, "label").collect()
     )
-    return train([r[0] for r in rows], [int(r[1]) for r in rows])
+    net = train([r[0] for r in rows], [int(r[1]) for r in rows])
+    if net is not None:
+        net.p["out_b"] += np.log(there[1] / there[0] * min(most[0], there[0]) / min(most[1], there[1]))
+    return net
 
 
 _scorers: dict[int, Scorer] = {}

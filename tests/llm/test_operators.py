@@ -431,6 +431,21 @@ def test_url_filters_merge_branches_of_any_level(spark):
     assert got["http://w.net2/top/top/new/x/"].template == "/top/top/{any}/x/{n}"
 
 
+def test_toxicity_draws_each_label(spark, monkeypatch):
+    rows = [(i, "text " * (1 + (9999 if i % 2 else 0)), int(i % 20 == 0)) for i in range(1200)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, toxic int")
+    drawn = []
+    monkeypatch.setattr(toxicity, "TRAIN_TEXTS", 100)
+    monkeypatch.setattr(toxicity, "train", lambda docs, labels: drawn.extend(labels) or toxicity.Network(1))
+    net = toxicity.fit(df, df)
+    there = [zlib.crc32(str(i).encode()) % 3 != 1 and t for i, _, t in rows]
+    short = sum(zlib.crc32(str(i).encode()) % 3 != 1 and not i % 2 for i, *_ in rows)
+    toxic = min(50, sum(there))
+    assert (len(drawn), sum(drawn)) == (100, toxic)
+    shift = np.log(sum(there) / (short - sum(there)) * (100 - toxic) / toxic)
+    assert net.p["out_b"][0] == pytest.approx(shift, rel=1e-5)
+
+
 def brute_passages(rows):
     seen, out = set(), {}
     for i, t in sorted(rows):
