@@ -1,11 +1,12 @@
-"""Operator 6: best-fit packing by exact-complement hashing.
+"""Operator 6: best-fit packing by exact complements.
 
 Texts become pieces of at most ``capacity`` tokens. Which pieces share a sequence is
 decided on the histogram of lengths alone (at most ``capacity`` numbers, whatever the
 input): lengths are taken from the longest down, and the gap that a length leaves is
-filled exactly by one, two or three lengths found in an index of sums, as many times
-as the counts allow; what finds no exact complement is placed best-fit, longest
-first. The plan is a list of (lengths, how often). Pieces then get a rank within
+filled exactly by one, two or three lengths, as many times as the counts allow. One
+length is looked up in the counts; sums of two and three are not indexed but searched
+anew for each gap among the lengths still there. What finds no exact complement is
+placed best-fit, longest first. The plan is a list of (lengths, how often). Pieces then get a rank within
 their length, and the rank says sequence and offset.
 
 Null texts count as empty: one piece with the end id. Repeated rows are pieces of
