@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 from colloquy.llm import (
-    jaccard_join, licenses, multi_index, packing, quality_cascade, rank_queue_bpe, suffix_dedup, token_counts,
-    toxicity, url_templates,
+    centroids, jaccard_join, licenses, multi_index, packing, prefix_trie, quality_cascade, rank_queue_bpe,
+    suffix_dedup, token_counts, token_files, toxicity, url_templates,
 )
 
 QUERIES = {
@@ -18,10 +18,15 @@ QUERIES = {
     "op8_token_counts": token_counts.op8_token_counts,
     "op9_url_filters": url_templates.op9_url_filters,
     "op10_suffix_dedup": suffix_dedup.op10_suffix_dedup,
+    "op11_centroid_clusters": centroids.op11_centroid_clusters,
+    "op12_prefix_trie": prefix_trie.op12_prefix_trie,
+    "op13_token_files": token_files.op13_token_files,
 }
 
 ORACLES = {
     "op1_quality_rules": quality_cascade.ORACLE,
     "op2_embedding_near_dedup": multi_index.ORACLE,
     "op4_ngram_jaccard": jaccard_join.ORACLE,
+    "op11_centroid_clusters": centroids.ORACLE,
+    "op12_prefix_trie": prefix_trie.ORACLE,
 }

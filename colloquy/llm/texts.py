@@ -17,13 +17,13 @@ SLICE_BYTES = 2 << 20
 SPACES = b" \t\n\r\x0b\x0c"
 
 
-def slices(batches: Iterable[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterable[pa.RecordBatch], column: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The batches' rows, a few at a time, so that no slice holds many long texts."""
     for batch in batches:
         if not batch.num_rows:
             continue
         sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
-        part = np.cumsum(sizes.astype(np.int64)) // SLICE_BYTES
+        part = np.cumsum(sizes.astype(np.int64)) // most
         starts = np.flatnonzero(np.diff(part, prepend=-1))
         for lo, hi in zip(starts, [*starts[1:], len(part)]):
             yield batch.slice(int(lo), int(hi - lo))
