@@ -243,12 +243,16 @@ def tree_totals(parent: np.ndarray, depth: np.ndarray, weight: np.ndarray, value
         up[child] = parent[child]
     while (up != n).any():
         begin, up = begin + begin[up], up[up]
-    begin = begin[:n]
-    end = begin + weight
+    order = np.argsort(begin[:n])
+    sorted_begin, last_begin = begin[order], begin[:n] + weight
+    begin = np.empty(n, np.int64)
+    begin[order] = np.arange(n)
+    end = np.searchsorted(sorted_begin, last_begin)
     w, out = weight.copy(), np.zeros_like(values)
+    # A component is named after its top.
     label = np.empty(n, np.int64)
-    order = np.argsort(begin)
-    label[order] = np.repeat(tops[np.argsort(begin[tops])], np.diff(np.searchsorted(begin[order], np.append(np.sort(begin[tops]), end.max()))))
+    tops = tops[np.argsort(begin[tops])]
+    label[order] = np.repeat(tops, np.diff(np.append(begin[tops], n)))
     live = np.arange(n)
     total, centroid = np.zeros(n, np.int64), np.full(n, -1)
     while len(live):
@@ -257,7 +261,7 @@ def tree_totals(parent: np.ndarray, depth: np.ndarray, weight: np.ndarray, value
         np.maximum.at(total, of, w[live])
         path = live[2 * w[live] > total[of]]
         path = path[np.lexsort((depth[path], label[path]))]
-        centroid[label[path]] = path  # The last one written is the deepest.
+        # The deepest of each path.
         last = np.append(np.flatnonzero(np.diff(label[path])), len(path) - 1)
         chosen = path[last]
         centroid[label[chosen]] = chosen
@@ -273,9 +277,10 @@ def tree_totals(parent: np.ndarray, depth: np.ndarray, weight: np.ndarray, value
         w[path[upper]] -= taken[at[upper]]
         moved = live[under & (live != c)]
         kids = moved[parent[moved] == centroid[label[moved]]]
-        kids = kids[np.argsort(begin[kids])]
         if len(kids):
-            label[moved] = kids[np.searchsorted(begin[kids], begin[moved], "right") - 1]
+            place = label * n + begin  # Within the component: others may lie in between.
+            kids = kids[np.argsort(place[kids])]
+            label[moved] = kids[np.searchsorted(place[kids], place[moved], "right") - 1]
         live = live[live != c]
     return out
 
