@@ -153,8 +153,10 @@ STATE = ("component", "key", "parent", "conv", "depth", "w", "leaf", "saved", "l
 def subtree_totals(nodes: DataFrame, members: DataFrame, most: int = MOST_WEIGHT) -> DataFrame:
     """(key, n_leaves, saved_tokens), sums over the subtree of each node."""
     zero = F.lit(0).cast("long")
+    # Not a plain literal, on which an equi-join would become a nested loop.
+    whole = F.when(F.col("key").isNotNull(), node_key(F.lit(0), [F.lit(0)] * 4))
     state = nodes.select(
-        node_key(F.lit(0), [F.lit(0)] * 4).alias("component"), "key", "parent", "conv", "depth", F.col("weight").alias("w"),
+        whole.alias("component"), "key", "parent", "conv", "depth", F.col("weight").alias("w"),
         (F.col("n_children") == 0).cast("long").alias("leaf"), ((F.col("n_convs") - 1) * F.col("chars")).alias("saved"),
         zero.alias("leaves"), zero.alias("saved_below"),
     )

@@ -39,7 +39,7 @@ from colloquy.session import materialize, scratch_dir
 #: A block is closed when it holds this many ids; a longer document is a block of its own.
 BLOCK_TOKENS = 1 << 18
 #: Text bytes encoded at a time: the more, the fewer words are looked up twice.
-ENCODED_TOGETHER = 8 << 20
+ENCODED_TOGETHER = 16 << 20
 #: Control bytes decoded at a time, so that the look-ups stay small.
 DECODED_TOGETHER = 1 << 16
 #: Shards whose totals one window row group sums.

@@ -14,9 +14,16 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Words kept per worker; beyond it the dictionary starts anew.
-KEPT_WORDS = 1 << 21
+KEPT_WORDS = 1 << 20
 #: Longer words are encoded each time they come, so that memory stays bounded.
 LONGEST_KEPT = 200
+SIGNS = [".", ",", ";", ":", "!", "?"]
+
+
+def _normalizers(path: str) -> list[dict]:
+    with open(path, encoding="utf-8") as f:
+        norm = json.load(f).get("normalizer") or {"type": "Sequence", "normalizers": []}
+    return norm.get("normalizers", [norm])
 
 
 def drops_white_space(path: str) -> bool:
@@ -24,11 +31,10 @@ def drops_white_space(path: str) -> bool:
     that looks at single characters only (beside composing them and joining white space)."""
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
-    norm = spec.get("normalizer") or {"type": "Sequence", "normalizers": []}
     plain = all(
         n["type"] in ("NFC", "Lowercase") or (n["type"], n.get("content"), (n.get("pattern") or {}).get("Regex"))
         == ("Replace", " ", r"\s+")
-        for n in norm.get("normalizers", [norm])
+        for n in _normalizers(path)
     )
     first = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [{}])[0]
     pattern = (first.get("pattern") or {}).get("Regex", "")
@@ -48,8 +54,21 @@ def vocabulary_size(path: str) -> int:
     return 1 + max([*spec["model"]["vocab"].values(), *(t["id"] for t in spec.get("added_tokens", []))])
 
 
+def gathered(flat: np.ndarray, sizes: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pieces ``codes`` of ``flat``, one after the other, and where each ends; ``sizes`` are
+    those of the pieces in ``flat``."""
+    begins = np.cumsum(sizes) - sizes
+    counts = sizes[codes]
+    ends = np.cumsum(counts)
+    where = np.repeat(begins[codes] - (ends - counts), counts)
+    where += np.arange(len(where))
+    return flat[where], ends
+
+
 class WordEncoder:
-    """Ids by word; the different new words of a slice go to the library in one call."""
+    """Ids by word. A word of letters and one sign after it is two pieces for the tokenizer,
+    and case makes no difference to it; so the letters, in lower case, are looked up and kept
+    for all such words. What is new in a slice goes to the library in one call."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -59,22 +78,43 @@ class WordEncoder:
         self.tok.no_truncation()
         self.tok.no_padding()
         self.width = np.dtype("<u2" if vocabulary_size(path) <= 1 << 16 else "<u4")
-        self.kept: dict[str, bytes] = {"": b""}
-
-    def _words(self, words: list[str]) -> list[bytes]:
+        self.lower = any(n["type"] == "Lowercase" for n in _normalizers(path))
+        self.kept: dict[str, bytes] = {}
+        self.signs = [self._library([s])[0] for s in SIGNS]
+        #: One id that letters never give, between words of letters.
+        self.between = next((s for s, ids in zip(SIGNS, self.signs) if len(ids) == self.width.itemsize), None)
+
+    def _library(self, words: list[str]) -> list[bytes]:
+        made = self.tok.encode_batch_fast(words, add_special_tokens=False)
+        return [np.array(e.ids, self.width).tobytes() for e in made]
+
+    def _letters(self, words: list[str]) -> list[bytes]:
+        """Words of letters, as one text with a sign after each."""
+        if self.between is None or not words:
+            return self._library(words)
+        text = f" {self.between} ".join(words)
+        ids = np.array(self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.width)
+        cut = np.flatnonzero(ids == np.frombuffer(self.signs[SIGNS.index(self.between)], self.width)[0])
+        if len(cut) != len(words) - 1:
+            return self._library(words)
+        size = self.width.itemsize
+        raw = ids.tobytes()
+        return [raw[a:b] for a, b in zip([0, *((cut + 1) * size).tolist()], [*(cut * size).tolist(), len(raw)])]
+
+    def _pieces(self, pieces: list[str], letters: np.ndarray) -> list[bytes]:
         kept = self.kept
-        new = [w for w in words if w not in kept]
-        if new:
-            if len(kept) + len(new) > KEPT_WORDS:
-                kept.clear()
-                kept[""] = b""
-                new = [w for w in words if w]
-            made = self.tok.encode_batch_fast(new, add_special_tokens=False)
-            kept.update(zip(new, [np.array(e.ids, self.width).tobytes() for e in made]))
-        found = [kept[w] for w in words]
-        for w in new:
-            if len(w) > LONGEST_KEPT:
-                del kept[w]
+        found = list(map(kept.get, pieces))
+        new = [i for i, ids in enumerate(found) if ids is None]
+        if not new:
+            return found
+        if len(kept) + len(new) > KEPT_WORDS:
+            kept.clear()
+        for which, encode in ((True, self._letters), (False, self._library)):
+            part = [i for i in new if letters[i] == which]
+            for i, ids in zip(part, encode([pieces[i] for i in part])):
+                found[i] = ids
+                if len(pieces[i]) <= LONGEST_KEPT:
+                    kept[pieces[i]] = ids
         return found
 
     def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -83,18 +123,23 @@ class WordEncoder:
         texts = pc.replace_substring(pc.fill_null(texts, ""), "\n", " ")
         lists = pc.split_pattern(texts, " ")
         cells = pc.dictionary_encode(lists.flatten())
-        known = self._words(cells.dictionary.to_pylist())
+        words = cells.dictionary
+        sign = pc.fill_null(pc.index_in(pc.utf8_slice_codeunits(words, -1), pa.array(SIGNS)), len(SIGNS))
+        core = pc.if_else(pc.less(sign, len(SIGNS)), pc.utf8_slice_codeunits(words, 0, -1), words)
+        letters = pc.utf8_is_alpha(core)
+        core = pc.if_else(letters, pc.ascii_lower(core) if self.lower else core, words)
+        pieces = pc.dictionary_encode(core)
+        kinds = pc.utf8_is_alpha(pieces.dictionary).to_numpy(zero_copy_only=False)
+        known = [*self._pieces(pieces.dictionary.to_pylist(), kinds), *self.signs, b""]
         flat = np.frombuffer(b"".join(known), self.width)
         sizes = np.fromiter(map(len, known), np.int64, len(known)) // self.width.itemsize
-        begins = np.cumsum(sizes) - sizes
-        codes = cells.indices.to_numpy(zero_copy_only=False)
-        counts = sizes[codes]
-        ends = np.cumsum(counts)
-        where = np.repeat(begins[codes] - (ends - counts), counts)
-        where += np.arange(len(where))
+        # Each word is its piece and its sign, which may be none.
+        after = np.where(letters.to_numpy(zero_copy_only=False), sign.to_numpy(zero_copy_only=False), len(SIGNS))
+        both = np.stack([pieces.indices.to_numpy(zero_copy_only=False), after + len(pieces.dictionary)], 1).ravel()
+        flat, ends = gathered(flat, sizes, both)
+        ids, ends = gathered(flat, np.diff(ends[1::2], prepend=0), cells.indices.to_numpy(zero_copy_only=False))
         offsets = lists.offsets.to_numpy(zero_copy_only=False)
-        offsets = offsets - offsets[0]
-        return flat[where], np.concatenate([[0], ends])[offsets]
+        return ids, np.concatenate([[0], ends])[offsets - offsets[0]]
 
 
 _encoders: dict[str, WordEncoder] = {}
