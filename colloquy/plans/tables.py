@@ -13,8 +13,8 @@ from colloquy.operators.scenarios import SCENARIO_IDS, TASKS
 from colloquy.session import scratch_dir
 
 MODELS = ("model-a", "model-b", "model-c")
-# Items per JSON array file.
-SHARD_ITEMS = 256
+# Items per JSON array file: large enough for several ranges to a file.
+SHARD_ITEMS = 16_384
 WORKFLOW_KEYS = ["task", "idx"]
 STAMP = "20250314_092653"
 

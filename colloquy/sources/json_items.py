@@ -1,29 +1,20 @@
-"""Train and gold JSON files.
+"""Train, gold and prediction JSON files.
 
-A file holds one JSON array, or (``lines=True``) one object per line. A position
-inside an array file is exact; an array file is read by one task, so large sets
-come as many files and are ingested once into Parquet.
+A file holds one JSON array, or (``lines=True``) one object per line. An array is read by
+ranges (``json_arrays``), so one file may be large; a position inside it is exact.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from colloquy.operators import runs
 from colloquy.schemas import ITEM, PREDICTION_ITEM
-from colloquy.session import materialize
+from colloquy.sources.json_arrays import read_elements, with_offsets
 
 GOLD_NAME = "graph_eval.json"
 
 
-def _checked_array(text: Column, path: Column, schema: T.StructType) -> Column:
-    array_type = T.ArrayType(schema)
-    fail = F.raise_error(F.concat(F.lit("not a JSON list: "), path)).cast(array_type)
-    parsed = F.from_json(text, array_type, {"mode": "FAILFAST"})
-    is_list = F.startswith(F.regexp_replace(text, r"\A\s+", ""), F.lit("["))
-    return F.when(is_list, parsed).otherwise(fail)
-
-
 def _array_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
     paths = [path] if isinstance(path, str) else path
     return (
@@ -32,22 +23,21 @@ def _array_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
     )
 
 
+def _items(elements: DataFrame, files: DataFrame, schema: T.StructType, keys: list[str]) -> DataFrame:
+    """``keys``, ``idx`` and the fields of each element; ``files`` has the keys of each file
+    (rows of other files are left out), and positions run over the files of the same keys in
+    name order."""
+    offsets = with_offsets(files.select(*keys, "file", "n"), ["file"], keys).drop("n")
+    item = F.from_json("text", schema, {"mode": "FAILFAST"})
+    return elements.join(offsets, "file").select(
+        *keys, (F.col("offset") + F.col("pos")).cast("long").alias("idx"), item.alias("item")
+    ).select(*keys, "idx", "item.*")
+
+
 def read_train(spark: SparkSession, path: str, schema: T.StructType = ITEM) -> DataFrame:
     """Items of all array files under ``path`` with ``idx``, the 0-based position
     over the files in name order. A file that is no list fails the read."""
-    parsed = _array_files(spark, path).select(
-        "file", _checked_array(F.col("value"), F.col("file"), schema).alias("items")
-    )
-    # Parsed once: items and offsets both come from the written rows.
-    rows = materialize(parsed.select("file", F.posexplode("items").alias("pos", "item")), "items")
-    # One row per file, so the running offset is over a short list.
-    earlier = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = rows.groupBy("file").agg((F.max("pos") + 1).alias("n")).select(
-        "file", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("offset")
-    )
-    return rows.join(offsets, "file").select(
-        (F.col("offset") + F.col("pos")).cast("long").alias("idx"), "item.*"
-    )
+    return _items(*read_elements(spark, path), schema, [])
 
 
 def read_json_lines(spark: SparkSession, path: str, schema: T.StructType = ITEM) -> DataFrame:
@@ -60,37 +50,26 @@ def count_train(spark: SparkSession, path: str) -> int:
     return read_train(spark, path).count()
 
 
-def _gold_files(spark: SparkSession, root: str) -> DataFrame:
+def _gold_paths(root: str) -> str:
+    return f"{root.rstrip('/')}/*/*{GOLD_NAME}"
+
+
+def _with_task(files: DataFrame) -> DataFrame:
     name = GOLD_NAME.replace(".", r"\.")
     task = F.regexp_extract("file", rf"/(?:task=)?([^/]+)/(?:file=)?{name}(?:/.*)?$", 1)
-    return (
-        _array_files(spark, f"{root.rstrip('/')}/*/*{GOLD_NAME}")
-        .withColumn("task", task)
-        .filter(F.col("task") != "")
-    )
+    return files.withColumn("task", task).filter(F.col("task") != "")
+
+
+def _gold_files(spark: SparkSession, root: str) -> DataFrame:
+    return _with_task(_array_files(spark, _gold_paths(root)))
 
 
 def read_gold(spark: SparkSession, root: str, schema: T.StructType = ITEM) -> DataFrame:
     """Gold items under ``<root>/<task>/graph_eval.json`` (a file, or a folder of
     files) with ``task`` and ``idx``, the position within the task. The folder
     names ``task=<task>/file=graph_eval.json`` of a partitioned write do as well."""
-    parsed = _gold_files(spark, root).select(
-        "task",
-        "file",
-        _checked_array(F.col("value"), F.col("file"), schema).alias("items"),
-    )
-    rows = materialize(
-        parsed.select("task", "file", F.posexplode("items").alias("pos", "item")), "gold-items"
-    )
-    earlier = (
-        Window.partitionBy("task").orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
-    )
-    offsets = rows.groupBy("task", "file").agg((F.max("pos") + 1).alias("n")).select(
-        "file", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("offset")
-    )
-    return rows.join(offsets, "file").select(
-        "task", (F.col("offset") + F.col("pos")).cast("long").alias("idx"), "item.*"
-    )
+    elements, files = read_elements(spark, _gold_paths(root))
+    return _items(elements, _with_task(files), schema, ["task"])
 
 
 def read_prediction_files(spark: SparkSession, root: str) -> DataFrame:
@@ -99,22 +78,10 @@ def read_prediction_files(spark: SparkSession, root: str) -> DataFrame:
     item) and ``workflow``. Such a file is an array of ``{query, workflow}``, or a folder
     of such files, in name order. Files of other names are left alone."""
     run = ["model", "task", "scenario", "stamp"]
-    parsed = (
-        _array_files(spark, root)
-        .select("*", *runs.run_of_path(F.col("file")))
-        .filter(F.col("stamp").isNotNull())
-        .select(*run, "file", _checked_array(F.col("value"), F.col("file"), PREDICTION_ITEM).alias("items"))
-    )
-    rows = materialize(
-        parsed.select(*run, "file", F.posexplode("items").alias("pos", "item")), "prediction-items"
-    )
-    earlier = Window.partitionBy(*run).orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = rows.groupBy(*run, "file").agg((F.max("pos") + 1).alias("n")).select(
-        "file", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("offset")
-    )
-    return rows.join(offsets, "file").select(
-        "model", "scenario", "task", "stamp",
-        (F.col("offset") + F.col("pos")).cast("long").alias("idx"), "item.query", "item.workflow",
+    elements, files = read_elements(spark, root)
+    named = files.select("*", *runs.run_of_path(F.col("file"))).filter(F.col("stamp").isNotNull())
+    return _items(elements, named, PREDICTION_ITEM, run).select(
+        "model", "scenario", "task", "stamp", "idx", "query", "workflow"
     )
 
 
