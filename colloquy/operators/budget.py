@@ -179,8 +179,9 @@ def outcomes(fitted: DataFrame) -> DataFrame:
     return fitted.groupBy("tag").agg(F.count("*").alias("n"))
 
 
-def budget_stats(fitted: DataFrame, max_tokens: int) -> DataFrame:
-    """One row: totals and the outcome histogram as a map."""
+def budget_stats(fitted: DataFrame, max_tokens: int, tokenizer: str = "chars/4") -> DataFrame:
+    """One row: totals and the outcome histogram as a map. ``tokenizer`` says how tokens were
+    counted: ``chars/4``, or ``tokenizers`` where a real one was loaded."""
     n = F.col("n")
 
     def total(cond: Column):
@@ -200,6 +201,7 @@ def budget_stats(fitted: DataFrame, max_tokens: int) -> DataFrame:
             F.map_from_entries(F.array_sort(F.collect_list(F.struct("tag", "n")))).alias("outcomes"),
         )
         .withColumn("max_tokens", F.lit(max_tokens))
+        .withColumn("tokenizer", F.lit(tokenizer))
         .withColumn(
             "drop_pct", F.col("dropped") * 100.0 / F.greatest(F.col("total"), F.lit(1))
         )

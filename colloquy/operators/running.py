@@ -23,8 +23,11 @@ def running_total(df: DataFrame, order: Sequence[str], value: str, out: str, wit
     parts = ranged.groupBy(*keys, "_part").agg(F.sum(value).alias("_n"))
     # One row per range: there are no more than tasks.
     over = Window.partitionBy(*keys).orderBy("_part").rowsBetween(*earlier)
-    before = parts.select(*keys, "_part", F.coalesce(F.sum("_n").over(over), F.lit(0)).alias("_before"))
+    before = parts.select(
+        *[F.col(c).alias(f"_of_{c}") for c in (*keys, "_part")], F.coalesce(F.sum("_n").over(over), F.lit(0)).alias("_before")
+    )
+    same = [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in (*keys, "_part")]
     summed = ranged.withColumn("_here", F.coalesce(F.sum(value).over(here), F.lit(0)))
-    return summed.join(before, [*keys, "_part"]).select(
+    return summed.join(before, same).select(
         *df.columns, (F.col("_before") + F.col("_here")).cast("long").alias(out)
     )

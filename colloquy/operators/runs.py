@@ -11,7 +11,10 @@ STAMPED = r"graph_eval_(i0|rag|sft|sft_rag)_(\d{8}_\d{6})\.json"
 PREDICTION_NAME = rf"^{STAMPED}$"
 # <model>/<task>/<file>; the file may be a folder of parts, and the folders may be
 # named as a partitioned write does.
-PREDICTION_PATH = rf"(?:^|/)(?:model=)?([^/]+)/(?:task=)?([^/]+)/(?:file=)?{STAMPED}(?:/[^/]+)*$"
+_FOLDERS = r"(?:^|/)(?:model=)?([^/]+)/(?:task=)?([^/]+)/(?:file=)?"
+PREDICTION_PATH = rf"{_FOLDERS}{STAMPED}(?:/[^/]+)*$"
+# The same without a stamp: what a run is called that was not given one.
+UNSTAMPED_PATH = rf"{_FOLDERS}graph_eval_(i0|rag|sft|sft_rag)\.json(?:/[^/]+)*$"
 
 
 def file_name(path: Column) -> Column:
@@ -32,12 +35,17 @@ def stamp_of(name: Column) -> Column:
 
 
 def run_of_path(path: Column) -> list[Column]:
-    """Model, task, scenario and stamp of a stamped prediction's path, else nulls."""
-    names = ("model", "task", "scenario", "stamp")
-    return [
-        F.nullif(F.regexp_extract(path, PREDICTION_PATH, i + 1), F.lit("")).alias(n)
-        for i, n in enumerate(names)
+    """Model, task, scenario and stamp of a prediction's path, the stamp null where the name
+    has none; nulls for other files."""
+
+    def part(pattern: str, i: int) -> Column:
+        return F.nullif(F.regexp_extract(path, pattern, i), F.lit(""))
+
+    named = [
+        F.coalesce(part(PREDICTION_PATH, i + 1), part(UNSTAMPED_PATH, i + 1)).alias(n)
+        for i, n in enumerate(("model", "task", "scenario"))
     ]
+    return [*named, part(PREDICTION_PATH, 4).alias("stamp")]
 
 
 def run_stamp(at: Column) -> Column:
@@ -64,11 +72,18 @@ def latest_runs(
 
 
 def latest_predictions(
-    predictions: DataFrame, keys: Sequence[str] = ("model", "task", "scenario")
+    predictions: DataFrame, keys: Sequence[str] = ("model", "task", "scenario"), newest_by: str = "stamp"
 ) -> DataFrame:
-    """The rows of the newest run of each key; the run keys are found first, from
-    the key columns alone."""
-    newest = predictions.groupBy(*keys).agg(F.max("stamp").alias("stamp"))
+    """The rows of the newest run of each key, a run without a stamp only where there is no
+    other; the run keys are found first, from the key columns alone. ``newest_by`` may name
+    another column of the rows, a file's time for instance, of which a run has its greatest;
+    runs of one time go by stamp."""
+    if newest_by == "stamp":
+        newest = predictions.groupBy(*keys).agg(F.max("stamp").alias("stamp"))
+    else:
+        each = predictions.groupBy(*keys, "stamp").agg(F.max(newest_by).alias("_at"))
+        order = F.struct(F.col("stamp").isNotNull().alias("s"), "_at", F.col("stamp").alias("t"))
+        newest = each.groupBy(*keys).agg(F.max(order).alias("_r")).select(*keys, F.col("_r.t").alias("stamp"))
     same = [predictions[k].eqNullSafe(newest[k]) for k in (*keys, "stamp")]
     cond = same[0]
     for s in same[1:]:

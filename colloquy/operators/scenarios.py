@@ -61,7 +61,7 @@ def evaluation_matrix(cells: DataFrame, results: DataFrame) -> DataFrame:
     names the output it waits for."""
     keys = ["model", "scenario", "task", "eval_type"]
     expected = F.concat(
-        F.lit("eval_results/"), "model", F.lit("/"), "task", F.lit("_"), "scenario",
+        F.lit("eval_results/"), "model", F.lit("/"), "task", F.lit("/"), "scenario",
         F.lit("_"), "eval_type", F.lit(".json"),
     )
     done = F.col("n_total").isNotNull()

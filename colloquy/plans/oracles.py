@@ -398,7 +398,7 @@ cells AS (
 matrix AS (
   SELECT model, scenario, task, eval_type,
     CASE WHEN n_total IS NULL THEN 'pending' ELSE 'done' END AS status,
-    CASE WHEN n_total IS NULL THEN 'eval_results/' || model || '/' || task || '_' || scenario
+    CASE WHEN n_total IS NULL THEN 'eval_results/' || model || '/' || task || '/' || scenario
       || '_' || eval_type || '.json' END AS expected_output,
     precision, recall, f1_score, n_total, n_evaluated, n_skipped_unparseable, n_skipped_runtime
   FROM cells LEFT JOIN results USING (model, scenario, task, eval_type))"""
@@ -484,6 +484,14 @@ FROM documents GROUP BY 1 UNION ALL SELECT 'nothing', 0""",
     "predictions_roundtrip": f"""WITH {_PAIRS}
 SELECT model, scenario, task, stamp, idx, md5(pred_workflow) AS workflow_md5,
   CASE WHEN pred_workflow = '' THEN 'RuntimeError: empty answer' END AS error FROM pairs""",
+    "predictions_rerun": f"""WITH {_PAIRS}
+SELECT model, scenario, task, stamp, idx, md5(pred_workflow) AS workflow_md5,
+  CASE WHEN pred_workflow = '' THEN 'RuntimeError: empty answer' END AS error FROM pairs""",
+    "predictions_export": f"""WITH {_ITEMS}, answers AS (
+  SELECT *, {pick(MODELS, 'doc_id // 7')} AS model, {pick(TASKS, 'doc_id')} AS task FROM items)
+SELECT model, 'rag' AS scenario, task, CASE WHEN doc_id // 7 % 3 < 2 THEN '{STAMP}' END AS stamp,
+  row_number() OVER (PARTITION BY model, task ORDER BY doc_id) - 1 AS idx, id AS query_id, source AS query_source,
+  CASE WHEN doc_id % 10 > 0 THEN '\\"{{' || doc_id ELSE '' END AS workflow FROM answers""",
     "scan_prediction_files": f"""WITH {_PAIRS}
 SELECT model, scenario, task, stamp,
   row_number() OVER (PARTITION BY model, scenario, task, stamp ORDER BY idx) - 1 AS idx,
@@ -604,6 +612,7 @@ SELECT count(*) AS total,
   count(*) FILTER (tag = 'full') AS "full", CAST({BUDGET} AS BIGINT) AS max_tokens,
   (SELECT string_agg(tag || '=' || n, ',' ORDER BY tag)
    FROM (SELECT tag, count(*) AS n FROM fitted GROUP BY tag)) AS outcomes,
+  'chars/4' AS tokenizer,
   round(100.0 * count(*) FILTER (tag IN ('dropped', 'malformed')) / greatest(count(*), 1), 6) AS drop_pct
 FROM fitted""",
     "sft_dataset": f"""WITH {_FIT.replace('FROM conversations', '''FROM (SELECT conv_id, turn, text,
@@ -660,6 +669,7 @@ FROM pred_e e LEFT JOIN known USING (task, idx)""",
     "eval_status": f"WITH {_MATCH} SELECT task, idx, status FROM sizes",
     "eval_aggregate": f"WITH RECURSIVE {_RESULTS} SELECT * FROM results",
     "eval_matrix": f"WITH RECURSIVE {_MATRIX} SELECT * FROM matrix",
+    "eval_result_files": f"WITH RECURSIVE {_MATRIX} SELECT * FROM matrix",
     "eval_matrix_pivot": f"""WITH RECURSIVE {_MATRIX}
 SELECT model, task, eval_type, {', '.join(f"max(f1_score) FILTER (scenario = '{s}') AS {s}" for s in SCENARIO_IDS)}
 FROM matrix GROUP BY ALL""",

@@ -87,6 +87,39 @@ def predictions_roundtrip(spark, sf_dir):
     )
 
 
+def predictions_rerun(spark, sf_dir):
+    """The given runs written twice, the second time as after a failure."""
+    path = scratch_dir(spark, "predictions")
+    given = materialize(G.predictions(spark, sf_dir), "runs")
+    S.write_predictions(given.where("idx % 3 = 0").withColumn("workflow", F.lit("half done")), path)
+    S.write_predictions(given, path)
+    return S.read_predictions(spark, path).select(
+        "model", "scenario", "task", "stamp", "idx", F.md5("workflow").alias("workflow_md5"), "error"
+    )
+
+
+def predictions_export(spark, sf_dir):
+    """The runs as array files, model-c without stamps, exported twice and read again; then
+    the newest of each by the time of its files."""
+    path = scratch_dir(spark, "export")
+    items = G.doc_items(spark, sf_dir).select(
+        G.one_of(scenarios.TASKS, F.col("doc_id")).alias("task"), F.col("doc_id").alias("idx"),
+        "id", "source", "task_type", "conversations", "messages",
+    )
+    answers = items.select(
+        G.one_of(G.MODELS, F.expr("idx div 7")).alias("model"), F.lit("rag").alias("scenario"), "task",
+        F.when(F.expr("idx div 7") % 3 < 2, G.STAMP).alias("stamp"), "idx",
+        F.when(F.col("idx") % 10 > 0, F.concat(F.lit('\\"{'), F.col("idx").cast("string"))).alias("workflow"),
+    )
+    for _ in range(2):
+        S.export_predictions(answers, items, path, per_file=G.SHARD_ITEMS)
+    found = runs.latest_predictions(json_items.read_prediction_files(spark, path), newest_by="modified")
+    return found.select(
+        "model", "scenario", "task", "stamp", "idx", F.col("query")["id"].alias("query_id"),
+        F.col("query")["source"].alias("query_source"), "workflow",
+    )
+
+
 def scan_prediction_files(spark, sf_dir):
     found = json_items.read_prediction_files(spark, G.prediction_files(spark, sf_dir))
     return found.select(
@@ -198,6 +231,7 @@ def _stats_row(stats: DataFrame) -> DataFrame:
             ),
             ",",
         ).alias("outcomes"),
+        "tokenizer",
         r6("drop_pct"),
     )
 
@@ -708,6 +742,16 @@ def eval_results_roundtrip(spark, sf_dir):
     return _metrics(S.read_results(spark, path))
 
 
+def eval_result_files(spark, sf_dir):
+    """Results as JSON files, written twice, read back into the matrix."""
+    path = scratch_dir(spark, "result-files")
+    found = materialize(_results(spark, sf_dir), "results-now")
+    S.write_result_files(found.withColumn("precision", F.lit(0.0)), path)
+    S.write_result_files(found, path)
+    cells = scenarios.matrix_cells(G.models(spark), scenarios.TASKS, evaluation.EVAL_TYPES)
+    return _metrics(scenarios.evaluation_matrix(cells, S.read_result_files(spark, path)))
+
+
 def eval_latest(spark, sf_dir):
     """Stored predictions to the matrix: newest runs, scores, stored results, cells."""
     gold = G.workflow_pairs(spark, sf_dir).select("task", "idx", F.col("gold_workflow").alias("workflow"))
@@ -730,6 +774,7 @@ QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         scan_train, scan_gold_tasks, task_counts, predictions_roundtrip,
+        predictions_rerun, predictions_export, eval_result_files,
         scan_prediction_files, latest_predictions,
         scenario_from_path, latest_run, index_roundtrip, corpus_fingerprint,
         index_staleness, sft_sink, sft_reload, run_metadata,

@@ -295,7 +295,7 @@ def prediction_files(spark: SparkSession, sf_dir: str) -> str:
     place = F.row_number().over(part.orderBy("idx"))
     query = F.struct(F.col("idx").cast("string").alias("id"), F.col("task").alias("source"))
     name = F.concat(F.lit("graph_eval_"), F.concat_ws("_", "scenario", "stamp"), F.lit(".json"))
-    shard = F.lpad(F.expr(f"idx div 1048576 div {16 * SHARD_ITEMS}").cast("string"), 12, "0")
+    shard = F.lpad(F.expr(f"idx div 1048576 div {SHARD_ITEMS // 4}").cast("string"), 12, "0")
     (
         predictions(spark, sf_dir)
         .withColumn("file", name)

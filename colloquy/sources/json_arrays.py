@@ -229,6 +229,31 @@ def read_elements(spark: SparkSession, paths: str | list[str]) -> tuple[DataFram
     return kept.select("file", "pos", F.when(blank, gap).otherwise(F.col("text")).alias("text")), files
 
 
+def write_arrays(
+    rows: DataFrame, body: Column, path: str, folders: list[str], order: list[str], per_file: int = 65_536
+) -> None:
+    """JSON array files of ``body`` (JSON texts) under one folder per value of ``folders``, in
+    ``order``; a folder has one file for every ``per_file`` rows. Folders that are written
+    again are replaced, file by file."""
+    placed = running_total(
+        rows.select(*folders, *order, body.alias("_body"), F.lit(1).cast("long").alias("_one")), order, "_one", "_pos", folders
+    )
+    counts = placed.groupBy(*[F.col(c).alias(f"_of_{c}") for c in folders]).agg(F.count("*").alias("_n"))
+    same = [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in folders]
+    joined = placed.join(counts, same) if folders else placed.withColumn("_n", F.lit(counts.first()["_n"]))
+    pos = F.col("_pos")
+    first, last = pos % per_file == 0, (pos % per_file == per_file - 1) | (pos == F.col("_n") - 1)
+    lines = joined.select(
+        *folders, F.lpad(F.expr(f"_pos div {per_file}").cast("string"), 12, "0").alias("shard"), "_pos",
+        F.concat(F.when(first, "[").otherwise(","), "_body", F.when(last, "]").otherwise("")).alias("value"),
+    )
+    keys = [*folders, "shard"]
+    (
+        lines.repartition(*keys).sortWithinPartitions(*keys, "_pos").drop("_pos")
+        .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).text(path)
+    )
+
+
 def with_offsets(files: DataFrame, order: list[str], within: list[str] | None = None) -> DataFrame:
     """``files`` with ``offset``, the elements of the files before in ``order`` (of the same
     ``within``)."""

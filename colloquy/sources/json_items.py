@@ -75,13 +75,24 @@ def read_gold(spark: SparkSession, root: str, schema: T.StructType = ITEM) -> Da
 def read_prediction_files(spark: SparkSession, root: str) -> DataFrame:
     """Predictions under ``<root>/<model>/<task>/graph_eval_<scenario>_<stamp>.json``:
     model, scenario, task, stamp, ``idx`` (the position in the run), ``query`` (the gold
-    item) and ``workflow``. Such a file is an array of ``{query, workflow}``, or a folder
+    item), ``workflow`` and ``modified``, the time of the run's newest file. A run whose files
+    have no stamp in their names has none. Such a file is an array of ``{query, workflow}``, or a folder
     of such files, in name order. Files of other names are left alone."""
     run = ["model", "task", "scenario", "stamp"]
     elements, files = read_elements(spark, root)
-    named = files.select("*", *runs.run_of_path(F.col("file"))).filter(F.col("stamp").isNotNull())
-    return _items(elements, named, PREDICTION_ITEM, run).select(
-        "model", "scenario", "task", "stamp", "idx", "query", "workflow"
+    named = files.select("*", *runs.run_of_path(F.col("file"))).filter(F.col("scenario").isNotNull())
+    # Names and times only: the content is never asked for.
+    times = (
+        spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+        .select(*runs.run_of_path(F.col("_metadata.file_path")), F.col("_metadata.file_modification_time").alias("at"))
+        .filter(F.col("scenario").isNotNull()).groupBy(*run).agg(F.max("at").alias("modified"))
+        .select(*[F.col(c).alias(f"_{c}") for c in run], "modified")
+    )
+    # Nulls are keys here as well: a run may be without a stamp.
+    items = _items(elements, named.withColumn("stamp", F.coalesce("stamp", F.lit(""))), PREDICTION_ITEM, run)
+    same = [F.col(c) == F.coalesce(f"_{c}", F.lit("")) for c in run]
+    return items.join(times, same, "left").select(
+        "model", "scenario", "task", F.nullif("stamp", F.lit("")).alias("stamp"), "idx", "query", "workflow", "modified"
     )
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 from colloquy import schemas
 from colloquy.operators.embedding import HASH_ENCODER_NAME
 from colloquy.operators.runs import latest_runs
+from colloquy.sources.json_arrays import read_elements, write_arrays
 
 PREDICTION_PARTITIONS = ["model", "scenario", "task", "stamp"]
 CHUNK_FIELDS = ["query"]
@@ -28,12 +29,14 @@ def _read(spark: SparkSession, path: str, schema: T.StructType, what: str) -> Da
 
 
 def write_predictions(predictions: DataFrame, path: str) -> None:
-    """Append runs, one folder each. The rebalance brings the rows of a run
-    together, for few files, but splits a run that is large."""
+    """Write runs, one folder each; a run that is there already is replaced, so writing it
+    twice, after a failure for instance, gives its rows once. The rebalance brings the rows
+    of a run together, for few files, but splits a run that is large."""
     (
         predictions.select(*schemas.PREDICTIONS.fieldNames())
         .hint("rebalance", *PREDICTION_PARTITIONS)
-        .write.mode("append")
+        .write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
         .partitionBy(*PREDICTION_PARTITIONS)
         .parquet(path)
     )
@@ -45,26 +48,19 @@ def read_predictions(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def export_predictions(predictions: DataFrame, gold_items: DataFrame, path: str) -> None:
-    """JSON lines of ``{query, workflow}`` with the gold item as the query."""
-    fields = [f for f in schemas.ITEM.fieldNames()]
-    item = gold_items.select("task", "idx", F.struct(*fields).alias("query"))
-    (
-        predictions.join(item, ["task", "idx"])
-        .select(*PREDICTION_PARTITIONS, "query", "workflow")
-        .hint("rebalance", *PREDICTION_PARTITIONS)
-        .write.mode("append")
-        .partitionBy(*PREDICTION_PARTITIONS)
-        .json(path)
-    )
-
-
-def read_exported(spark: SparkSession, path: str) -> DataFrame:
-    schema = T.StructType(
-        schemas.PREDICTION_ITEM.fields
-        + [T.StructField(p, T.StringType()) for p in PREDICTION_PARTITIONS]
+def export_predictions(
+    predictions: DataFrame, gold_items: DataFrame, path: str, per_file: int = 65_536
+) -> None:
+    """JSON arrays of ``{query, workflow}``, the gold item as the query, in the order of
+    positions, under ``<path>/model=<m>/task=<t>/file=graph_eval_<scenario>_<stamp>.json``
+    (no stamp: without it), as ``json_items.read_prediction_files`` reads them. A run that is
+    exported again replaces its files."""
+    item = gold_items.select("task", "idx", F.struct(*schemas.ITEM.fieldNames()).alias("query"))
+    name = F.concat(F.lit("graph_eval_"), F.concat_ws("_", "scenario", "stamp"), F.lit(".json"))
+    rows = predictions.join(item, ["task", "idx"]).select(
+        "model", "task", name.alias("file"), "idx", F.struct("query", F.coalesce("workflow", F.lit("")).alias("workflow")).alias("pair")
     )
-    return spark.read.schema(schema).json(path)
+    write_arrays(rows, F.to_json("pair"), path, ["model", "task", "file"], ["idx"], per_file)
 
 
 def append_runs(runs: DataFrame, path: str) -> None:
@@ -87,6 +83,64 @@ def read_results(spark: SparkSession, path: str) -> DataFrame:
     return newest.select(*schemas.RESULTS.fieldNames())
 
 
+# The fields of a result file.
+RESULT_FIELDS = (
+    "precision", "recall", "f1_score", "n_total", "n_evaluated", "n_skipped_unparseable", "n_skipped_runtime", "eval_device",
+)
+
+
+def write_result_files(results: DataFrame, path: str, device: str = "cpu") -> None:
+    """One JSON object per model, task, scenario and eval type, under
+    ``<path>/model=<m>/task=<t>/file=<scenario>_<type>.json``; what is there already is replaced."""
+    known = results.withColumn("eval_device", F.lit(device))
+    name = F.concat(F.col("scenario"), F.lit("_"), F.col("eval_type"), F.lit(".json"))
+    (
+        known.select("model", "task", name.alias("file"), F.to_json(F.struct(*RESULT_FIELDS)).alias("value"))
+        .repartition("model", "task", "file")
+        .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        .partitionBy("model", "task", "file").text(path)
+    )
+
+
+def read_result_files(spark: SparkSession, path: str) -> DataFrame:
+    """The results under ``<path>/<model>/<task>/<scenario>_<type>.json`` (folder names of a
+    partitioned write do as well); other files are left alone."""
+    pattern = r"/(?:model=)?([^/]+)/(?:task=)?([^/]+)/(?:file=)?(i0|rag|sft_rag|sft)_([^/_]+)\.json(?:/[^/]+)*$"
+    fields = T.StructType(
+        [f for f in schemas.RESULTS.fields if f.name in RESULT_FIELDS] + [T.StructField("eval_device", T.StringType())]
+    )
+    # A file is one small object, over several lines or not.
+    texts = spark.read.text(path, wholetext=True, recursiveFileLookup=True).select("value", F.col("_metadata.file_path").alias("file"))
+    named = texts.select(
+        *[F.regexp_extract("file", pattern, i + 1).alias(n) for i, n in enumerate(("model", "task", "scenario", "eval_type"))],
+        F.from_json("value", fields, {"mode": "FAILFAST"}).alias("r"),
+    )
+    return named.where("scenario <> ''").select("model", "scenario", "task", "eval_type", "r.*")
+
+
+def summary_json(matrix: DataFrame) -> DataFrame:
+    """The matrix as one nested JSON text (``summary``): models, scenarios, tasks and eval
+    types, with the metrics of done cells, and of others their status and expected output.
+    A matrix has as many cells as were asked for, not as there are predictions."""
+    result = F.to_json(F.struct(*[c for c in RESULT_FIELDS if c in matrix.columns]))
+    wait = F.to_json(F.struct("status", "expected_output"))
+    value = F.when(F.col("status") == "done", result).otherwise(wait)
+
+    def entry(key: str) -> Column:
+        return F.struct(F.to_json(F.struct(F.col(key).alias("k"))).alias("k"), "v")
+
+    rows = matrix.select("model", "scenario", "task", "eval_type", value.alias("v"))
+    keys = ["model", "scenario", "task", "eval_type"]
+    while keys:
+        *keys, key = keys
+        # {"k":"name"} less its frame is the name as JSON has it.
+        listed = F.array_sort(F.collect_list(entry(key)))
+        texts = F.transform(listed, lambda e: F.concat(F.regexp_extract(e["k"], r'^\{"k":(.*)\}$', 1), F.lit(":"), e["v"]))
+        body = F.concat(F.lit("{"), F.array_join(texts, ","), F.lit("}"))
+        rows = rows.groupBy(*keys).agg(body.alias("v"))
+    return rows.select(F.concat(F.lit('{"models":'), "v", F.lit("}")).alias("summary"))
+
+
 # --- fingerprints and the retrieval index -----------------------------------
 
 
@@ -211,16 +265,28 @@ def index_staleness(
 # --- the fine-tuning set ----------------------------------------------------
 
 
-def write_sft(dataset: DataFrame, stats: DataFrame, path: str, format: str = "json") -> None:
-    """The conversation set (``messages`` only) and its statistics."""
-    dataset.select("messages").write.mode("overwrite").format(format).save(f"{path}/set")
+def write_sft(
+    dataset: DataFrame, stats: DataFrame, path: str, format: str = "json", order: Sequence[str] = ()
+) -> None:
+    """The conversation set (``messages`` only) and its statistics. ``format="array"`` writes
+    JSON array files, in the order of the columns ``order``."""
+    if format == "array":
+        item = F.to_json(F.struct("messages"))
+        write_arrays(dataset, item, f"{path}/set", [], list(order))
+    else:
+        dataset.select("messages").write.mode("overwrite").format(format).save(f"{path}/set")
     stats.write.mode("overwrite").json(f"{path}/stats")
 
 
 def read_sft(spark: SparkSession, path: str, format: str = "json") -> DataFrame:
     """Records with messages, role and content only, a missing content as ``""``."""
     schema = T.StructType([T.StructField("messages", schemas.MESSAGES)])
-    records = spark.read.schema(schema).format(format).load(f"{path}/set")
+    if format == "array":
+        elements, _ = read_elements(spark, f"{path}/set")
+        item = F.from_json("text", schema, {"mode": "FAILFAST"})
+        records = elements.select(item.alias("item")).select("item.*")
+    else:
+        records = spark.read.schema(schema).format(format).load(f"{path}/set")
     return reload_messages(records)
 
 

@@ -48,10 +48,11 @@ def test_prediction_files(spark, tmp_path):
     put(tmp_path / "model-x" / "os" / "graph_eval_sft_rag_20250102_030406.json", run())
     put(tmp_path / "model-x" / "os" / "graph_eval_rag.json", run("old"))
     put(tmp_path / "model-y" / "lumos" / "graph_eval_i0_20250102_030405.json", run("c"))
-    got = J.read_prediction_files(spark, str(tmp_path)).orderBy("model", "idx").collect()
+    got = J.read_prediction_files(spark, str(tmp_path)).orderBy("model", F.col("stamp").asc_nulls_last(), "idx").collect()
     assert [(r.model, r.task, r.scenario, r.stamp, r.idx, r.query.id, r.workflow) for r in got] == [
         ("model-x", "os", "rag", "20250102_030405", 0, "a", "wa"),
         ("model-x", "os", "rag", "20250102_030405", 1, "b", "wb"),
+        ("model-x", "os", "rag", None, 0, "old", "wold"),
         ("model-y", "lumos", "i0", "20250102_030405", 0, "c", "wc"),
     ]
     put(tmp_path / "model-y" / "lumos" / "graph_eval_i0_20250102_030407.json", {"no": "list"})
@@ -89,10 +90,70 @@ def test_predictions_round_trip_and_export(spark, tmp_path):
     plan = back.filter("scenario = 'rag'")._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(scenario" in plan
     put(tmp_path / "gold" / "t" / "graph_eval.json", [{"id": str(i), "conversations": CHAT} for i in range(3)])
-    S.export_predictions(df, J.read_gold(spark, str(tmp_path / "gold")), str(tmp_path / "e"))
-    out = S.read_exported(spark, str(tmp_path / "e")).collect()
-    assert {(r["scenario"], r["query"]["id"], r["workflow"]) for r in out} == {
-        (s, str(i), f"w{i}") for s in ("i0", "rag") for i in range(3)}
+    gold = J.read_gold(spark, str(tmp_path / "gold"))
+    unstamped = df.withColumn("stamp", F.lit(None).cast("string")).withColumn("workflow", F.concat(F.lit("old "), "workflow"))
+    for _ in range(2):  # A second export replaces the first.
+        S.export_predictions(df.unionByName(unstamped), gold, str(tmp_path / "e"), per_file=2)
+    out = J.read_prediction_files(spark, str(tmp_path / "e"))
+    assert sorted((r["scenario"], r["stamp"] or "", r["idx"], r["query"]["id"], r["workflow"]) for r in out.collect()) == sorted(
+        (s, stamp, i, str(i), old + f"w{i}")
+        for s in ("i0", "rag") for i in range(3) for stamp, old in (("20260710_030000", ""), ("", "old ")))
+    for found in (runs.latest_predictions(out), runs.latest_predictions(out, newest_by="modified")):
+        assert {r["stamp"] for r in found.collect()} == {"20260710_030000"} and found.count() == 6
+    lone = runs.latest_predictions(out.where("stamp is null"), newest_by="modified")
+    assert {r["workflow"] for r in lone.collect()} == {f"old w{i}" for i in range(3)}
+
+
+def test_a_run_written_twice_counts_once(spark, tmp_path):
+    rows = [("m", s, "t", "20260710_030000", i, f"w{i}", None) for s in ("i0", "rag") for i in range(3)]
+    df = spark.createDataFrame(rows, "model string, scenario string, task string, stamp string, idx long, workflow string, error string")
+    S.write_predictions(df.withColumn("workflow", F.lit("first try")), str(tmp_path / "p"))
+    S.write_predictions(df.where("scenario = 'rag'"), str(tmp_path / "p"))
+    back = {(r["scenario"], r["idx"]): r["workflow"] for r in S.read_predictions(spark, str(tmp_path / "p")).collect()}
+    assert back == {(s, i): f"w{i}" if s == "rag" else "first try" for s in ("i0", "rag") for i in range(3)}
+    assert S.read_predictions(spark, str(tmp_path / "p")).count() == 6
+
+
+def test_newest_files_win_over_greater_stamps(spark):
+    df = spark.createDataFrame(
+        [("m", "t", "i0", "20260101_000000", 5), ("m", "t", "i0", "20250101_000000", 9), ("m", "t", "i0", None, 11), ("m", "t", "rag", None, 1)],
+        "model string, task string, scenario string, stamp string, modified long")
+    by_time = {(r["scenario"], r["stamp"]) for r in runs.latest_predictions(df, newest_by="modified").collect()}
+    assert by_time == {("i0", "20250101_000000"), ("rag", None)}
+    assert {(r["scenario"], r["stamp"]) for r in runs.latest_predictions(df).collect()} == {("i0", "20260101_000000"), ("rag", None)}
+
+
+def test_result_files_and_summary(spark, tmp_path):
+    results = spark.createDataFrame(
+        [('a"b', "rag", "t", "node", 0.25, 0.5, 1 / 3, 4, 2, 1, 1)],
+        "model string, scenario string, task string, eval_type string, precision double, recall double, "
+        "f1_score double, n_total long, n_evaluated long, n_skipped_unparseable long, n_skipped_runtime long")
+    S.write_result_files(results.withColumn("model", F.lit("a")), str(tmp_path))
+    S.write_result_files(results.withColumn("model", F.lit("a")), str(tmp_path))
+    (back,) = S.read_result_files(spark, str(tmp_path)).collect()
+    assert (back["model"], back["scenario"], back["task"], back["eval_type"], back["f1_score"], back["eval_device"]) == (
+        "a", "rag", "t", "node", 1 / 3, "cpu")
+    # The layout of others: an indented object in a plain file.
+    put(tmp_path / "b" / "t" / "sft_rag_graph.json", json.dumps({"precision": 1.0, "recall": 0.5, "f1_score": 0.6, "n_total": 2}, indent=4))
+    other = S.read_result_files(spark, str(tmp_path)).where("model = 'b'").first()
+    assert (other["scenario"], other["eval_type"], other["n_total"], other["n_evaluated"]) == ("sft_rag", "graph", 2, None)
+    models = spark.createDataFrame([('a"b', ["i0", "rag"])], "model string, scenarios array<string>")
+    matrix = scenarios.evaluation_matrix(scenarios.matrix_cells(models, ["t"], ["node"]), results)
+    told = json.loads(S.summary_json(matrix).first()["summary"])
+    assert told["models"]['a"b']["rag"]["t"]["node"]["n_total"] == 4
+    assert told["models"]['a"b']["i0"]["t"]["node"] == {"status": "pending", "expected_output": 'eval_results/a"b/t/i0_node.json'}
+
+
+def test_training_set_as_arrays(spark, tmp_path):
+    rows = [(i, [("user", f"q{i}"), ("assistant", None)]) for i in range(5)] + [(9, [])]
+    df = spark.createDataFrame(rows, "idx long, messages array<struct<role:string,content:string>>")
+    stats = spark.createDataFrame([(1,)], "total long")
+    S.write_sft(df, stats, str(tmp_path), "array", order=["idx"])
+    texts = [json.loads(p.read_text()) for p in (tmp_path / "set").rglob("*.txt")]
+    assert [m["messages"][0]["content"] for m in texts[0][:5]] == [f"q{i}" for i in range(5)]
+    back = S.read_sft(spark, str(tmp_path), "array").collect()
+    assert sorted(r["messages"][0]["content"] for r in back) == [f"q{i}" for i in range(5)]
+    assert {r["messages"][1]["content"] for r in back} == {""}
 
 
 def test_fingerprint_ignores_order_and_sees_changes(spark):
