@@ -238,3 +238,20 @@ def test_generator_runs_once_under_a_filter(spark):
     out = prediction.batch_predict(prompts, ["idx"], lambda: (lambda m, model, tuned: "a"), model="m", finetuned=False)
     plan = out.filter("error IS NOT NULL")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("ArrowEvalPython") == 1
+
+
+def test_min_cover_of_many_conflicts():
+    """200 nodes with 600 conflicts; dense graphs against all subsets."""
+    import random
+
+    r = random.Random(0)
+    edges = [tuple(r.sample(range(200), 2)) for _ in range(600)]
+    assert graphs.min_cover(edges, 20_000) == 118
+    for seed in range(60):
+        r = random.Random(seed)
+        n = r.randrange(3, 10)
+        edges = [(r.randrange(n), r.randrange(n)) for _ in range(r.randrange(4 * n))]
+        best = min(
+            k for k in range(n + 1) for c in itertools.combinations(range(n), k) if all(a in c or b in c for a, b in edges)
+        )
+        assert graphs.min_cover(edges) == best
