@@ -60,8 +60,10 @@ def gathered(flat: np.ndarray, sizes: np.ndarray, codes: np.ndarray) -> tuple[np
     begins = np.cumsum(sizes) - sizes
     counts = sizes[codes]
     ends = np.cumsum(counts)
-    where = np.repeat(begins[codes] - (ends - counts), counts)
-    where += np.arange(len(where))
+    total = int(ends[-1]) if len(ends) else 0
+    whole = np.int32 if max(total, len(flat)) < 1 << 31 else np.int64
+    where = np.repeat((begins[codes] - (ends - counts)).astype(whole), counts)
+    where += np.arange(total, dtype=whole)
     return flat[where], ends
 
 
@@ -72,7 +74,7 @@ class WordEncoder:
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tok = Tokenizer.from_file(path)
         self.tok.no_truncation()
@@ -80,23 +82,26 @@ class WordEncoder:
         self.width = np.dtype("<u2" if vocabulary_size(path) <= 1 << 16 else "<u4")
         self.lower = any(n["type"] == "Lowercase" for n in _normalizers(path))
         self.kept: dict[str, bytes] = {}
-        self.signs = [self._library([s])[0] for s in SIGNS]
-        #: One id that letters never give, between words of letters.
+        self.signs = [self._one_by_one([s])[0] for s in SIGNS]
+        #: One id that words without this sign never give, to stand between them.
         self.between = next((s for s, ids in zip(SIGNS, self.signs) if len(ids) == self.width.itemsize), None)
+        # Lower-case ASCII letters are neither normalised nor split: the model alone will do.
+        self.bare = Tokenizer(self.tok.model)
+        self.bare.pre_tokenizer = pre_tokenizers.Split(" ", "removed")
 
-    def _library(self, words: list[str]) -> list[bytes]:
+    def _one_by_one(self, words: list[str]) -> list[bytes]:
         made = self.tok.encode_batch_fast(words, add_special_tokens=False)
         return [np.array(e.ids, self.width).tobytes() for e in made]
 
-    def _letters(self, words: list[str]) -> list[bytes]:
-        """Words of letters, as one text with a sign after each."""
+    def _together(self, words: list[str], tok) -> list[bytes]:
+        """Words without the sign ``between``, as one text with that sign after each."""
         if self.between is None or not words:
-            return self._library(words)
+            return self._one_by_one(words)
         text = f" {self.between} ".join(words)
-        ids = np.array(self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.width)
+        ids = np.array(tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.width)
         cut = np.flatnonzero(ids == np.frombuffer(self.signs[SIGNS.index(self.between)], self.width)[0])
         if len(cut) != len(words) - 1:
-            return self._library(words)
+            return self._one_by_one(words)
         size = self.width.itemsize
         raw = ids.tobytes()
         return [raw[a:b] for a, b in zip([0, *((cut + 1) * size).tolist()], [*(cut * size).tolist(), len(raw)])]
@@ -109,12 +114,22 @@ class WordEncoder:
             return found
         if len(kept) + len(new) > KEPT_WORDS:
             kept.clear()
-        for which, encode in ((True, self._letters), (False, self._library)):
-            part = [i for i in new if letters[i] == which]
-            for i, ids in zip(part, encode([pieces[i] for i in part])):
+        plain = [i for i in new if letters[i] and pieces[i].isascii() and pieces[i].islower()]
+        bare = set(plain)
+        rest = [i for i in new if i not in bare]
+        solid = [i for i in rest if self.between and self.between not in pieces[i]]
+        single = [i for i in rest if not self.between or self.between in pieces[i]]
+        for part, encode in (
+            (plain, lambda w: self._together(w, self.bare)), (solid, lambda w: self._together(w, self.tok)),
+            (single, self._one_by_one),
+        ):
+            words = [pieces[i] for i in part]
+            made = encode(words)
+            kept.update(zip(words, made))
+            for i, word, ids in zip(part, words, made):
                 found[i] = ids
-                if len(pieces[i]) <= LONGEST_KEPT:
-                    kept[pieces[i]] = ids
+                if len(word) > LONGEST_KEPT:
+                    del kept[word]
         return found
 
     def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
