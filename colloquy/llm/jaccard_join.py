@@ -53,19 +53,20 @@ def _prefix(n, num: int, den: int):
 
 
 def set_profiles(df: DataFrame, n: int, id_column: str, text_column: str) -> DataFrame:
-    """(id, n_shingles, cls): cls is equal for equal sets; null for empty ones."""
+    """(id, digest, n_shingles, cls): cls is equal for equal sets, null for empty ones;
+    ``digest`` is the text's ``xxhash64``."""
 
     def make(batch: pa.RecordBatch) -> dict:
         sets = [shingle_set(x, n) for x in texts.utf8(batch, text_column)]
         cls = [xxhash.xxh3_64_intdigest(s.tobytes()) if len(s) else None for s in sets]
         return {
-            "id": batch.column("id"), "n_shingles": [len(s) for s in sets],
+            "id": batch.column("id"), "digest": batch.column("digest"), "n_shingles": [len(s) for s in sets],
             "cls": [x if x is None or x < 1 << 63 else x - (1 << 64) for x in cls],
         }
 
     return texts.map_slices(
-        df.select(F.col(id_column).cast("long").alias("id"), text_column), text_column, make,
-        "id bigint, n_shingles bigint, cls bigint",
+        df.select(F.col(id_column).cast("long").alias("id"), F.xxhash64(text_column).alias("digest"), text_column),
+        text_column, make, "id bigint, digest bigint, n_shingles bigint, cls bigint",
     )
 
 
@@ -287,8 +288,9 @@ def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
 
 
 def similar_components(df: DataFrame, n: int = 5, num: int = 75, den: int = 100,
-                       id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """One row per document: id, n_shingles, component_id."""
+                       id_column: str = "doc_id", text_column: str = "text", with_digest: bool = False) -> DataFrame:
+    """One row per document: id, n_shingles, component_id; ``with_digest`` also the text's
+    ``xxhash64``, which tells rows apart that repeat an id."""
     profiles = materialize(set_profiles(df, n, id_column, text_column), "profiles")
     classes = materialize(
         profiles.where("cls IS NOT NULL").groupBy("cls").agg(F.min("id").alias("id"), F.max("n_shingles").alias("n_shingles")),
@@ -348,7 +350,8 @@ def similar_components(df: DataFrame, n: int = 5, num: int = 75, den: int = 100,
     least = named.groupBy("component").agg(F.min("id").alias("component_id"))
     of_class = named.join(least, "component").select("cls", "component_id")
     return profiles.join(of_class, "cls", "left").select(
-        F.col("id").alias(id_column), "n_shingles", F.coalesce("component_id", "id").alias("component_id")
+        F.col("id").alias(id_column), "n_shingles", F.coalesce("component_id", "id").alias("component_id"),
+        *(["digest"] if with_digest else []),
     )
 
 
