@@ -3,7 +3,7 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which ``run`` writes as
 Parquet and reads again for the next one. All but the last return the columns of the
 documents they got, in their order. Documents without an id are kept by the copies stage;
-rows that repeat an id are one document there.
+of rows that repeat an id, only those go there whose own text is a copy of an earlier document's.
 """
 
 from __future__ import annotations
@@ -43,10 +43,14 @@ def toxic_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest id."""
-    found = jaccard_join.similar_components(docs.select("doc_id", "text"))
-    gone = found.where("component_id <> doc_id").select(F.col("doc_id").alias("gone_id")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("gone_id"), "left_anti")
+    """Of each group of near copies the document with the smallest id. A row goes by its own
+    text: another row of its id, with a text that is no copy, stays."""
+    found = jaccard_join.similar_components(docs.select("doc_id", "text"), with_digest=True)
+    gone = found.where("component_id <> doc_id").select(
+        F.col("doc_id").alias("gone_id"), F.col("digest").alias("gone_digest")
+    ).distinct()
+    same = (F.col("doc_id") == F.col("gone_id")) & (F.xxhash64("text") == F.col("gone_digest"))
+    return docs.join(gone, same, "left_anti")
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
