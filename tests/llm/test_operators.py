@@ -504,6 +504,24 @@ def test_pipeline_stages(spark, docs, tmp_path):
     assert {r.doc_id for r in last.collect()} == {r.doc_id for r in kept.collect()}
 
 
+def test_copies_stage_keeps_unique_texts_of_repeated_ids(spark):
+    one, other = prose(1, 80), prose(2, 80)
+    rows = [(1, one), (5, one + " end"), (5, other), (7, other), (9, None), (9, prose(3, 80)), (None, one)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("digest", F.lit("clash"))
+    kept = corpus_pipeline.near_copies(spark, df, "")
+    assert kept.columns == df.columns
+    assert sorted(((r.doc_id or 0), r.text or "") for r in kept.collect()) == sorted(
+        ((i or 0), t or "") for i, t in rows if (i, t) not in ((5, one + " end"), (7, other)))
+
+
+@pytest.mark.parametrize("stage", [name for name, _ in corpus_pipeline.STAGES])
+def test_stages_on_an_empty_table(spark, tmp_path, stage):
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+    spark.createDataFrame([(1, 1, 0)], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = dict(corpus_pipeline.STAGES)[stage](spark, spark.createDataFrame([], schema), str(tmp_path))
+    assert got.count() == 0 and (stage == "packing" or got.columns == ["doc_id", "text", "lang", "source", "n_chars"])
+
+
 def test_signatures_bound_the_difference():
     rng = np.random.default_rng(5)
     for _ in range(200):
