@@ -2,18 +2,14 @@
 
 ``score = dot / (|m| * |q| + 1e-9)`` in double precision, rounded to 12 digits so
 that the last bits of a sum do not order scores that are equal; best first, equal
-scores by record id. Every physical form gives the same rows:
+scores by record id and key. Every physical form gives the same rows:
 
 * ``broadcast_corpus``: a corpus under the size bound goes to every task; the
   queries are mapped without a shuffle.
 * ``broadcast_queries``: queries under the bound go to every task; the corpus is
   read once and each task keeps its own best k per query.
-* ``blocked``: neither side fits. Vectors are grouped by their nearest of a
-  bounded set of pivots into cells, cells are cut into blocks of bounded size,
-  and a query is sent only to the cells that the triangle inequality on angles
-  cannot rule out against its k-th best score so far. A hot cell is many blocks,
-  many queries for one block are many chunks, and equal vectors are reduced to
-  one row with their k smallest ids beforehand, so copies cost nothing.
+* ``blocked``: neither side fits; a tree of balls over the records rules out what a
+  query need not see (``ball_index``).
 
 No form emits the pairs: a task multiplies a block of queries with a block of
 records and gives out at most k rows per query.
@@ -25,111 +21,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from colloquy.session import materialize
+from colloquy.operators import ball_index
+from colloquy.operators.vectors import (
+    banned_pairs, best_in_block, matrix_of, norms_of, order_of, ranks_within,
+)
 
 DEFAULT_TOP_K = 2
-EPSILON = 1e-9
-SCORE_DIGITS = 12
 BROADCAST_BYTES = 64 << 20
 BLOCK_ROWS = 8_192
-PIVOTS = 256
 _PROBE_ROWS = 4_096
-_SLICE_CELLS = 1 << 22  # scores held at once inside a task
-_SCORE_SLACK = 1e-9  # above the rounding of a matrix product
-_BOUND_SLACK = 1e-6  # above the rounding of arc cosines
-
-
-# --- inside the tasks -------------------------------------------------------
-
-
-def matrix_of(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
-    """A list column as a float64 matrix; all lists must be of one length."""
-    if isinstance(column, pa.ChunkedArray):
-        column = column.combine_chunks()
-    n = len(column)
-    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    if n == 0:
-        return np.zeros((0, 0))
-    lengths = np.diff(column.offsets.to_numpy())
-    if len(np.unique(lengths)) > 1:
-        raise ValueError("vectors of different lengths in one column")
-    return flat.reshape(n, -1)
-
-
-def norms_of(m: np.ndarray) -> np.ndarray:
-    total = np.zeros(m.shape[0])
-    for j in range(m.shape[1]):
-        total += m[:, j] * m[:, j]
-    return np.sqrt(total)
-
-
-def order_of(ids) -> np.ndarray:
-    """Rank of each id in the order of ids."""
-    return np.unique(np.asarray(ids), return_inverse=True)[1]
-
-
-def best_in_block(q, q_norm, m, m_norm, m_order, k, banned=None):
-    """Index pairs and exact scores of the ``k`` best rows of ``m`` per row of
-    ``q``, in rank order. ``banned`` lists (query row, record row) to leave out.
-
-    A matrix product finds the candidates; their scores are then summed in one
-    fixed order, so a score does not depend on where a vector stands.
-    """
-    out_q, out_m, out_s = [], [], []
-    n_m = m.shape[0]
-    step = max(1, _SLICE_CELLS // max(1, n_m))
-    for lo in range(0, q.shape[0] if n_m else 0, step):
-        hi = min(lo + step, q.shape[0])
-        rough = (q[lo:hi] @ m.T) / (np.outer(q_norm[lo:hi], m_norm) + EPSILON)
-        if banned is not None:
-            inside = (banned[0] >= lo) & (banned[0] < hi)
-            rough[banned[0][inside] - lo, banned[1][inside]] = -np.inf
-        if n_m > k:
-            floor = np.partition(rough, n_m - k, axis=1)[:, n_m - k] - _SCORE_SLACK
-            keep = rough >= floor[:, None]
-            keep &= rough > -np.inf
-        else:
-            keep = rough > -np.inf
-        qi, mi = np.nonzero(keep)
-        qi = qi + lo
-        dot = np.zeros(len(qi))
-        for j in range(m.shape[1]):
-            dot += q[qi, j] * m[mi, j]
-        score = np.round(dot / (m_norm[mi] * q_norm[qi] + EPSILON), SCORE_DIGITS)
-        order = np.lexsort((m_order[mi], -score, qi))
-        qi, mi, score = qi[order], mi[order], score[order]
-        first = np.searchsorted(qi, qi, side="left")
-        top = np.arange(len(qi)) - first < k
-        out_q.append(qi[top])
-        out_m.append(mi[top])
-        out_s.append(score[top])
-    if not out_q:
-        return np.zeros(0, int), np.zeros(0, int), np.zeros(0)
-    return np.concatenate(out_q), np.concatenate(out_m), np.concatenate(out_s)
-
-
-def banned_pairs(exclude_lists, record_ids):
-    """(query row, record row) of the excluded ids that occur in this block."""
-    ids = np.asarray(record_ids)
-    if not len(ids):
-        return None
-    order = np.argsort(ids, kind="stable")
-    ids = ids[order]
-    rows = np.repeat(np.arange(len(exclude_lists)), [len(e) for e in exclude_lists])
-    flat = [x for e in exclude_lists for x in e]
-    if not flat:
-        return None
-    flat = np.asarray(flat, dtype=ids.dtype if ids.dtype.kind != "U" else None)
-    at = np.searchsorted(ids, flat)
-    hit = (at < len(ids)) & (ids[np.minimum(at, len(ids) - 1)] == flat)
-    return rows[hit], order[at[hit]]
-
-
-def ranks_within(qi: np.ndarray) -> np.ndarray:
-    return np.arange(len(qi)) - np.searchsorted(qi, qi, side="left") + 1
 
 
 # --- the join ---------------------------------------------------------------
@@ -143,19 +46,23 @@ def topk_cosine(
     query_id: str = "query_id",
     query_vector: str = "embedding",
     record_id: str = "id",
+    record_key: str | None = None,
     record_vector: str = "embedding",
     exclude: str | None = None,
     strategy: str = "auto",
     broadcast_bytes: int = BROADCAST_BYTES,
     block_rows: int = BLOCK_ROWS,
-    pivots: int = PIVOTS,
+    pivots: int | None = None,
 ) -> DataFrame:
     """(``query_id``, ``rank``, ``record_id``, ``score``), ``k`` rows per query or
     as many as the corpus has.
 
     ``exclude`` names a column of the queries with an array of record ids that
-    may not answer that query. Ids must be unique on both sides. ``k`` of 0 or
-    None means the default.
+    may not answer that query. Query ids must be unique. So must record ids, unless
+    ``record_key`` names a column that tells records of one id apart: it orders them,
+    each is a hit of its own, and hits carry it, to be joined with. An excluded id
+    excludes all its records. ``pivots`` is for the blocked form, the root of the number
+    of records where it is None. ``k`` of 0 or None means the default.
     """
     k = k or DEFAULT_TOP_K
     q = queries.select(
@@ -164,7 +71,9 @@ def topk_cosine(
         *([F.coalesce(F.col(exclude), F.array()).alias("excl")] if exclude else []),
     ).filter(F.col("qvec").isNotNull())
     c = corpus.select(
-        F.col(record_id).alias("id"), F.col(record_vector).alias("vec")
+        F.col(record_id).alias("id"),
+        (F.col(record_key) if record_key else F.lit(0)).alias("key"),
+        F.col(record_vector).alias("vec"),
     ).filter(F.col("vec").isNotNull())
 
     found = None
@@ -179,31 +88,55 @@ def topk_cosine(
     if found is None:
         if strategy not in ("auto", "blocked"):
             raise ValueError(f"{strategy}: the side to broadcast exceeds {broadcast_bytes} bytes")
-        found = _blocked(q, c, k, exclude is not None, block_rows, pivots)
+        found = ball_index.topk(q, c, k, exclude is not None, block_rows, pivots)
     return found.select(
         F.col("qid").alias(query_id),
         "rank",
         F.col("id").alias("record_id"),
+        *([F.col("key").alias(record_key)] if record_key else []),
         "score",
     )
 
 
 def _small_table(df: DataFrame, vector: str, max_bytes: int) -> pa.Table | None:
-    """``df`` on the driver if its vectors take at most ``max_bytes``.
+    """``df`` on the driver if it takes at most ``max_bytes``: its vectors in double
+    precision, its texts and lists.
 
-    The first rows are taken from as few partitions as hold them, which settles
-    small tables in one job; a larger one is counted before it is fetched.
+    As many rows are taken as fit by the width of the first vector, but at most some
+    thousands; that settles small tables in one job. A larger one is added up before it
+    is fetched.
     """
-    head = df.take(_PROBE_ROWS + 1)
-    dim = max((len(r[vector]) for r in head), default=1)
-    most = max_bytes // (8 * max(1, dim))
-    if len(head) <= _PROBE_ROWS:
-        if len(head) > most:
+    first = df.select(F.size(vector).alias("n")).head()
+    width = 8 * max(1, first["n"] if first else 1)
+    probe = min(_PROBE_ROWS, max_bytes // width)
+    others = [f for f in df.schema if f.name != vector]
+    size = F.lit(width)
+    for f in others:
+        col = F.col(f.name)
+        if isinstance(f.dataType, T.ArrayType):
+            each = F.aggregate(col, F.lit(0).cast("long"), lambda n, x: n + _bytes_of(x, f.dataType.elementType))
+            size = size + F.coalesce(each, F.lit(0))
+        else:
+            size = size + _bytes_of(col, f.dataType)
+    narrow = df.select(*[f.name for f in others], size.cast("long").alias("_bytes"))
+    if any(isinstance(f.dataType, (T.ArrayType, T.StringType)) for f in others):
+        # Texts and lists can be of any size: added up first.
+        if (narrow.agg(F.sum("_bytes").alias("n")).head()["n"] or 0) > max_bytes:
             return None
+    head = df.take(probe + 1)
+    if len(head) <= probe:
         schema = to_arrow_schema(df.schema)
         columns = [pa.array([r[f.name] for r in head], f.type) for f in schema]
         return pa.Table.from_arrays(columns, schema=schema)
-    return df.toArrow() if df.count() <= most else None
+    if probe < _PROBE_ROWS or df.count() * width > max_bytes:
+        return None
+    return df.toArrow()
+
+
+def _bytes_of(col: Column, kind: T.DataType) -> Column:
+    if isinstance(kind, T.StringType):
+        return F.coalesce(F.octet_length(col), F.lit(0)).cast("long")
+    return F.lit(8).cast("long")
 
 
 def _result_schema(q: DataFrame, c: DataFrame) -> T.StructType:
@@ -212,12 +145,13 @@ def _result_schema(q: DataFrame, c: DataFrame) -> T.StructType:
             T.StructField("qid", q.schema["qid"].dataType),
             T.StructField("rank", T.IntegerType()),
             T.StructField("id", c.schema["id"].dataType),
+            T.StructField("key", c.schema["key"].dataType),
             T.StructField("score", T.DoubleType()),
         ]
     )
 
 
-def _rows(q_ids: pa.Array, qi, rank, ids: pa.Array, mi, score) -> pa.RecordBatch:
+def _rows(q_ids: pa.Array, qi, rank, ids: pa.Array, keys: pa.Array, mi, score) -> pa.RecordBatch:
     def plain(a):
         return a.combine_chunks() if isinstance(a, pa.ChunkedArray) else a
 
@@ -226,9 +160,10 @@ def _rows(q_ids: pa.Array, qi, rank, ids: pa.Array, mi, score) -> pa.RecordBatch
             plain(q_ids.take(pa.array(qi))),
             pa.array(rank, pa.int32()),
             plain(ids.take(pa.array(mi))),
+            plain(keys.take(pa.array(mi))),
             pa.array(score, pa.float64()),
         ],
-        names=["qid", "rank", "id", "score"],
+        names=["qid", "rank", "id", "key", "score"],
     )
 
 
@@ -238,8 +173,9 @@ def _map_queries(q, records: pa.Table, k, has_exclude, c) -> DataFrame:
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = shared.value
         ids = table.column("id").combine_chunks()
+        keys = table.column("key").combine_chunks()
         m = matrix_of(table.column("vec"))
-        m_norm, m_order = norms_of(m), order_of(ids.to_pylist()) if len(ids) else np.zeros(0, int)
+        m_norm, m_order = norms_of(m), order_of(ids.to_pylist(), keys.to_pylist())
         for batch in batches:
             if not batch.num_rows or not len(ids):
                 continue
@@ -252,7 +188,7 @@ def _map_queries(q, records: pa.Table, k, has_exclude, c) -> DataFrame:
             qi, mi, s = best_in_block(
                 vectors, norms_of(vectors), m, m_norm, m_order, k, banned
             )
-            yield _rows(batch.column("qid"), qi, ranks_within(qi), ids, mi, s)
+            yield _rows(batch.column("qid"), qi, ranks_within(qi), ids, keys, mi, s)
 
     return q.mapInArrow(answer, _result_schema(q, c))
 
@@ -266,11 +202,11 @@ def _map_corpus(c, held: pa.Table, k, has_exclude, q) -> DataFrame:
         vectors = matrix_of(table.column("qvec"))
         norms = norms_of(vectors)
         excluded = table.column("excl").to_pylist() if has_exclude else None
-        best = None  # (query row, score, id), k per query
+        best = None  # (query row, score, id, key), k per query
         for batch in batches:
             if not batch.num_rows or not len(q_ids):
                 continue
-            ids = batch.column("id")
+            ids, keys = batch.column("id"), batch.column("key")
             m = matrix_of(batch.column("vec"))
             id_list = ids.to_pylist()
             qi, mi, s = best_in_block(
@@ -278,308 +214,27 @@ def _map_corpus(c, held: pa.Table, k, has_exclude, q) -> DataFrame:
                 norms,
                 m,
                 norms_of(m),
-                order_of(id_list),
+                order_of(id_list, keys.to_pylist()),
                 k,
                 banned_pairs(excluded, id_list) if has_exclude else None,
             )
-            new_ids = ids.take(pa.array(mi))
+            new_ids, new_keys = ids.take(pa.array(mi)), keys.take(pa.array(mi))
             if best is not None:
                 qi = np.concatenate([best[0], qi])
                 s = np.concatenate([best[1], s])
                 new_ids = pa.concat_arrays([best[2], new_ids])
-                order = np.lexsort((order_of(new_ids.to_pylist()), -s, qi))
-                qi, s, new_ids = qi[order], s[order], new_ids.take(pa.array(order))
-                top = ranks_within(qi) <= k
-                qi, s, new_ids = qi[top], s[top], new_ids.filter(pa.array(top))
-            best = (qi, s, new_ids)
+                new_keys = pa.concat_arrays([best[3], new_keys])
+                order = np.lexsort((order_of(new_ids.to_pylist(), new_keys.to_pylist()), -s, qi))
+                order = order[ranks_within(qi[order]) <= k]
+                qi, s = qi[order], s[order]
+                new_ids, new_keys = new_ids.take(pa.array(order)), new_keys.take(pa.array(order))
+            best = (qi, s, new_ids, new_keys)
         if best is not None and len(best[0]):
-            qi, s, ids = best
-            yield _rows(q_ids, qi, ranks_within(qi), ids, np.arange(len(ids)), s)
+            qi, s, ids, keys = best
+            yield _rows(q_ids, qi, ranks_within(qi), ids, keys, np.arange(len(ids)), s)
 
     # The corpus keeps its partitions: a coalesce would draw its scan and embedding into
     # few tasks. Each task gives out k rows per query.
     local = c.mapInArrow(scan, _result_schema(q, c))
-    w = Window.partitionBy("qid").orderBy(F.desc("score"), "id")
+    w = Window.partitionBy("qid").orderBy(F.desc("score"), "id", "key")
     return local.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-
-
-# --- neither side fits: cells, blocks and angle bounds ----------------------
-
-
-def _pivot_matrix(c: DataFrame, pivots: int) -> np.ndarray:
-    """At most ``pivots`` different non-zero unit vectors out of the corpus."""
-    table = (
-        c.orderBy(F.xxhash64(F.col("id")), "id").limit(pivots).select("vec").toArrow()
-    )
-    m = matrix_of(table.column("vec"))
-    if not m.size:
-        return np.zeros((0, 0))
-    norm = norms_of(m)
-    m = m[norm > 0] / norm[norm > 0, None]
-    return np.unique(m, axis=0)
-
-
-def _angles(m, norm, pivots):
-    unit = m / np.where(norm > 0, norm, 1.0)[:, None]
-    return np.arccos(np.clip(unit @ pivots.T, -1.0, 1.0))
-
-
-def _blocked(q, c, k, has_exclude, block_rows, n_pivots) -> DataFrame:
-    kk = k
-    if has_exclude:
-        most = q.agg(F.max(F.size("excl")).alias("n")).first()["n"]
-        kk = k + (most or 0)
-
-    # Equal vectors score alike, so only their kk smallest ids can be answers,
-    # and equal queries have one answer list.
-    smallest = Window.partitionBy("vec").orderBy("id")
-    records = (
-        c.withColumn("_rn", F.row_number().over(smallest))
-        .filter(F.col("_rn") <= kk)
-        .groupBy("vec")
-        .agg(F.array_sort(F.collect_list("id")).alias("ids"))
-        .withColumn("id", F.col("ids")[0])
-    )
-    reps = q.groupBy("qvec").agg(F.min("qid").alias("rep"))
-
-    pivots = _pivot_matrix(c, n_pivots)
-    cells = materialize(_assign_cells(records, pivots), "cells")
-    stats = (
-        cells.groupBy("cell")
-        .agg(
-            F.count("*").alias("n"),
-            F.min("angle").alias("lo"),
-            F.max("angle").alias("hi"),
-            F.min("norm").alias("min_norm"),
-        )
-        .orderBy("cell")
-        .toArrow()
-        .to_pydict()
-    )
-    if not stats["cell"]:
-        return q.sparkSession.createDataFrame([], _result_schema(q, c))
-    n_blocks = [-(-n // block_rows) for n in stats["n"]]
-    stats["blocks"] = n_blocks
-    lookup = F.create_map(
-        *[F.lit(x) for pair in zip(stats["cell"], n_blocks) for x in pair]
-    )
-    blocks = cells.withColumn(
-        "block", F.pmod(F.xxhash64("id"), lookup[F.col("cell")].cast("long"))
-    )
-
-    # First round: each query meets one block of its own cell, for a first bound.
-    home = _plan_queries(reps, pivots, stats, kk, home_only=True).withColumn(
-        "block", F.pmod(F.xxhash64("rep"), F.col("blocks"))
-    )
-    bounded = _join_blocks(home, blocks, kk, block_rows, first_round=True)
-    bounded = materialize(bounded, "bounds")
-    # Second round: the cells the bound cannot rule out.
-    visits = _plan_queries(bounded, pivots, stats, kk, home_only=False).withColumn(
-        "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
-    )
-    local = _join_blocks(visits, blocks, kk, block_rows, first_round=False)
-    w = Window.partitionBy("rep").orderBy(F.desc("score"), "id")
-    answers = (
-        local.withColumn("_rn", F.row_number().over(w))
-        .filter(F.col("_rn") <= kk)
-        .select("rep", "score", F.explode("ids").alias("rid"))
-        .groupBy("rep")
-        .agg(
-            F.slice(
-                F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("neg"), "rid"))),
-                1,
-                kk,
-            ).alias("found")
-        )
-    )
-    listed = q.join(reps.join(answers, "rep"), "qvec")
-    found = F.col("found")
-    if has_exclude:
-        found = F.filter(found, lambda x: ~F.array_contains(F.col("excl"), x["rid"]))
-    return listed.select(
-        "qid", F.posexplode(F.slice(found, 1, k)).alias("pos", "hit")
-    ).select(
-        "qid",
-        (F.col("pos") + 1).alias("rank"),
-        F.col("hit.rid").alias("id"),
-        (-F.col("hit.neg")).alias("score"),
-    )
-
-
-def _assign_cells(records: DataFrame, pivots: np.ndarray) -> DataFrame:
-    """Nearest pivot of every record and the angle to it; zero vectors share a
-    cell of their own, numbered after the pivots."""
-    names = ["id", "ids", "vec"]
-
-    def assign(batches):
-        for batch in batches:
-            m = matrix_of(batch.column("vec"))
-            n = batch.num_rows
-            if not n:
-                continue
-            norm = norms_of(m)
-            cell, angle = np.full(n, len(pivots)), np.zeros(n)
-            live = norm > 0
-            if len(pivots) and live.any():
-                a = _angles(m[live], norm[live], pivots)
-                cell[live] = a.argmin(axis=1)
-                angle[live] = a.min(axis=1)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(x) for x in names]
-                + [pa.array(cell, pa.int32()), pa.array(angle), pa.array(norm)],
-                names=[*names, "cell", "angle", "norm"],
-            )
-
-    source = records.select(*names)
-    schema = T.StructType(
-        source.schema.fields
-        + [
-            T.StructField("cell", T.IntegerType()),
-            T.StructField("angle", T.DoubleType()),
-            T.StructField("norm", T.DoubleType()),
-        ]
-    )
-    return source.mapInArrow(assign, schema)
-
-
-def _plan_queries(reps: DataFrame, pivots, stats, kk, *, home_only: bool) -> DataFrame:
-    """The cells each query has to visit: its likeliest one, or all whose best
-    possible score reaches the query's bound ``tau``."""
-    cell = np.asarray(stats["cell"])
-    lo, hi = np.asarray(stats["lo"]), np.asarray(stats["hi"])
-    min_norm = np.asarray(stats["min_norm"])
-    n_blocks = np.asarray(stats["blocks"])
-    zero_cell = cell == len(pivots)
-    names = ["rep", "qvec"] if home_only else ["rep", "qvec", "tau"]
-
-    # A home cell should have enough records in one block to give a bound.
-    full = np.asarray(stats["n"]) / n_blocks >= kk
-    at = np.minimum(cell, max(0, len(pivots) - 1))
-    if len(pivots):
-        spread = np.sqrt(np.maximum(0.0, 2.0 - 2.0 * (pivots @ pivots.T)))
-
-    def nearest(v, norm):
-        if not len(pivots):
-            return np.zeros(len(v), int)
-        a = _angles(v, norm, pivots)[:, at]
-        a[:, zero_cell] = np.pi
-        return np.where(full | ~full.any(), a, a + 2 * np.pi).argmin(axis=1)
-
-    def best_possible(v, norm):
-        bound = np.zeros((len(v), len(cell)))
-        if len(pivots):
-            a = _angles(v, norm, pivots)
-            j = a.argmin(axis=1)
-            near = a[np.arange(len(v)), j]
-            a = a[:, at]
-            # Records of a cell lie in a ring around its pivot ...
-            gap = np.maximum(0.0, np.maximum(a - hi, lo - a))
-            # ... and on its side of the plane halfway to the query's pivot.
-            plane = (np.cos(near)[:, None] - np.cos(a)) / np.maximum(
-                spread[j][:, at], EPSILON
-            )
-            plane[spread[j][:, at] <= 1e-6] = 0.0
-            cos = np.minimum(
-                np.cos(np.minimum(gap, np.pi)), 1.0 - np.maximum(plane, 0.0) ** 2 / 2.0
-            )
-            size = np.outer(norm, min_norm)
-            # A negative score shrinks towards zero with the vectors' lengths.
-            bound = np.where(cos >= 0, cos, cos * size / (size + EPSILON))
-        bound[:, zero_cell] = 0.0
-        bound[norm == 0] = 0.0
-        return bound
-
-    def plan(batches):
-        for batch in batches:
-            for start in range(0, batch.num_rows, 256):
-                part = batch.slice(start, 256)
-                v = matrix_of(part.column("qvec"))
-                if home_only:
-                    qi, ci = np.arange(len(v)), nearest(v, norms_of(v))
-                else:
-                    tau = part.column("tau").to_numpy(zero_copy_only=False)
-                    qi, ci = np.nonzero(
-                        best_possible(v, norms_of(v)) >= tau[:, None] - _BOUND_SLACK
-                    )
-                rows = pa.array(qi, pa.int64())
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column("rep").take(rows),
-                        part.column("qvec").take(rows),
-                        pa.array(cell[ci], pa.int32()),
-                        pa.array(n_blocks[ci], pa.int64()),
-                    ],
-                    names=["rep", "qvec", "cell", "blocks"],
-                )
-
-    source = reps.select(*names)
-    schema = T.StructType(
-        [
-            source.schema["rep"],
-            source.schema["qvec"],
-            T.StructField("cell", T.IntegerType()),
-            T.StructField("blocks", T.LongType()),
-        ]
-    )
-    return source.mapInArrow(plan, schema)
-
-
-def _join_blocks(visits, blocks, kk, chunk_rows, *, first_round: bool) -> DataFrame:
-    """Queries meet the records of the blocks they visit. A block visited by
-    many queries is repeated once per chunk of queries."""
-    load = visits.groupBy("cell", "block").agg(
-        F.ceil(F.count("*") / chunk_rows).cast("long").alias("chunks")
-    )
-    q = visits.join(load, ["cell", "block"]).select(
-        "cell", "block", F.pmod(F.xxhash64("rep"), F.col("chunks")).alias("chunk"), "rep", "qvec"
-    )
-    c = blocks.join(load, ["cell", "block"]).select(
-        "cell",
-        "block",
-        F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"),
-        "id",
-        "ids",
-        "vec",
-    )
-    rep, qvec = visits.schema["rep"], visits.schema["qvec"]
-
-    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
-        reps = left.column("rep")
-        v = matrix_of(left.column("qvec"))
-        if right.num_rows and left.num_rows:
-            ids = right.column("id").combine_chunks()
-            m = matrix_of(right.column("vec"))
-            qi, mi, s = best_in_block(
-                v, norms_of(v), m, norms_of(m), order_of(ids.to_pylist()), kk
-            )
-        else:
-            qi, mi, s = np.zeros(0, int), np.zeros(0, int), np.zeros(0)
-        if first_round:
-            tau = np.full(left.num_rows, -np.inf)
-            last = ranks_within(qi) == kk
-            tau[qi[last]] = s[last]
-            return pa.table({"rep": reps, "qvec": left.column("qvec"), "tau": tau})
-        taken = right.take(pa.array(mi, pa.int64()))
-        return pa.table(
-            {
-                "rep": reps.take(pa.array(qi, pa.int64())),
-                "id": taken.column("id"),
-                "ids": taken.column("ids"),
-                "score": s,
-            }
-        )
-
-    schema = (
-        T.StructType([rep, qvec, T.StructField("tau", T.DoubleType())])
-        if first_round
-        else T.StructType(
-            [
-                rep,
-                blocks.schema["id"],
-                blocks.schema["ids"],
-                T.StructField("score", T.DoubleType()),
-            ]
-        )
-    )
-    keys = ["cell", "block", "chunk"]
-    return q.groupBy(*keys).cogroup(c.groupBy(*keys)).applyInArrow(meet, schema)

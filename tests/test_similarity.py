@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from colloquy.operators import embedding, prompts, similarity
+from colloquy.operators import ball_index, embedding, prediction, prompts, similarity, vectors
 
 STRATEGIES = ["broadcast_corpus", "broadcast_queries", "blocked"]
 
@@ -86,22 +86,114 @@ def test_size_bounds_choose_the_form(spark):
             queries, corpus, 3, broadcast_bytes=64, strategy="broadcast_corpus", **args)
 
 
-def test_blocked_visits_fewer_blocks_on_clustered_vectors(spark):
-    """The angle bound has to rule cells out, or the join is all pairs."""
-    q, m = data("clusters")
-    pivots = similarity._pivot_matrix(frame(spark, range(400), m, "id").withColumnRenamed("embedding", "vec"), 16)
-    a = similarity._angles(m, similarity.norms_of(m), pivots)
-    cell = a.argmin(axis=1)
-    cells = np.unique(cell)
-    stats = {
-        "cell": list(cells), "n": [int((cell == c).sum()) for c in cells],
-        "lo": [a[cell == c, c].min() for c in cells], "hi": [a[cell == c, c].max() for c in cells],
-        "min_norm": [1.0] * len(cells), "blocks": [1] * len(cells),
-    }
-    rows = [(i, [float(x) for x in v], 0.97) for i, v in enumerate(q)]
+def scored_pairs(spark, q, m, k=5):
+    """Pairs of query and record the rounds after the first look at."""
+    records = frame(spark, range(len(m)), m, "id").selectExpr("id", "0 AS key", "embedding AS vec")
+    tree, blocks = ball_index.build(records, None, 8_192, k)
+    at = {(r["cell"], r["block"]): r["count"] for r in blocks.groupBy("cell", "block").count().collect()}
+    s = np.sort((q / np.linalg.norm(q, axis=1)[:, None]) @ (m / np.linalg.norm(m, axis=1)[:, None]).T, axis=1)
+    rows = [(i, [float(x) for x in v], float(s[i, -k])) for i, v in enumerate(q)]
     reps = spark.createDataFrame(rows, "rep long, qvec array<double>, tau double")
-    visits = similarity._plan_queries(reps, pivots, stats, 5, home_only=False).count()
-    assert visits < len(q) * len(cells) * 0.6
+    return sum(
+        at[r["cell"], r["block"]]
+        for scope in ("ball", "rest") for r in ball_index.plan_visits(reps, tree, scope).collect()
+    )
+
+
+def test_tree_visits_few_cells_on_clustered_vectors(spark):
+    """The bounds have to rule cells out, or the join is all pairs; four times the vectors
+    on both sides must cost clearly less than sixteen times as much."""
+    rng = np.random.default_rng(5)
+
+    def clustered(n):
+        return rng.normal(size=(n // 20, 16))[rng.integers(0, n // 20, n)] + 0.05 * rng.normal(size=(n, 16))
+
+    small, large = clustered(600), clustered(2_400)
+    few, many = scored_pairs(spark, small, small), scored_pairs(spark, large, large)
+    assert few < 0.6 * 600**2 and many < 0.4 * 2_400**2
+    assert many < 10 * few
+
+
+def test_balls_own_their_centres_and_bounds_hold():
+    rng = np.random.default_rng(8)
+    m = rng.normal(size=(500, 6))
+    m[100:200] = m[0] + 1e-12 * rng.normal(size=(100, 6))  # pivots that nearly coincide
+    norm = vectors.norms_of(m)
+    tree = ball_index.BallTree(np.unique(m[:150] / norm[:150, None], axis=0))
+    assert sorted(np.concatenate(tree.members)) == list(range(len(tree.pivots)))
+    assert all(len(x) for x in tree.members)
+    ball, cell, ball_angle, angle = tree.place(m, norm)
+    rows = [np.flatnonzero(cell == c) for c in np.unique(cell)]
+    tree.fill({
+        "cell": [cell[r[0]] for r in rows], "ball": [ball[r[0]] for r in rows], "n": [len(r) for r in rows],
+        "lo": [angle[r].min() for r in rows], "hi": [angle[r].max() for r in rows],
+        "ball_lo": [ball_angle[r].min() for r in rows], "ball_hi": [ball_angle[r].max() for r in rows],
+        "min_norm": [norm[r].min() for r in rows],
+    }, 50, 3)
+    q = np.vstack([rng.normal(size=(40, 6)), m[:20] * 3, -m[:20]])
+    q_norm = vectors.norms_of(q)
+    score = (q @ m.T) / (np.outer(q_norm, norm) + vectors.EPSILON)
+    reach = tree.balls.reach(q, q_norm)
+    for b, rings in enumerate(tree.cells):
+        if (ball == b).any():
+            assert (reach[:, b] >= score[:, ball == b].max(axis=1) - 1e-6).all()
+        of_cells = rings.reach(q, q_norm)
+        for i, c in enumerate(tree.members[b]):
+            if (cell == c).any():
+                assert (of_cells[:, i] >= score[:, cell == c].max(axis=1) - 1e-6).all()
+
+
+@pytest.mark.parametrize("strategy", STRATEGIES)
+def test_record_key_tells_records_of_one_id_apart(spark, strategy):
+    corpus = spark.createDataFrame(
+        [("a", 3, [1.0, 0.0]), ("a", 1, [1.0, 0.0]), ("b", 2, [1.0, 0.1]), ("b", 4, [0.0, 1.0])],
+        "id string, index long, embedding array<double>")
+    queries = spark.createDataFrame(
+        [(1, [1.0, 0.0], []), (2, [1.0, 0.0], ["a"]), (3, [1.0, 0.0], None)],
+        "qid long, embedding array<double>, ex array<string>")
+    got = similarity.topk_cosine(
+        queries, corpus, 3, query_id="qid", record_key="index", exclude="ex", strategy=strategy)
+    found = {(r["qid"], r["rank"]): (r["record_id"], r["index"]) for r in got.collect()}
+    assert found == {
+        (1, 1): ("a", 1), (1, 2): ("a", 3), (1, 3): ("b", 2),
+        (2, 1): ("b", 2), (2, 2): ("b", 4),
+        (3, 1): ("a", 1), (3, 2): ("a", 3), (3, 3): ("b", 2),
+    }
+
+
+def test_a_long_exclude_list_concerns_its_own_query_only(spark):
+    """Copies kept per vector: k, and as many more as one query excludes of that vector."""
+    rows = [(i, 0, [1.0, 0.0]) for i in range(300)] + [(300 + i, 0, [0.0, 1.0]) for i in range(300)] + [(600, 0, [1.0, 1.0])]
+    held = spark.createDataFrame(rows, "id long, key int, vec array<double>")
+    bans = spark.createDataFrame([(1, i) for i in range(120)] + [(2, i) for i in range(60, 180)], "rep long, id long")
+    kept = ball_index.without_surplus_copies(held, bans, 4).collect()
+    per = {v: sorted(r["id"] for r in kept if tuple(r["vec"]) == v) for v in {tuple(r["vec"]) for r in kept}}
+    assert per == {(1.0, 0.0): list(range(124)), (0.0, 1.0): [300, 301, 302, 303], (1.0, 1.0): [600]}
+
+    queries = spark.createDataFrame(
+        [(1, [1.0, 0.0], list(range(299))), (2, [1.0, 0.0], []), (3, [0.0, 2.0], [300])],
+        "qid long, embedding array<double>, ex array<long>")
+    got = similarity.topk_cosine(
+        queries, held, 2, query_id="qid", record_vector="vec", exclude="ex", strategy="blocked", block_rows=16)
+    assert {(r["qid"], r["rank"]): r["record_id"] for r in got.collect()} == {
+        (1, 1): 299, (1, 2): 600, (2, 1): 0, (2, 2): 1, (3, 1): 301, (3, 2): 302}
+
+
+def test_sizes_count_texts_and_lists(spark):
+    q = spark.createDataFrame([(1, [1.0], ["x" * 100] * 50)], "qid long, qvec array<double>, excl array<string>")
+    assert similarity._small_table(q, "qvec", 5_000) is None
+    assert similarity._small_table(q, "qvec", 6_000).num_rows == 1
+    wide = spark.createDataFrame([(i, [0.0] * 50) for i in range(20)], "id long, vec array<double>")
+    assert similarity._small_table(wide, "vec", 19 * 8 * 50) is None
+    assert similarity._small_table(wide, "vec", 20 * 8 * 50).num_rows == 20
+
+
+def test_empty_sides(spark):
+    none = spark.createDataFrame([], "id long, embedding array<double>")
+    some = spark.createDataFrame([(1, [1.0, 0.0])], "id long, embedding array<double>")
+    for strategy in STRATEGIES:
+        for a, b in ((none, some), (some, none), (none, none)):
+            assert similarity.topk_cosine(a, b, query_id="id", strategy=strategy).count() == 0
 
 
 def test_encoder_hook_and_hashing(spark):
