@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from colloquy.functions import text as X
+from colloquy.operators.retrieved import with_records
 
 Generate = Callable[[list[dict[str, str]], str, bool], str]
 
@@ -57,10 +58,9 @@ def copy_nearest(
     hits: DataFrame, corpus: DataFrame, items: DataFrame, query_id: str
 ) -> DataFrame:
     """The data-only generator: the workflow of the best retrieved record. An
-    item nothing was retrieved for, or with a blank workflow, has failed."""
-    best = hits.filter(F.col("rank") == 1).join(
-        corpus.select(F.col("id").alias("record_id"), "workflow"), "record_id"
-    )
+    item nothing was retrieved for, or with a blank workflow, has failed. With the records'
+    ``index`` in the hits, record ids need not be unique."""
+    best = with_records(hits.filter(F.col("rank") == 1), corpus, ["workflow"])
     text = X.strip(F.coalesce("workflow", F.lit("")))
     return items.select(query_id).join(best, query_id, "left").select(
         query_id,

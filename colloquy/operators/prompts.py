@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from colloquy.functions import text as X
 from colloquy.operators.conversations import hand_down, turn_span
+from colloquy.operators.retrieved import with_records
 
 
 def few_shot_blocks(
@@ -16,12 +17,12 @@ def few_shot_blocks(
     """The retrieved records of each query as one text, numbered by rank.
 
     ``hits`` has ``query_keys``, ``rank`` and ``record_id``: at most k rows per
-    query, which bounds what is gathered.
+    query, which bounds what is gathered. With the records' ``index`` beside the id, ids
+    need not be unique.
     """
-    records = corpus.select(F.col("id").alias("record_id"), "user", "workflow")
     example = X.few_shot_example(F.col("rank"), F.col("user"), F.col("workflow"))
     return (
-        hits.join(records, "record_id")
+        with_records(hits, corpus, ["user", "workflow"])
         .select(*query_keys, F.struct("rank", example.alias("text")).alias("ex"))
         .groupBy(*query_keys)
         .agg(

@@ -379,9 +379,12 @@ def topk_blocked(spark, sf_dir):
     )
 
 
-def _hits(spark, sf_dir, corpus: DataFrame) -> DataFrame:
+def _parts(spark, sf_dir) -> DataFrame:
+    return materialize(C.conversation_parts(G.turns(spark, sf_dir), CONV), "parts")
+
+
+def _hits(spark, sf_dir, corpus: DataFrame, parts: DataFrame) -> DataFrame:
     """Each conversation's nearest records other than its own."""
-    parts = C.conversation_parts(G.turns(spark, sf_dir), CONV).select("conv_id", "user")
     own = G.headers(spark, sf_dir).select(
         "conv_id",
         F.array(
@@ -392,20 +395,20 @@ def _hits(spark, sf_dir, corpus: DataFrame) -> DataFrame:
             )
         ).alias("own"),
     )
-    queries = embedding.with_hash_embedding(parts.join(own, CONV), "user")
-    records = embedding.with_hash_embedding(corpus.select("id", "text"), "text")
+    queries = embedding.with_hash_embedding(parts.select("conv_id", "user").join(own, CONV), "user")
+    records = embedding.with_hash_embedding(corpus.select("id", "index", "text"), "text")
     return similarity.topk_cosine(
-        queries, records, TOP_K, query_id="conv_id", exclude="own"
+        queries, records, TOP_K, query_id="conv_id", record_key="index", exclude="own"
     )
 
 
-def _blocks(spark, sf_dir, separator: str = "\n") -> DataFrame:
-    corpus = _corpus(spark, sf_dir)
-    return prompts.few_shot_blocks(_hits(spark, sf_dir, corpus), corpus, CONV, separator)
+def _blocks(spark, sf_dir, parts: DataFrame, separator: str = "\n") -> DataFrame:
+    corpus = materialize(_corpus(spark, sf_dir), "corpus")
+    return prompts.few_shot_blocks(_hits(spark, sf_dir, corpus, parts), corpus, CONV, separator)
 
 
 def fewshot_block(spark, sf_dir):
-    return _blocks(spark, sf_dir)
+    return _blocks(spark, sf_dir, _parts(spark, sf_dir))
 
 
 def _flat_prompt(df: DataFrame) -> DataFrame:
@@ -427,22 +430,22 @@ def prompt_base(spark, sf_dir):
 
 
 def prompt_rag(spark, sf_dir):
-    parts = C.conversation_parts(G.turns(spark, sf_dir), CONV)
-    return _flat_prompt(
-        prompts.build_prompts(parts, CONV, use_rag=True, blocks=_blocks(spark, sf_dir))
-    )
+    parts = _parts(spark, sf_dir)
+    blocks = _blocks(spark, sf_dir, parts)
+    return _flat_prompt(prompts.build_prompts(parts, CONV, use_rag=True, blocks=blocks))
 
 
 def prompt_joined(spark, sf_dir):
-    parts = C.conversation_parts(G.turns(spark, sf_dir), CONV)
-    blocks = _blocks(spark, sf_dir, separator="\n\n")
+    parts = _parts(spark, sf_dir)
+    blocks = _blocks(spark, sf_dir, parts, separator="\n\n")
     return _flat_prompt(
         prompts.build_prompts(parts, CONV, use_rag=True, blocks=blocks, layout="joined")
     )
 
 
 def prompt_inject(spark, sf_dir):
-    return prompts.inject_block(G.turns(spark, sf_dir), _blocks(spark, sf_dir), CONV)
+    blocks = _blocks(spark, sf_dir, _parts(spark, sf_dir))
+    return prompts.inject_block(G.turns(spark, sf_dir), blocks, CONV)
 
 
 # --- token budget and training set ------------------------------------------
@@ -547,9 +550,9 @@ def pad_examples(spark, sf_dir):
 
 
 def predict_nn_copy(spark, sf_dir):
-    corpus = _corpus(spark, sf_dir)
-    items = G.headers(spark, sf_dir)
-    return prediction.copy_nearest(_hits(spark, sf_dir, corpus), corpus, items, "conv_id")
+    corpus = materialize(_corpus(spark, sf_dir), "corpus")
+    hits = _hits(spark, sf_dir, corpus, _parts(spark, sf_dir))
+    return prediction.copy_nearest(hits, corpus, G.headers(spark, sf_dir), "conv_id")
 
 
 def _load_echo():

@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from colloquy.operators import ball_index, embedding, prediction, prompts, similarity, vectors
+from colloquy.operators import ball_index, embedding, prediction, prompts, retrieved, similarity, vectors
 
 STRATEGIES = ["broadcast_corpus", "broadcast_queries", "blocked"]
 
@@ -227,6 +227,25 @@ def test_few_shot_block_and_layouts(spark):
         prompts.build_prompts(parts, ["conv_id"], use_rag=True)
 
 
+def test_records_of_one_id_give_one_example_each(spark):
+    """Two hits are two examples, also of one record id, and each has its own text; items may
+    be answered by popular records, in parts, and by none."""
+    corpus = spark.createDataFrame(
+        [("a", 0, "q0", "w0"), ("a", 1, "q1", "w1"), ("b", 2, "q2", "w2")],
+        "id string, index long, user string, workflow string")
+    rows = [(i, 1, "a", 1) for i in range(40)] + [(i, 2, "a", 0) for i in range(40)] + [(99, 1, "b", 2)]
+    hits = spark.createDataFrame(rows, "conv_id long, rank int, record_id string, index long")
+    blocks = {r["conv_id"]: r for r in prompts.few_shot_blocks(hits, corpus, ["conv_id"]).collect()}
+    assert len(blocks) == 41 and all(blocks[i]["n_examples"] == 2 for i in range(40))
+    assert all(blocks[i]["block"].index("q1") < blocks[i]["block"].index("q0") for i in range(40))
+    split = retrieved.with_records(hits, corpus, ["workflow"], part_hits=7)
+    assert sorted(map(tuple, split.collect())) == sorted((*r, f"w{r[3]}") for r in rows)
+    items = spark.createDataFrame([(i,) for i in (0, 1, 99, 100)], "conv_id long")
+    got = prediction.copy_nearest(hits, corpus, items, "conv_id").collect()
+    assert {r["conv_id"]: (r["workflow"], r["error"]) for r in got} == {
+        0: ("w1", None), 1: ("w1", None), 99: ("w2", None), 100: ("", "RuntimeError: empty answer")}
+
+
 def test_inject_before_first_user(spark):
     turns = spark.createDataFrame(
         [(1, 0, "system", "s"), (1, 1, "human", "u"), (1, 2, "gpt", "a"), (2, 0, "gpt", "b")],
