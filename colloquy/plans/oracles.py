@@ -519,6 +519,17 @@ SELECT id, index, source, md5(text) AS text_md5, md5(workflow) AS workflow_md5,
   'hashing-md5-64' AS embedding_model, CAST(2 AS BIGINT) AS top_k,
   count(*) OVER () AS num_vectors, fingerprint
 FROM corpus LEFT JOIN norms ON key = id CROSS JOIN now""",
+    "index_refresh": f"""WITH {_CORPUS},
+now AS (SELECT text, text || CASE WHEN index % 100 = 7 THEN ' revised' ELSE '' END AS later FROM corpus),
+seen AS (
+  SELECT count(*) AS n, count(DISTINCT text) AS n_old, count(DISTINCT later) AS n_new,
+    count(DISTINCT later) FILTER (later NOT IN (SELECT text FROM now)) AS n_fresh,
+    count(*) FILTER (text LIKE '% revised') AS old_revised, count(*) FILTER (later LIKE '% revised') AS new_revised
+  FROM now)
+SELECT CAST(1 AS BIGINT) AS version, n AS num_vectors, n_old AS n_texts, n_old AS n_embedded, n AS n_right,
+  old_revised AS n_revised FROM seen
+UNION ALL SELECT 2, n, n_new, n_fresh, n, new_revised FROM seen
+UNION ALL SELECT 3, n, n_new, 0, n, new_revised FROM seen""",
     "corpus_fingerprint": f"""WITH {_fingerprint('documents', ['doc_id', 'text', 'lang', 'source'], 'f')}
 SELECT * FROM f""",
     "index_staleness": f"""WITH {_NOW}, {_CHANGED}

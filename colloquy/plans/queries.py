@@ -25,7 +25,7 @@ from colloquy.operators import (
 )
 from colloquy.plans import tables as G
 from colloquy.session import materialize, scratch_dir
-from colloquy.sources import json_items, tables as S
+from colloquy.sources import json_items, tables as S, vector_store
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -192,6 +192,35 @@ def index_roundtrip(spark, sf_dir):
     )
 
 
+def index_refresh(spark, sf_dir):
+    """Three versions of one index: all records; a hundredth of them with other texts; the
+    same again. Per version the texts embedded, and the records read back whose vector is
+    that of their text."""
+    path = scratch_dir(spark, "store")
+    corpus = materialize(_corpus(spark, sf_dir), "corpus")
+    revised = F.when(F.col("index") % 100 == 7, F.concat("text", F.lit(" revised"))).otherwise(F.col("text"))
+    changed = corpus.withColumn("text", revised)
+
+    def encode(df: DataFrame) -> DataFrame:
+        return embedding.with_hash_embedding(df, "text")
+
+    def told(version: int) -> DataFrame:
+        stored, meta = vector_store.read(spark, path, version)
+        fresh = embedding.with_hash_embedding(stored, "text", "fresh")
+        right = F.col("embedding") == F.col("fresh").cast("array<float>")
+        seen = fresh.agg(
+            F.count_if(right).alias("n_right"), F.count_if(F.col("text").endswith(" revised")).alias("n_revised")
+        )
+        one = F.lit(1).alias("_one")
+        return meta.select(one, "version", "num_vectors", "n_texts", "n_embedded").join(
+            seen.select(one, "n_right", "n_revised"), "_one"
+        ).drop("_one")
+
+    for version, records in enumerate((corpus, changed, changed), 1):
+        vector_store.refresh(records, path, f"state-{version}", encode)
+    return told(1).union(told(2)).union(told(3))
+
+
 def corpus_fingerprint(spark, sf_dir):
     docs = G.read(spark, sf_dir, "documents", "doc_id", "text", "lang", "source")
     return S.corpus_fingerprint(docs, ["doc_id", "text", "lang", "source"])
@@ -779,7 +808,7 @@ QUERIES: dict[str, Query] = {
         scan_train, scan_gold_tasks, task_counts, predictions_roundtrip,
         predictions_rerun, predictions_export, eval_result_files,
         scan_prediction_files, latest_predictions,
-        scenario_from_path, latest_run, index_roundtrip, corpus_fingerprint,
+        scenario_from_path, latest_run, index_roundtrip, index_refresh, corpus_fingerprint,
         index_staleness, sft_sink, sft_reload, run_metadata,
         conv_assemble, role_normalize, example_text, rag_corpus, rag_corpus_legacy,
         limit_per_task,

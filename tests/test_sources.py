@@ -3,8 +3,8 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from colloquy.operators import prediction, runs, scenarios
-from colloquy.sources import json_items as J, tables as S
+from colloquy.operators import embedding, prediction, runs, scenarios
+from colloquy.sources import json_items as J, tables as S, vector_store
 
 CHAT = [{"role": "user", "content": "q"}, {"role": "assistant", "content": "a"}]
 
@@ -237,3 +237,79 @@ def test_fingerprint_tells_field_borders(spark):
 
     assert of(("a\x1fvb", "c")) != of(("a", "b\x1fvc"))
     assert of(("x", "y"), ("x", "y")) != of(("z", "y"), ("z", "y"))
+
+
+def encoder(seen):
+    """Hash vectors; ``seen`` gets the texts that each run embeds."""
+
+    def encode(df):
+        seen.append(sorted(str(r["text"]) for r in df.select("text").collect()))
+        return embedding.with_hash_embedding(df, "text")
+
+    return encode
+
+
+def test_index_embeds_only_what_is_new(spark, tmp_path):
+    path, seen = str(tmp_path / "store"), []
+    rows = [("a", 0, "one two"), ("b", 1, "one two"), ("c", 2, ""), ("d", 3, None), ("e", 4, "n")]
+    schema = "id string, index long, text string"
+    with pytest.raises(FileNotFoundError):
+        vector_store.read(spark, path)
+    first = vector_store.refresh(spark.createDataFrame(rows, schema), path, "f1", encoder(seen)).first()
+    assert (first["version"], first["num_vectors"], first["n_texts"], first["n_embedded"]) == (1, 5, 4, 4)
+    assert seen == [["", "None", "n", "one two"]]  # a null text is not the text "n"
+
+    rows = rows[1:] + [("f", 5, "three"), ("a", 6, "three")]
+    vector_store.refresh(spark.createDataFrame(rows, schema), path, "f2", encoder(seen))
+    assert seen[1:] == [["three"]]
+    stored, meta = vector_store.read(spark, path)
+    assert sorted((r["id"], r["index"], r["text"]) for r in stored.collect()) == sorted(rows)
+    fresh = embedding.with_hash_embedding(stored, "text", "fresh")
+    assert fresh.where("embedding = CAST(fresh AS array<float>)").count() == len(rows)
+    assert S.index_staleness(spark.createDataFrame([("f2",)], "fingerprint string"), meta).first()["is_stale"] is False
+    # The first version is still there as it was.
+    old, _ = vector_store.read(spark, path, 1)
+    assert {r["id"] for r in old.collect()} == set("abcde")
+    # Texts that come back, and an encoder that comes back, embed nothing anew.
+    again = [("a", 0, "one two")]
+    vector_store.refresh(spark.createDataFrame(again, schema), path, "f3", encoder(seen), embedding_model="it's other")
+    vector_store.refresh(spark.createDataFrame(again, schema), path, "f4", encoder(seen))
+    assert seen[2:] == [["one two"], []]
+    assert vector_store.read(spark, path)[1].first()["version"] == 4
+    # No records at all.
+    assert vector_store.refresh(spark.createDataFrame([], schema), path, "f5", encoder(seen)).first()["num_vectors"] == 0
+    assert vector_store.read(spark, path)[0].count() == 0
+
+
+def test_index_of_a_failed_run_is_not_seen(spark, tmp_path):
+    path = str(tmp_path / "store")
+
+    def broken(df):
+        return df.withColumn("embedding", F.expr("array(CAST(raise_error('no encoder') AS float))"))
+
+    def records(*texts):
+        return spark.createDataFrame([(t, n, t) for n, t in enumerate(texts)], "id string, index long, text string")
+
+    vector_store.refresh(records("x"), path, "f1", encoder([]))
+    with pytest.raises(Exception, match="no encoder"):
+        vector_store.refresh(records("x", "y"), path, "f2", broken)
+    assert [r["id"] for r in vector_store.read(spark, path)[0].collect()] == ["x"]
+    # A run that died while it wrote its row leaves a folder without one.
+    (tmp_path / "store" / "manifest" / "version=2" / "_temporary").mkdir(parents=True)
+    assert vector_store.refresh(records("x", "y"), path, "f2", encoder([])).first()["version"] == 2
+    # Another run's version is left alone.
+    row = vector_store.manifests(spark, path).where("version = 2").drop("version")
+    with pytest.raises(RuntimeError):
+        vector_store._commit(row, path, 2)
+    assert vector_store.manifests(spark, path).where("version = 2").count() == 1
+
+
+def test_index_folds_its_batches(spark, tmp_path):
+    path = str(tmp_path / "store")
+    for n in range(5):
+        made = spark.createDataFrame([(str(i), i, f"t{i}") for i in range(n, n + 2)], "id string, index long, text string")
+        meta = vector_store.refresh(made, path, "f", encoder([]), most_batches=2).first()
+        assert len(meta["batches"]) <= 2
+        stored = vector_store.read(spark, path)[0]
+        fresh = embedding.with_hash_embedding(stored, "text", "fresh")
+        assert fresh.where("embedding = CAST(fresh AS array<float>)").count() == 2
