@@ -10,8 +10,10 @@ the k-th best score of the rounds before as the bound to beat:
 2. the other cells of its own ball,
 3. the cells of all other balls.
 
-Cells with many records are several blocks, blocks that many queries visit are repeated for
-chunks of them, so a task holds one block and one chunk. Copies of a vector beyond those that
+Cells with many records are several blocks. Blocks of one ball that fit into a task together
+are a part; a query travels once to a part, with the numbers of the blocks it has to meet
+there. Parts that many queries visit are repeated for chunks of them, so a task holds one part
+and one chunk. Copies of a vector beyond those that
 can be answers are left out beforehand; how many can depends on that vector's own exclusions,
 so a query with a long list changes nothing for the others. Both sides are written once.
 """
@@ -33,6 +35,7 @@ from colloquy.operators.vectors import (
 from colloquy.session import materialize
 
 PIVOT_BYTES = 64 << 20  # all pivots, which every task gets
+PART_BYTES = 32 << 20  # the records of a task, and its queries
 COPY_SALTS = 32
 _BOUND_SLACK = 1e-6  # above the rounding of arc cosines
 _QUERY_SLICE = 256
@@ -112,8 +115,9 @@ class BallTree:
                 cell[rows], cell_angle[rows] = self.members[b][a.argmin(axis=1)], a.min(axis=1)
         return ball, cell, ball_angle, cell_angle
 
-    def fill(self, stats: dict[str, list], block_rows: int, k: int) -> None:
-        """Take in what the records say about each cell."""
+    def fill(self, stats: dict[str, list], block_rows: int, k: int, part_rows: int = 0) -> None:
+        """Take in what the records say about each cell, and deal its blocks to parts of at
+        most ``part_rows`` records (one block at least)."""
         size = self.zero_cell + 1
         at = np.asarray(stats["cell"], int)
         self.counts = np.zeros(size, np.int64)
@@ -121,6 +125,21 @@ class BallTree:
         self.blocks = np.maximum(1, -(-self.counts // block_rows))
         # A home cell should have enough records in one block to give a bound.
         self.full = self.counts // self.blocks >= k
+        self.first_block = np.cumsum(self.blocks) - self.blocks
+        # Cells of one ball share a part as long as their blocks fit; larger ones have their own.
+        self.part_blocks = max(1, part_rows // block_rows)
+        self.first_part = np.zeros(size, np.int64)
+        part = room = 0
+        for members in [*self.members, [self.zero_cell]]:
+            room = 0
+            for c in members:
+                n = int(self.blocks[c])
+                if n > room:
+                    part, room = part + 1, self.part_blocks
+                self.first_part[c] = part
+                room -= n
+                if n > self.part_blocks:
+                    part, room = part + (n - 1) // self.part_blocks, 0
 
         def rings(centres, rows, lo, hi):
             low, high, norm = (np.full(len(centres), x) for x in (np.inf, -np.inf, np.inf))
@@ -252,7 +271,7 @@ def assign_cells(records: DataFrame, tree: BallTree) -> DataFrame:
 
 
 def build(records: DataFrame, pivots: int | None, block_rows: int, k: int) -> tuple[BallTree, DataFrame]:
-    """The tree, and the records with their cell and block."""
+    """The tree, and the records with their block and part."""
     tree = BallTree(pick_pivots(records, pivots))
     cells = materialize(assign_cells(records, tree), "cells")
     stats = cells.groupBy("cell").agg(
@@ -262,75 +281,83 @@ def build(records: DataFrame, pivots: int | None, block_rows: int, k: int) -> tu
         F.min("ball_angle").alias("ball_lo"), F.max("ball_angle").alias("ball_hi"),
         F.min("norm").alias("min_norm"),
     )
-    tree.fill(stats.toArrow().to_pydict(), block_rows, k)  # one row per pivot
-    split = [(int(c), int(tree.blocks[c])) for c in np.flatnonzero(tree.blocks > 1)]
-    spark = records.sparkSession
-    many = F.broadcast(spark.createDataFrame(split, "cell int, blocks long"))  # at most one row per pivot
-    block = F.pmod(F.xxhash64("id", "key"), F.coalesce("blocks", F.lit(1)))
-    return tree, cells.join(many, "cell", "left").select("id", "key", "vec", "cell", block.alias("block"))
+    part_rows = PART_BYTES // (8 * max(1, tree.pivots.shape[1]))
+    tree.fill(stats.toArrow().to_pydict(), block_rows, k, part_rows)  # one row per pivot
+    places = pd.DataFrame({
+        "cell": np.arange(tree.zero_cell + 1, dtype=np.int32), "blocks": tree.blocks,
+        "first_block": tree.first_block, "first_part": tree.first_part,
+    })
+    # One row per pivot, of which there are at most PIVOT_BYTES.
+    found = cells.join(F.broadcast(records.sparkSession.createDataFrame(places)), "cell")
+    within = F.pmod(F.xxhash64("id", "key"), F.col("blocks"))
+    return tree, found.select(
+        "id", "key", "vec",
+        (F.col("first_block") + within).alias("block"),
+        (F.col("first_part") + F.floor(within / tree.part_blocks)).alias("part"),
+    )
 
 
 # --- asking it -----------------------------------------------------------------
 
 
 def plan_visits(reps: DataFrame, tree: BallTree, scope: str) -> DataFrame:
-    """(rep, qvec, cell, block): ``home`` for the first block, ``ball`` and ``rest`` for what
+    """(rep, qvec, part, blocks): ``home`` for the first block, ``ball`` and ``rest`` for what
     ``tau`` leaves open; a null ``tau`` leaves all open."""
     shared = reps.sparkSession.sparkContext.broadcast(tree)
-    names = ["rep", "qvec"] if scope == "home" else ["rep", "qvec", "tau"]
+    names = ["rep", "qvec", "h"] if scope == "home" else ["rep", "qvec", "h", "tau"]
 
     def plan(batches):
         tree = shared.value
         for batch in batches:
             for start in range(0, batch.num_rows, _QUERY_SLICE):
-                part = batch.slice(start, _QUERY_SLICE)
-                v = matrix_of(part.column("qvec"))
+                rows = batch.slice(start, _QUERY_SLICE)
+                v = matrix_of(rows.column("qvec"))
                 norm = norms_of(v)
                 ball, home = tree.homes(v, norm)
+                first = np.mod(rows.column("h").to_numpy(), tree.blocks[home])
                 if scope == "home":
-                    qi, ci = np.arange(len(v)), home
+                    qi, cell, block = np.arange(len(v)), home, first
                 else:
-                    tau = pc.fill_null(part.column("tau"), -np.inf).to_numpy(zero_copy_only=False)
-                    qi, ci = tree.candidates(v, norm, tau, ball, scope)
-                rows = pa.array(qi, pa.int64())
+                    tau = pc.fill_null(rows.column("tau"), -np.inf).to_numpy(zero_copy_only=False)
+                    qi, cell = tree.candidates(v, norm, tau, ball, scope)
+                    n = tree.blocks[cell]
+                    block = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                    qi, cell = np.repeat(qi, n), np.repeat(cell, n)
+                    new = (cell != home[qi]) | (block != first[qi])
+                    qi, cell, block = qi[new], cell[new], block[new]
+                part = tree.first_part[cell] + block // tree.part_blocks
+                block = tree.first_block[cell] + block
+                order = np.lexsort((block, part, qi))
+                qi, part, block = qi[order], part[order], block[order]
+                starts = np.flatnonzero(np.diff(qi, prepend=-1) | np.diff(part, prepend=-1))
+                at = pa.array(qi[starts], pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("rep").take(rows), part.column("qvec").take(rows), pa.array(ci, pa.int32()),
-                     pa.array(tree.blocks[ci], pa.int64()), pa.array(home[qi], pa.int32())],
-                    names=["rep", "qvec", "cell", "blocks", "home"],
+                    [rows.column("rep").take(at), rows.column("qvec").take(at), pa.array(part[starts], pa.int64()),
+                     pa.ListArray.from_arrays(pa.array([*starts, len(qi)], pa.int32()), pa.array(block, pa.int64()))],
+                    names=["rep", "qvec", "part", "blocks"],
                 )
 
-    source = reps.select(*names)
+    source = reps.withColumn("h", F.xxhash64("rep")).select(*names)
     schema = T.StructType([source.schema["rep"], source.schema["qvec"]])
-    schema = schema.add("cell", "integer").add("blocks", "long").add("home", "integer")
-    planned = source.mapInArrow(plan, schema)
-    first = F.pmod(F.xxhash64("rep"), F.col("blocks"))
-    if scope == "home":
-        return planned.select("rep", "qvec", "cell", first.alias("block"))
-    every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
-    return (
-        planned.withColumn("first", first).withColumn("block", every)
-        .where("cell <> home OR block <> first")
-        .select("rep", "qvec", "cell", "block")
-    )
+    schema = schema.add("part", "long").add("blocks", T.ArrayType(T.LongType()))
+    return source.mapInArrow(plan, schema)
 
 
-def meet_blocks(visits: DataFrame, blocks: DataFrame, bans: DataFrame | None, k: int, chunk_rows: int) -> DataFrame:
-    """(rep, id, key, score): at most k rows per query and block."""
-    place = ["cell", "block"]
-    load = visits.groupBy(*place).agg(F.ceil(F.count("*") / chunk_rows).cast("long").alias("chunks"))
+def meet_parts(visits: DataFrame, blocks: DataFrame, bans: DataFrame | None, k: int, chunk_rows: int) -> DataFrame:
+    """(rep, id, key, score): at most k rows per query and part."""
+    load = visits.groupBy("part").agg(F.ceil(F.count("*") / chunk_rows).cast("long").alias("chunks"))
     mine = F.pmod(F.xxhash64("rep"), F.col("chunks")).alias("chunk")
     record = {name: blocks.schema[name].dataType for name in ("id", "key")}
-    left = visits.join(load, place).select(
-        *place, mine, "rep", "qvec", F.lit(None).cast(record["id"]).alias("ban")
+    asked_types = {name: visits.schema[name].dataType for name in ("qvec", "blocks")}
+    left = visits.join(load, "part").select(
+        "part", mine, "rep", "qvec", "blocks", F.lit(None).cast(record["id"]).alias("ban")
     )
     if bans is not None:
-        left = left.unionByName(bans.join(load, place).select(
-            *place, mine, "rep", F.lit(None).cast(visits.schema["qvec"].dataType).alias("qvec"),
-            F.col("id").alias("ban"),
+        left = left.unionByName(bans.join(load, "part").select(
+            "part", mine, "rep", *[F.lit(None).cast(t).alias(n) for n, t in asked_types.items()], F.col("id").alias("ban")
         ))
-    right = blocks.join(load, place).select(
-        *place, F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"), "id", "key", "vec"
-    )
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk")
+    right = blocks.join(load, "part").select("part", every, "block", "id", "key", "vec")
     schema = T.StructType([visits.schema["rep"], *(T.StructField(n, t) for n, t in record.items())])
     schema = schema.add("score", "double")
 
@@ -340,26 +367,56 @@ def meet_blocks(visits: DataFrame, blocks: DataFrame, bans: DataFrame | None, k:
         qi = mi = np.zeros(0, int)
         s = np.zeros(0)
         if queries.num_rows and held.num_rows:
-            v, m = matrix_of(queries.column("qvec")), matrix_of(held.column("vec"))
-            banned = None
-            if barred.num_rows:
-                pairs = pd.DataFrame({"rep": barred.column("rep").to_pylist(), "id": barred.column("ban").to_pylist()})
-                rows = pd.DataFrame({"rep": queries.column("rep").to_pylist(), "q": np.arange(len(v))})
-                records = pd.DataFrame({"id": held.column("id").to_pylist(), "m": np.arange(len(m))})
-                pairs = pairs.merge(rows, on="rep").merge(records, on="id")
-                banned = pairs["q"].to_numpy(), pairs["m"].to_numpy()
-            order = order_of(held.column("id").to_pylist(), held.column("key").to_pylist())
-            qi, mi, s = best_in_block(v, norms_of(v), m, norms_of(m), order, k, banned)
+            qi, mi, s = _best_of_part(queries, barred, held, k)
         hit = held.take(pa.array(mi, pa.int64()))
         return pa.table({
             "rep": queries.column("rep").take(pa.array(qi, pa.int64())),
             "id": hit.column("id"), "key": hit.column("key"), "score": s,
         })
 
-    keys = [*place, "chunk"]
+    keys = ["part", "chunk"]
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(meet, schema)
 
 
+def _best_of_part(queries: pa.Table, barred: pa.Table, held: pa.Table, k: int):
+    """Query rows, record rows and scores of the k best in the blocks each query asks for."""
+    v, m = matrix_of(queries.column("qvec")), matrix_of(held.column("vec"))
+    v_norm, m_norm = norms_of(v), norms_of(m)
+    order = order_of(held.column("id").to_pylist(), held.column("key").to_pylist())
+    ban_q = ban_m = np.zeros(0, int)
+    if barred.num_rows:
+        pairs = pd.DataFrame({"rep": barred.column("rep").to_pylist(), "id": barred.column("ban").to_pylist()})
+        rows = pd.DataFrame({"rep": queries.column("rep").to_pylist(), "q": np.arange(len(v))})
+        records = pd.DataFrame({"id": held.column("id").to_pylist(), "m": np.arange(len(m))})
+        pairs = pairs.merge(rows, on="rep").merge(records, on="id")
+        ban_q, ban_m = pairs["q"].to_numpy(), pairs["m"].to_numpy()
+
+    lists = queries.column("blocks").combine_chunks()
+    asking, wanted = pc.list_parent_indices(lists).to_numpy(), lists.flatten().to_numpy()
+    block = held.column("block").to_numpy()
+    by_block = np.argsort(block, kind="stable")
+    by_wanted = np.argsort(wanted, kind="stable")
+    at_q, at_m = np.full(len(v), -1), np.full(len(m), -1)
+    found = []
+    for b in np.unique(block):
+        rows_q = asking[by_wanted[slice(*np.searchsorted(wanted, [b, b + 1], sorter=by_wanted))]]
+        rows_m = by_block[slice(*np.searchsorted(block, [b, b + 1], sorter=by_block))]
+        if not len(rows_q):
+            continue
+        at_q[rows_q], at_m[rows_m] = np.arange(len(rows_q)), np.arange(len(rows_m))
+        here = (at_q[ban_q] >= 0) & (at_m[ban_m] >= 0)
+        banned = (at_q[ban_q[here]], at_m[ban_m[here]]) if here.any() else None
+        qi, mi, s = best_in_block(v[rows_q], v_norm[rows_q], m[rows_m], m_norm[rows_m], order[rows_m], k, banned)
+        found.append((rows_q[qi], rows_m[mi], s))
+        at_q[rows_q] = at_m[rows_m] = -1
+    if not found:
+        return np.zeros(0, int), np.zeros(0, int), np.zeros(0)
+    qi, mi, s = (np.concatenate(x) for x in zip(*found))
+    best = np.lexsort((order[mi], -s, qi))
+    best = best[ranks_within(qi[best]) <= k]
+    return qi[best], mi[best], s[best]
+
+
 def ranked(found: DataFrame, k: int) -> DataFrame:
     w = Window.partitionBy("rep").orderBy(F.desc("score"), "id", "key")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
@@ -380,7 +437,7 @@ def topk(q: DataFrame, c: DataFrame, k: int, has_exclude: bool, block_rows: int,
     tree, blocks = build(records, pivots, block_rows, k)
     blocks = materialize(blocks, "blocks")
     if has_exclude:
-        placed = bans.join(blocks.select("id", "cell", "block"), "id").distinct()
+        placed = bans.join(blocks.select("id", "part"), "id").distinct()
         bans = materialize(placed, "bans")
 
     best = None
@@ -390,7 +447,7 @@ def topk(q: DataFrame, c: DataFrame, k: int, has_exclude: bool, block_rows: int,
             bound = best.where(F.col("rank") == k).select("rep", F.col("score").alias("tau"))
             asking = reps.join(bound, "rep", "left")
         visits = materialize(plan_visits(asking, tree, scope), f"visits-{scope}")
-        found = meet_blocks(visits, blocks, bans, k, block_rows)
+        found = meet_parts(visits, blocks, bans, k, tree.part_blocks * block_rows)
         if best is not None:
             found = best.drop("rank").unionByName(found)
         best = materialize(ranked(found, k), f"best-{scope}")

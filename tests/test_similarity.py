@@ -90,13 +90,13 @@ def scored_pairs(spark, q, m, k=5):
     """Pairs of query and record the rounds after the first look at."""
     records = frame(spark, range(len(m)), m, "id").selectExpr("id", "0 AS key", "embedding AS vec")
     tree, blocks = ball_index.build(records, None, 8_192, k)
-    at = {(r["cell"], r["block"]): r["count"] for r in blocks.groupBy("cell", "block").count().collect()}
+    at = {r["block"]: r["count"] for r in blocks.groupBy("block").count().collect()}
     s = np.sort((q / np.linalg.norm(q, axis=1)[:, None]) @ (m / np.linalg.norm(m, axis=1)[:, None]).T, axis=1)
     rows = [(i, [float(x) for x in v], float(s[i, -k])) for i, v in enumerate(q)]
     reps = spark.createDataFrame(rows, "rep long, qvec array<double>, tau double")
     return sum(
-        at[r["cell"], r["block"]]
-        for scope in ("ball", "rest") for r in ball_index.plan_visits(reps, tree, scope).collect()
+        at.get(b, 0)
+        for scope in ("ball", "rest") for r in ball_index.plan_visits(reps, tree, scope).collect() for b in r["blocks"]
     )
 
 
@@ -114,6 +114,28 @@ def test_tree_visits_few_cells_on_clustered_vectors(spark):
     assert many < 10 * few
 
 
+@pytest.mark.parametrize("blocks_per_part", [1, 3])
+def test_parts_hold_whole_cells_or_slices_of_one(spark, monkeypatch, blocks_per_part):
+    """Small parts, so that balls fall into several and hot cells into more than one."""
+    monkeypatch.setattr(ball_index, "PART_BYTES", 8 * 8 * 16 * blocks_per_part)
+    q, m = data("clusters")
+    m[:100] = 0.001 * m[:100] + m[0]
+    records = frame(spark, range(len(m)), m, "id").selectExpr("id", "0 AS key", "embedding AS vec")
+    tree, blocks = ball_index.build(records, 8, 16, 5)
+    assert tree.part_blocks == blocks_per_part
+    per_part = blocks.selectExpr("part", "block").distinct().groupBy("part").count().collect()
+    assert max(r["count"] for r in per_part) <= blocks_per_part and len(per_part) > 3
+    assert blocks.groupBy("block").agg({"part": "min"}).count() == blocks.select("part", "block").distinct().count()
+    excluded = [[i, i + 1] if i % 2 else [] for i in range(len(q))]
+    got = similarity.topk_cosine(
+        frame(spark, range(len(q)), q, "qid", excluded), frame(spark, range(len(m)), m, "id"),
+        5, query_id="qid", record_id="id", exclude="ex", strategy="blocked", block_rows=16, pivots=8).collect()
+    found = {i: [] for i in range(len(q))}
+    for r in sorted(got, key=lambda r: (r["qid"], r["rank"])):
+        found[r["qid"]].append((r["record_id"], round(r["score"], 6)))
+    assert found == brute(q, m, 5, excluded)
+
+
 def test_balls_own_their_centres_and_bounds_hold():
     rng = np.random.default_rng(8)
     m = rng.normal(size=(500, 6))
