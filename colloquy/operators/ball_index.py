@@ -35,7 +35,8 @@ from colloquy.operators.vectors import (
 from colloquy.session import materialize
 
 PIVOT_BYTES = 64 << 20  # all pivots, which every task gets
-PART_BYTES = 32 << 20  # the records of a task, and its queries
+PART_BYTES = 32 << 20  # the records of a task
+CHUNKS = 4  # a chunk of queries is so much smaller than a part, for more tasks
 COPY_SALTS = 32
 _BOUND_SLACK = 1e-6  # above the rounding of arc cosines
 _QUERY_SLICE = 256
@@ -447,7 +448,7 @@ def topk(q: DataFrame, c: DataFrame, k: int, has_exclude: bool, block_rows: int,
             bound = best.where(F.col("rank") == k).select("rep", F.col("score").alias("tau"))
             asking = reps.join(bound, "rep", "left")
         visits = materialize(plan_visits(asking, tree, scope), f"visits-{scope}")
-        found = meet_parts(visits, blocks, bans, k, tree.part_blocks * block_rows)
+        found = meet_parts(visits, blocks, bans, k, max(block_rows, tree.part_blocks * block_rows // CHUNKS))
         if best is not None:
             found = best.drop("rank").unionByName(found)
         best = materialize(ranked(found, k), f"best-{scope}")
