@@ -33,20 +33,11 @@ def batch_predict(
     @F.pandas_udf("workflow string, error string")
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         generate = load_generator()
-
-        def one(messages) -> tuple[str, str | None]:
-            try:
-                chat = [{"role": m["role"], "content": m["content"]} for m in messages]
-                text = (generate(chat, model, finetuned) or "").strip()
-                if not text:
-                    raise RuntimeError("empty answer")
-                return text, None
-            except Exception as exc:  # one failing prompt must not stop the run
-                return "", f"{type(exc).__name__}: {exc}"
-
         for batch in batches:
             yield pd.DataFrame(
-                [one(m) for m in batch], columns=["workflow", "error"], dtype=object
+                [_answer(generate, m, model, finetuned) for m in batch],
+                columns=["workflow", "error"],
+                dtype=object,
             )
 
     return prompts.select(*keys, predict.asNondeterministic()("messages").alias("_p")).select(
@@ -54,6 +45,33 @@ def batch_predict(
     )
 
 
+def _answer(generate: Generate, messages, model: str, finetuned: bool) -> tuple[str, str | None]:
+    try:
+        chat = [{"role": m["role"], "content": m["content"]} for m in messages]
+        text = (generate(chat, model, finetuned) or "").strip()
+        if not text:
+            raise RuntimeError("empty answer")
+        return text, None
+    except Exception as exc:  # one failing prompt must not stop the run
+        return "", f"{type(exc).__name__}: {exc}"
+
+
+def answer_batches(
+    load_generator: Callable[[], Generate], model: str, finetuned: bool
+) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """For ``mapInPandas``: rows of (prompt, messages) to (prompt, workflow, error)."""
+
+    def answers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        generate = load_generator()
+        for batch in batches:
+            told = [_answer(generate, m, model, finetuned) for m in batch["messages"]]
+            yield pd.DataFrame(told, columns=["workflow", "error"], dtype=object).assign(
+                prompt=batch["prompt"].to_numpy()
+            )[["prompt", "workflow", "error"]]
+
+    return answers
+
+
 def copy_nearest(
     hits: DataFrame, corpus: DataFrame, items: DataFrame, query_id: str
 ) -> DataFrame:

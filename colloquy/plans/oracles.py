@@ -661,6 +661,13 @@ SELECT h.conv_id, {strip("coalesce(c.workflow, '')")} AS workflow,
 FROM headers h LEFT JOIN hits ON hits.conv_id = h.conv_id AND rank = 1
 LEFT JOIN corpus c ON c.id = record_id""",
     "predict_fail_isolated": f"WITH {_ECHO} SELECT * FROM echoed",
+    "predict_resume": f"""WITH {_ECHO},
+asked AS (
+  SELECT conv_id, workflow, error, CASE WHEN bool_or(conv_id % 2 = 0) OVER (PARTITION BY system, "user")
+    THEN 'first' ELSE 'second' END AS run, md5(system) || md5("user") AS prompt
+  FROM echoed JOIN parts USING (conv_id)),
+made AS (SELECT run, count(DISTINCT prompt) AS n_made FROM asked GROUP BY run)
+SELECT conv_id, workflow, error, run, n_made FROM asked JOIN made USING (run)""",
     "skip_counts": f"""WITH {_ECHO}
 SELECT {pick(TASKS, 'conv_id')} AS task, count(*) AS n_skipped
 FROM echoed WHERE error IS NOT NULL GROUP BY 1""",

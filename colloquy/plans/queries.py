@@ -25,7 +25,7 @@ from colloquy.operators import (
 )
 from colloquy.plans import tables as G
 from colloquy.session import materialize, scratch_dir
-from colloquy.sources import json_items, tables as S, vector_store
+from colloquy.sources import answer_store, json_items, tables as S, vector_store
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -612,6 +612,21 @@ def skip_counts(spark, sf_dir):
     return prediction.skip_counts(_echoed(spark, sf_dir).withColumn("task", task))
 
 
+def predict_resume(spark, sf_dir):
+    """A run over even conversations, then one over all that goes on from it; per
+    conversation its answer, the run that made it and how many answers that run made."""
+    parts = _parts(spark, sf_dir)
+    asked = materialize(prompts.build_prompts(parts, CONV), "prompts")
+    path = scratch_dir(spark, "answers")
+    run = {"model": "model-a", "finetuned": False, "slices": 4}
+    answer_store.predict_rest(asked.where("conv_id % 2 = 0"), CONV, path, _load_echo, run="first", **run)
+    answer_store.predict_rest(asked, CONV, path, _load_echo, run="second", retry_failed=False, **run)
+    # Nothing is left for a third.
+    found = answer_store.predict_rest(asked, CONV, path, _load_echo, run="third", retry_failed=False, **run)
+    made = answer_store.read_answers(spark, path).groupBy("run").agg(F.count("*").alias("n_made"))
+    return found.join(F.broadcast(made), "run")
+
+
 # --- evaluation -------------------------------------------------------------
 
 
@@ -816,7 +831,7 @@ QUERIES: dict[str, Query] = {
         fewshot_block, prompt_base, prompt_rag, prompt_joined, prompt_inject,
         plain_text, token_estimate, budget_fit, budget_messages, budget_outcomes,
         budget_stats, sft_dataset, sft_dataset_tokenizer, masked_examples, mask_report, pad_examples,
-        predict_nn_copy, predict_fail_isolated, skip_counts,
+        predict_nn_copy, predict_fail_isolated, skip_counts, predict_resume,
         workflow_nodes, workflow_edges, node_match, node_match_similarity, chain_score,
         chain_score_any_order, edge_overlap, graph_score, eval_status,
         eval_aggregate, validate_inputs, pair_gold_pred, scenario_name,
