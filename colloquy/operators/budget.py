@@ -17,6 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from colloquy.functions import text as X
+from colloquy.functions.token_counts import LineCounts
 from colloquy.operators.conversations import (
     block_of,
     hand_down,
@@ -222,6 +223,9 @@ def fit_budget_with_tokenizer(
     the budget cannot fit: only turns inside that bound are gathered and tokenised, and
     ``tokens_before`` is null where the whole is beyond it. Without the attribute,
     conversations are gathered and tokenised in full.
+
+    With an attribute ``joins`` (see ``token_counts``) each line is tokenised once and the
+    chosen cut once more, as a check; without it every candidate is tokenised anew.
     """
     longest = getattr(load_tokenizer(), "max_chars_per_token", None)
     most = float("inf") if longest is None else max_tokens * longest
@@ -248,16 +252,28 @@ def fit_budget_with_tokenizer(
 
         def fit(n, sys, body, total, near) -> tuple[int, int | None, int | None]:
             lines = {r["rank"]: r["line"] for r in near}
-            before = count("\n".join(lines[i] for i in range(n))) if total - 1 <= most else None
+            # The body's lines that are there, which are its last ones.
+            first = next((r for r in range(sys, n) if r in lines), n)
+            body_lines = [lines[r] for r in range(first, n)]
+            lead = lines.get(0) if sys else None
+            counts = LineCounts(count, body_lines, lead)
+            before = None
+            if total - 1 <= most:
+                before = counts.of(0) if body_lines else count(lead)
             if before is not None and before <= max_tokens:
                 return 0, before, before
             if body < 2 or body % 2:
                 return -2, before, None
+            if sys and lead is None:
+                return -1, before, None
             for k in range(1, (body - 2) // 2 + 1):
-                ranks = list(range(sys)) + list(range(sys + 2 * k, n))
-                if all(r in lines for r in (ranks[0], *ranks[sys:sys + 1])):
-                    after = count("\n".join(lines[r] for r in ranks))
+                start = sys + 2 * k - first
+                if start >= 0:
+                    after = counts.of(start)
                     if after <= max_tokens:
+                        kept = "\n".join([*([lead] if sys else []), *body_lines[start:]])
+                        if hasattr(count, "joins") and count(kept) != after:
+                            raise ValueError("the tokenizer's joins are not what its counts say")
                         return k, before, after
             return -1, before, None
 

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from colloquy import schemas
 from colloquy.functions import text as X
+from colloquy.functions.token_counts import LineCounts, tokenizer_counter
 from colloquy.operators import budget, conversations as C, corpus as R, training
 
 TURNS = "conv_id long, turn long, role string, content string"
@@ -177,6 +178,80 @@ def test_budget_with_tokenizer(spark):
     assert tags == {c: rule(m, 40) for c, m in enumerate(conversations)}
 
 
+BYTE_LEVEL = "/opt/tokenizers/byte_bpe_50k.json"
+
+
+def odd_lines(rng):
+    """Lines whose joints are known, and such that end in blanks, begin in blanks or are empty."""
+    return rng.choice(["Some words, 12.", "ends in blanks  ", "\n\nbegins", "", "e\u0301\u3000", "a\n b\n", "<|endoftext|>", "don't 's"])
+
+
+@pytest.mark.parametrize("lead", [None, "system: be brief", "system: blank "])
+def test_line_counts_are_those_of_the_joined_text(lead):
+    rng = random.Random(11)
+    real = tokenizer_counter(BYTE_LEVEL)
+    for make in (real, lambda text: real(text)):  # the second says nothing about joints
+        for _ in range(60):
+            lines = [f"{rng.choice(['user', 'assistant', '', ' x'])}: {odd_lines(rng)}" for _ in range(rng.randint(1, 9))]
+            counts = LineCounts(make, lines, lead)
+            for start in rng.sample(range(len(lines)), len(lines)):
+                whole = [*([lead] if lead is not None else []), *lines[start:]]
+                assert counts.of(start) == real("\n".join(whole))
+
+
+def test_a_fit_with_known_joints_tokenises_at_most_twice(spark, tmp_path):
+    seen = str(tmp_path / "seen")
+    conversations = [
+        [("system", "be brief")] * (c % 2) + [(r, f"turn {i} of {c} says this") for i in range(60) for r in ("user", "assistant")]
+        for c in range(4)
+    ]
+
+    def load(known=True):
+        def make():
+            real = tokenizer_counter(BYTE_LEVEL)
+
+            def count(text):
+                with open(seen, "a") as f:
+                    f.write(f"{len(text)}\n")
+                return real(text)
+
+            if known:
+                count.joins = real.joins
+            return count
+
+        return make
+
+    def fitted(known):
+        open(seen, "w").close()
+        rows = budget.fit_budget_with_tokenizer(table(spark, *conversations), ["conv_id"], 300, load(known)).collect()
+        with open(seen) as f:
+            return sorted(rows), sum(int(n) for n in f)
+
+    chars = sum(len("\n".join(f"{r}: {t}" for r, t in c)) for c in conversations)
+    (rows, few), (same, many) = fitted(True), fitted(False)
+    assert rows == same and all(r["tag"].startswith("drop_") and r["n_dropped"] > 40 for r in rows)
+    assert few <= 2 * chars < 10 * chars < many
+
+
+def test_a_tokenizer_that_is_wrong_about_its_joints_fails(spark):
+    def load():
+        def count(text):
+            return len(text.split())
+
+        count.joins = lambda left, right: -1
+        return count
+
+    chat = [("user", "a b c d"), ("assistant", "e f g h")] * 4
+    with pytest.raises(Exception, match="joins"):
+        budget.fit_budget_with_tokenizer(table(spark, chat), ["conv_id"], 14, load).collect()
+
+
+def test_counters_say_what_they_know():
+    assert tokenizer_counter(BYTE_LEVEL).max_chars_per_token >= 13
+    word = tokenizer_counter("/opt/tokenizers/word_bpe_49k.json")
+    assert word("two words") == 2 and not hasattr(word, "joins") and not hasattr(word, "max_chars_per_token")
+
+
 # --- masked examples --------------------------------------------------------
 
 
