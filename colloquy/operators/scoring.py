@@ -132,6 +132,48 @@ def _places(nodes: Column, edges: Column) -> Column:
     return F.array_distinct(F.filter(pairs, lambda p: (p["a"] > 0) & (p["b"] > 0)))
 
 
+def with_levels(df: DataFrame, side: str = "gold") -> DataFrame:
+    """``<side>_cyclic`` and ``<side>_levels``: for each node the most edges of a path that
+    ends there, null for all nodes of a graph with a cycle (a self-loop is one).
+
+    Edges are peeled off in rounds inside the row: a round drops those whose start no edge
+    reaches any more; a node's level is the number of rounds in which an edge reached it. No
+    round is left to do after as many as there are nodes, unless there is a cycle. Later
+    rounds of a shallow graph have no edges to look at.
+    """
+    nodes, edges = F.col(f"{side}_nodes"), f"_{side}_places"
+
+    def peel(state: Column, _: Column) -> Column:
+        ends = F.transform(state["edges"], lambda e: e["b"])
+        return once(
+            F.array_distinct(ends),
+            lambda reached: F.struct(
+                F.filter(state["edges"], lambda e: F.array_contains(reached, e["a"])).alias("edges"),
+                F.concat(state["seen"], reached).alias("seen"),
+            ),
+        )
+
+    start = F.struct(F.col(edges).alias("edges"), F.array().cast("array<int>").alias("seen"))
+    rounds = F.when(F.size(nodes) > 0, F.sequence(F.lit(1), F.size(nodes))).otherwise(
+        F.array().cast("array<int>")
+    )
+    # The edges as a column of their own, and the outcome too: both are used more than once.
+    placed = df.withColumn(edges, _places(nodes, F.col(f"{side}_edges")))
+    peeled = placed.withColumn("_peeled", once(rounds, lambda r: F.aggregate(r, start, peel)))
+    cyclic = F.size(F.col("_peeled")["edges"]) > 0
+    levels = F.transform(
+        nodes,
+        lambda n, i: F.when(
+            ~cyclic, F.size(F.filter(F.col("_peeled")["seen"], lambda b: b == i + 1))
+        ),
+    )
+    return (
+        peeled.withColumn(f"{side}_cyclic", cyclic)
+        .withColumn(f"{side}_levels", levels)
+        .drop(edges, "_peeled")
+    )
+
+
 def _named_edges(nodes: Column, edges: Column, names: Column) -> Column:
     """Edges as ``a>b`` between sentinels and ``names``, which gives each node's
     name by its place; edges with an unmatched or unknown end drop out."""

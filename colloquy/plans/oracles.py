@@ -357,6 +357,63 @@ found AS (
   FROM matches LEFT JOIN covers USING (task, idx) GROUP BY ALL),
 {_scores('coalesce(hits, 0)')}"""
 
+_BRANCHING = _PAIRS[: _PAIRS.index("edged AS (")] + f"""
+formed AS (
+  SELECT *, list_transform(range(1, n), lambda i: '(' || i || ',' || (i + 1) || ')') AS chain,
+    list_transform(range(1, n - 1), lambda i: '(' || i || ',' || (i + 2) || ')') AS strands, o // 10 % 6 AS form
+  FROM grouped),
+edged AS (
+  SELECT *, list_concat(['(START,1)'], CASE form
+    WHEN 0 THEN chain
+    WHEN 1 THEN list_transform(range(2, n + 1), lambda i: '(1,' || i || ')')
+    WHEN 2 THEN []
+    WHEN 3 THEN strands
+    WHEN 4 THEN list_concat(chain, ['(' || n || ',1)'])
+    ELSE list_concat(strands, ['(' || n || ',99)']) END) AS e FROM formed),
+predicted AS (
+  SELECT *, CASE WHEN form = 5 THEN list_concat(e, ['(1,1)']) ELSE e END AS pe,
+    CASE o % 4 WHEN 0 THEN list_reverse(labels) WHEN 1 THEN list_concat(labels[2:], labels[1:1])
+      WHEN 2 THEN list_concat(labels[3:], labels[1:2]) ELSE labels END AS pl FROM edged),
+pairs AS (
+  SELECT o, {pick(TASKS, 'o')} AS task, o * 1048576 AS idx, 'model-a' AS model, 'i0' AS scenario,
+    {_text('labels', 'e')} AS gold_workflow,
+    CASE WHEN o % 11 = 0 THEN '' ELSE {_text('pl', 'pe')} END AS pred_workflow
+  FROM predicted)"""
+
+# Paths between places of gold nodes, and their most edges; one of as many edges as there
+# are nodes comes twice to a node.
+_WAYS = f"""{_edges_of('gold')},
+steps AS (
+  SELECT DISTINCT e.task, e.idx, a.pos AS a, b.pos AS b FROM gold_e e
+  JOIN gold_n a ON a.task = e.task AND a.idx = e.idx AND CAST(a.no AS VARCHAR) = e.src
+  JOIN gold_n b ON b.task = e.task AND b.idx = e.idx AND CAST(b.no AS VARCHAR) = e.dst),
+reach AS (
+  SELECT * FROM steps
+  UNION
+  SELECT r.task, r.idx, r.a, s.b FROM reach r JOIN steps s ON s.task = r.task AND s.idx = r.idx AND s.a = r.b),
+cyclic AS (SELECT DISTINCT task, idx FROM reach WHERE a = b)"""
+
+_LEVELS = f"""{_BRANCHING}, {_nodes_of('gold')}, {_WAYS},
+walks AS (
+  SELECT task, idx, pos, 0 AS len FROM gold_n
+  UNION
+  SELECT w.task, w.idx, s.b, len + 1 FROM walks w JOIN steps s ON s.task = w.task AND s.idx = w.idx AND s.a = w.pos
+  WHERE (w.task, w.idx) NOT IN (SELECT (task, idx) FROM cyclic))"""
+
+_ANY_ORDER = f"""{_MATCH.replace(_PAIRS, _BRANCHING).replace('sizes AS (', 'given AS (')}, {_WAYS}, {_LIS},
+sizes AS (
+  SELECT given.* REPLACE (CASE WHEN status = 'evaluated' AND cyclic.idx IS NOT NULL THEN 'runtime' ELSE status END AS status)
+  FROM given LEFT JOIN cyclic USING (task, idx)),
+clash AS (
+  SELECT m.task, m.idx, m.gold_pos AS x, k.gold_pos AS y FROM matches m
+  JOIN matches k ON k.task = m.task AND k.idx = m.idx AND m.pred_pos < k.pred_pos
+  JOIN reach r ON r.task = m.task AND r.idx = m.idx AND r.a = k.gold_pos AND r.b = m.gold_pos),
+{_GRAPH_FOUND[_GRAPH_FOUND.index('masks AS ('):]},
+listed AS (
+  SELECT task, idx, CASE WHEN status = 'evaluated' THEN
+    round(coalesce(2.0 * coalesce(hits, 0) / (pn + gn), 0), 6) END AS listed_f1
+  FROM given LEFT JOIN longest USING (task, idx))"""
+
 _SCORE_SELECT = """
 SELECT task, idx, status, round(precision, 6) AS precision, round(recall, 6) AS recall,
   round(f1_score, 6) AS f1_score FROM scored"""
@@ -682,6 +739,18 @@ FROM pred_e e LEFT JOIN known USING (task, idx)""",
     "node_match": f"WITH {_MATCH} SELECT task, idx, pred_pos, gold_pos FROM matches",
     "chain_score": f"WITH RECURSIVE {_CHAIN} {_SCORE_SELECT}",
     "chain_score_any_order": f"WITH RECURSIVE {_CHAIN} {_SCORE_SELECT}",
+    "branching_edges": f"""WITH {_BRANCHING}, {_nodes_of('pred')}, {_edges_of('pred')},
+known AS (SELECT task, idx, list(CAST(no AS VARCHAR)) AS nos FROM pred_n GROUP BY ALL)
+SELECT e.task, e.idx, pos, src, dst, src = dst AS is_self_loop,
+  (src = 'START' OR coalesce(list_contains(nos, src), FALSE))
+  AND (dst = 'END' OR coalesce(list_contains(nos, dst), FALSE)) AS ends_known
+FROM pred_e e LEFT JOIN known USING (task, idx)""",
+    "branching_levels": f"""WITH RECURSIVE {_LEVELS}
+SELECT w.task, w.idx, pos, CASE WHEN c.idx IS NULL THEN CAST(max(len) AS BIGINT) END AS level,
+  c.idx IS NOT NULL AS is_cyclic
+FROM walks w LEFT JOIN cyclic c USING (task, idx) GROUP BY w.task, w.idx, pos, c.idx""",
+    "branching_chain": f"""WITH RECURSIVE {_ANY_ORDER} {_SCORE_SELECT.replace('FROM scored', ', listed_f1 FROM scored JOIN listed USING (task, idx)')}""",
+    "branching_graph": f"WITH {_GRAPH_FOUND.replace(_PAIRS, _BRANCHING)} {_SCORE_SELECT}",
     "edge_overlap": f"WITH {_SHARED} {_SCORE_SELECT}",
     "graph_score": f"WITH {_GRAPH_FOUND} {_SCORE_SELECT}",
     "eval_status": f"WITH {_MATCH} SELECT task, idx, status FROM sizes",

@@ -694,6 +694,36 @@ def chain_score_any_order(spark, sf_dir):
     return _score_columns(scoring.chain_score(_prepared(spark, sf_dir), order="any"))
 
 
+def _branching(spark, sf_dir) -> DataFrame:
+    return evaluation.prepare(G.branching_pairs(spark, sf_dir))
+
+
+def branching_edges(spark, sf_dir):
+    parsed = workflows.with_graph(G.branching_pairs(spark, sf_dir), "pred_workflow", "pred")
+    return workflows.explode_edges(parsed, WF, "pred_nodes", "pred_edges").select(
+        *WF, long("pos"), "src", "dst", "is_self_loop", "ends_known"
+    )
+
+
+def branching_levels(spark, sf_dir):
+    parsed = workflows.with_graph(G.branching_pairs(spark, sf_dir), "gold_workflow", "gold")
+    levels = scoring.with_levels(parsed).select(*WF, "gold_cyclic", F.posexplode("gold_levels").alias("pos", "level"))
+    return levels.select(
+        *WF, (F.col("pos") + 1).cast("long").alias("pos"), long("level"), F.col("gold_cyclic").alias("is_cyclic")
+    )
+
+
+def branching_chain(spark, sf_dir):
+    """Node scores in any order that the gold edges allow, beside those in listed order."""
+    rows = materialize(_branching(spark, sf_dir), "branching")
+    listed = scoring.chain_score(rows).select(*WF, F.round("f1_score", 6).alias("listed_f1"))
+    return _score_columns(scoring.chain_score(rows, order="any")).join(listed, WF)
+
+
+def branching_graph(spark, sf_dir):
+    return _score_columns(scoring.graph_score(_branching(spark, sf_dir)))
+
+
 def edge_overlap(spark, sf_dir):
     return _score_columns(scoring.edge_overlap(_prepared(spark, sf_dir)))
 
@@ -838,7 +868,7 @@ QUERIES: dict[str, Query] = {
         budget_stats, sft_dataset, sft_dataset_tokenizer, masked_examples, mask_report, pad_examples,
         predict_nn_copy, predict_fail_isolated, skip_counts, predict_resume,
         workflow_nodes, workflow_edges, node_match, node_match_similarity, chain_score,
-        chain_score_any_order, edge_overlap, graph_score, eval_status,
+        chain_score_any_order, branching_edges, branching_levels, branching_chain, branching_graph, edge_overlap, graph_score, eval_status,
         eval_aggregate, validate_inputs, pair_gold_pred, scenario_name,
         eval_matrix, eval_matrix_pivot, eval_results_roundtrip, eval_latest,
     )

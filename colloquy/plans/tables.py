@@ -260,6 +260,54 @@ def workflow_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _edge_list(of: Column, edge) -> Column:
+    """``edge(i)`` for 1 to ``of``, none where that is below 1."""
+    numbers = F.when(of > 0, F.sequence(F.lit(1), of)).otherwise(F.array().cast("array<int>"))
+    return F.transform(
+        numbers,
+        lambda i: F.concat(F.lit("("), edge(i)[0].cast("string"), F.lit(","), edge(i)[1].cast("string"), F.lit(")")),
+    )
+
+
+def branching_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Workflows whose edges are a chain, a star, none, two strands, a ring, or strands with
+    an edge to nowhere; predictions in other orders, some blank, some with a self-loop."""
+    grouped = workflow_nodes(spark, sf_dir).groupBy("o").agg(
+        F.transform(
+            F.array_sort(F.collect_list(F.struct("no", "label"))), lambda x: x["label"]
+        ).alias("labels")
+    )
+    o, labels = F.col("o"), F.col("labels")
+    n = F.size(labels)
+    form = F.expr("o div 10 % 6")
+    chain = _edge_list(n - 1, lambda i: (i, i + 1))
+    strands = _edge_list(n - 2, lambda i: (i, i + 2))
+    inner = (
+        F.when(form == 0, chain)
+        .when(form == 1, _edge_list(n - 1, lambda i: (F.lit(1), i + 1)))
+        .when(form == 2, F.array().cast("array<string>"))
+        .when(form == 3, strands)
+        .when(form == 4, F.concat(chain, F.array(F.concat(F.lit("("), n.cast("string"), F.lit(",1)")))))
+        .otherwise(F.concat(strands, F.array(F.concat(F.lit("("), n.cast("string"), F.lit(",99)")))))
+    )
+    gold_edges = F.concat(F.array(F.lit("(START,1)")), inner)
+    pred_edges = F.when(form == 5, F.concat(gold_edges, F.array(F.lit("(1,1)")))).otherwise(gold_edges)
+    pred_labels = (
+        F.when(o % 4 == 0, F.reverse(labels))
+        .when(o % 4 == 1, F.concat(F.slice(labels, 2, n), F.slice(labels, 1, 1)))
+        .when(o % 4 == 2, F.concat(F.slice(labels, 3, n), F.slice(labels, 1, 2)))
+        .otherwise(labels)
+    )
+    return grouped.select(
+        one_of(TASKS, o).alias("task"),
+        (o * 1_048_576).alias("idx"),
+        F.lit("model-a").alias("model"),
+        F.lit("i0").alias("scenario"),
+        _workflow_text(labels, gold_edges).alias("gold_workflow"),
+        F.when(o % 11 == 0, "").otherwise(_workflow_text(pred_labels, pred_edges)).alias("pred_workflow"),
+    )
+
+
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The predictions alone, with an error where the text is empty."""
     w = F.col("pred_workflow")

@@ -255,3 +255,46 @@ def test_min_cover_of_many_conflicts():
             k for k in range(n + 1) for c in itertools.combinations(range(n), k) if all(a in c or b in c for a, b in edges)
         )
         assert graphs.min_cover(edges) == best
+
+
+def test_levels_peel_branching_cyclic_and_empty_graphs(spark):
+    def text(n, edges):
+        return "Node:\n" + "\n".join(f"{i}: step {i}" for i in range(1, n + 1)) + "\nEdge: " + edges
+
+    rows = [
+        (0, text(5, "(START,1) (1,2) (1,3) (2,4) (3,4) (4,5) (1,5) (5,END)")),
+        (1, text(3, "(1,2) (2,3) (3,2)")),
+        (2, text(2, "(2,2)")),
+        (3, text(3, "(3,2) (2,1) (2,9) (8,1)")),
+        (4, text(2, "")),
+        (5, ""),
+        (6, None),
+        (7, text(40, " ".join(f"({i},{i + 1})" for i in range(1, 40)))),
+        (8, text(2, "(1,2) (1,2)")),
+    ]
+    parsed = W.with_graph(spark.createDataFrame(rows, "idx long, w string"), "w", "gold")
+    got = {r["idx"]: (r["gold_cyclic"], r["gold_levels"]) for r in S.with_levels(parsed).collect()}
+    assert got == {
+        0: (False, [0, 1, 1, 2, 3]),
+        1: (True, [None] * 3),
+        2: (True, [None] * 2),
+        3: (False, [2, 1, 0]),
+        4: (False, [0, 0]),
+        5: (False, []),
+        6: (False, []),
+        7: (False, list(range(40))),
+        8: (False, [0, 1]),
+    }
+
+
+def test_branching_queries_tell_their_cases_apart(spark):
+    from colloquy.plans import queries as Q
+
+    sf = "/root/testdata/sf0.001"
+    chain = Q.branching_chain(spark, sf).collect()
+    assert {r["status"] for r in chain} == {"evaluated", "runtime", "unparseable"}
+    live = [r for r in chain if r["status"] == "evaluated"]
+    assert all(r["f1_score"] >= r["listed_f1"] for r in live)
+    assert sum(r["f1_score"] > r["listed_f1"] for r in live) > len(live) // 4
+    edges = Q.branching_edges(spark, sf).select("is_self_loop", "ends_known").distinct().collect()
+    assert {r["is_self_loop"] for r in edges} == {r["ends_known"] for r in edges} == {True, False}
