@@ -54,6 +54,27 @@ def tokenizer_counter(path: str) -> Callable[[str], int]:
     return count
 
 
+def tokenizer_encoder(path: str) -> Callable[[str], tuple[list[int], list[int]]]:
+    """Ids and where each token starts, by the same file, and for tokenizers whose joints
+    are known ``cuts(left, right)``: True after a line's end that follows a visible character,
+    where a visible character follows."""
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(path)
+    tokenizer.no_truncation()
+    tokenizer.no_padding()
+
+    def encode(text: str) -> tuple[list[int], list[int]]:
+        e = tokenizer.encode(text, add_special_tokens=False)
+        return e.ids, [start for start, _ in e.offsets]
+
+    if hasattr(tokenizer_counter(path), "joins"):
+        encode.cuts = lambda left, right: (
+            left[-1:] == "\n" and left[-2:-1] in _SOLID and right[:1] in _SOLID
+        )
+    return encode
+
+
 class LineCounts:
     """Counts of parts of one conversation, each line counted once where ``count`` says how
     lines join; lines whose joint is unknown are counted together.

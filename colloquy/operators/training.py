@@ -73,11 +73,17 @@ def masked_examples(
         F.zip_with(full, prefix, lambda a, b: F.equal_null(a, b)), False
     )
     shared = F.when(differs > 0, differs - 1).otherwise(F.least(n_full, n_prefix))
-    cut = ids.withColumn("_n", F.when(is_prefix, n_prefix).otherwise(shared).cast("int"))
+    n = F.when(is_prefix, n_prefix).otherwise(shared).cast("int")
+    return _labelled(ids.withColumn("_n", n), keys)
+
+
+def _labelled(cut: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Examples from ``_full`` ids, of which the first ``_n`` are no answer's."""
+    full = F.col("_full")
     reason = (
         F.when(F.col("_no_answer"), "no_answer")
-        .when(n_full == 0, "empty")
-        .when(F.col("_n") >= n_full, "no_label")
+        .when(F.size(full) == 0, "empty")
+        .when(F.col("_n") >= F.size(full), "no_label")
         .otherwise("kept")
     )
     kept = F.col("reason") == "kept"
@@ -93,6 +99,67 @@ def masked_examples(
     )
 
 
+def _shared_front(a: Sequence[int], b: Sequence[int]) -> int:
+    return next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+
+
+def masked_examples_encoded_once(
+    conversations: DataFrame,
+    keys: Sequence[str],
+    max_length: int,
+    load_encoder: Callable[[], Callable[[str], tuple[list[int], list[int]]]],
+    *,
+    turn: Callable[[Column, Column], Column] = X.chat_turn,
+    generation_prompt: str = X.GENERATION_PROMPT,
+) -> DataFrame:
+    """``masked_examples`` with a tokenizer that tells where its tokens start.
+
+    ``load_encoder()`` runs once per Python worker and gives ``encode(text) -> (ids,
+    starts)``. If ``encode`` has an attribute ``cuts``, ``cuts(left, right)`` says whether the
+    ids of ``left + right`` are those of ``left`` and then those of ``right``. Where that holds
+    at the start of the answer, the text is encoded once and the ids before the answer are
+    counted by their starts; elsewhere, and without the attribute, what stands before the
+    answer is encoded as well. Conversations without an answer are not encoded.
+    """
+    m = F.col("messages")
+    n = F.size(m)
+    no_answer = F.coalesce(
+        (n < 2) | (F.try_element_at(m, F.lit(-1))["role"] != "assistant"), F.lit(True)
+    )
+    context = F.slice(m, 1, F.greatest(n - 1, F.lit(0)))
+
+    @F.pandas_udf("ids array<int>, n int")
+    def encoded(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        encode = load_encoder()
+        cuts = getattr(encode, "cuts", lambda left, right: False)
+
+        def one(text: str | None, before: int):
+            if text is None:
+                return None, None
+            ids, starts = encode(text)
+            left, right = text[:before], text[before:]
+            prefix = left + generation_prompt
+            if right.startswith(generation_prompt) and cuts(prefix, text[len(prefix) :]):
+                first = ids[: sum(s < len(prefix) for s in starts)][:max_length]
+            else:
+                first = encode(prefix)[0][:max_length]
+            ids = ids[:max_length]
+            return ids, _shared_front(ids, first)
+
+        for texts, befores in batches:
+            yield pd.DataFrame([one(*r) for r in zip(texts, befores)], columns=["ids", "n"]).astype({"n": "Int32"})
+
+    text = F.when(~F.col("_no_answer"), render_chat(m, turn=turn))
+    rendered = conversations.select(
+        *keys,
+        no_answer.alias("_no_answer"),
+        "messages",
+        F.coalesce(F.length(render_chat(context, turn=turn)), F.lit(0)).alias("_before"),
+    ).withColumn("_text", text)
+    cut = rendered.withColumn("_e", encoded.asNondeterministic()("_text", "_before"))
+    return _labelled(cut.select(*keys, "_no_answer", F.col("_e.ids").alias("_full"), F.col("_e.n").alias("_n")), keys)
+
+
 def mask_report(examples: DataFrame) -> DataFrame:
     """One row of counts by reason."""
 

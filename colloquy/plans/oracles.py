@@ -699,6 +699,13 @@ SELECT conv_id, reason,
   CASE WHEN reason = 'kept' THEN array_to_string(ids, ',') END AS input_ids,
   CASE WHEN reason = 'kept' THEN array_to_string(list_transform(ids, lambda x: 1), ',') END AS attention_mask,
   CASE WHEN reason = 'kept' THEN array_to_string({_LABELS}, ',') END AS labels
+FROM ex""",
+    "masked_examples_once": f"""WITH {_EXAMPLES}
+SELECT conv_id, reason,
+  CASE WHEN reason = 'kept' THEN len(ids) END AS n_ids,
+  CASE WHEN reason = 'kept' THEN array_to_string(ids, ',') END AS input_ids,
+  CASE WHEN reason = 'kept' THEN array_to_string(list_transform(ids, lambda x: 1), ',') END AS attention_mask,
+  CASE WHEN reason = 'kept' THEN array_to_string({_LABELS}, ',') END AS labels
 FROM ex""",
     "mask_report": f"""WITH {_EXAMPLES}
 SELECT count(*) AS n_total, count(*) FILTER (reason = 'kept') AS n_kept,

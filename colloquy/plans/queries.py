@@ -571,6 +571,24 @@ def masked_examples(spark, sf_dir):
     )
 
 
+def _load_letters():
+    """One id per character, told with its place."""
+
+    def encode(text: str) -> tuple[list[int], range]:
+        return [ord(c) for c in text], range(len(text))
+
+    encode.cuts = lambda left, right: True
+    return encode
+
+
+def masked_examples_once(spark, sf_dir):
+    dataset = budget.sft_dataset(G.turns(spark, sf_dir), CONV, BUDGET)
+    examples = training.masked_examples_encoded_once(dataset, CONV, SFT_LENGTH, _load_letters)
+    return _flat_examples(examples, "reason").withColumn(
+        "n_ids", F.when(F.col("reason") == "kept", F.col("n_ids"))
+    )
+
+
 def mask_report(spark, sf_dir):
     return training.mask_report(_examples(spark, sf_dir))
 
@@ -865,7 +883,7 @@ QUERIES: dict[str, Query] = {
         hash_embed, topk_cosine, topk_exclude, topk_scan_corpus, topk_blocked,
         fewshot_block, prompt_base, prompt_rag, prompt_joined, prompt_inject,
         plain_text, token_estimate, budget_fit, budget_messages, budget_outcomes,
-        budget_stats, sft_dataset, sft_dataset_tokenizer, masked_examples, mask_report, pad_examples,
+        budget_stats, sft_dataset, sft_dataset_tokenizer, masked_examples, masked_examples_once, mask_report, pad_examples,
         predict_nn_copy, predict_fail_isolated, skip_counts, predict_resume,
         workflow_nodes, workflow_edges, node_match, node_match_similarity, chain_score,
         chain_score_any_order, branching_edges, branching_levels, branching_chain, branching_graph, edge_overlap, graph_score, eval_status,

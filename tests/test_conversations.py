@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from colloquy import schemas
 from colloquy.functions import text as X
-from colloquy.functions.token_counts import LineCounts, tokenizer_counter
+from colloquy.functions.token_counts import LineCounts, tokenizer_counter, tokenizer_encoder
 from colloquy.operators import budget, conversations as C, corpus as R, training
 
 TURNS = "conv_id long, turn long, role string, content string"
@@ -297,3 +297,47 @@ def test_custom_tokenizer_and_padding(spark):
     assert len(padded["input_ids"]) == len(padded["labels"]) == len(padded["attention_mask"]) == 8
     assert padded["input_ids"][-1] == 7 and padded["labels"][-1] == -100 and padded["attention_mask"][-1] == 0
     assert training.pad_examples(ex, 7).count() == 1
+
+
+def test_one_encoding_gives_the_examples_of_two(spark, tmp_path):
+    rng = random.Random(5)
+    roles = ["system", "user", "assistant", "user", "assistant"]
+    chats = [
+        [(r, rng.choice(["Word and 12.", " blank first", "\n\nlines", "", "e\u0301 \u4e2d", "it's\n"]) * rng.randint(1, 3))
+         for r in roles[rng.randint(0, 2):rng.randint(3, 5)]]
+        for _ in range(60)
+    ] + [[], [("assistant", "alone")], [("user", "u"), ("assistant", "x " * 30_000)]]
+    rows = nested(spark, *chats)
+    seen = str(tmp_path / "seen")
+
+    def load_both():
+        encode = tokenizer_encoder(BYTE_LEVEL)
+        return lambda text: encode(text)[0]
+
+    def load_once():
+        real = tokenizer_encoder(BYTE_LEVEL)
+
+        def encode(text):
+            with open(seen, "a") as f:
+                f.write("1\n")
+            return real(text)
+
+        encode.cuts = real.cuts
+        return encode
+
+    def load_unsure():
+        real = tokenizer_encoder(BYTE_LEVEL)
+        return lambda text: real(text)
+
+    for length in (5, 40, 2048):
+        two = training.masked_examples(rows, ["conv_id"], length, encode=training.tokenizer_udf(load_both))
+        for load in (load_once, load_unsure):
+            one = training.masked_examples_encoded_once(rows, ["conv_id"], length, load)
+            assert sorted(one.collect()) == sorted(two.collect())
+    solid = nested(spark, *[[("user", f"question {i}"), ("assistant", f"answer {i}")] for i in range(20)], [("user", "u")])
+    open(seen, "w").close()
+    got = training.masked_examples_encoded_once(solid, ["conv_id"], 2048, load_once).collect()
+    assert [r["reason"] for r in got].count("kept") == 20
+    with open(seen) as f:
+        assert len(f.readlines()) == 20
+    assert training.masked_examples_encoded_once(rows.where("false"), ["conv_id"], 9, load_once).count() == 0
