@@ -157,19 +157,21 @@ def with_levels(df: DataFrame, side: str = "gold") -> DataFrame:
     rounds = F.when(F.size(nodes) > 0, F.sequence(F.lit(1), F.size(nodes))).otherwise(
         F.array().cast("array<int>")
     )
-    # The edges as a column of their own, and the outcome too: both are used more than once.
+    def outcome(state: Column) -> Column:
+        def level(n: Column, i: Column) -> Column:
+            rounds_reached = F.size(F.filter(state["seen"], lambda b: b == i + 1))
+            return F.when(F.size(state["edges"]) == 0, rounds_reached)
+
+        return F.struct(
+            (F.size(state["edges"]) > 0).alias("cyclic"), F.transform(nodes, level).alias("levels")
+        )
+
     placed = df.withColumn(edges, _places(nodes, F.col(f"{side}_edges")))
-    peeled = placed.withColumn("_peeled", once(rounds, lambda r: F.aggregate(r, start, peel)))
-    cyclic = F.size(F.col("_peeled")["edges"]) > 0
-    levels = F.transform(
-        nodes,
-        lambda n, i: F.when(
-            ~cyclic, F.size(F.filter(F.col("_peeled")["seen"], lambda b: b == i + 1))
-        ),
-    )
+    peeled = once(rounds, lambda r: once(F.aggregate(r, start, peel), outcome))
     return (
-        peeled.withColumn(f"{side}_cyclic", cyclic)
-        .withColumn(f"{side}_levels", levels)
+        placed.withColumn("_peeled", peeled)
+        .withColumn(f"{side}_cyclic", F.col("_peeled.cyclic"))
+        .withColumn(f"{side}_levels", F.col("_peeled.levels"))
         .drop(edges, "_peeled")
     )
 
