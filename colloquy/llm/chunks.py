@@ -3,7 +3,9 @@
 A single space between two characters that are not white space always starts a
 pre-token of the byte-level pattern, so a text may be cut there and its pieces
 encoded one by one. Pieces repeat far more often than texts do; their encodings
-are kept in a bounded dictionary per Python worker.
+are kept in a bounded dictionary per Python worker. A space and letters are one
+pre-token, so such words that a slice has for the first time need the tokenizer's
+model only and are given to it in one call, with line feeds between them.
 """
 
 from __future__ import annotations
@@ -14,6 +16,8 @@ import re
 import struct
 from collections.abc import Callable
 
+import numpy as np
+
 #: Pieces kept per worker; beyond it the dictionary starts anew.
 KEPT_PIECES = 1 << 20
 #: Longer pieces are encoded each time they come, so that memory stays bounded.
@@ -52,12 +56,22 @@ class Kept(dict):
 class PieceCache:
     """``encode`` gives the ids of one piece as little-endian unsigned 32-bit bytes."""
 
-    def __init__(self, encode: Callable[[str], bytes]):
+    def __init__(self, encode: Callable[[str], bytes],
+                 together: Callable[[set[str]], dict[str, bytes]] | None = None):
+        #: Encodes what it can of the new pieces of a slice that start with a space.
+        self.together = together
         self.plain = Kept(encode, "")
         #: Pieces that start with a space, without it.
         self.spaced = Kept(encode, " ")
 
     def ids(self, texts: list[str]) -> list[bytes]:
+        if self.together:
+            new: set[str] = set()
+            for text in texts:
+                new.update(text.split(" ")[1:])
+            new.difference_update(self.spaced)
+            if len(self.spaced) + len(new) <= KEPT_PIECES:
+                self.spaced.update(self.together(new))
         return [self._ids(t) for t in texts]
 
     def _ids(self, text: str) -> bytes:
@@ -69,6 +83,53 @@ class PieceCache:
         return self.plain[first] + b"".join(map(self.spaced.__getitem__, rest))
 
 
+#: What byte-level models have for each byte: itself if it is printable.
+_PRINTED = {*range(33, 127), *range(161, 173), *range(174, 256)}
+BYTE_SIGNS = {b: b if b in _PRINTED else 256 + sum(x not in _PRINTED for x in range(b)) for b in range(256)}
+_space, _line = chr(BYTE_SIGNS[32]), chr(BYTE_SIGNS[10])
+
+
+#: Letters that every version of Unicode has had, and signs: after a space two pre-tokens.
+_letters_and_signs = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([!-/:-@\[-`{-~]*)").fullmatch
+
+
+def letters_by_model(tok, words: Kept) -> Callable[[set[str]], dict[str, bytes]] | None:
+    """Encodings of those of some pieces that are letters, and signs after them, for what stands
+    after a space; adds them to ``words``. None if ``tok`` has added tokens that such pieces
+    could hold, or no id for a line feed."""
+    from tokenizers import Tokenizer, pre_tokenizers
+
+    added = [t.content for t in tok.get_added_tokens_decoder().values()]
+    cut = tok.model.token_to_id(_line)
+    if cut is None or any(_letters_and_signs(t) or _letters_and_signs(f"a{t}") for t in added):
+        return None
+    bare = Tokenizer(tok.model)
+    bare.pre_tokenizer = pre_tokenizers.Split(_line, "isolated")
+
+    def add(new: list[str], signs: str) -> None:
+        ids = np.array(bare.encode_batch_fast([signs], add_special_tokens=False)[0].ids, "<u4")
+        ends = 4 * np.flatnonzero(ids == cut)
+        if len(ends) == len(new) - 1:
+            raw = ids.tobytes()
+            parts = map(slice, [0, *(ends + 4).tolist()], [*ends.tolist(), len(raw)])
+            words.update(zip(new, map(raw.__getitem__, parts)))
+
+    def together(pieces: set[str]) -> dict[str, bytes]:
+        found = [m.groups() for p in pieces if len(p) < LONGEST_KEPT and (m := _letters_and_signs(p))]
+        new = list({f" {word}" for word, _ in found}.difference(words))
+        if len(words) + len(new) > KEPT_PIECES:
+            words.clear()
+            new = list({f" {word}" for word, _ in found})
+        plain, other = [x for x in new if x.isascii()], [x for x in new if not x.isascii()]
+        if plain:
+            add(plain, "\n".join(plain).replace(" ", _space).replace("\n", _line))
+        if other:
+            add(other, "\n".join(other).encode().decode("latin-1").translate(BYTE_SIGNS))
+        return {word + signs: words[f" {word}"] + (words[signs] if signs else b"") for word, signs in found}
+
+    return together
+
+
 _caches: dict[str, PieceCache] = {}
 
 
@@ -89,8 +150,9 @@ def tokenizer_cache(path: str) -> PieceCache:
             return pack(f"<{len(ids)}I", *ids)
 
         words = Kept(library, "")
+        together = letters_by_model(tok, words) if cuts_at_spaces(path) else None
         encode = lambda piece: b"".join([words[t] for t in word_and_sign(piece)])
-        _caches[path] = PieceCache(encode)
+        _caches[path] = PieceCache(encode, together)
     return _caches[path]
 
 

@@ -17,7 +17,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from colloquy.llm import (
-    jaccard_join, licenses, multi_index, packing, quality_cascade, rank_queue_bpe, suffix_dedup, token_counts,
+    chunks, jaccard_join, licenses, multi_index, packing, quality_cascade, rank_queue_bpe, suffix_dedup, token_counts,
     toxicity, url_templates,
 )
 from colloquy.llm.components import components
@@ -363,6 +363,22 @@ def test_pieces_encode_as_the_whole():
             assert cache.ids([x])[0] == struct.pack(f"<{len(ids)}I", *ids), repr(x)
 
 
+def test_new_words_of_a_slice_are_encoded_in_few_calls(monkeypatch):
+    tok, calls = Tokenizer.from_file(BPE), []
+    monkeypatch.setattr(chunks, "_caches", {})
+    kept = packing.tokenizer_cache(BPE)
+    missing = chunks.Kept.__missing__
+    monkeypatch.setattr(chunks.Kept, "__missing__", lambda self, piece: calls.append(piece) or missing(self, piece))
+    r = random.Random(6)
+    letters = "abcxyzABZéßñ\u00d8\u024fĊĠ"
+    word = lambda: "".join(r.choices(letters, k=r.randint(1, 9))) + r.choice(["", "", "", ".", "!?", "'", "$$$", "_"])
+    rows = [" ".join(["start", *(word() for _ in range(200))]) for _ in range(20)]
+    rows += ["it's a<|endoftext|> b <|endoftext|>c don't x1 \u01c5 ²a ａ ", "a b", "a  b c", ""]
+    want = [tok.encode(x, add_special_tokens=False).ids for x in rows]
+    assert kept.ids(rows) == [struct.pack(f"<{len(x)}I", *x) for x in want]
+    assert len(calls) < 60
+
+
 def test_token_counts_use_the_cache(spark, docs, nothing, monkeypatch):
     tok, cache = Tokenizer.from_file(BPE), scratch_dir(spark, "cache")
     want = {i: (len((t or "").encode()), n := len(tok.encode(t or "", add_special_tokens=False).ids), n > 50) for i, t in fixture()}
