@@ -4,20 +4,24 @@ The incidence matrix has a row per different shingle set and a column per n-gram
 one order of the columns (frequent ones last), two sets with a Jaccard similarity of t
 share a column among the first ``n - ceil(t n) + 1`` of each, so only these entries are
 kept. They are cut into blocks of columns; a task sorts its block and drops columns with
-one entry. The product is then taken in two steps:
-
-1. star: every entry meets the smallest set of its column; sizes that cannot reach t are
-   discarded, the rest verified on whole sets, for each set one such pair first, and
-   others where that leaves them apart. That is linear in the entries and ties large
-   groups of near copies together.
-2. rest: overlap counts are accumulated over all columns for pairs whose sets are still
+one entry. The product is then taken in three steps:
+
+1. ties: every set has the smallest hash in each of ``MINIMA`` parts of its shingles, and
+   meets one set with the same one. Most similar sets share most of these, also
+   where all their columns are shared with other texts, so large groups of near copies
+   are tied together by a few pairs a set.
+2. star: every entry meets the smallest set of its column, and every set some more that
+   share a smallest hash; sizes that cannot reach t and sets already connected are
+   discarded. That is linear in the entries.
+3. rest: overlap counts are accumulated over all columns for pairs whose sets are still
    in different components, and pairs below the bound that their sizes give are
-   discarded before the rest is verified.
+   discarded.
 
-Both steps know how many shingles of a set come from a column on. The first column that two
+Pairs are verified by signatures first, on whole sets where these leave it open. Steps 2 and 3
+know how many shingles of a set come from a column on. The first column that two
 similar sets share leaves enough on both sides to reach t, so other columns make no pair.
 
-A pair left out by step 2 is connected already, so components are exact. Equal sets are
+A pair left out by step 3 is connected already, so components are exact. Equal sets are
 one row of the matrix. Shingles are hashes (64 bits for the matrix, 48 where pairs are verified); a collision can
 only matter for pairs at the very threshold. Columns that are frequent in a bounded sample of sets are dealt by
 set instead of by column, so that none is one task's load.
@@ -28,6 +32,8 @@ get one component; an empty table gives no rows; extra columns are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -45,6 +51,10 @@ BLOCK_ENTRIES = 400_000
 #: Sets whose columns are counted to find frequent ones, and how many of these are known.
 SAMPLE_SETS = 6_000
 FREQUENT_COLUMNS = 100_000
+#: Parts of a set's shingles whose smallest hash it is tied by (a power of two).
+MINIMA = 8
+#: Sets of such a part that the others meet once the first have connected what they can.
+MORE_HUBS = 16
 
 
 def _prefix(n, num: int, den: int):
@@ -53,8 +63,8 @@ def _prefix(n, num: int, den: int):
 
 
 def set_profiles(df: DataFrame, n: int, id_column: str, text_column: str) -> DataFrame:
-    """(id, digest, n_shingles, cls): cls is equal for equal sets, null for empty ones;
-    ``digest`` is the text's ``xxhash64``."""
+    """(id, digest, n_shingles, cls, bits, minima): cls is equal for equal sets, null for empty
+    ones; ``digest`` is the text's ``xxhash64``; signature and minima depend on the set only."""
 
     def make(batch: pa.RecordBatch) -> dict:
         sets = [shingle_set(x, n) for x in texts.utf8(batch, text_column)]
@@ -62,11 +72,12 @@ def set_profiles(df: DataFrame, n: int, id_column: str, text_column: str) -> Dat
         return {
             "id": batch.column("id"), "digest": batch.column("digest"), "n_shingles": [len(s) for s in sets],
             "cls": [x if x is None or x < 1 << 63 else x - (1 << 64) for x in cls],
+            "bits": [signature(s) if len(s) else None for s in sets], "minima": [minima(s) for s in sets],
         }
 
     return texts.map_slices(
         df.select(F.col(id_column).cast("long").alias("id"), F.xxhash64(text_column).alias("digest"), text_column),
-        text_column, make, "id bigint, digest bigint, n_shingles bigint, cls bigint",
+        text_column, make, "id bigint, digest bigint, n_shingles bigint, cls bigint, bits binary, minima array<bigint>",
     )
 
 
@@ -203,6 +214,12 @@ def signature(s: np.ndarray) -> bytes:
     return np.packbits(odd.astype(np.uint8)).tobytes()
 
 
+def minima(s: np.ndarray) -> np.ndarray:
+    """The smallest member of each part; parts are told by the lowest bits, so keys of
+    different parts are different."""
+    return s[np.unique(s & np.uint64(MINIMA - 1), return_index=True)[1]].view(np.int64)
+
+
 def differing(x: np.ndarray, y: np.ndarray) -> int:
     """Places in which two signatures differ; the longer one is folded."""
     if len(x) > len(y):
@@ -212,7 +229,7 @@ def differing(x: np.ndarray, y: np.ndarray) -> int:
 
 def set_table(pairs: DataFrame, df: DataFrame, classes: DataFrame, n: int, id_column: str, text_column: str,
               known: DataFrame | None = None) -> DataFrame:
-    """(cls, size, bits, members) of the sets in ``pairs``; those in ``known`` come from there."""
+    """(cls, members) of the sets in ``pairs``; those in ``known`` come from there."""
     needed = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct()
     if known is not None:
         needed = needed.join(known.select("cls"), "cls", "left_anti")
@@ -227,50 +244,52 @@ def set_table(pairs: DataFrame, df: DataFrame, classes: DataFrame, n: int, id_co
             (c, s) for c, s in zip(batch.column("cls").to_pylist(), found)
             if xxhash.xxh3_64_intdigest(s.tobytes()) == c % (1 << 64)
         ]
-        return {
-            "cls": [c for c, _ in own], "size": [len(s) for _, s in own],
-            "bits": [signature(s) for _, s in own], "members": [short_members(s) for _, s in own],
-        }
+        return {"cls": [c for c, _ in own], "members": [short_members(s) for _, s in own]}
 
     whole = df.select(F.col(id_column).cast("long").alias("rep"), text_column).join(
         ids.where("n_shingles > 0"), "rep"
     )
     with bloom_join(df.sparkSession):
         made = materialize(texts.map_slices(
-            whole.select("cls", text_column), text_column, sets, "cls bigint, size bigint, bits binary, members binary"
+            whole.select("cls", text_column), text_column, sets, "cls bigint, members binary"
         ), "sets")
     return made if known is None else known.union(made)
 
 
-def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Those of ``pairs`` (a, b) whose whole sets are similar enough.
+def with_sides(pairs: DataFrame, sets: DataFrame, *columns: str) -> DataFrame:
+    """``pairs`` (a, b) with ``columns`` of both sets."""
+    for x in ("b", "a"):
+        pairs = pairs.join(sets.select(F.col("cls").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in columns]), x)
+    return pairs
 
-    Signatures come first: they bound the overlap from above and are a fiftieth of the
-    sets, so sets are sent only for pairs that can be similar.
-    """
 
-    def with_sets(these: DataFrame, *columns: str) -> DataFrame:
-        for x in ("b", "a"):
-            these = these.join(
-                sets.select(F.col("cls").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in columns]), x
-            )
-        return these
-
-    def chosen(batch: pa.RecordBatch, keep: list) -> pa.RecordBatch:
-        mask = pa.array(keep, pa.bool_())
-        return pa.RecordBatch.from_arrays(
-            [batch.column("a").filter(mask), batch.column("b").filter(mask)], names=["a", "b"]
-        )
+def chosen(batch: pa.RecordBatch, keep: list) -> pa.RecordBatch:
+    mask = pa.array(keep, pa.bool_())
+    return pa.RecordBatch.from_arrays(
+        [batch.column("a").filter(mask), batch.column("b").filter(mask)], names=["a", "b"]
+    )
+
+
+def close_pairs(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
+    """Those of ``pairs`` (a, b) that can be similar enough by their signatures, which bound the
+    overlap from above and are a fiftieth of the sets."""
 
     def possible(batches):
         for batch in batches:
             keep = []
-            sizes = zip(batch.column("size_a").to_pylist(), batch.column("size_b").to_pylist())
+            sizes = zip(batch.column("n_shingles_a").to_pylist(), batch.column("n_shingles_b").to_pylist())
             for both, x, y in zip(sizes, batch.column("bits_a"), batch.column("bits_b")):
                 d = differing(np.frombuffer(x.as_buffer(), np.uint8), np.frombuffer(y.as_buffer(), np.uint8))
                 keep.append((sum(both) - d) // 2 * (num + den) >= num * sum(both))
             yield chosen(batch, keep)
 
+    both = with_sides(pairs, classes, "n_shingles", "bits")
+    return materialize(both.mapInArrow(possible, "a bigint, b bigint"), "close")
+
+
+def similar_pairs(close: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Those of ``close`` (a, b) whose whole sets are similar enough."""
+
     def similar(batches):
         for batch in batches:
             keep = []
@@ -283,8 +302,35 @@ def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
                 keep.append(den * inter >= num * (len(x) + len(y) - inter))
             yield chosen(batch, keep)
 
-    close = materialize(with_sets(pairs, "size", "bits").mapInArrow(possible, "a bigint, b bigint"), "close")
-    return materialize(with_sets(close, "members").mapInArrow(similar, "a bigint, b bigint"), "similar")
+    return materialize(with_sides(close, sets, "members").mapInArrow(similar, "a bigint, b bigint"), "similar")
+
+
+def ties(classes: DataFrame, num: int, den: int, orders: Iterable[int], known: DataFrame | None = None) -> DataFrame:
+    """(a, b): every set with the first one, in each of ``orders``, that shares one of its minima
+    and is of another component."""
+    own = classes.select("cls", F.col("n_shingles").alias("size"), F.explode("minima").alias("least"))
+    if known is not None:
+        own = own.join(known.withColumnRenamed("id", "cls"), "cls", "left")
+    keyed = own.withColumn("component", F.col("cls") if known is None else F.coalesce("component", "cls"))
+    mixed = keyed.groupBy("least").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
+    # Most minima are of one set: they are left out before anything is kept by order.
+    shared = materialize(keyed.join(mixed.select("least"), "least", "left_semi"), "minima")
+    firsts = [F.min(F.struct(F.xxhash64("cls", F.lit(k)).alias("at"), "cls", "size", "component")) for k in orders]
+    hubs = shared.groupBy("least").agg(F.array(*firsts).alias("hubs"))
+    return (
+        shared.join(hubs, "least").select("cls", "size", "component", F.explode("hubs").alias("hub"))
+        .where("component <> hub.component").where(compatible("size", "hub.size", num, den))
+        .select(F.least("hub.cls", "cls").alias("a"), F.greatest("hub.cls", "cls").alias("b")).distinct()
+    )
+
+
+def apart(pairs: DataFrame, known: DataFrame) -> DataFrame:
+    """``pairs`` (a, b) of different components."""
+    of = lambda x: known.select(F.col("id").alias(x), F.col("component").alias(f"component_{x}"))
+    return (
+        pairs.join(of("a"), "a", "left").join(of("b"), "b", "left")
+        .where(F.coalesce("component_a", "a") != F.coalesce("component_b", "b")).select("a", "b")
+    )
 
 
 def similar_components(df: DataFrame, n: int = 5, num: int = 75, den: int = 100,
@@ -293,7 +339,9 @@ def similar_components(df: DataFrame, n: int = 5, num: int = 75, den: int = 100,
     ``xxhash64``, which tells rows apart that repeat an id."""
     profiles = materialize(set_profiles(df, n, id_column, text_column), "profiles")
     classes = materialize(
-        profiles.where("cls IS NOT NULL").groupBy("cls").agg(F.min("id").alias("id"), F.max("n_shingles").alias("n_shingles")),
+        profiles.where("cls IS NOT NULL").groupBy("cls").agg(
+            F.min("id").alias("id"), F.max("n_shingles").alias("n_shingles"), F.first("bits").alias("bits"),
+            F.first("minima").alias("minima")),
         "classes",
     )
     entries = profiles.agg(F.sum((F.col("n_shingles") * (den - num) / den) + 1)).first()[0] or 0
@@ -301,24 +349,22 @@ def similar_components(df: DataFrame, n: int = 5, num: int = 75, den: int = 100,
     frequent = frequent_columns(df, classes, n, id_column, text_column)
     inc = materialize(incidence(df, frequent, blocks, n, num, den, text_column), "incidence")
 
+    source = (df, classes, n, id_column, text_column)
+    close = close_pairs(ties(classes, num, den, [0]), classes, num, den)
+    sets = set_table(close, *source)
+    links = similar_pairs(close, sets, num, den)
+    known = components(links)
+
     hubs = inc.groupBy("col").agg(F.min(F.struct("cls", "size", "ahead")).alias("hub"))
     star = materialize(
         inc.join(hubs, "col").where("cls <> hub.cls").where(compatible("size", "hub.size", num, den))
         .where(reachable(F.least("ahead", "hub.ahead"), "size", "hub.size", num, den))
         .select(F.col("hub.cls").alias("a"), F.col("cls").alias("b")).distinct(), "star",
     )
-    source = (df, classes, n, id_column, text_column)
-    sets = set_table(star, *source)
-    # One hub of each set first; its others only where that leaves them apart.
-    first = materialize(star.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "first")
-    links = verified(first, sets, num, den)
-    known = components(links)
-    of = lambda x: known.select(F.col("id").alias(x), F.col("component").alias(f"component_{x}"))
-    others = (
-        star.join(first, ["a", "b"], "left_anti").join(of("a"), "a", "left").join(of("b"), "b", "left")
-        .where(F.coalesce("component_a", "a") != F.coalesce("component_b", "b")).select("a", "b")
-    )
-    links = links.union(verified(others, sets, num, den))
+    again = apart(star, known).union(ties(classes, num, den, range(1, 1 + MORE_HUBS), known)).distinct()
+    close = close_pairs(again, classes, num, den)
+    sets = set_table(close, *source, known=sets)
+    links = links.union(similar_pairs(close, sets, num, den))
     known = components(links)
 
     labelled = inc.join(known.withColumnRenamed("id", "cls"), "cls", "left").withColumn(
@@ -342,7 +388,8 @@ def similar_components(df: DataFrame, n: int = 5, num: int = 75, den: int = 100,
         .select("a", "b").join(star, ["a", "b"], "left_anti")
     )
     rest = materialize(rest, "rest")
-    more = verified(rest, set_table(rest, *source, known=sets), num, den)
+    close = close_pairs(rest, classes, num, den)
+    more = similar_pairs(close, set_table(close, *source, known=sets), num, den)
 
     # Components over sets, named by the smallest document of any of their sets.
     whole = components(links.union(more)).withColumnRenamed("id", "cls")

@@ -211,6 +211,33 @@ def test_jaccard(spark, docs, nothing, frequent, monkeypatch):
     assert jaccard_join.similar_components(nothing).count() == 0
 
 
+def test_whole_sets_are_fetched_of_near_copies_only(spark, monkeypatch):
+    """Signatures tell texts apart that only share passages."""
+    monkeypatch.setattr(jaccard_join, "FREQUENT_COLUMNS", 1)  # as in tables with too many to be known
+    r = random.Random(7)
+    words = prose(700, 240).split()
+    rows = []
+    for i in range(120):  # a fifteenth of the shingles of a copy differ from the text's
+        copy = list(words)
+        for k in range(3):
+            copy[r.randrange(240)] = f"edit{i}x{k}"
+        rows.append((i, " ".join(copy)))
+    for i in range(240):
+        rows.append((1000 + i, " ".join([*words[i % 120 : i % 120 + 120], *(f"own{i}x{k}" for k in range(120))])))
+    written, write = {}, jaccard_join.materialize
+
+    def counted(df, label):
+        made = write(df, label)
+        written.setdefault(label, []).append(made)
+        return made
+
+    monkeypatch.setattr(jaccard_join, "materialize", counted)
+    got = by_id(jaccard_join.similar_components(spark.createDataFrame(rows, "doc_id bigint, text string")))
+    assert {x.component_id for i, x in got.items() if i < 1000} == {0}
+    assert all(x.component_id == i for i, x in got.items() if i >= 1000)
+    assert sum(x.count() for x in written["needed"]) <= 120
+
+
 def test_components(spark):
     r = random.Random(5)
     links = [(i, i + 1) for i in range(0, 40)] + [(r.randint(100, 160), r.randint(100, 160)) for _ in range(50)]
