@@ -11,8 +11,8 @@ the k-th best score of the rounds before as the bound to beat:
 3. the cells of all other balls.
 
 Cells with many records are several blocks. Blocks of one ball that fit into a task together
-are a part; a query travels once to a part, with the numbers of the blocks it has to meet
-there. Parts that many queries visit are repeated for chunks of them, so a task holds one part
+are a part; a query travels once to a part, with the spans of blocks it has to meet there
+and the score to beat. Parts that many queries visit are repeated for chunks of them, so a task holds one part
 and one chunk. Copies of a vector beyond those that
 can be answers are left out beforehand; how many can depends on that vector's own exclusions,
 so a query with a long list changes nothing for the others. Both sides are written once.
@@ -30,13 +30,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from colloquy.operators.vectors import (
-    EPSILON, best_in_block, matrix_of, norms_of, order_of, ranks_within,
+    EPSILON, Best, matrix_of, norms_of, order_of,
 )
 from colloquy.session import materialize
 
 PIVOT_BYTES = 64 << 20  # all pivots, which every task gets
 PART_BYTES = 32 << 20  # the records of a task
-CHUNKS = 4  # a chunk of queries is so much smaller than a part, for more tasks
+CHUNKS = 4  # a chunk of queries is so much smaller than a part, for more tasks ...
+MANY_CHUNKS = 8  # ... until a part has so many; each of them gets the part's records
 COPY_SALTS = 32
 _BOUND_SLACK = 1e-6  # above the rounding of arc cosines
 _QUERY_SLICE = 256
@@ -301,9 +302,10 @@ def build(records: DataFrame, pivots: int | None, block_rows: int, k: int) -> tu
 # --- asking it -----------------------------------------------------------------
 
 
-def plan_visits(reps: DataFrame, tree: BallTree, scope: str) -> DataFrame:
-    """(rep, qvec, part, blocks): ``home`` for the first block, ``ball`` and ``rest`` for what
-    ``tau`` leaves open; a null ``tau`` leaves all open."""
+def plan_visits(reps: DataFrame, tree: BallTree, scope: str, spans: bool = False) -> DataFrame:
+    """(rep, qvec, tau, part, blocks): ``home`` for the first block, ``ball`` and ``rest`` for
+    what ``tau`` leaves open; a null ``tau`` leaves all open. With ``spans`` the blocks of a
+    cell are told by the first and the last of them, not each."""
     shared = reps.sparkSession.sparkContext.broadcast(tree)
     names = ["rep", "qvec", "h"] if scope == "home" else ["rep", "qvec", "h", "tau"]
 
@@ -316,42 +318,61 @@ def plan_visits(reps: DataFrame, tree: BallTree, scope: str) -> DataFrame:
                 norm = norms_of(v)
                 ball, home = tree.homes(v, norm)
                 first = np.mod(rows.column("h").to_numpy(), tree.blocks[home])
+                bound = pa.nulls(len(v), pa.float64()) if scope == "home" else rows.column("tau")
                 if scope == "home":
-                    qi, cell, block = np.arange(len(v)), home, first
+                    qi, cell, lo, hi = np.arange(len(v)), home, first, first
                 else:
-                    tau = pc.fill_null(rows.column("tau"), -np.inf).to_numpy(zero_copy_only=False)
+                    tau = pc.fill_null(bound, -np.inf).to_numpy(zero_copy_only=False)
                     qi, cell = tree.candidates(v, norm, tau, ball, scope)
-                    n = tree.blocks[cell]
-                    block = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                    qi, cell = np.repeat(qi, n), np.repeat(cell, n)
-                    new = (cell != home[qi]) | (block != first[qi])
-                    qi, cell, block = qi[new], cell[new], block[new]
-                part = tree.first_part[cell] + block // tree.part_blocks
-                block = tree.first_block[cell] + block
-                order = np.lexsort((block, part, qi))
-                qi, part, block = qi[order], part[order], block[order]
+                    # The blocks of a cell that lie in one part, but for the one met already.
+                    pieces = -(-tree.blocks[cell] // tree.part_blocks)
+                    piece = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+                    qi, cell = np.repeat(qi, pieces), np.repeat(cell, pieces)
+                    lo = piece * tree.part_blocks
+                    hi = np.minimum(lo + tree.part_blocks, tree.blocks[cell]) - 1
+                    met = np.flatnonzero((cell == home[qi]) & (lo <= first[qi]) & (first[qi] <= hi))
+                    qi, cell = np.append(qi, qi[met]), np.append(cell, cell[met])
+                    lo, hi = np.append(lo, first[qi[met]] + 1), np.append(hi, hi[met])
+                    hi[met] = first[qi[met]] - 1
+                    left = lo <= hi
+                    qi, cell, lo, hi = qi[left], cell[left], lo[left], hi[left]
+                part = tree.first_part[cell] + lo // tree.part_blocks
+                lo, hi = tree.first_block[cell] + lo, tree.first_block[cell] + hi
+                order = np.lexsort((lo, part, qi))
+                qi, part, lo, hi = qi[order], part[order], lo[order], hi[order]
+                if spans:
+                    told, n = np.stack([lo, hi], axis=1).ravel(), np.full(len(lo), 2)
+                else:
+                    n = hi - lo + 1
+                    told = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n - lo, n)
                 starts = np.flatnonzero(np.diff(qi, prepend=-1) | np.diff(part, prepend=-1))
+                offsets = np.append(0, np.cumsum(n))[[*starts, len(n)]]
                 at = pa.array(qi[starts], pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [rows.column("rep").take(at), rows.column("qvec").take(at), pa.array(part[starts], pa.int64()),
-                     pa.ListArray.from_arrays(pa.array([*starts, len(qi)], pa.int32()), pa.array(block, pa.int64()))],
-                    names=["rep", "qvec", "part", "blocks"],
+                    [rows.column("rep").take(at), rows.column("qvec").take(at), bound.take(at), pa.array(part[starts], pa.int64()),
+                     pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(told, pa.int64()))],
+                    names=["rep", "qvec", "tau", "part", "blocks"],
                 )
 
     source = reps.withColumn("h", F.xxhash64("rep")).select(*names)
-    schema = T.StructType([source.schema["rep"], source.schema["qvec"]])
+    schema = T.StructType([source.schema["rep"], source.schema["qvec"]]).add("tau", "double")
     schema = schema.add("part", "long").add("blocks", T.ArrayType(T.LongType()))
     return source.mapInArrow(plan, schema)
 
 
-def meet_parts(visits: DataFrame, blocks: DataFrame, bans: DataFrame | None, k: int, chunk_rows: int) -> DataFrame:
-    """(rep, id, key, score): at most k rows per query and part."""
-    load = visits.groupBy("part").agg(F.ceil(F.count("*") / chunk_rows).cast("long").alias("chunks"))
+def meet_parts(
+    visits: DataFrame, blocks: DataFrame, bans: DataFrame | None, k: int, chunk_rows: int, part_rows: int
+) -> DataFrame:
+    """(rep, id, key, score): at most k rows per query and part, none below the query's ``tau``.
+    A part that many queries visit is met in ``MANY_CHUNKS``, more if they are larger than itself."""
+    n = F.count("*")
+    chunks = F.least(F.ceil(n / chunk_rows), F.greatest(F.lit(MANY_CHUNKS), F.ceil(n / part_rows)))
+    load = visits.groupBy("part").agg(chunks.cast("long").alias("chunks"))
     mine = F.pmod(F.xxhash64("rep"), F.col("chunks")).alias("chunk")
     record = {name: blocks.schema[name].dataType for name in ("id", "key")}
-    asked_types = {name: visits.schema[name].dataType for name in ("qvec", "blocks")}
+    asked_types = {name: visits.schema[name].dataType for name in ("qvec", "tau", "blocks")}
     left = visits.join(load, "part").select(
-        "part", mine, "rep", "qvec", "blocks", F.lit(None).cast(record["id"]).alias("ban")
+        "part", mine, "rep", "qvec", "tau", "blocks", F.lit(None).cast(record["id"]).alias("ban")
     )
     if bans is not None:
         left = left.unionByName(bans.join(load, "part").select(
@@ -381,41 +402,35 @@ def meet_parts(visits: DataFrame, blocks: DataFrame, bans: DataFrame | None, k:
 
 def _best_of_part(queries: pa.Table, barred: pa.Table, held: pa.Table, k: int):
     """Query rows, record rows and scores of the k best in the blocks each query asks for."""
+    numbers = held.column("block").to_numpy()
+    by_block = np.argsort(numbers, kind="stable")
+    held, numbers = held.take(pa.array(by_block)), numbers[by_block]
     v, m = matrix_of(queries.column("qvec")), matrix_of(held.column("vec"))
-    v_norm, m_norm = norms_of(v), norms_of(m)
     order = order_of(held.column("id").to_pylist(), held.column("key").to_pylist())
-    ban_q = ban_m = np.zeros(0, int)
+    banned = None
     if barred.num_rows:
         pairs = pd.DataFrame({"rep": barred.column("rep").to_pylist(), "id": barred.column("ban").to_pylist()})
         rows = pd.DataFrame({"rep": queries.column("rep").to_pylist(), "q": np.arange(len(v))})
         records = pd.DataFrame({"id": held.column("id").to_pylist(), "m": np.arange(len(m))})
         pairs = pairs.merge(rows, on="rep").merge(records, on="id")
-        ban_q, ban_m = pairs["q"].to_numpy(), pairs["m"].to_numpy()
+        banned = pairs["q"].to_numpy(), pairs["m"].to_numpy()
+    tau = pc.fill_null(queries.column("tau").combine_chunks(), -np.inf).to_numpy(zero_copy_only=False)
+    best = Best(v, norms_of(v), m, norms_of(m), order, k, banned, tau)
 
     lists = queries.column("blocks").combine_chunks()
-    asking, wanted = pc.list_parent_indices(lists).to_numpy(), lists.flatten().to_numpy()
-    block = held.column("block").to_numpy()
-    by_block = np.argsort(block, kind="stable")
-    by_wanted = np.argsort(wanted, kind="stable")
-    at_q, at_m = np.full(len(v), -1), np.full(len(m), -1)
-    found = []
-    for b in np.unique(block):
-        rows_q = asking[by_wanted[slice(*np.searchsorted(wanted, [b, b + 1], sorter=by_wanted))]]
-        rows_m = by_block[slice(*np.searchsorted(block, [b, b + 1], sorter=by_block))]
-        if not len(rows_q):
-            continue
-        at_q[rows_q], at_m[rows_m] = np.arange(len(rows_q)), np.arange(len(rows_m))
-        here = (at_q[ban_q] >= 0) & (at_m[ban_m] >= 0)
-        banned = (at_q[ban_q[here]], at_m[ban_m[here]]) if here.any() else None
-        qi, mi, s = best_in_block(v[rows_q], v_norm[rows_q], m[rows_m], m_norm[rows_m], order[rows_m], k, banned)
-        found.append((rows_q[qi], rows_m[mi], s))
-        at_q[rows_q] = at_m[rows_m] = -1
-    if not found:
-        return np.zeros(0, int), np.zeros(0, int), np.zeros(0)
-    qi, mi, s = (np.concatenate(x) for x in zip(*found))
-    best = np.lexsort((order[mi], -s, qi))
-    best = best[ranks_within(qi[best]) <= k]
-    return qi[best], mi[best], s[best]
+    asking = pc.list_parent_indices(lists).to_numpy()[::2]
+    spans = lists.flatten().to_numpy().reshape(-1, 2)
+    blocks, starts = np.unique(numbers, return_index=True)
+    ends = np.append(starts[1:], len(numbers))
+    lo, hi = np.searchsorted(blocks, spans[:, 0]), np.searchsorted(blocks, spans[:, 1], side="right")
+    # Blocks next to each other that the same queries ask for are met together.
+    edges = np.unique(np.concatenate([lo, hi]))
+    for a, b in zip(edges[:-1], edges[1:]):
+        rows = np.unique(asking[(lo <= a) & (hi >= b)])
+        if len(rows):
+            best.meet(rows, starts[a], ends[b - 1])
+    qi, mi, s = best.found()
+    return qi, by_block[mi], s
 
 
 def ranked(found: DataFrame, k: int) -> DataFrame:
@@ -447,8 +462,9 @@ def topk(q: DataFrame, c: DataFrame, k: int, has_exclude: bool, block_rows: int,
         if best is not None:
             bound = best.where(F.col("rank") == k).select("rep", F.col("score").alias("tau"))
             asking = reps.join(bound, "rep", "left")
-        visits = materialize(plan_visits(asking, tree, scope), f"visits-{scope}")
-        found = meet_parts(visits, blocks, bans, k, max(block_rows, tree.part_blocks * block_rows // CHUNKS))
+        visits = materialize(plan_visits(asking, tree, scope, spans=True), f"visits-{scope}")
+        part_rows = tree.part_blocks * block_rows
+        found = meet_parts(visits, blocks, bans, k, max(block_rows, part_rows // CHUNKS), part_rows)
         if best is not None:
             found = best.drop("rank").unionByName(found)
         best = materialize(ranked(found, k), f"best-{scope}")

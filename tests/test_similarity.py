@@ -136,6 +136,61 @@ def test_parts_hold_whole_cells_or_slices_of_one(spark, monkeypatch, blocks_per_
     assert found == brute(q, m, 5, excluded)
 
 
+@pytest.mark.parametrize("case", ["random", "copies", "short", "wide", "bounded"])
+def test_best_equals_all_scores_and_sums_few_of_them(monkeypatch, case):
+    """Scores are summed in double precision for candidates only, whatever the vectors."""
+    rng = np.random.default_rng(3)
+    q, m = rng.normal(size=(600, 16)), rng.normal(size=(2_500, 16))
+    if case == "copies":
+        m[::5], q[::7], m[1], q[1] = m[0], m[0], 0, 0
+    if case == "short":  # the added epsilon matters, and single precision says nothing
+        m[::2] *= 1e-5
+        q[::3] *= 1e-5
+    if case == "wide":
+        m *= 10.0 ** rng.integers(-1, 6, 2_500)[:, None]
+    q_norm, m_norm, order = vectors.norms_of(q), vectors.norms_of(m), rng.permutation(2_500)
+    banned = np.repeat(np.arange(600), 2), rng.integers(0, 2_500, 1_200)
+    qi, mi = np.divmod(np.arange(600 * 2_500), 2_500)
+    score = vectors._exact(q, q_norm, m, m_norm, qi, mi).reshape(600, 2_500)
+    score[banned] = -np.inf
+    floor = np.sort(score, axis=1)[:, -3] if case == "bounded" else None
+    want = []
+    for i, row in enumerate(score):
+        best = np.lexsort((order, -row))[:5]
+        want += [(i, j, row[j]) for j in best if floor is None or row[j] >= floor[i]]
+
+    summed, exact = [], vectors._exact
+    monkeypatch.setattr(vectors, "_exact", lambda *a: summed.append(len(a[-1])) or exact(*a))
+    best = vectors.Best(q, q_norm, m, m_norm, order, 5, banned, floor)
+    for lo in range(0, 2_500, 1_250):
+        best.meet(np.arange(0, 600, 2), lo, lo + 1_250)
+    best.meet(np.arange(1, 600, 2), 0, 2_500)
+    assert list(zip(*(x.tolist() for x in best.found()))) == want
+    assert sum(summed) < 0.02 * score.size or case == "copies"
+
+
+def test_a_query_travels_with_its_bound_and_two_numbers_for_a_cell(spark):
+    """However many blocks a cell has; and what the bound rules out is not given out."""
+    rng = np.random.default_rng(6)
+    m = rng.normal(size=(2_000, 8))
+    records = frame(spark, range(2_000), m, "id").selectExpr("id", "0 AS key", "embedding AS vec")
+    tree, blocks = ball_index.build(records, 4, 16, 5)
+    q = m[:40].astype(np.float32).astype(float)
+    s = np.sort((q / vectors.norms_of(q)[:, None]) @ (m / vectors.norms_of(m)[:, None]).T, axis=1)
+    rows = [(i, [float(x) for x in v], float(s[i, -2]) - 1e-6) for i, v in enumerate(q)]
+    reps = spark.createDataFrame(rows, "rep long, qvec array<double>, tau double")
+    hits = []
+    for scope in ("ball", "rest"):
+        each = ball_index.plan_visits(reps, tree, scope).collect()
+        told = ball_index.plan_visits(reps, tree, scope, spans=True)
+        pairs = {(r["rep"], r["part"]): r["blocks"] for r in told.collect()}
+        assert {k: [b for lo, hi in zip(x[::2], x[1::2]) for b in range(lo, hi + 1)] for k, x in pairs.items()} == {
+            (r["rep"], r["part"]): list(r["blocks"]) for r in each}
+        assert sum(map(len, pairs.values())) < 0.2 * sum(len(r["blocks"]) for r in each)
+        hits += ball_index.meet_parts(told, blocks, None, 5, 16, 64).collect()
+    assert hits and all(r["score"] >= rows[r["rep"]][2] for r in hits) and len(hits) <= 80
+
+
 def test_balls_own_their_centres_and_bounds_hold():
     rng = np.random.default_rng(8)
     m = rng.normal(size=(500, 6))
