@@ -88,7 +88,8 @@ def latest_predictions(
     cond = same[0]
     for s in same[1:]:
         cond = cond & s
-    return predictions.join(newest, cond, "left_semi")
+    # One row per key: the predictions stay where they are.
+    return predictions.join(F.broadcast(newest), cond, "left_semi")
 
 
 def run_metadata(

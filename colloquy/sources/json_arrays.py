@@ -27,11 +27,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F,
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from colloquy.operators.running import running_total
-from colloquy.session import materialize
+from colloquy.session import FREE_SHUFFLES, PACKED, materialize, passing_dir, settings
 
 SEPARATOR = "}"
 #: Bytes at which a chunk is closed.
 CHUNK_BYTES = 4 << 20
+#: Files are written in so many turns at most, as old and new files lie side by side during one.
+TURNS = 8
 
 _QUOTE, _OPEN, _CLOSE, _COMMA = 1, 2, 3, 4
 _KINDS = np.zeros(256, np.int8)
@@ -195,7 +197,8 @@ def _pieces(placed: DataFrame, whole: bool) -> DataFrame:
 def read_elements(spark: SparkSession, paths: str | list[str]) -> tuple[DataFrame, DataFrame]:
     """((file, pos, text) of every element of the array files under ``paths``, (file, n) of
     every file that is not empty). A file that is no JSON list fails the read."""
-    chunks = materialize(_chunks(spark, paths), "array-chunks")
+    with settings(spark, PACKED):
+        chunks = materialize(_chunks(spark, paths), "array-chunks")
     ranges = materialize(_range_starts(chunks), "array-ranges")
     first, end = F.min_by("starts_as", "start"), F.sum("by")
     totals = ranges.groupBy("file").agg(
@@ -229,29 +232,88 @@ def read_elements(spark: SparkSession, paths: str | list[str]) -> tuple[DataFram
     return kept.select("file", "pos", F.when(blank, gap).otherwise(F.col("text")).alias("text")), files
 
 
+def _file_of(starts: Column, key: Column) -> Column:
+    """The ``shard`` of the last of ``starts``, sorted by ``key``, that is not after ``key``."""
+
+    def halve(at: Column, _: Column) -> Column:
+        mid = F.shiftright(at["lo"] + at["hi"], 1)
+        return F.when(
+            F.get(starts, mid)["key"] <= key, F.struct(mid.alias("lo"), at["hi"].alias("hi"))
+        ).otherwise(F.struct(at["lo"].alias("lo"), mid.alias("hi")))
+
+    whole = F.struct(F.lit(0).alias("lo"), F.size(starts).alias("hi"))
+    rounds = F.sequence(F.lit(0), F.ceil(F.log2(F.size(starts))).cast("int"))
+    return F.get(starts, F.aggregate(rounds, whole, halve)["lo"])["shard"]
+
+
 def write_arrays(
-    rows: DataFrame, body: Column, path: str, folders: list[str], order: list[str], per_file: int = 65_536
+    rows: DataFrame, body: Column, path: str, folders: list[str], order: list[str], per_file: int = 65_536,
+    slices: Iterable[DataFrame] = (),
 ) -> None:
     """JSON array files of ``body`` (JSON texts) under one folder per value of ``folders``, in
     ``order``; a folder has one file for every ``per_file`` rows. Folders that are written
-    again are replaced, file by file."""
-    placed = running_total(
-        rows.select(*folders, *order, body.alias("_body"), F.lit(1).cast("long").alias("_one")), order, "_one", "_pos", folders
+    again are replaced, file by file. ``slices`` are the same rows in several frames, for rows
+    that are joined: one is joined after the other, so less is on the way at once.
+
+    Where files begin is told by the keys alone, so the texts are written once and dealt out
+    once. Files are written in turns, all files of a folder in one of them: old and new ones lie
+    side by side for the length of a turn."""
+    spark = rows.sparkSession
+    keyed = rows.groupBy(*folders, *order).agg(F.count("*").alias("_times"))
+    placed = running_total(keyed, order, "_times", "_pos", folders)
+    next_file = F.expr(f"(_pos + _times - 1) div {per_file}") > F.col("shard")
+    # One row per file. Of its keys one at most has rows in the next file as well.
+    files = materialize(
+        placed.withColumn("shard", F.expr(f"_pos div {per_file}")).groupBy(*folders, "shard").agg(
+            F.min(F.struct(*order)).alias("key"), F.sum("_times").alias("_n"),
+            F.max(F.when(next_file, F.struct(*order, "_pos"))).alias("over"),
+        ), "array-files",
     )
-    counts = placed.groupBy(*[F.col(c).alias(f"_of_{c}") for c in folders]).agg(F.count("*").alias("_n"))
-    same = [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in folders]
-    joined = placed.join(counts, same) if folders else placed.withColumn("_n", F.lit(counts.first()["_n"]))
-    pos = F.col("_pos")
-    first, last = pos % per_file == 0, (pos % per_file == per_file - 1) | (pos == F.col("_n") - 1)
-    lines = joined.select(
-        *folders, F.lpad(F.expr(f"_pos div {per_file}").cast("string"), 12, "0").alias("shard"), "_pos",
-        F.concat(F.when(first, "[").otherwise(","), "_body", F.when(last, "]").otherwise("")).alias("value"),
+    n, n_over = files.agg(F.sum("_n"), F.count("over")).first()
+    turns = max(1, min(TURNS, (n or 0) // per_file))
+    starts = F.sort_array(F.collect_list(F.struct("key", "shard"))).alias("_starts")
+    # One row per folder.
+    before = F.sum("_n").over(Window.orderBy(*folders).rowsBetween(Window.unboundedPreceding, -1)) if folders else F.lit(0)
+    listed = files.groupBy(*folders).agg(starts, F.sum("_n").alias("_n")).select(
+        *[F.col(c).alias(f"_of_{c}") for c in folders], "_starts",
+        F.floor(F.coalesce(before, F.lit(0)) * turns / F.lit(n or 1)).cast("int").alias("_turn"),
     )
+
+    def of(known: DataFrame, names: list[str], how: str = "inner"):
+        same = [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in names]
+        return (F.broadcast(known), same or None, how if same else "cross")
+
+    def dealt(some: DataFrame) -> DataFrame:
+        texts = some.select(*folders, *order, body.alias("_body"))
+        file = _file_of(F.col("_starts"), F.struct(*order)).alias("_file")
+        return texts.join(*of(listed, folders)).select(*texts.columns, file, "_turn")
+
+    schema = dealt(rows).schema
     keys = [*folders, "shard"]
-    (
-        lines.repartition(*keys).sortWithinPartitions(*keys, "_pos").drop("_pos")
-        .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).text(path)
-    )
+    in_file = Window.partitionBy(*keys).orderBy(*order)
+    first, last = F.row_number().over(in_file) == 1, F.lead(F.lit(True)).over(in_file).isNull()
+    with settings(spark, FREE_SHUFFLES | PACKED), passing_dir(spark, "array-rows") as held:
+        for some in slices or [rows]:
+            dealt(some).write.mode("append").partitionBy("_turn").parquet(held)
+        kept = spark.read.schema(schema).parquet(held)
+        if n_over:
+            over = files.where("over IS NOT NULL").select(
+                *[F.col(c).alias(f"_of_{c}") for c in folders], *[F.col(f"over.{c}").alias(f"_of_{c}") for c in order], "over._pos"
+            )
+            known = kept.join(*of(over, [*folders, *order], "left"))
+            # Equal keys go by their texts.
+            nth = F.row_number().over(Window.partitionBy(*folders, *order).orderBy("_body")) - 1
+            split = known.where("_pos IS NOT NULL").withColumn("_nth", nth).withColumn("_file", F.expr(f"(_pos + _nth) div {per_file}"))
+            kept = known.where("_pos IS NULL").select(*schema.names).unionByName(split.select(*schema.names))
+        for turn in range(turns):
+            lines = kept.where(F.col("_turn") == turn).withColumn("shard", F.lpad(F.col("_file").cast("string"), 12, "0")).select(
+                *keys, *order, F.concat(F.when(first, "[").otherwise(","), "_body", F.when(last, "]").otherwise("")).alias("value")
+            )
+            (
+                # The window has brought each file's rows into one task already.
+                lines.sortWithinPartitions(*keys, *order).drop(*order)
+                .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).text(path)
+            )
 
 
 def with_offsets(files: DataFrame, order: list[str], within: list[str] | None = None) -> DataFrame:

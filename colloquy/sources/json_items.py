@@ -29,7 +29,8 @@ def _items(elements: DataFrame, files: DataFrame, schema: T.StructType, keys: li
     name order."""
     offsets = with_offsets(files.select(*keys, "file", "n"), ["file"], keys).drop("n")
     item = F.from_json("text", schema, {"mode": "FAILFAST"})
-    return elements.join(offsets, "file").select(
+    # One row per file: the texts stay where they are.
+    return elements.join(F.broadcast(offsets), "file").select(
         *keys, (F.col("offset") + F.col("pos")).cast("long").alias("idx"), item.alias("item")
     ).select(*keys, "idx", "item.*")
 
@@ -91,7 +92,7 @@ def read_prediction_files(spark: SparkSession, root: str) -> DataFrame:
     # Nulls are keys here as well: a run may be without a stamp.
     items = _items(elements, named.withColumn("stamp", F.coalesce("stamp", F.lit(""))), PREDICTION_ITEM, run)
     same = [F.col(c) == F.coalesce(f"_{c}", F.lit("")) for c in run]
-    return items.join(times, same, "left").select(
+    return items.join(F.broadcast(times), same, "left").select(
         "model", "scenario", "task", F.nullif("stamp", F.lit("")).alias("stamp"), "idx", "query", "workflow", "modified"
     )
 

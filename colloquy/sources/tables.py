@@ -14,6 +14,8 @@ from colloquy.sources.json_arrays import read_elements, write_arrays
 
 PREDICTION_PARTITIONS = ["model", "scenario", "task", "stamp"]
 CHUNK_FIELDS = ["query"]
+#: An export joins predictions with their gold items in so many slices, to hold less on disk.
+EXPORT_SLICES = 4
 
 
 def _read(spark: SparkSession, path: str, schema: T.StructType, what: str) -> DataFrame:
@@ -57,10 +59,16 @@ def export_predictions(
     exported again replaces its files."""
     item = gold_items.select("task", "idx", F.struct(*schemas.ITEM.fieldNames()).alias("query"))
     name = F.concat(F.lit("graph_eval_"), F.concat_ws("_", "scenario", "stamp"), F.lit(".json"))
-    rows = predictions.join(item, ["task", "idx"]).select(
-        "model", "task", name.alias("file"), "idx", F.struct("query", F.coalesce("workflow", F.lit("")).alias("workflow")).alias("pair")
+    pair = F.struct("query", F.coalesce("workflow", F.lit("")).alias("workflow")).alias("pair")
+
+    def joined(answers: DataFrame, items: DataFrame) -> DataFrame:
+        return answers.join(items, ["task", "idx"]).select("model", "task", name.alias("file"), "idx", pair)
+
+    dealt = F.pmod(F.xxhash64("task", "idx"), F.lit(EXPORT_SLICES))
+    slices = [joined(predictions.where(dealt == i), item.where(dealt == i)) for i in range(EXPORT_SLICES)]
+    write_arrays(
+        joined(predictions, item), F.to_json("pair"), path, ["model", "task", "file"], ["idx"], per_file, slices
     )
-    write_arrays(rows, F.to_json("pair"), path, ["model", "task", "file"], ["idx"], per_file)
 
 
 def append_runs(runs: DataFrame, path: str) -> None:

@@ -110,6 +110,27 @@ def test_one_file_of_several_ranges_reads_as_several_files(spark, tmp_path, cut_
     assert [one[i]["id"] for i in range(40)] == [x["id"] for x in items]
 
 
+@pytest.mark.parametrize("per_file", [4, 1_000])
+def test_arrays_have_whole_files_whatever_repeats(spark, tmp_path, per_file):
+    """Equal and null keys, some over the end of a file or over several files."""
+    r = random.Random(1)
+    keys = [None, None, 3, 3, 3, *[7] * 11, *range(10, 60)]
+    rows = [(f, k, f"{f}-{k}-{n}") for f in ("a", None, "b c") for n, k in enumerate(keys)]
+    r.shuffle(rows)
+    df = spark.createDataFrame(rows, "f string, k int, t string").repartition(3)
+    path = tmp_path / "out"
+    for _ in range(2):
+        json_arrays.write_arrays(df, F.to_json(F.struct("t")), str(path), ["f"], ["k"], per_file)
+    for f, folder in (("a", "f=a"), (None, "f=__HIVE_DEFAULT_PARTITION__"), ("b c", "f=b c")):
+        texts = [x.read_text() for x in sorted((path / folder).glob("shard=*/*.txt"))]
+        files = [json.loads(x) for x in texts]
+        found = [x["t"] for y in files for x in y]
+        assert [len(x) for x in files] == [*[per_file] * (len(keys) // per_file), *[len(keys) % per_file] * (len(keys) % per_file > 0)]
+        assert sorted(found) == sorted(t for g, _, t in rows if g == f)
+        order = [t.split("-")[1] for t in found]
+        assert order == [str(k) for k in keys]
+
+
 def test_running_total(spark):
     rows = [(k, i, (i * 7) % 5) for k in "ab" for i in range(50)]
     df = spark.createDataFrame(rows, "k string, i int, n int").repartition(6)

@@ -1,8 +1,11 @@
 import json
+from pathlib import Path
 
+import numpy as np
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import functions as F, types as T
 
+from colloquy import schemas
 from colloquy.operators import embedding, prediction, runs, scenarios
 from colloquy.sources import json_items as J, tables as S, vector_store
 
@@ -104,6 +107,25 @@ def test_predictions_round_trip_and_export(spark, tmp_path):
     assert {r["workflow"] for r in lone.collect()} == {f"old w{i}" for i in range(3)}
 
 
+def test_an_export_leaves_no_copy_of_its_texts(spark, tmp_path):
+    """Neither in the scratch folder nor as shuffles of queries that have ended."""
+    noise = "".join(map(chr, np.random.default_rng(0).integers(33, 0x2000, 400_000)))
+    rows = [("t", i, str(i), None, None, [("user", noise[i * 1_000:][:1_000])], None) for i in range(400)]
+    gold = spark.createDataFrame(rows, T.StructType(
+        [T.StructField("task", T.StringType()), T.StructField("idx", T.LongType()), *schemas.ITEM.fields]))
+    answers = gold.select(F.lit("m").alias("model"), F.lit("rag").alias("scenario"), "task", F.lit("20260710_030000").alias("stamp"), "idx", F.lit("w").alias("workflow"))
+    kept = Path(spark.conf.get("spark.checkpoint.dir"))
+
+    def held():
+        return {p: p.stat().st_size for p in kept.rglob("*") if p.is_file()}
+
+    before = held()
+    S.export_predictions(answers, gold, str(tmp_path / "e"), per_file=100)
+    left = sum(n for p, n in held().items() if p not in before)
+    written = sorted((tmp_path / "e").rglob("*.txt"))
+    assert len(written) == 4 and left < 0.2 * sum(p.stat().st_size for p in written)
+
+
 def test_a_run_written_twice_counts_once(spark, tmp_path):
     rows = [("m", s, "t", "20260710_030000", i, f"w{i}", None) for s in ("i0", "rag") for i in range(3)]
     df = spark.createDataFrame(rows, "model string, scenario string, task string, stamp string, idx long, workflow string, error string")
