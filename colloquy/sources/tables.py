@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 from colloquy import schemas
 from colloquy.operators.embedding import HASH_ENCODER_NAME
 from colloquy.operators.runs import latest_runs
+from colloquy.session import FREE_SHUFFLES, settings
 from colloquy.sources.json_arrays import read_elements, write_arrays
 
 PREDICTION_PARTITIONS = ["model", "scenario", "task", "stamp"]
@@ -34,14 +35,14 @@ def write_predictions(predictions: DataFrame, path: str) -> None:
     """Write runs, one folder each; a run that is there already is replaced, so writing it
     twice, after a failure for instance, gives its rows once. The rebalance brings the rows
     of a run together, for few files, but splits a run that is large."""
-    (
-        predictions.select(*schemas.PREDICTIONS.fieldNames())
-        .hint("rebalance", *PREDICTION_PARTITIONS)
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy(*PREDICTION_PARTITIONS)
-        .parquet(path)
-    )
+    dealt = predictions.select(*schemas.PREDICTIONS.fieldNames()).hint("rebalance", *PREDICTION_PARTITIONS)
+    with settings(predictions.sparkSession, FREE_SHUFFLES):
+        (
+            dealt.write.mode("overwrite")
+            .option("partitionOverwriteMode", "dynamic")
+            .partitionBy(*PREDICTION_PARTITIONS)
+            .parquet(path)
+        )
 
 
 def read_predictions(spark: SparkSession, path: str) -> DataFrame:
@@ -81,7 +82,8 @@ def read_runs(spark: SparkSession, path: str) -> DataFrame:
 
 def append_results(results: DataFrame, path: str) -> None:
     """Metrics per run and eval type, columns of ``schemas.RESULTS``; ``stamp`` is the run's."""
-    results.write.mode("append").partitionBy("model", "scenario").parquet(path)
+    with settings(results.sparkSession, FREE_SHUFFLES):
+        results.write.mode("append").partitionBy("model", "scenario").parquet(path)
 
 
 def read_results(spark: SparkSession, path: str) -> DataFrame:

@@ -121,3 +121,26 @@ def test_files_of_predictions_are_few(spark, tmp_path):
     path = G.prediction_files(spark, tables(spark, tmp_path, lines, [(1, "a")]))
     n_runs = G.predictions(spark, str(tmp_path)).select("model", "task", "scenario", "stamp").distinct().count()
     assert spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).count() == n_runs
+
+
+def test_stored_orders_have_the_same_labels_and_are_gathered_once(spark, tmp_path, monkeypatch):
+    rng = random.Random(7)
+    days = [None, "1994-01-01", "1994-01-02", "1994-02-01"]
+    pick = lambda *xs: rng.choice(xs)
+    lines = [
+        (pick(None, *range(1, 40)), pick(None, 1, 2, 3, 9), pick(None, 1, 2), pick(None, 1, 2, 3), pick(1.0, 2.0), 5.0, rng.choice(days))
+        for _ in range(300)
+    ]
+    path = tables(spark, tmp_path, lines * 2, [(1, "b"), (1, "a"), (1, None), (2, "c"), (3, "d"), (3, "d"), (None, "e")])
+    want = {r["o"]: r["labels"] for r in G.workflow_labels(spark, path).collect()}
+    seen, read = [], G.read
+    monkeypatch.setattr(G, "read", lambda s, d, table, *c: seen.append(table) or read(s, d, table, *c))
+    assert {r["o"]: r["labels"] for r in G.stored_labels(spark, path).collect()} == want and len(want) > 30
+    seen.clear()
+    found = Q.eval_latest(spark, path).collect()
+    assert seen.count("lineitem") == 1
+    gold = G.workflow_pairs(spark, path).select("task", "idx", F.col("gold_workflow").alias("workflow"))
+    scores = Q.evaluation.evaluate_latest(gold, G.stored_predictions(spark, path), on_mismatch="report")
+    n = {(r["model"], r["scenario"], r["task"], r["eval_type"]): r["n_total"] for r in scores.collect()}
+    done = {(r["model"], r["scenario"], r["task"], r["eval_type"]): r["n_total"] for r in found if r["status"] == "done"}
+    assert n and n == done
